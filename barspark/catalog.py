@@ -1,0 +1,13 @@
+"""Registered queries of the engine and their SQL twins."""
+
+from __future__ import annotations
+
+FLAGSHIP = "three_day_breakout"
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
