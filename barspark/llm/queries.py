@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, sharding
+from . import bpe, exact_dedup, licenses, mixing, sharding
 from .support import table
 
 #: Half of the mixture from the first six sources, half from the others (the corpus holds src0 to src19).
 WEIGHTS = {f"src{i}": (0.5 / 6 if i < 6 else 0.5 / 14) for i in range(20)}
 MIX_SEED = 7
+#: A vocabulary file of the installed package of public tokenizers.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +31,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", crc.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents"))
 
@@ -79,6 +91,7 @@ def queries():
     return {
         "op2_exact_dedup": op2_exact_dedup,
         "op3_sharding": op3_sharding,
+        "op4_bpe": op4_bpe,
         "op5_license_scan": op5_license_scan,
         "op10_mixing": op10_mixing,
     }
