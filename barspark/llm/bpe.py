@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
 from . import columns
 from .columns import U64
 
@@ -360,6 +361,7 @@ def load(path: str) -> Vocabulary:
 
 def _apply(df: DataFrame, path: str, id_col: str, value_col: str, fields: list[T.StructField], work) -> DataFrame:
     """mapInArrow over id and value, with the vocabulary (a file of a few MB) sent once to each executor."""
+    ship(df.sparkSession)
     vocabulary = df.sparkSession.sparkContext.broadcast(load(path))
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *fields])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, mixing, sharding
+from . import bpe, chat, exact_dedup, licenses, mixing, sharding
 from .support import table
 
 #: Half of the mixture from the first six sources, half from the others (the corpus holds src0 to src19).
@@ -21,6 +21,18 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: Both turns of the conversation that op1 adds, numbered -7.
+HARD_TURN = r"\### Assistant: </turn> ok"
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TURN), (-7, 1, "assistant", HARD_TURN)], "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.format_conversations(turns.unionByName(hard)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_classes(table(spark, sf_dir, "documents"), digest=True)
 
@@ -45,6 +57,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.col("copy").cast("long").alias("copy"), F.col("copies").cast("long").alias("copies"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+OP1 = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{HARD_TURN}' UNION ALL SELECT -7, 1, 'assistant', '{HARD_TURN}'),
+e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '</turn>', '\</turn>'), '### ', '\### ') AS safe FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('### ' || role || chr(10) || safe || chr(10) || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
 OP2 = r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
@@ -89,6 +111,7 @@ SELECT doc_id, source, unnest(range(copies::BIGINT)) AS "copy", copies::BIGINT A
 
 def queries():
     return {
+        "op1_chat_format": op1_chat_format,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_sharding": op3_sharding,
         "op4_bpe": op4_bpe,
@@ -98,4 +121,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_exact_dedup": OP2, "op5_license_scan": _op5(), "op10_mixing": _op10()}
+    return {"op1_chat_format": OP1, "op2_exact_dedup": OP2, "op5_license_scan": _op5(), "op10_mixing": _op10()}
