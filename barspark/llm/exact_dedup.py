@@ -30,7 +30,9 @@ def _shared(df: DataFrame, *key: str) -> DataFrame:
 
 
 def _keep_shared(df: DataFrame, *key: str) -> DataFrame:
-    return df.join(_shared(df, *key), list(key), "left_semi")
+    """Rows of df whose key occurs again. The keys are written first: both sides of the join then come by exchanges that Spark may split at a hot key."""
+    keys = saved(_shared(df, *key), "dedup-shared")
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, list(key), "left_semi")
 
 
 def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, digest: bool = False) -> DataFrame:
