@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, licenses, mixing, sharding
+from . import bpe, chat, exact_dedup, language, licenses, mixing, sharding
 from .support import table
 
 #: Half of the mixture from the first six sources, half from the others (the corpus holds src0 to src19).
@@ -51,6 +51,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language.held_out(F.col("doc_id"))
+    found = language.predict(docs, language.train(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix(docs, WEIGHTS, seed=MIX_SEED)
@@ -116,6 +123,7 @@ def queries():
         "op3_sharding": op3_sharding,
         "op4_bpe": op4_bpe,
         "op5_license_scan": op5_license_scan,
+        "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
     }
 
