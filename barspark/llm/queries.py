@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, language, licenses, mixing, sharding
+from . import bpe, chat, exact_dedup, language, licenses, mixing, sharding, topk
 from .support import table
 
 #: Half of the mixture from the first six sources, half from the others (the corpus holds src0 to src19).
@@ -51,6 +51,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = language.held_out(F.col("doc_id"))
@@ -99,6 +104,14 @@ f AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT license)), ',') AS
 SELECT documents.doc_id, coalesce(licenses, '') AS licenses, coalesce(passages, 0) AS passages, round(coalesce(best_dice, 0.0), 9)::DOUBLE AS best_dice
 FROM documents LEFT JOIN f USING (doc_id)
 """
+OP6 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([q.v[i] * c.v[i] FOR i IN range(1, least(len(q.v), len(c.v)) + 1)])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
 
 
 def _op10() -> str:
@@ -123,10 +136,11 @@ def queries():
         "op3_sharding": op3_sharding,
         "op4_bpe": op4_bpe,
         "op5_license_scan": op5_license_scan,
+        "op6_topk": op6_topk,
         "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql():
-    return {"op1_chat_format": OP1, "op2_exact_dedup": OP2, "op5_license_scan": _op5(), "op10_mixing": _op10()}
+    return {"op1_chat_format": OP1, "op2_exact_dedup": OP2, "op5_license_scan": _op5(), "op6_topk": OP6, "op10_mixing": _op10()}
