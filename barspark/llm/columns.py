@@ -112,9 +112,6 @@ def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.nda
     out = mix64(run[at] + U64(width) * _STEP)
     for d in np.flatnonzero((counts > 0) & (counts < width)):
         part = hashes[firsts[d] : firsts[d + 1]]
-        total = U64(0)
-        with np.errstate(over="ignore"):
-            for j, h in enumerate(part):
-                total += mix64(np.array([h + U64(j)]))[0] * weight[j]
-            out[out_first[d]] = mix64(np.array([total + U64(len(part)) * _STEP]))[0]
+        places = np.arange(len(part), dtype=U64)
+        out[out_first[d]] = mix64((mix64(part + places) * weight[: len(part)]).sum(keepdims=True) + np.array([len(part)], U64) * _STEP)[0]
     return out, out_first

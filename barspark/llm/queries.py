@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, language, licenses, mixing, sharding, topk
+from . import bpe, chat, exact_dedup, language, licenses, mixing, ngram_join, sharding, topk
 from .support import table
 
 #: Half of the mixture from the first six sources, half from the others (the corpus holds src0 to src19).
@@ -56,6 +56,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_classes(table(spark, sf_dir, "documents"), width=4, num=85)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = language.held_out(F.col("doc_id"))
@@ -137,6 +141,7 @@ def queries():
         "op4_bpe": op4_bpe,
         "op5_license_scan": op5_license_scan,
         "op6_topk": op6_topk,
+        "op7_ngram_join": op7_ngram_join,
         "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
     }
