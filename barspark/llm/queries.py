@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, language, licenses, mixing, ngram_join, sharding, topk
+from . import bpe, chat, exact_dedup, language, licenses, mixing, ngram_join, passages, sharding, topk
 from .support import table
 
 #: Half of the mixture from the first six sources, half from the others (the corpus holds src0 to src19).
@@ -60,6 +60,11 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(table(spark, sf_dir, "documents"), width=4, num=85)
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.withColumn("jaccard", F.round("jaccard", 9))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = language.held_out(F.col("doc_id"))
@@ -142,6 +147,7 @@ def queries():
         "op5_license_scan": op5_license_scan,
         "op6_topk": op6_topk,
         "op7_ngram_join": op7_ngram_join,
+        "op8_passages": op8_passages,
         "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
     }
