@@ -25,8 +25,15 @@ def builder(app: str = "barspark", cores: str = "*", partitions: int = 8):
     )
 
 
+#: Rows in an Arrow batch where the session has Spark's default of 10,000: whole texts and sets are rows here.
+BATCH_ROWS = 2_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors (once for each application), so that Arrow kernels import it there."""
+    """Sends this package to the executors (once for each application), so that Arrow kernels import it there, and keeps their batches small."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":
+        spark.conf.set(size, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
