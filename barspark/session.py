@@ -44,3 +44,16 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+_own_dir: list[str] = []
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, for what streams write; one of this machine's where it is unset (local mode)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not _own_dir:
+            _own_dir.append("file://" + tempfile.mkdtemp(prefix="barspark-"))
+        found = _own_dir[0]
+    return found.rstrip("/")
