@@ -288,3 +288,15 @@ def factor_neutral(spark, sf_dir):
     cov = risk.total_covariance(b, fc, sp).withColumn("ts", F.lit(_AT).cast("timestamp_ntz"))
     w = alloc.optimise(cov, "risk_parity").select("symbol", "weight")
     return risk.hedge(w, b, ["m"]).select("symbol", r6("weight", "weight"))
+
+
+@query("ml_linear", f"""WITH d AS (SELECT symbol, ts, r AS x, lead(close) OVER (PARTITION BY symbol ORDER BY ts) / close - 1 AS y FROM rets_o),
+m AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d WHERE x IS NOT NULL AND y IS NOT NULL)
+SELECT symbol, ts, {R('a + b * x')} AS score FROM d, m WHERE x IS NOT NULL""")
+def ml_linear(spark, sf_dir):
+    from ..functions.expr import col
+    from ..operators import ml
+
+    panel = compile(bars_o(spark, sf_dir), {"x": fx.returns(), "close": col("close")})
+    predict, _ = ml.fit(ml.training_rows(panel, ["x"]), ["x"])
+    return ml.scores(predict, panel, ["x"]).select("symbol", "ts", r6("score", "score"))
