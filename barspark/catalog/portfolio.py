@@ -257,9 +257,10 @@ _YC = "(SELECT date_trunc('year', x.ts)::TIMESTAMP AS ts, x.symbol AS a, y.symbo
 
 
 @query("min_variance_two", f"""WITH p AS (SELECT ts, max(cov) FILTER (a = '1-URGENT' AND b = a) AS v1, max(cov) FILTER (a = '2-HIGH' AND b = a) AS v2, max(cov) FILTER (a <> b) AS c FROM {_YC} GROUP BY ts),
-w AS (SELECT ts, greatest(0, least(1, (v2 - c) / (v1 + v2 - 2 * c))) AS w FROM p) SELECT ts, '1-URGENT' AS symbol, (round(w, 4) + 0.0)::DOUBLE AS weight FROM w UNION ALL SELECT ts, '2-HIGH', (round(1 - w, 4) + 0.0)::DOUBLE FROM w""")
+w AS (SELECT ts, greatest(0, least(1, (v2 - c) / (v1 + v2 - 2 * c))) AS w FROM p WHERE v1 IS NOT NULL AND v2 IS NOT NULL AND c IS NOT NULL) SELECT ts, '1-URGENT' AS symbol, (round(w, 4) + 0.0)::DOUBLE AS weight FROM w UNION ALL SELECT ts, '2-HIGH', (round(1 - w, 4) + 0.0)::DOUBLE FROM w""")
 def min_variance_two(spark, sf_dir):
     cov = _yearly_cov(spark, sf_dir).where("a in ('1-URGENT', '2-HIGH') and b in ('1-URGENT', '2-HIGH')")
+    cov = cov.join(cov.where("a <> b and cov is not null").select("ts").distinct(), "ts", "left_semi")
     return alloc.optimise(cov, "min_variance").select("ts", "symbol", (F.round("weight", 4) + F.lit(0.0)).alias("weight"))
 
 

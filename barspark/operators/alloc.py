@@ -165,7 +165,19 @@ def _descend(value, slope, lo, hi, start, steps: int = 3000) -> np.ndarray:
 def min_variance(cov: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     scale = max(float(np.trace(cov)) / len(cov), 1e-300)
     c = cov / scale
-    return _descend(lambda w: float(w @ c @ w), lambda w: 2 * c @ w, lo, hi, np.full(len(cov), 1 / len(cov)))
+    w = _descend(lambda w: float(w @ c @ w), lambda w: 2 * c @ w, lo, hi, np.full(len(cov), 1 / len(cov)))
+    for edge in (1e-3, 1e-5, 1e-8):  # then exactly, with the weights at their bounds held there
+        free = (w > lo + edge) & (w < hi - edge)
+        k = int(free.sum())
+        if k:
+            held = np.where(w <= lo + edge, lo, hi)[~free]
+            system = np.block([[c[np.ix_(free, free)], np.ones((k, 1))], [np.ones((1, k)), np.zeros((1, 1))]])
+            right = np.concatenate([-c[np.ix_(free, ~free)] @ held, [1 - held.sum()]])
+            new = w.copy()
+            new[~free], new[free] = held, np.linalg.lstsq(system, right, rcond=None)[0][:k]
+            if (new >= lo - 1e-12).all() and (new <= hi + 1e-12).all() and new @ c @ new <= w @ c @ w + 1e-15:
+                w = np.clip(new, lo, hi)
+    return w
 
 
 def max_sharpe(mu: np.ndarray, cov: np.ndarray, lo: np.ndarray, hi: np.ndarray, previous: np.ndarray | None = None, cost: float = 0.0, rf: float = 0.0) -> np.ndarray:
@@ -206,12 +218,16 @@ def optimise(cov: DataFrame, method: str, bounds: Bounds | None = None, mu: Data
     """ts, symbol, weight, objective for each rebalance of cov (ts, a, b, cov; both halves). method: min_variance, max_sharpe (needs mu: ts, symbol, mu) or risk_parity."""
     bounds = bounds or Bounds()
     ship(cov.sparkSession)
-    rows = cov.select("ts", "a", "b", "cov")
+    rows = cov.select("ts", "a", "b", "cov").where("cov is not null")
     rows = rows.join(mu.select("ts", F.col("symbol").alias("a"), "mu"), ["ts", "a"], "left") if mu is not None else rows.withColumn("mu", F.lit(0.0))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(pdf["a"].unique())
         c = pdf.pivot_table(index="a", columns="b", values="cov").reindex(index=names, columns=names).to_numpy()
+        while np.isnan(c).any():  # a symbol whose covariances are not all known cannot be placed
+            worst = int(np.isnan(c).sum(1).argmax())
+            names.pop(worst)
+            c = np.delete(np.delete(c, worst, 0), worst, 1)
         lo, hi = bounds.of(names)
         m = pdf.groupby("a")["mu"].first().reindex(names).fillna(0.0).to_numpy()
         w = {"min_variance": lambda: min_variance(c, lo, hi), "max_sharpe": lambda: max_sharpe(m, c, lo, hi, **options), "risk_parity": lambda: risk_parity(c, lo, hi)}[method]()
