@@ -38,7 +38,7 @@ SPACE, LETTER, NUMBER, OTHER, CUT = range(5)
 BETWEEN, ADDED = 0xD800, 0xD801
 NEVER = np.int64(1) << 40
 #: Words that a worker remembers before it forgets all.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Bytes by which the longest token of a place is looked up, and the longest word that is merged together with others.
 HEAD, TOGETHER = 6, 48
 

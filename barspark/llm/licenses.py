@@ -52,6 +52,11 @@ def _pairs(text: str) -> set[str]:
     return {f"{a} {b}" for a, b in zip(words, words[1:])}
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with the value as a column that later filters read: behind a generator it is not computed again in each of them."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def scan(df: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per passage and template that match: id_col, kind, passage (number), license, dice. templates are a parameter of a few hundred at most."""
     known = {k: p for k, v in (templates or TEMPLATES).items() if (p := _pairs(v))}
@@ -63,11 +68,13 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, least: float =
         F.transform(F.split(text, "\n"), lambda x, i: F.struct(F.lit("line").alias("kind"), i.alias("at"), x.alias("text"))),
         F.filter(F.transform(F.split(text, r"\n[\x20\t\r]*\n"), lambda x, i: F.struct(F.lit("block").alias("kind"), i.alias("at"), x.alias("text"))), lambda u: F.contains(u["text"], F.lit("\n"))),
     )
-    rows = df.select(F.col(id_col).alias("_id"), F.explode(units).alias("_u")).select("_id", "_u.kind", "_u.at", normalised(F.col("_u.text")).alias("_t"))
+    rows = df.select(F.col(id_col).alias("_id"), F.explode(units).alias("_u")).select("_id", "_u.kind", "_u.at", F.col("_u.text").alias("_t"))
+    rows = _once(rows, "_t", normalised(F.col("_t")))
     gaps = F.length("_t") - F.length(F.translate("_t", " ", ""))  # one less than the words
-    rows = rows.where(gaps >= F.lit(low)).select("_id", "kind", "at", F.split("_t", " ").alias("_w"))
-    # A passage must have enough words that begin a template's bigram before its bigrams are worth making.
-    rows = rows.select("_id", "kind", "at", bigrams(F.col("_w")).alias("_b")).where(F.size("_b").between(low, high))
+    rows = _once(rows.where(gaps >= F.lit(low)), "_w", F.split("_t", " ")).drop("_t")
+    # Distinct words are at most one more than distinct bigrams.
+    rows = rows.where(F.size(F.array_distinct("_w")) <= F.lit(high + 1))
+    rows = _once(rows, "_b", bigrams(F.col("_w"))).drop("_w").where(F.size("_b").between(low, high))
     rows = rows.where(F.size(F.filter("_b", lambda b: b.isin(every))) >= F.size("_b") * F.lit(share))
     spark = df.sparkSession
     of = spark.createDataFrame([(b, k, len(p)) for k, p in known.items() for b in sorted(p)], "_g string, license string, _size int")
