@@ -112,14 +112,14 @@ class Vocabulary:
         """Whether merging a's and b's bytes gives just a and b.
 
         Backwards in time, the later made of the two tokens at the border falls apart again and again. While a pair
-        stands at the border, a merge of it must not come before the merge that ends it; of equal merges the left one is first.
+        stands at the border, a merge of it must not come before the first merge that ends it; of equal merges the left one is first.
         """
         good, open_ = np.ones(len(a), bool), np.arange(len(a))
         a, b = a.copy(), b.copy()
         a_ends, b_ends = np.full(len(a), NEVER), np.full(len(a), NEVER - 1)
         while len(open_):
             rank = self.ranks(a, b)
-            bad = (rank < a_ends) | (rank <= b_ends)
+            bad = (rank < a_ends) & (rank <= b_ends)
             good[open_[bad]] = False
             made_a, made_b = self.made[a], self.made[b]
             go = ~bad & ((made_a >= 0) | (made_b >= 0))
