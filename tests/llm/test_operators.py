@@ -371,6 +371,30 @@ def test_repeated_passages(spark, docs, empty):
     assert passages.repeated_passages(empty).collect() == []
 
 
+def test_passages_between_outer_documents(spark):
+    """Two documents share a passage; those with the least and the greatest ids hold only a part of it, too short to count."""
+    texts, pairs = [], set()
+    for k in range(20):
+        shared = words(50, 5000 + k, 50_000)
+        for i in (*range(8), *range(92, 100)):
+            texts.append((100 * k + i, " ".join(words(60, 9000 + 100 * k + i, 50_000) + shared[5:44] + words(60, 20_000 + 100 * k + i, 50_000))))
+        for i in (40, 50):
+            texts.append((100 * k + i, " ".join(words(60, 9000 + 100 * k + i, 50_000) + shared + words(60, 20_000 + 100 * k + i, 50_000))))
+        pairs.add((100 * k + 40, 100 * k + 50))
+    got = passages.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["partner_id"]) for r in got if r["doc_id"] < r["partner_id"]} == pairs
+
+
+def test_passage_twice_in_a_document(spark):
+    """A passage that stands twice in each of two documents is found at both places of either."""
+    shared = words(60, 31, 50_000)
+    texts = [(i, " ".join(words(70, 40 + i, 50_000) + shared + words(200, 50 + i, 50_000) + shared + words(70, 60 + i, 50_000))) for i in (1, 2)]
+    got = passages.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    for i in (1, 2):
+        spans = [(r["start_word"], r["end_word"]) for r in got if r["doc_id"] == i]
+        assert any(abs(s - 70) <= 10 and abs(e - 130) <= 10 for s, e in spans) and any(abs(s - 330) <= 10 and abs(e - 390) <= 10 for s, e in spans)
+
+
 # 9 language ID
 
 
