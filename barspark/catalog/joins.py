@@ -43,17 +43,17 @@ def benchmark_join(spark, sf_dir):
     return df.select("symbol", "ts", r6("r", "r"), r6("benchmark", "benchmark"))
 
 
-@query("fundamental_join", f"SELECT symbol, o.ts, {R('size_sum / close')} AS value FROM bars_o o JOIN (SELECT o_orderpriority AS symbol, o_orderdate AS ts, sum(o_custkey)::DOUBLE AS size_sum FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1, 2) f USING (symbol, ts)")
+@query("fundamental_join", f"SELECT symbol, o.ts, {R('size_sum / close')} AS value FROM bars_o o JOIN (SELECT o_orderpriority AS symbol, o_orderdate AS ts, sum(o_custkey)::DOUBLE AS size_sum FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2) f USING (symbol, ts)")
 def fundamental_join(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey % 3 = 0")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'")  # a book that lacks some days
     given = o.groupBy(F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts")).agg(F.sum("o_custkey").cast("double").alias("book"))
     panel = bars_o(spark, sf_dir).join(given, ["symbol", "ts"])
     return compile(panel, {"value": fx.ratio_to_price(col("book"))}).select("symbol", "ts", r6("value", "value"))
 
 
-@query("log_market_cap_external", f"SELECT symbol, ts, {R('ln(nullif(coalesce(cap, close * volume), 0))')} AS value FROM bars_o LEFT JOIN (SELECT o_orderpriority AS symbol, o_orderdate AS ts, sum(o_custkey)::DOUBLE AS cap FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1, 2) USING (symbol, ts)")
+@query("log_market_cap_external", f"SELECT symbol, ts, {R('ln(nullif(coalesce(cap, close * volume), 0))')} AS value FROM bars_o LEFT JOIN (SELECT o_orderpriority AS symbol, o_orderdate AS ts, sum(o_custkey)::DOUBLE AS cap FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2) USING (symbol, ts)")
 def log_market_cap_external(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey % 3 = 0")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F'")  # a book that lacks some days
     given = o.groupBy(F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts")).agg(F.sum("o_custkey").cast("double").alias("cap"))
     return compile(bars_o(spark, sf_dir).join(given, ["symbol", "ts"], "left"), {"value": fx.log_market_cap(col("cap"))}).select("symbol", "ts", r6("value", "value"))
 
@@ -78,11 +78,11 @@ def asof_backward(spark, sf_dir):
     return got.select("symbol", "ts", r6("close", "close"), r6("week_close", "week_close"))
 
 
-_EVENTS = "(SELECT ts, event_type AS type, CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_type END AS symbol, event_id FROM events WHERE event_id % 5 = 0)"
+_EVENTS = "(SELECT ts, event_type AS type, CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_type END AS symbol, event_id FROM events)"
 
 
 def _events(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 5 = 0")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select("ts", F.col("event_type").alias("type"), F.when(F.col("event_id") % 10 != 0, F.col("event_type")).alias("symbol"), "event_id")
 
 
@@ -95,8 +95,7 @@ def events_window(spark, sf_dir):
 @query("has_event", f"SELECT b.symbol, b.ts FROM bars_h b WHERE EXISTS (SELECT 1 FROM {_EVENTS} e WHERE e.ts >= b.ts - INTERVAL 3 HOURS AND e.ts <= b.ts AND (e.symbol IS NULL OR e.symbol = b.symbol))")
 def has_event(spark, sf_dir):
     b = bars_h(spark, sf_dir).select("symbol", "ts")
-    seen = pn.range_join(b, _events(spark, sf_dir), "3 HOURS", slot_seconds=10_800).select("symbol", "ts").distinct()
-    return b.join(seen, ["symbol", "ts"], "left_semi")
+    return pn.has_event(b, _events(spark, sf_dir), "3 HOURS").where("has_event").select("symbol", "ts")
 
 
 @query("events_between", f"SELECT event_id, ts, type, symbol FROM {_EVENTS} WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-09' AND type = 'click' AND symbol = 'click'")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import panel as pn
+from ..session import work_dir
 from ..sources import bars as bars_of
 from ..sources import readers
 from ..sources.bars import bars_d, bars_h, bars_o, bars_s
@@ -83,3 +86,76 @@ def load_events_payload(spark, sf_dir):
 def dedupe(spark, sf_dir):
     b = bars_d(spark, sf_dir)
     return pn.dedupe(b.unionByName(b)).groupBy("symbol").agg(F.count("*").alias("n"), r6(F.sum("close"), "total"))
+
+
+# Files: the panel's own symbols are written, each to one file, and read back.
+
+
+def _write(df, folder: str, name: str) -> str:
+    """Writes df as the one CSV or Parquet file folder/name."""
+    spark, kind = df.sparkSession, name.rsplit(".", 1)[1]
+    raw = f"{folder}-raw-{name}"
+    df.coalesce(1).write.option("header", True).format(kind).save(raw)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(raw).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(path(raw)) if f.getPath().getName().startswith("part-"))
+    fs.mkdirs(path(folder))
+    fs.rename(part, path(f"{folder}/{name}"))
+    fs.delete(path(raw), True)
+    return f"{folder}/{name}"
+
+
+def _folder(spark) -> str:
+    return f"{work_dir(spark)}/files-{uuid.uuid4().hex[:12]}"
+
+
+def _of(bars, symbol: str):
+    return bars.where(F.col("symbol") == symbol).drop("symbol")
+
+
+@query("load_csv", f"SELECT upper(symbol) AS symbol, ts, {_OHLCV} FROM bars_h WHERE symbol = 'click'")
+def load_csv(spark, sf_dir):
+    return _rounded(readers.load_csv(spark, _write(_of(bars_h(spark, sf_dir), "click"), _folder(spark), "click_hourly.csv")))
+
+
+@query("load_parquet", f"SELECT 'VIEWS' AS symbol, ts, {_OHLCV} FROM bars_h WHERE symbol = 'view'")
+def load_parquet(spark, sf_dir):
+    return _rounded(readers.load_parquet(spark, _write(_of(bars_h(spark, sf_dir), "view"), _folder(spark), "v.parquet"), symbol="views"))
+
+
+@query("load_directory", f"SELECT upper(symbol) AS symbol, ts, {_OHLCV}, {R("CASE WHEN symbol = 'click' THEN close * 2 END")} AS close_raw FROM bars_d")
+def load_directory(spark, sf_dir):
+    """A file a symbol: CSV files with three headers, and Parquet."""
+    b, folder = bars_d(spark, sf_dir).cache(), _folder(spark)
+    for k, symbol in enumerate(sorted(r["symbol"] for r in b.select("symbol").distinct().collect())):
+        own = _of(b, symbol)
+        if symbol == "click":
+            own = own.select(F.col("close").alias("Adj Close"), "volume", (F.col("close") * 2).alias("Close"), F.lit("x").alias("note"), "low", "high", "open", F.col("ts").alias("Datetime"))
+        elif k % 2:
+            own = own.select(F.col("ts").alias("Date"), F.col("close").alias("Last"), F.col("volume").alias("Vol"), F.col("low").alias("L"), F.col("high").alias("H"), F.col("open").alias("O"))
+        _write(own, folder, f"{symbol}_daily.{'parquet' if k == 2 else 'csv'}")
+    b.unpersist()
+    got = readers.load_directory(spark, folder)
+    return got.select("symbol", "ts", *[r6(c, c) for c in ("open", "high", "low", "close", "volume", "close_raw")])
+
+
+@query("load_splits", "SELECT 'C' || c_custkey AS symbol, (DATE '2020-01-01' + (c_custkey % 900)::INT) AS date, (1 + c_custkey % 4)::DOUBLE AS ratio FROM customer")
+def load_splits(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    rows = c.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("Ticker"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") % 900).cast("int")).alias("date"), (F.col("c_custkey") % 4 + 1).alias("split"))
+    return readers.load_splits(spark, _write(rows, _folder(spark), "splits.csv")).select("symbol", "date", "ratio")
+
+
+@query("load_dividends", f"SELECT 'DIV' AS symbol, o_orderdate::DATE AS date, {R('sum(o_totalprice)')} AS amount FROM orders GROUP BY 2")
+def load_dividends(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = o.groupBy(F.to_date("o_orderdate").alias("Date")).agg(F.sum("o_totalprice").alias("Dividend"))
+    return readers.load_dividends(spark, _write(rows, _folder(spark), "div_all.csv")).select("symbol", "date", r6("amount", "amount"))
+
+
+@query("load_events_csv", "SELECT ts, event_type AS type, 'U' || user_id AS symbol, event_id::VARCHAR AS payload_id FROM events")
+def load_events_csv(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = e.select(F.col("ts").cast("string").alias("Timestamp"), F.col("event_type").alias("Event"), F.concat(F.lit("u"), F.col("user_id")).alias("Sym"), F.col("event_id").alias("id"))
+    got = readers.load_events(spark, _write(rows, _folder(spark), "events.csv"))
+    return got.select("ts", "type", "symbol", F.col("payload")["id"].alias("payload_id"))

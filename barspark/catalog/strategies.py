@@ -87,5 +87,5 @@ def regime_rotation(spark, sf_dir):
 
 @query("earnings_event")
 def earnings_event(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 40 = 0").select("ts", F.col("event_type").alias("type"), F.col("event_type").alias("symbol"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", F.col("event_type").alias("type"), F.col("event_type").alias("symbol"))
     return st.event_hold(bars_h(spark, sf_dir), e, "3 HOURS")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 
 def common_calendar(panel: DataFrame) -> DataFrame:
     """Times that every symbol has."""
@@ -46,8 +48,8 @@ def time_slice(panel: DataFrame, start=None, end=None) -> DataFrame:
 
 
 def ordinals(panel: DataFrame) -> DataFrame:
-    """Each time of the panel and its number, from 0. A calendar has a row per time, whatever the symbols."""
-    return panel.select("ts").distinct().withColumn("ordinal", F.row_number().over(W.orderBy("ts")) - 1)
+    """Each time of the panel and its number, from 0."""
+    return running(panel.select("ts").distinct(), "ts", [], {"ordinal": F.lit(1)}).withColumn("ordinal", F.col("ordinal") - 1)
 
 
 def positional_slice(panel: DataFrame, start: int, end: int) -> DataFrame:
@@ -70,20 +72,52 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], on: str = "ts", right
     return out.select("_row.*", *[F.col(f"_known.{v}").alias(v) for v in values])
 
 
-def range_join(bars: DataFrame, events: DataFrame, before: str, include_now: bool = True, unbounded_key: bool = True, slot_seconds: int = 86_400) -> DataFrame:
-    """Pairs of bars and events with event time in [ts - before, ts] (without the end: include_now=False).
+_SECONDS = {"SECOND": 1, "MINUTE": 60, "HOUR": 3600, "DAY": 86_400, "WEEK": 604_800, "MONTH": 31 * 86_400, "YEAR": 366 * 86_400}
+
+
+def _slot_micros(before: str) -> int:
+    """A length that the look-back ("3 HOURS") never passes."""
+    n, unit = before.split()
+    return max(1, int(n)) * _SECONDS[unit.upper().rstrip("S")] * 1_000_000
+
+
+def _micros(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp"))
+
+
+def _event_columns(events: DataFrame) -> DataFrame:
+    return events.select(*[F.col(c).alias(f"event_{c}") for c in events.columns])
+
+
+def range_join(bars: DataFrame, events: DataFrame, before: str, include_now: bool = True, unbounded_key: bool = True) -> DataFrame:
+    """Pairs of bars and events with event time in [ts - before, ts] (without the end: include_now=False). before: a number and a unit.
 
-    Events without symbol match every bar. Times fall into slots as long as the look-back, so the join is an equi-join on slots.
+    Times fall into slots as long as the look-back, and an event goes to its slot and the next: an equi-join on symbol and slot.
+    Events without symbol match every bar (unless unbounded_key is False), by a join on the slot alone.
     """
-    span = F.expr(f"INTERVAL {before}")
-    secs = lambda c: F.unix_micros(c.cast("timestamp"))
-    slot = F.lit(slot_seconds * 1_000_000)
-    b = bars.withColumn("_from", (F.col("ts") - span).cast("timestamp_ntz"))
-    b = b.withColumn("_slot", F.explode(F.sequence(F.floor(secs(F.col("_from")) / slot), F.floor(secs(F.col("ts")) / slot))))
-    e = events.select(*[F.col(c).alias(f"event_{c}") for c in events.columns]).withColumn("_slot", F.floor(secs(F.col("event_ts")) / slot))
-    inside = (F.col("event_ts") >= F.col("_from")) & ((F.col("event_ts") <= F.col("ts")) if include_now else (F.col("event_ts") < F.col("ts")))
-    same = F.col("event_symbol").isNull() | (F.col("event_symbol") == F.col("symbol")) if unbounded_key else F.col("event_symbol") == F.col("symbol")
-    return b.join(e, "_slot").where(inside & same).drop("_slot", "_from")
+    slot, span = F.lit(_slot_micros(before)), F.expr(f"INTERVAL {before}")
+    b = bars.withColumn("_slot", F.floor(_micros(F.col("ts")) / slot))
+    own = F.floor(_micros(F.col("event_ts")) / slot)
+    e = _event_columns(events).withColumn("_slot", F.explode(F.array(own, own + 1)))
+    inside = (F.col("event_ts") >= F.col("ts") - span) & ((F.col("event_ts") <= F.col("ts")) if include_now else (F.col("event_ts") < F.col("ts")))
+    keyed = b.join(e, (b["symbol"] == e["event_symbol"]) & (b["_slot"] == e["_slot"]) & inside).drop("_slot")
+    if not unbounded_key:
+        return keyed
+    free = e.where("event_symbol is null")
+    return keyed.unionByName(b.join(free, (b["_slot"] == free["_slot"]) & inside).drop("_slot"))
+
+
+def has_event(bars: DataFrame, events: DataFrame, before: str, include_now: bool = True) -> DataFrame:
+    """bars' rows and has_event: whether range_join would pair them. The last event before each bar tells, so no pairs are made."""
+    slot, span = F.lit(_slot_micros(before)), F.expr(f"INTERVAL {before}")
+    out = bars.withColumn("_slot", F.floor(_micros(F.col("ts")) / slot))
+    own = F.floor(_micros(F.col("ts")) / slot)
+    e = events.select("symbol", "ts", F.col("ts").alias("_seen"), F.explode(F.array(own, own + 1)).alias("_slot"))
+    keyed, free = e.where("symbol is not null"), e.where("symbol is null").drop("symbol")
+    out = asof(out, keyed, ["symbol", "_slot"], values=["_seen"], strict=not include_now).withColumnRenamed("_seen", "_own")
+    out = asof(out, free, ["_slot"], values=["_seen"], strict=not include_now)
+    found = F.greatest("_own", "_seen") >= F.col("ts") - span
+    return out.withColumn("has_event", F.coalesce(found, F.lit(False))).drop("_slot", "_own", "_seen")
 
 
 def events_between(events: DataFrame, start, end, symbol: str | None = None, kind: str | None = None) -> DataFrame:
@@ -94,10 +128,15 @@ def events_between(events: DataFrame, start, end, symbol: str | None = None, kin
 
 
 def events_at(bars: DataFrame, events: DataFrame) -> DataFrame:
-    """Pairs on one date less than a second apart."""
-    e = events.select(*[F.col(c).alias(f"event_{c}") for c in events.columns])
-    apart = F.abs(F.unix_micros(F.col("event_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) < 1_000_000
-    return bars.withColumn("_day", F.to_date("ts")).join(e.withColumn("_day", F.to_date("event_ts")), "_day").where(apart & (F.col("event_symbol").isNull() | (F.col("event_symbol") == F.col("symbol")))).drop("_day")
+    """Pairs on one date less than a second apart. An event goes to its second and both neighbours: an equi-join on symbol (where the event has one) and second."""
+    second = lambda c: F.floor(_micros(F.col(c)) / 1_000_000)
+    b = bars.withColumn("_s", second("ts"))
+    e = _event_columns(events)
+    e = e.withColumn("_s", F.explode(F.array(*[second("event_ts") + d for d in (-1, 0, 1)])))
+    near = (F.to_date("ts") == F.to_date("event_ts")) & (F.abs(_micros(F.col("event_ts")) - _micros(F.col("ts"))) < 1_000_000)
+    free = e.where("event_symbol is null")
+    keyed = b.join(e, (b["symbol"] == e["event_symbol"]) & (b["_s"] == e["_s"]) & near)
+    return keyed.drop("_s").unionByName(b.join(free, (b["_s"] == free["_s"]) & near).drop("_s"))
 
 
 def first_in_period(period: str) -> Column:

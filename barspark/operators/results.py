@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 YEAR = 252
 
 
@@ -83,7 +85,7 @@ def fifo_trades(fills: DataFrame, by: list[str] | None = None) -> DataFrame:
 
     Fills are intervals on the line of traded quantity. An entry extends the position's absolute quantity and an exit takes
     from the queue's head, so lots are the overlaps of the entries' and the exits' intervals of one side; a fill that
-    turns the position round is both. No rows pass through Python.
+    turns the position round is both. The cost is a sort of each symbol's fills.
     """
     key = [*(by or []), "symbol"]
     order = W.partitionBy(*key).orderBy("ts", "order_id")
@@ -97,10 +99,15 @@ def fifo_trades(fills: DataFrame, by: list[str] | None = None) -> DataFrame:
     line = W.partitionBy(*key, "direction").orderBy("ts", "order_id").rowsBetween(W.unboundedPreceding, 0)
     moves = moves.withColumn("_in_end", F.sum("_in").over(line)).withColumn("_out_end", F.sum("_out").over(line))
     k = [*key, "direction"]
-    entries = moves.where("_in > 1e-12").select(*k, F.col("ts").alias("entry_time"), F.col("price").alias("entry_price"), (F.col("_in_end") - F.col("_in")).alias("a0"), F.col("_in_end").alias("a1"))
-    exits = moves.where("_out > 1e-12").select(*k, F.col("ts").alias("exit_time"), F.col("price").alias("exit_price"), (F.col("_out_end") - F.col("_out")).alias("b0"), F.col("_out_end").alias("b1"))
-    size = F.least("a1", "b1") - F.greatest("a0", "b0")
-    lots = entries.join(exits, k).where((F.col("a0") < F.col("b1")) & (F.col("b0") < F.col("a1"))).withColumn("size", size).where("size > 1e-12")
+    # Both kinds of intervals begin at 0 and follow one another without a gap: along the line, each stretch between two beginnings has one entry and one exit.
+    ends = [F.col(f"{c}_end") - F.col(c) for c in ("_in", "_out")]
+    at = lambda c: F.struct(F.col("ts").alias("t"), F.col("price").alias("p"), F.col(f"{c}_end").alias("end"))
+    starts = moves.where("_in > 1e-12").select(*k, ends[0].alias("_p"), at("_in").alias("_e")).unionByName(moves.where("_out > 1e-12").select(*k, ends[1].alias("_p"), at("_out").alias("_x")), allowMissingColumns=True)
+    cut = W.partitionBy(*k).orderBy("_p")
+    so_far = cut.rowsBetween(W.unboundedPreceding, 0)
+    lots = starts.select(*k, "_p", F.last("_e", True).over(so_far).alias("_e"), F.last("_x", True).over(so_far).alias("_x"), F.lead("_p").over(cut).alias("_q"))
+    lots = lots.withColumn("size", F.least("_q", "_e.end", "_x.end") - F.col("_p")).where("_e is not null and _x is not null and size > 1e-12")
+    lots = lots.select(*k, F.col("_e.t").alias("entry_time"), F.col("_e.p").alias("entry_price"), F.col("_x.t").alias("exit_time"), F.col("_x.p").alias("exit_price"), "size")
     sign = F.when(F.col("direction") == "long", F.lit(1.0)).otherwise(F.lit(-1.0))
     pnl = (F.col("exit_price") - F.col("entry_price")) * F.col("size") * sign
     days = (F.unix_micros(F.col("exit_time").cast("timestamp")) - F.unix_micros(F.col("entry_time").cast("timestamp"))) / 86_400_000_000
@@ -128,9 +135,9 @@ def _group_aggs() -> list[Column]:
 
 def trade_summary(trades: DataFrame) -> DataFrame:
     """One line: counts, win rate, averages, expectancy, longest streaks (trades without result neither add nor break), median duration."""
-    order = W.partitionBy(F.lit(0)).orderBy("exit_time", "entry_time", "symbol", "pnl")
     told = trades.where("pnl <> 0").withColumn("_win", F.col("pnl") > 0)
-    told = told.withColumn("_island", F.row_number().over(order) - F.row_number().over(W.partitionBy("_win").orderBy("exit_time", "entry_time", "symbol", "pnl")))
+    told = running(told, "exit_time", ["entry_time", "symbol", "pnl"], {"_won": F.col("_win").cast("long"), "_lost": (~F.col("_win")).cast("long")})
+    told = told.withColumn("_island", F.when(F.col("_win"), F.col("_lost")).otherwise(F.col("_won")))  # a streak ends where the other count moves
     runs = told.groupBy("_win", "_island").agg(F.count("*").alias("n"))
     runs = runs.agg(F.coalesce(F.max(F.when(F.col("_win"), F.col("n"))), F.lit(0)).alias("max_wins"), F.coalesce(F.max(F.when(~F.col("_win"), F.col("n"))), F.lit(0)).alias("max_losses"))
     win, loss = F.col("pnl") > 0, F.col("pnl") < 0
@@ -165,8 +172,7 @@ def costs(trades: DataFrame) -> DataFrame:
 
 def cumulative(trades: DataFrame, columns: tuple[str, ...] = ("pnl",), at: str = "exit_time") -> DataFrame:
     """Running sums along the exits."""
-    order = W.partitionBy(F.lit(0)).orderBy(at, "symbol", "entry_time").rowsBetween(W.unboundedPreceding, 0)
-    return trades.withColumns({f"cum_{c}": F.sum(c).over(order) for c in columns})
+    return running(trades, at, ["symbol", "entry_time"], {f"cum_{c}": F.col(c) for c in columns})
 
 
 def exposures(snapshots: DataFrame) -> DataFrame:
@@ -176,7 +182,7 @@ def exposures(snapshots: DataFrame) -> DataFrame:
 
 
 def weight_turnover(weights: DataFrame, value: str = "exposure") -> DataFrame:
-    """ts, turnover: half the absolute changes of weights from one time to the next; an absent symbol weighs 0, and so do all before the first time."""
+    """ts, turnover: half the absolute changes of weights from one time to the next; an absent symbol weighs 0. At a symbol's first time nothing changes."""
     grid = weights.select("ts").distinct().crossJoin(weights.select("symbol").distinct())
     w = grid.join(weights, ["ts", "symbol"], "left").withColumn("_w", F.coalesce(value, F.lit(0.0)))
     d = F.abs(F.col("_w") - F.coalesce(F.lag("_w").over(W.partitionBy("symbol").orderBy("ts")), F.col("_w")))

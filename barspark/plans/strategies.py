@@ -159,8 +159,7 @@ def event_hold(panel: DataFrame, events: DataFrame, look_back: str = "3 DAYS", b
                 self.left -= 1
             return 1.0 if self.left > 0 else 0.0
 
-    seen = pn.range_join(panel.select("symbol", "ts"), events, look_back).select("symbol", "ts").distinct().withColumn("seen", F.lit(True))
-    df = panel.select("symbol", "ts").join(seen, ["symbol", "ts"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    df = pn.has_event(panel.select("symbol", "ts"), events, look_back).withColumnRenamed("has_event", "seen")
     return _stateful(df, ["seen"], Hold, "weight").select("symbol", "ts", "weight")
 
 

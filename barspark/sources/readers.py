@@ -7,6 +7,7 @@ read are filtered; sorting is left to the sink. Missing is NULL.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,13 +30,13 @@ PRICES = ("open", "high", "low", "close")
 
 
 def renamed(df: DataFrame, synonyms: dict[str, list[str]], required: tuple[str, ...]) -> dict[str, Column]:
-    """canonical name -> column, for those that df has under any of their names."""
+    """canonical name -> column, for those that df has under any of their names; of several names the first that is not null."""
     have = {c.strip().lower(): c for c in df.columns}
     found = {}
     for name, others in synonyms.items():
-        match = next((have[o] for o in others if o in have), None)
-        if match is not None:
-            found[name] = F.col(f"`{match}`")
+        match = [F.col("`" + have[o].replace("`", "``") + "`") for o in others if o in have]
+        if match:
+            found[name] = match[0] if len(match) == 1 else F.coalesce(*[m.cast("string") for m in match])
     missing = [r for r in required if r not in found]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
@@ -54,15 +55,15 @@ def timestamp(c: Column, tz: str | None = None) -> Column:
     return F.convert_timezone(F.lit(tz), F.lit("UTC"), x) if tz else x
 
 
-def normalize(df: DataFrame, tz: str | None = None, volume_required: bool = True) -> DataFrame:
-    """Canonical bars. Rows without a time or with a missing number go; adj_close, where present, becomes close and the quoted price close_raw."""
+def normalize(df: DataFrame, tz: str | None = None, volume_required: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Canonical bars, and the columns to keep. Rows without a time or with a missing number go; adj_close, where present, becomes close and the quoted price close_raw."""
     cols = renamed(df, SYNONYMS, ("ts", *PRICES, *(("volume",) if volume_required else ())))
     fields = {n: number(cols[n]) for n in ("open", "high", "low", "close", "volume", "adj_close") if n in cols}
     if "adj_close" in fields:
         fields["close_raw"] = fields["close"]
         fields["close"] = fields.pop("adj_close")
-    keep = [cols["symbol"].alias("symbol")] if "symbol" in cols else []
-    out = df.select(*keep, timestamp(cols["ts"], tz).alias("ts"), *[c.alias(n) for n, c in fields.items()])
+    own = [cols["symbol"].alias("symbol")] if "symbol" in cols else []
+    out = df.select(*own, *keep, timestamp(cols["ts"], tz).alias("ts"), *[c.alias(n) for n, c in fields.items()])
     return out.na.drop(subset=["ts", *fields])
 
 
@@ -86,16 +87,46 @@ def load_parquet(spark: SparkSession, path: str, symbol: str | None = None, tz:
     return normalize(spark.read.parquet(path), tz).withColumn("symbol", F.lit((symbol or symbol_of(path)).upper()))
 
 
-def load_directory(spark: SparkSession, path: str, kind: str = "csv", symbols: list[str] | None = None, tz: str | None = None) -> DataFrame:
-    """Bars of every file of a folder in one read, the symbol from the file's name. Of two files of one symbol the last name wins."""
-    raw = spark.read.option("header", True).option("pathGlobFilter", f"*.{kind}").format(kind).load(path)
-    raw = raw.select("*", F.col("_metadata.file_name").alias("_file")).withColumn("_symbol", infer_symbol(F.col("_file")))
-    if symbols is not None:
-        raw = raw.where(F.col("_symbol").isin([s.upper() for s in symbols]))
-    last = raw.select("_symbol", "_file").distinct().groupBy("_symbol").agg(F.max("_file").alias("_file"))
-    raw = raw.join(F.broadcast(last), ["_symbol", "_file"], "left_semi")  # a line per file
-    bars = raw.drop("_file", *[c for c in raw.columns if c.lower() in SYNONYMS["symbol"]]).withColumnRenamed("_symbol", "symbol")
-    return normalize(bars, tz)
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """Paths of a folder's CSV and Parquet files, as Spark lists them (no content is read)."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,parquet}").load(path).select("path")
+    return sorted(r["path"] for r in listed.collect())
+
+
+def _by_header(spark: SparkSession, files: list[str]) -> list[list[str]]:
+    """CSV files in groups of one first line each (a line a file comes to the driver)."""
+    lines = spark.read.text(files).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for r in first.collect():
+        groups.setdefault(r["header"], []).append(r["file"])
+    return [sorted(g) for _, g in sorted(groups.items())]
+
+
+def load_directory(spark: SparkSession, path: str, kind: str | None = None, symbols: list[str] | None = None, tz: str | None = None) -> DataFrame:
+    """Bars of every CSV and Parquet file of a folder (of one kind, if named), the symbol from the file's name. Of two files of one symbol the last name wins.
+
+    Each CSV file is read by its own header: files with one header make a scan, and the scans are united by name. Parquet files
+    are one scan by column names. A column's type may differ between Parquet files as far as Spark merges it.
+    """
+    chosen = {symbol_of(f): f for f in _files(spark, path) if kind is None or f.endswith(f".{kind}")}
+    wanted = None if symbols is None else {s.upper() for s in symbols}
+    files = sorted(f for s, f in chosen.items() if wanted is None or s in wanted)
+    tables, parquet = [f for f in files if f.endswith(".csv")], [f for f in files if f.endswith(".parquet")]
+    parts = [_bars_of_files(spark.read.option("header", True).csv(group), tz) for group in (_by_header(spark, tables) if tables else [])]
+    if parquet:
+        parts.append(_bars_of_files(spark.read.option("mergeSchema", True).parquet(*parquet), tz))
+    if not parts:
+        raise ValueError(f"no bars in {path}")
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _bars_of_files(raw: DataFrame, tz: str | None) -> DataFrame:
+    """Canonical bars with close_raw (the quoted price, where it is not the close) and the symbol of their file."""
+    named = raw.select(*[F.col(f"`{c}`") for c in raw.columns if c.strip().lower() not in SYNONYMS["symbol"]], F.col("_metadata.file_name").alias("_file"))
+    bars = normalize(named, tz, keep=("_file",))
+    quoted = F.col("close_raw") if "close_raw" in bars.columns else F.lit(None).cast("double")
+    return bars.select(infer_symbol(F.col("_file")).alias("symbol"), "ts", *PRICES, "volume", quoted.alias("close_raw"))
 
 
 def load_splits(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:

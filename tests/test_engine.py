@@ -11,6 +11,7 @@ from barspark.functions import execution as ex
 from barspark.functions import factors as fx
 from barspark.functions.expr import col, compile
 from barspark.operators import actions, alloc, filters, panel, recursive, regress, results, risk, signals
+from barspark.operators.prefix import running
 from barspark.plans import backtest as bt
 from barspark.plans import research, strategies
 from barspark.plans.pipeline import Pipeline
@@ -97,10 +98,17 @@ def test_loaders(spark, tmp_path):
     bars(spark, [1, 2, 3, 4]).drop("symbol").toPandas().to_parquet(tmp_path / "tqqq.parquet", coerce_timestamps="us")
     assert {(r["symbol"], r["close"]) for r in readers.load_parquet(spark, str(tmp_path / "tqqq.parquet")).collect()} == {("TQQQ", c) for c in (1.0, 2.0, 3.0, 4.0)}
     (tmp_path / "qqq.csv").write_text("Date,Open,High,Low,Close,Volume,Adj Close\n2020-01-01,1,2,0.5,1.5,10,0.75\n")
-    every = readers.load_directory(spark, str(tmp_path))
-    assert {r["symbol"] for r in every.select("symbol").collect()} == {"SPY", "QQQ"}
-    one = readers.load_directory(spark, str(tmp_path), symbols=["qqq"]).collect()
-    assert len(one) == 1
+    (tmp_path / "iwm.csv").write_text("Adj Close,Note,Vol,Close,Low,High,Open,time\n0.75,x,10,1.5,0.5,2,1,2020-01-01\n")
+    (tmp_path / "dia_old.csv").write_text("Date,Close,Open,High,Low,Volume\n2020-01-01,9,9,9,9,9\n")
+    (tmp_path / "dia_x.csv").write_text("Date,Close,Open,High,Low,Volume\n2020-01-01,2,1,4,0.5,10\n")
+    every = {(r["symbol"], str(r["ts"])[:10]): tuple(r)[2:] for r in readers.load_directory(spark, str(tmp_path)).collect()}
+    day = "2020-01-01"
+    assert every.pop(("QQQ", day)) == every.pop(("IWM", day)) == (1.0, 2.0, 0.5, 0.75, 10.0, 1.5)
+    assert every.pop(("DIA", day)) == (1.0, 4.0, 0.5, 2.0, 10.0, None)
+    assert sorted(every) == [("SPY", f"2020-01-0{i}") for i in (1, 2, 3)] + [("TQQQ", f"2020-01-0{i}") for i in (1, 2, 3, 4)]
+    assert every["SPY", day] == (100.0, 101.0, 99.0, 100.5, 1000.0, None) and every["TQQQ", "2020-01-03"] == (3.0, 4.0, 2.0, 3.0, 1e6, None)
+    assert {r["symbol"] for r in readers.load_directory(spark, str(tmp_path), symbols=["qqq", "Tqqq"]).collect()} == {"QQQ", "TQQQ"}
+    assert {r["symbol"] for r in readers.load_directory(spark, str(tmp_path), "parquet").collect()} == {"TQQQ"}
     with pytest.raises(ValueError, match="missing"):
         readers.normalize(spark.createDataFrame([("2020-01-01", 1.0)], "date string, close double"))
 
@@ -277,3 +285,41 @@ def test_resample_rules(spark):
     assert w[0]["ts"] == datetime(2021, 1, 3) and w[0]["open"] == 10 and w[0]["close"] == 12 and w[0]["volume"] == 3e6
     with pytest.raises(ValueError):
         resample(b, "5Q")
+
+
+def test_running_sums(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, None if i % 17 == 0 else datetime(2021, 1, 1 + rng.randrange(9), rng.randrange(24)), rng.randrange(5)) for i in range(400)]
+    got = running(spark.createDataFrame(rows, "i long, at timestamp_ntz, v long").repartition(5), "at", ["i"], {"s": F.col("v"), "n": F.lit(1)}).collect()
+    total, want = 0, {}
+    for k, (i, _, v) in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or datetime(1, 1, 1), r[0])), 1):
+        total += v
+        want[i] = (total, k)
+    assert {r["i"]: (r["s"], r["n"]) for r in got} == want
+
+
+def test_lots_of_partial_fills(spark):
+    """Lots by overlaps against a queue."""
+    import random
+
+    rng = random.Random(5)
+    t0 = datetime(2021, 1, 1)
+    rows = [("r", s, t0 + timedelta(minutes=i), i, float(rng.choice([-3, -2, -1, 1, 2, 3])), float(i % 13 + 1)) for s in "AB" for i in range(200)]
+    want = []
+    for s in "AB":
+        queue = []
+        for _, _, t, _, size, price in (r for r in rows if r[1] == s):
+            while size and queue and queue[0][0] * size < 0:
+                n = min(abs(size), abs(queue[0][0]))
+                want.append((s, queue[0][1], t, queue[0][2], price, n))
+                size += n if size < 0 else -n
+                queue[0][0] += n if queue[0][0] < 0 else -n
+                if not queue[0][0]:
+                    queue.pop(0)
+            if size:
+                queue.append([size, t, price])
+    fills = spark.createDataFrame(rows, "run string, symbol string, ts timestamp_ntz, order_id long, size double, price double")
+    got = [(r["symbol"], r["entry_time"], r["exit_time"], r["entry_price"], r["exit_price"], r["size"]) for r in results.fifo_trades(fills).collect()]
+    assert sorted(got) == sorted(want)
