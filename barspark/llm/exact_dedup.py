@@ -41,6 +41,12 @@ def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digest asks for an output that needs every whole text, so it is made in the first scan and the third level
     groups by it; without it a second scan hashes only rows that the first two levels left.
     """
+    out, _ = _classes(df, id_col, text_col, prefix, digest)
+    return out.select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_kept").alias("kept"), *([F.col("_full").alias("text_sha256")] if digest else []))
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, prefix: int, digest: bool) -> tuple[DataFrame, DataFrame]:
+    """_id, _keep, _size, _kept and _full (null for a text that was never hashed) of every row; and the ids of every row, written."""
     text = normalised(df[text_col])
     row = [df[id_col].alias("_id"), F.octet_length(text).alias("_len"), F.xxhash64(F.substring(text, 1, prefix)).alias("_head")]
     full = F.sha2(text, 256)
@@ -64,27 +70,33 @@ def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keeper = copies.where(F.col("_id").eqNullSafe(F.col("_keep._id")))
     other = copies.where(~F.col("_id").eqNullSafe(F.col("_keep._id")))
     copies = keeper.withColumn("_kept", F.row_number().over(again) == 1).unionByName(other.withColumn("_kept", F.lit(False)))
-    sha = ["_full"] if digest else []
-    out = alone.select("_id", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_size"), F.lit(True).alias("_kept"), *sha)
-    out = out.unionByName(single.select("_id", F.col("_id").alias("_keep"), "_size", F.lit(True).alias("_kept"), *sha))
-    out = out.unionByName(copies.select("_id", F.col("_keep._id").alias("_keep"), "_size", "_kept", *sha))
-    return out.select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_kept").alias("kept"), *([F.col("_full").alias("text_sha256")] if digest else []))
+    sha = F.col("_full") if digest else F.lit(None).cast("string").alias("_full")
+    out = alone.select("_id", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_size"), F.lit(True).alias("_kept"), sha)
+    out = out.unionByName(single.select("_id", F.col("_id").alias("_keep"), "_size", F.lit(True).alias("_kept"), "_full"))
+    return out.unionByName(copies.select("_id", F.col("_keep._id").alias("_keep"), "_size", "_kept", "_full")), rows.select("_id")
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:
     """df's rows and columns without all but one row of each class of equal texts.
 
-    Rows to drop are found by exact_classes; only they (narrow) meet the documents again.
-    Rows that repeat both id and text are told apart by number among their equals.
+    Rows to drop are found narrow; an id all of whose rows go meets the documents by the id alone. Where an id
+    has rows that go and rows that stay, the rows of just such ids are told apart by their texts' hash.
     """
-    dropped = exact_classes(df, id_col, text_col, prefix).where("not kept").groupBy(id_col).agg(F.max(F.col(id_col).eqNullSafe(F.col("keep_id"))).alias("_own"), F.collect_set("keep_id").alias("_keep"))
-    dropped = saved(dropped, "dedup-dropped")
-    if not dropped.where("_own or size(_keep) > 1").isEmpty():  # an id is not unique: decide by id and text together
-        sha, nr = fresh(df, "sha", "nr")
-        with_sha = df.withColumn(sha, F.sha2(normalised(df[text_col]), 256))
-        first = with_sha.groupBy(sha).agg(F.min(F.struct(F.col(id_col).alias("_k"))).alias("_k")).select(F.col(sha).alias("_s"), F.col("_k._k").alias("_k"))
-        kept = with_sha.join(first, (with_sha[sha] == first["_s"]) & with_sha[id_col].eqNullSafe(first["_k"]), "left_semi")
-        return kept.withColumn(nr, F.row_number().over(W.partitionBy(sha).orderBy(id_col))).where(F.col(nr) == 1).drop(sha, nr)
-    gone = dropped.select(F.col(id_col).alias("_gone"))
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return df.join(gone, df[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    found, ids = _classes(df, id_col, text_col, prefix, False)
+    gone = saved(found.where("not _kept").groupBy("_id", "_full").agg(F.count("*").alias("_n"), F.first(F.col("_id").eqNullSafe(F.col("_keep"))).alias("_own")), "dedup-gone")
+    gone_id, rows, out = fresh(df, "gone", "sha", "row")
+    of = gone.groupBy("_id").agg(F.sum("_n").alias("_n"))
+    many = of.count() > BROADCAST_ROWS
+    there = ids.join(of.select(F.col("_id").alias(gone_id)) if many else F.broadcast(of.select(F.col("_id").alias(gone_id))), F.col("_id").eqNullSafe(F.col(gone_id)), "left_semi").groupBy("_id").agg(F.count("*").alias("_all"))
+    of = saved(of.join(there.withColumnRenamed("_id", gone_id), F.col("_id").eqNullSafe(F.col(gone_id))).select(F.col("_id").alias(gone_id), (F.col("_n") < F.col("_all")).alias("_part")), "dedup-gone-ids")
+    drop = of.select(gone_id)
+    kept = df.join(drop if many else F.broadcast(drop), df[id_col].eqNullSafe(drop[gone_id]), "left_anti")
+    parted = of.where("_part").select(gone_id)
+    if parted.isEmpty():
+        return kept
+    unsure = df.join(parted, df[id_col].eqNullSafe(parted[gone_id]), "left_semi").withColumn(rows, F.sha2(normalised(df[text_col]), 256))
+    keys = gone.select(F.col("_id").alias(gone_id), "_full", "_own")
+    same = unsure[id_col].eqNullSafe(keys[gone_id]) & (unsure[rows] == keys["_full"])
+    stay = unsure.join(keys, same, "left_anti").drop(rows)
+    one = unsure.join(keys.where("_own"), same, "left_semi").groupBy(rows).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.xxhash64(F.col(text_col))).alias(out))
+    return kept.unionByName(stay).unionByName(one.select(F.col(f"{out}.*")))

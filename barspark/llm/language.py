@@ -148,19 +148,22 @@ class Judge:
         return self.langs[best], 1.0 - float(apart[best]) / (TOP * len(own))
 
 
-def predict(df: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", passing: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """passing columns, lang_pred and score. The model (TOP codes a language) goes along with the tasks."""
+def predict(df: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", passing: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """passing columns, and the language and its score under the given names. The model (TOP codes a language) goes along with the tasks."""
     ship(df.sparkSession)
-    schema = T.StructType([*(df.schema[c] for c in passing), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(df.schema[c] for c in passing), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+
+    read = [*passing, *([] if text_col in passing else [text_col])]
+    at = read.index(text_col)
 
     def run(batches):
         judge = Judge(model)
         for batch in batches:
-            for i, j, texts in _texts(batch.column(len(passing))):
+            for i, j, texts in _texts(batch.column(at)):
                 found = [judge(t) for t in texts]
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[: len(passing)]), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=schema.names)
 
-    return df.select(*passing, text_col).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in read]).mapInArrow(run, schema)
 
 
 def held_out(id_col: Column) -> Column:

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import carried, fresh
+from .support import BROADCAST_ROWS, carried, fresh, saved
 
 #: Cumulative probabilities are summed until this much is left; the hash has 52 bits.
 TAIL = 2.0**-53
@@ -47,8 +47,8 @@ def cumulative(mean: float) -> list[float]:
         total += term
 
 
-def mix(df: DataFrame, weights: dict[str, float], default: float = 0.0, total: int | None = None, id_col: str = "doc_id", source_col: str = "source", seed: int = 7, partitions: int | None = None, order: bool = True) -> DataFrame:
-    """df's columns and copy (from 0), copies, shuffle_key; rows in the order of shuffle_key.
+def mix(df: DataFrame, weights: dict[str, float], default: float = 0.0, total: int | None = None, id_col: str = "doc_id", source_col: str = "source", seed: int = 7, partitions: int | None = None, order: bool = True, numbers: bool = True) -> DataFrame:
+    """df's columns and copy (from 0), copies, shuffle_key; rows in the order of shuffle_key. Without numbers: df's columns alone, whatever their names.
 
     The weights of the sources that df holds are scaled to sum to 1. total: rows wanted, by default as many as df has.
     Sources that the weights name come one by one to the driver, the others as one line for each rate they get;
@@ -78,17 +78,21 @@ def mix(df: DataFrame, weights: dict[str, float], default: float = 0.0, total: i
     for s, rate in sorted(rates.items()):
         chosen = (F if chosen is None else chosen).when(src == s, count(rate) if rate > 0 else F.lit(0))
     if rest["sources"] and default > 0 and scale > 0:  # each of them has a rate of its own: joined, not written into the plan
-        rates_of = counts.where("named is null").select(F.col("s").alias("_s"), (F.lit(default / scale * want) / F.col("n")).alias("_mean"))
-        joined = df.join(rates_of, src.eqNullSafe(F.col("_s")), "left")
-        times = F.element_at(F.transform(F.array(u), lambda x: poisson_quantile(F.col("_mean"), x)), 1)
+        of, mean = fresh(df, "of", "mean")
+        rates_of = saved(counts.where("named is null").select(F.col("s").alias(of), (F.lit(default / scale * want) / F.col("n")).alias(mean)), "mixing-rates")
+        rates_of = F.broadcast(rates_of) if rest["sources"] <= BROADCAST_ROWS else rates_of
+        joined = df.join(rates_of, src.eqNullSafe(F.col(of)), "left")
+        times = F.element_at(F.transform(F.array(u), lambda x: poisson_quantile(F.col(mean), x)), 1)
         times = chosen.otherwise(times) if chosen is not None else times
-        out = joined.withColumn(copies, times).drop("_s", "_mean")
+        out = joined.withColumn(copies, times).drop(of, mean)
     else:
         out = df.withColumn(copies, chosen.otherwise(F.lit(0)) if chosen is not None else F.lit(0))
     out = out.where(F.col(copies) > 0).withColumn(cop, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
     out = out.withColumn(key, F.xxhash64(F.lit(seed + 1), F.col(id_col).cast("string"), F.col(cop)))
     if order:
         out = out.repartitionByRange(*([partitions] if partitions else []), key).sortWithinPartitions(key)
+    if not numbers:
+        return out.select(*[F.col(f"`{c}`") for c in df.columns])
     return out.select(*carried(df, "copy", "copies", "shuffle_key"), F.col(cop).alias("copy"), F.col(copies).alias("copies"), F.col(key).alias("shuffle_key"))
 
 
@@ -101,7 +105,7 @@ def poisson_quantile(mean: Column, u: Column) -> Column:
 
     def step(s, i):
         more = s["total"] <= u
-        term = s["term"] * rest / i
+        term = s["term"] * (rest / i)
         return F.struct(F.when(more, term).otherwise(s["term"]).alias("term"), F.when(more, s["total"] + term).otherwise(s["total"]).alias("total"), F.when(more, i).otherwise(s["k"]).cast("int").alias("k"))
 
     return whole + F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["k"])

@@ -30,12 +30,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship
 from . import columns
 from .columns import U64
 from .components import components
-from .support import BROADCAST_ROWS, saved
+from .support import BROADCAST_ROWS, fresh, saved
 
 #: Documents and shingles that a block of a candidate group holds, about; small groups share a task up to so many shingles.
 BLOCK_SETS, BLOCK_TOKENS = 512, 300_000
@@ -212,6 +213,12 @@ def _verify(num: int, den: int):
 
 def near_classes(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id_col, n_shingles, component_id (the smallest id that links reach). Sets link when overlap * den >= union * num."""
+    out = _classed(df, width, num, den, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+
+
+def _classed(df: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """id, n, f (the set's fingerprint), class and least (its smallest id) of every row; without a shingle a row is its own class."""
     ship(df.sparkSession)
     text = df.select(text_col)
     sets = saved(df.select(F.col(id_col).cast("long"), text_col).mapInArrow(_summaries(width), "id long, n long, f long"), "ngram-sets")
@@ -254,15 +261,42 @@ def near_classes(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, i
     edges = small.unionByName(large).groupBy("g", "i", "j").applyInArrow(_verify(num, den), "a long, b long")
     roots = components(edges)
 
-    classed = saved(sets.where("n > 0").join(roots.select(F.col("node").alias("f"), "root"), "f", "left").select("id", "n", F.coalesce("root", "f").alias("class")), "ngram-classed")
-    least = saved(classed.groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("members")), "ngram-least")
-    linked = classed.join(least, "class").select("id", "n", "least")
-    out = linked.unionByName(sets.where("n = 0").select("id", "n", F.col("id").alias("least")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    classed = saved(sets.where("n > 0").join(roots.select(F.col("node").alias("f"), "root"), "f", "left").select("id", "n", "f", F.coalesce("root", "f").alias("class")), "ngram-classed")
+    least = saved(classed.groupBy("class").agg(F.min("id").alias("least")), "ngram-least")
+    linked = classed.join(least, "class").select("id", "n", "f", "class", "least")
+    return linked.unionByName(sets.where("n = 0").select("id", "n", "f", F.lit(None).cast("long").alias("class"), F.col("id").alias("least")))
 
 
 def drop_near(df: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows and columns with one row (the smallest id) of each class; ids are taken to be unique, rows with a null id stay."""
-    gone = saved(near_classes(df, width, num, den, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")), "ngram-gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """df's rows and columns with one row of each class, of the smallest id (null ids last); rows without a shingle stay.
+
+    An id of one row is decided by the id; rows of ids that repeat, or are null, by id and set, and of several such rows
+    in one class with its smallest id the one with the least text hash stays.
+    """
+    classed = saved(_classed(df, width, num, den, id_col, text_col), "ngram-decided")
+    of, f, row = fresh(df, "of", "f", "row")
+    gone = classed.where("class is not null and not (id <=> least)").select(F.col("id").alias(of)).distinct()
+    again = saved(classed.groupBy("id").agg(F.count("*").alias("k"), F.max(F.col("class").isNotNull()).alias("any")).where("(k > 1 or id is null) and any").select(F.col("id").alias(of)), "ngram-again")
+    key = F.col(id_col).cast("long")
+    unique = again.isEmpty()
+    gone = saved(gone if unique else gone.unionByName(again).distinct(), "ngram-gone")
+    kept = df.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, key.eqNullSafe(gone[of]), "left_anti")
+    if unique:
+        return kept
+    rows = df.join(again, key.eqNullSafe(again[of]), "left_semi")
+    rows = rows.mapInArrow(_with_fingerprint(width, df.columns.index(text_col), [*df.columns, f]), T.StructType([*df.schema.fields, T.StructField(f, T.LongType())]))
+    firsts = classed.where("class is not null and id <=> least").select(F.col("id").alias(of), F.col("f").alias("_set"), "class").distinct()
+    none = rows.where(F.col(f).isNull()).drop(f)
+    one = rows.join(firsts, key.eqNullSafe(firsts[of]) & (rows[f] == firsts["_set"])).groupBy("class").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(F.xxhash64(F.col(text_col)), F.col(f))).alias(row))
+    return kept.unionByName(none).unionByName(one.select(f"{row}.*"))
+
+
+def _with_fingerprint(width: int, at: int, names: list[str]):
+    """The batch's columns and each text's fingerprint; null without a shingle."""
+
+    def run(batches):
+        for batch in batches:
+            found = [fingerprint(s) if len(s) else None for s in document_sets(batch.column(at), width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=names)
+
+    return run

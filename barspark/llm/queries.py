@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from . import bpe, chat, exact_dedup, language, licenses, mixing, ngram_join, passages, sharding, topk
 from .support import table
 
-#: Half of the mixture from the first six sources, half from the others (the corpus holds src0 to src19).
+#: Half of the mixture from the first six sources, half from the others of the twenty named.
 WEIGHTS = {f"src{i}": (0.5 / 6 if i < 6 else 0.5 / 14) for i in range(20)}
+#: The weight of each source that they do not name, null included.
+OTHER_WEIGHT = 0.5 / 14
 MIX_SEED = 7
 #: A vocabulary file of the installed package of public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
@@ -74,7 +76,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.mix(docs, WEIGHTS, seed=MIX_SEED)
+    mixed = mixing.mix(docs, WEIGHTS, default=OTHER_WEIGHT, seed=MIX_SEED)
     return mixed.select("doc_id", "source", F.col("copy").cast("long").alias("copy"), F.col("copies").cast("long").alias("copies"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
@@ -128,12 +130,12 @@ def _op10() -> str:
     return rf"""
 WITH RECURSIVE wanted(source, w) AS (VALUES {rows}),
 n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-rate AS (SELECT source, w / sum(w) OVER () * (SELECT count(*) FROM documents) / n AS mean FROM n JOIN wanted USING (source)),
+rate AS (SELECT n.source, coalesce(w, {OTHER_WEIGHT!r}::DOUBLE) / sum(coalesce(w, {OTHER_WEIGHT!r}::DOUBLE)) OVER () * (SELECT count(*) FROM documents) / n AS mean FROM n LEFT JOIN wanted ON n.source = wanted.source),
 cdf(source, mean, k, term, below, total) AS (
   SELECT source, mean, 0, exp(-mean), 0.0::DOUBLE, exp(-mean) FROM rate
   UNION ALL SELECT source, mean, k + 1, term * (mean / (k + 1)), total, total + term * (mean / (k + 1)) FROM cdf WHERE k < mean + 12 * sqrt(mean) + 40),
-u AS (SELECT doc_id, source, text, ('0x' || substr(md5('{MIX_SEED}|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
-c AS (SELECT doc_id, source, text, k AS copies FROM u JOIN cdf USING (source) WHERE u >= below AND u < total AND k > 0)
+u AS (SELECT doc_id, source, text, ('0x' || substr(md5('{MIX_SEED}|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+c AS (SELECT doc_id, u.source, text, k AS copies FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source WHERE u >= below AND u < total AND k > 0)
 SELECT doc_id, source, unnest(range(copies::BIGINT)) AS "copy", copies::BIGINT AS copies, md5(coalesce(text, '')) AS text_md5 FROM c
 """
 
