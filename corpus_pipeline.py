@@ -1,7 +1,13 @@
 """A corpus pipeline: each stage reads what the one before it wrote.
 
 Stages: language ID, exact dedup, n-gram Jaccard join, mixing sources to target weights, BPE
-encoding and decoding. All but the last return the columns of documents.
+encoding and decoding. All but the last return the columns of documents, whatever other
+columns (of any name) there are.
+
+Defined cases: language ID drops null and empty texts and texts without a letter. The others
+take null and empty texts as they come: both dedup stages decide by row where ids are null or
+repeat (a row stays for each class; near dedup leaves rows without a word alone), mixing gives
+a null source a share, and BPE makes no token of a null text. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barspark.llm import bpe, exact_dedup, language, mixing, ngram_join, queries
-from barspark.llm.support import saved, table
+from barspark.llm.support import fresh, saved, table
 
 #: A document stays if its text has letters and its nearest profile is at least this near (clean text lies above 0.35).
 LEAST_SCORE = 0.2
@@ -19,8 +25,9 @@ LEAST_SCORE = 0.2
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus's own labels teach; lang of the kept rows is left as it was."""
     model = language.train(docs.where(~language.held_out(F.col("doc_id"))))
-    found = language.predict(docs, model, passing=tuple(c for c in docs.columns if c != "text") + ("text",))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    lang, score = fresh(docs, "lang_pred", "score")
+    found = language.predict(docs, model, passing=tuple(docs.columns), names=(lang, score))
+    return found.where((F.col(lang) != language.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +40,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, queries.WEIGHTS, seed=queries.MIX_SEED).select(docs.columns)
+    """Sources that the weights do not name have a share too (queries.OTHER_WEIGHT each), null included."""
+    return mixing.mix(docs, queries.WEIGHTS, default=queries.OTHER_WEIGHT, seed=queries.MIX_SEED, numbers=False)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the token ids (little-endian unsigned 32-bit integers) and whether they decode to the text."""
-    coded = bpe.round_trip(docs.withColumn("_key", F.struct("doc_id", F.sha2("text", 256).alias("sha"))), queries.vocabulary_path(), "_key", "text")
+    coded = bpe.round_trip(docs.withColumn("_key", F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))), queries.vocabulary_path(), "_key", "text")
     return coded.select("_key.doc_id", "n_tokens", "ids", (F.sha2("decoded", 256) == F.col("_key.sha")).alias("round_trip"))
 
 
