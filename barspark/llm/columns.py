@@ -109,7 +109,7 @@ def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.nda
     for j in range(width):
         run += mix64(padded[j : j + len(hashes)] + U64(j)) * weight[j]
     at = np.repeat(firsts[:-1] - out_first[:-1], made) + np.arange(out_first[-1])
-    out = mix64(run[at] + U64(width) * _STEP)
+    out = mix64(run[at] + np.array([width], U64) * _STEP)
     for d in np.flatnonzero((counts > 0) & (counts < width)):
         part = hashes[firsts[d] : firsts[d + 1]]
         places = np.arange(len(part), dtype=U64)

@@ -38,13 +38,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Deletes tables that saved() wrote and that no plan reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            known = next((w for w in _written if w[1].split(":", 1)[-1].lstrip("/") == path.split(":", 1)[-1].lstrip("/")), None)
+            if known:
+                _delete(*known)
+                _written.remove(known)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session is gone; the folder's owner sweeps it
             return
 
