@@ -132,7 +132,7 @@ def _tokens_of_sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes))], names=["token", "f", "n"])
 
 
-def _shares(doc: np.ndarray, code: np.ndarray, docs: int) -> np.ndarray:
+def incidence(doc: np.ndarray, code: np.ndarray, docs: int) -> np.ndarray:
     """How many codes each two documents have in common, by products of incidence matrices."""
     out = np.zeros((docs, docs), np.float32)
     uniq, code = np.unique(code, return_inverse=True)
@@ -165,13 +165,13 @@ def links(sets: list[np.ndarray], num: int, den: int, across: np.ndarray | None
         first = np.cumsum(known) - known
         inside = np.arange(len(order)) - np.repeat(first, known)
         keep = order[inside < np.repeat(room, known)]
-        fits &= _shares(doc[keep], code[keep], docs) > 0
+        fits &= incidence(doc[keep], code[keep], docs) > 0
     pairs = np.argwhere(fits)
     if len(pairs) <= 4 * docs:
         own = [code[a : a + k] for a, k in zip(np.cumsum(known) - known, known)]
         both = np.array([len(np.intersect1d(own[i], own[j], assume_unique=True)) for i, j in pairs], np.int64)
     else:
-        both = np.rint(_shares(doc, code, docs)[pairs[:, 0], pairs[:, 1]]).astype(np.int64)
+        both = np.rint(incidence(doc, code, docs)[pairs[:, 0], pairs[:, 1]]).astype(np.int64)
     return pairs[den * both >= num * (n[pairs[:, 0]] + n[pairs[:, 1]] - both)] if len(pairs) else pairs
 
 

@@ -51,6 +51,8 @@ def done_with(*tables: DataFrame) -> None:
             if known:
                 _delete(*known)
                 _written.remove(known)
+    if tables:  # the shuffle files of what was written go once the driver's JVM finds them unused
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 @atexit.register

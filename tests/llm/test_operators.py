@@ -395,6 +395,57 @@ def test_passage_twice_in_a_document(spark):
         assert any(abs(s - 70) <= 10 and abs(e - 130) <= 10 for s, e in spans) and any(abs(s - 330) <= 10 and abs(e - 390) <= 10 for s, e in spans)
 
 
+def alike_windows(texts, least=46, threshold=0.8):
+    """Brute force: of each text, which windows of `least` shingles have an alike one in another text."""
+    rows = [[hash(tuple(t.split()[i : i + 5])) for i in range(len(t.split()) - 4)] for t in texts]
+    where = defaultdict(list)
+    for d, r in enumerate(rows):
+        for i, v in enumerate(r):
+            where[v].append((d, i))
+    out = {}
+    for d, r in enumerate(rows):
+        others, ok = defaultdict(dict), set()
+        for i, v in enumerate(r):
+            for e, j in where[v]:
+                if e != d:
+                    others[e][i] = j
+        for places in others.values():
+            for i in range(len(r) - least + 1):
+                js = [places[p] for p in range(i, i + least) if p in places]
+                both = max((sum(j0 <= j < j0 + least for j in js) for j0 in {j for j in js} | {j - least + 1 for j in js}), default=0)
+                if both and both / (2 * least - both) >= threshold:
+                    ok.add(i)
+        if ok:
+            out[d] = ok
+    return out
+
+
+def test_passages_against_brute_force(spark):
+    """Exact repeats are all found; of passages at the threshold (one or two words of 52 changed) nine in ten at least, and nothing else."""
+    rng = random.Random(3)
+    texts = []
+    for k in range(120):
+        passage = words(52, 100 + k, 50_000)
+        other = list(passage)
+        for _ in range(k % 3):
+            other[rng.randrange(52)] = f"edit{rng.randrange(10**6)}"
+        for m, p in enumerate((passage, other)):
+            texts.append(" ".join(words(60, 1000 + 2 * k + m, 50_000) + p + words(60, 5000 + 2 * k + m, 50_000)))
+    line = words(30, 1, 50_000)  # a line that many share is no passage
+    texts += [" ".join(words(50, 9000 + k, 50_000) + line + words(50, 9500 + k, 50_000)) for k in range(60)]
+    texts += ["The " * 300, "The " * 200 + " ".join(words(60, 2, 50_000)), " ".join(words(100, 3, 50_000)) + " The" * 20]
+    want = alike_windows(texts[:300])
+    spans = defaultdict(list)
+    for r in passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        spans[r["doc_id"]].append((r["start_word"], r["end_word"]))
+        spans[r["partner_id"]].append((r["partner_start"], r["partner_end"]))
+    found = {d: [any(a <= i and i + 50 <= b for a, b in spans[d]) for i in ok] for d, ok in want.items()}
+    exact, near = [f for d, f in found.items() if d // 2 % 3 == 0], [f for d, f in found.items() if d // 2 % 3]
+    assert all(map(all, exact)) and len(near) > 40
+    assert sum(map(any, near)) >= 0.9 * len(near) and sum(map(sum, near)) >= 0.9 * sum(map(len, near))
+    assert {d for d, s in spans.items() if s} <= {*want, 300, 301} and spans[300] and spans[301]
+
+
 # 9 language ID
 
 
