@@ -4,13 +4,17 @@ A vector's dimensions are a query's terms. Candidates fall into shards and queri
 slices by seeded hashes, both of bounded size, and each task scores one slice against
 one shard: the rows that meet there are bounded whatever the table's size. In it, a
 term's score lies between bounds that the shard's least and largest values give. Terms
-are taken by falling spread; as soon as those left over cannot lift a candidate past the
-k-th best score known, they are non-essential: only candidates that are still
-competitive are probed in them, term block by term block. The shards' top k are merged.
+are taken block by block, of falling spread, and after each block the k-th best partial
+score with the least that is left bounds the k-th best score from below: the threshold
+rises. Terms are essential as long as most candidates can still pass it; the others are
+non-essential, and only the candidates that are still competitive are probed in them.
+The shards' top k are merged. Dense vectors have every candidate in every posting list,
+so the essential part is a product of matrices rather than a walk.
 
 Defined cases: vectors that are null or hold null, NaN or infinite components take no
 part; shorter vectors count as padded with 0; ties go to the smaller id; repeated ids
-are candidates each, and no row of the query's own id is one; an empty table gives an
+are candidates each, and no row of the query's own id is one; query rows of one id and
+one vector ask once, those of one id and other vectors each; an empty table gives an
 empty result; other columns are not looked at.
 """
 
@@ -26,9 +30,9 @@ from pyspark.sql import types as T
 from ..session import ship
 
 #: Vectors in a shard and queries in a slice, about.
-SHARD, SLICE = 4096, 2048
-#: Candidates that set the first threshold, and terms probed between two prunings.
-SEED, BLOCK = 64, 8
+SHARD, SLICE = 4096, 1024
+#: Terms between two thresholds, the share of competitive candidates under which the terms left are non-essential, and pairs probed at once.
+BLOCK, FEW, PROBED = 8, 0.05, 65_536
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -46,28 +50,39 @@ def matrix(column) -> np.ndarray:
     return out
 
 
-def best(query: np.ndarray, own: int, ids: np.ndarray, rows: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best rows that are not the query's own; rows are in id order."""
-    alive = np.flatnonzero(ids != own)
-    least, most = np.minimum(query * low, query * high), np.maximum(query * low, query * high)
-    terms = np.argsort(least - most, kind="stable")  # widest spread first
-    most_left = np.concatenate([np.cumsum(most[terms][::-1])[::-1], [0]])
-    if len(alive) > k:
-        first = rows[alive[:SEED]] @ query
-        threshold = np.partition(first, len(first) - k)[len(first) - k] if len(first) >= k else None
-    else:
-        threshold = None
-    partial, at = np.zeros(len(alive), np.int64), 0
-    while at < len(terms):
-        block = terms[at : at + BLOCK] if threshold is not None else terms[at:]
-        partial += rows[alive[:, None], block] @ query[block]
-        at += len(block)
-        if threshold is not None and at < len(terms):
-            able = partial + most_left[at] >= threshold
-            if not able.all():
-                alive, partial = alive[able], partial[able]
-    order = np.lexsort((ids[alive], -partial))[:k]
-    return ids[alive[order]], partial[order]
+def best(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of each query the k best rows that have not its own id, as query number, row number and score; and how many pairs were probed one by one."""
+    low, high = rows.min(0), rows.max(0)
+    least, most = np.minimum(queries * low, queries * high), np.maximum(queries * low, queries * high)
+    terms = np.argsort(-(most - least).sum(0), kind="stable")
+    left = lambda x: np.concatenate([np.cumsum(x[:, terms][:, ::-1], 1)[:, ::-1], np.zeros((len(x), 1), x.dtype)], 1)
+    least_left, most_left = left(least), left(most)
+    # Products of whole numbers are exact as floats while sums stay below 2^53.
+    exact = np.float64 if np.abs(queries).max(initial=0).astype(float) * np.abs(rows).max(initial=0) * max(1, rows.shape[1]) < 2.0**53 else np.int64
+    q, x = queries[:, terms].astype(exact), rows[:, terms].astype(exact)
+    open_ = own[:, None] != ids[None, :]
+    partial, at = np.zeros(open_.shape, exact), 0
+    floor = np.finfo(np.float64).min if exact is np.float64 else np.iinfo(np.int64).min // 2
+    partial[~open_] = floor
+    while at < len(terms) and open_.any():
+        partial += q[:, at : at + BLOCK] @ x[:, at : at + BLOCK].T
+        at = min(at + BLOCK, len(terms))
+        if len(ids) > k:
+            threshold = np.partition(partial, len(ids) - k, 1)[:, len(ids) - k] + least_left[:, at]
+            open_ &= partial + most_left[:, at, None] >= threshold[:, None]
+            if open_.mean() < FEW:
+                break
+    qi, ri = np.nonzero(open_)
+    score = partial[qi, ri].astype(np.int64)
+    probed = len(qi) if at < len(terms) else 0
+    if probed:
+        for i in range(0, len(qi), PROBED):
+            part = slice(i, i + PROBED)
+            score[part] += (queries[qi[part]][:, terms[at:]] * rows[ri[part]][:, terms[at:]]).sum(1)
+    order = np.lexsort((ids[ri], -score, qi))
+    qi, ri, score = qi[order], ri[order], score[order]
+    rank = np.arange(len(qi)) - np.searchsorted(qi, qi, "left")
+    return qi[rank < k], ri[rank < k], score[rank < k], probed
 
 
 def _score(k: int, names: list[str]):
@@ -75,15 +90,12 @@ def _score(k: int, names: list[str]):
         q, x = matrix(queries.column("v")), matrix(rows.column("v"))
         width = max(q.shape[1], x.shape[1])
         q, x = np.pad(q, ((0, 0), (0, width - q.shape[1]))), np.pad(x, ((0, 0), (0, width - x.shape[1])))
-        q_ids, ids = queries.column("id").to_numpy(), rows.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], x[order]
-        low, high = (x.min(0), x.max(0)) if len(x) else (np.zeros(width, np.int64),) * 2
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for own, query in zip(q_ids, q):
-            found, scores = best(query, own, ids, x, low, high, k)
-            out.append((np.full(len(found), own), found, scores))
-        cols = [np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in range(3)]
+        q_ids, which, ids = queries.column("id").to_numpy(), queries.column("which").to_numpy(), rows.column("id").to_numpy()
+        if len(q) and len(x):
+            qi, ri, score, _ = best(q, q_ids, ids, x, k)
+            cols = q_ids[qi], which[qi], ids[ri], score
+        else:
+            cols = (np.empty(0, np.int64),) * 4
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=names)
 
     return run
@@ -99,10 +111,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
         return F.pmod(F.xxhash64(F.lit(seed + salt), F.col("id")), F.lit(n)).cast("int").alias(name)
 
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = queries.select("id", "v", by(slices, "slice", 0)).select("id", "v", "slice", every(shards, "shard"))
+    queries = queries.dropDuplicates(["id", "v"]).withColumn("which", F.xxhash64("v"))
+    left = queries.select("id", "v", "which", by(slices, "slice", 0)).select("id", "v", "which", "slice", every(shards, "shard"))
     right = rows.select("id", "v", by(shards, "shard", 1)).select("id", "v", "shard", every(slices, "slice"))
-    names = ["query_id", "vec_id", "score"]
+    names = ["query_id", "which", "vec_id", "score"]
     schema = T.StructType([T.StructField(n, T.LongType()) for n in names])
     found = left.groupBy("slice", "shard").cogroup(right.groupBy("slice", "shard")).applyInArrow(_score(k, names), schema)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = W.partitionBy("query_id", "which").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
