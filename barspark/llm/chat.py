@@ -7,9 +7,9 @@ to the same turns whatever the texts hold.
 
 Rows come to a task by conversation, in turn order, and are laid out a slice at a time:
 segment lengths, their cumulative offsets, and scatter indices of every header, text and
-escape are computed in numpy and copied into one buffer, which Arrow takes as it is. A
-task holds one slice and the conversation that is still open, which is one value of the
-result in any case.
+escape are computed in numpy and copied into one buffer, which Arrow takes as a column with
+the conversations' offsets. A task holds one slice and the conversation that is still open,
+which is one value of the result in any case.
 
 Defined cases: a null text or role is empty; rows of a null conversation form one; rows
 with the same turn are ordered by role, then text, and repeated rows are turns of their
@@ -87,46 +87,45 @@ def assemble(roles: list[str], role_of: np.ndarray, data: np.ndarray, offsets: n
     return out, begins, text_at, text_at + text_len
 
 
-def _format(batches, names: list[str], masked: str):
-    open_id, open_parts, started = None, [], False  # parts: bytes, code points, turns, mask starts and ends
-
-    def close():
-        points = np.cumsum([0] + [p[1] for p in open_parts])
-        starts = [int(x) for b, p in zip(points, open_parts) for x in p[3] + b]
-        ends = [int(x) for b, p in zip(points, open_parts) for x in p[4] + b]
-        return open_id, sum(p[2] for p in open_parts), b"".join(p[0] for p in open_parts).decode(), starts, ends
+def _record(chunks: list[tuple], id_type, names: list[str]) -> pa.RecordBatch:
+    """A batch of the conversations in (ids, buffer, begins, text begins, text ends, learns) chunks: one buffer and its offsets."""
+    ids = [x for c in chunks for x in c[0]]
+    at = np.cumsum([0] + [len(c[1]) for c in chunks])
+    joined = [np.concatenate([c[k] + s if k < 5 else c[k] for c, s in zip(chunks, at)]) for k in (2, 3, 4, 5)]
+    data = chunks[0][1] if len(chunks) == 1 else np.concatenate([c[1] for c in chunks])
+    begins, text_at, text_end, learns = joined
+    first = np.array([0, *(k for k in range(1, len(ids)) if ids[k] != ids[k - 1]), len(ids)])
+    cuts = np.append(begins, len(data))[first]
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    before = np.repeat(points[cuts[:-1]], np.diff(first))
+    lists = pa.array(np.concatenate([[0], np.cumsum(learns)])[first], pa.int32())
+    starts, ends = (pa.ListArray.from_arrays(lists, pa.array((points[x] - before)[learns], pa.int32())) for x in (text_at, text_end))
+    columns_ = [pa.array([ids[k] for k in first[:-1]], id_type), pa.array(np.diff(first), pa.int64()), columns.large_strings(data, cuts).cast(pa.string()), starts, ends]
+    return pa.RecordBatch.from_arrays(columns_, names=names)
 
-    def record(ids, rows, id_type):
-        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *(pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))))], names=names)
 
+def _format(batches, names: list[str], masked: str):
+    open_: list[tuple] = []  # what has come of the conversation that may go on
     id_type = None
     for batch in batches:
         id_type = batch.schema.field(0).type
         ids = batch.column(0).to_pylist()
         coded = batch.column(1).fill_null("").dictionary_encode()
+        roles = coded.dictionary.to_pylist()
+        learning = np.array([r == masked for r in roles], bool)
         data, offsets = columns.buffers(batch.column(2))
         for i, j in columns.slices(offsets):
-            base = offsets[i]
-            roles, role_of = coded.dictionary.to_pylist(), np.asarray(coded.indices)[i:j]
-            out, begins, text_at, text_end = assemble(roles, role_of, data[base : offsets[j]], offsets[i : j + 1] - base)
-            points = np.concatenate([[0], np.cumsum((out & 0xC0) != 0x80)])
-            learns = np.array([r == masked for r in roles], bool)[role_of]
-            part = ids[i:j]
-            first = [0] + [k for k in range(1, j - i) if part[k] != part[k - 1]] + [j - i]
-            done = []
-            for a, b in zip(first[:-1], first[1:]):
-                if started and part[a] != open_id:
-                    done.append(close())
-                    open_parts = []
-                open_id, started = part[a], True
-                use = np.flatnonzero(learns[a:b]) + a
-                at = points[begins[a]]
-                open_parts.append((out[begins[a] : begins[b]].tobytes(), int(points[begins[b]] - at), b - a, points[text_at[use]] - at, points[text_end[use]] - at))
-            if done:
-                yield record([d[0] for d in done], list(zip(*[d[1:] for d in done])), id_type)
-    if started:
-        last = close()
-        yield record([last[0]], [[x] for x in last[1:]], id_type)
+            role_of = np.asarray(coded.indices)[i:j]
+            out, begins, text_at, text_end = assemble(roles, role_of, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            part, learns = ids[i:j], learning[role_of]
+            last = next((k for k in range(j - i - 1, 0, -1) if part[k] != part[k - 1]), 0)  # where the slice's last conversation begins
+            if last or open_ and open_[-1][0][-1] != part[0]:
+                done = [*open_, (part[:last], out[: begins[last]], begins[:last], text_at[:last], text_end[:last], learns[:last])]
+                yield _record([c for c in done if c[0]], id_type, names)
+                open_ = []
+            open_.append((part[last:], out[begins[last] :], begins[last:-1] - begins[last], text_at[last:] - begins[last], text_end[last:] - begins[last], learns[last:]))
+    if open_:
+        yield _record(open_, id_type, names)
 
 
 def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", masked: str = "assistant") -> DataFrame:

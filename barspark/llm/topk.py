@@ -32,7 +32,7 @@ from ..session import ship
 #: Vectors in a shard and queries in a slice, about.
 SHARD, SLICE = 4096, 1024
 #: Terms between two thresholds, the share of competitive candidates under which the terms left are non-essential, and pairs probed at once.
-BLOCK, FEW, PROBED = 8, 0.05, 65_536
+BLOCK, FEW, PROBED = 16, 0.05, 65_536
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:

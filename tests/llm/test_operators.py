@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,23 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_conversations(df.limit(0))).collect() == []
 
 
+@pytest.mark.parametrize("size", [1, 60, 400, 1 << 20])
+def test_chat_slices(size, monkeypatch):
+    """Conversations that end in a slice, at its edge, or go on over many."""
+    monkeypatch.setattr(columns.slices, "__defaults__", (size,))
+    rng = random.Random(1)
+    rows = [(c, rng.choice(["user", "assistant"]), rng.choice(["", "é ### x", "abc" * 20])) for c in (None, *range(12)) for _ in range(rng.randrange(1, 9))]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 7]], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["c", "role", "text"]) for i in range(0, len(rows), 7)]
+    got = [r for b in chat._format(iter(batches), ["c", "n", "formatted", "a", "b"], "assistant") for r in b.to_pylist()]
+    want = defaultdict(list)
+    for c, role, text in rows:
+        want[c].append((role, text))
+    assert [r["c"] for r in got] == list(want)
+    for r in got:
+        assert chat.parse(r["formatted"]) == want[r["c"]] and r["n"] == len(want[r["c"]])
+        assert "".join(chat.unescape(r["formatted"][a:b]) for a, b in zip(r["a"], r["b"])) == "".join(t for role, t in want[r["c"]] if role == "assistant")
+
+
 # 2 exact dedup
 
 
