@@ -4,8 +4,9 @@ Passages are a text's lines and its blocks of lines between blank ones. A passag
 template are compared by the Dice coefficient of their sets of word bigrams after
 normalisation (A-Z to lower case, anything but a-z and 0-9 one space). Size bounds
 prune first: with sets of a and b bigrams a coefficient of t needs at least
-t * (a + b) / 2 in common, so b must lie within a * t / (2 - t) and a * (2 - t) / t, and
-at least t / (2 - t) of a passage's own bigrams must occur in some template.
+t * (a + b) / 2 in common, so b must lie within a * t / (2 - t) and a * (2 - t) / t (for a
+passage as a whole, then for each template it meets), and at least t / (2 - t) of a
+passage's own bigrams must occur in some template.
 
 Defined cases: null and empty texts and texts without a passage of two words have no
 licence; rows with the same id share their findings; an empty table gives an empty
@@ -20,16 +21,25 @@ from pyspark.sql import functions as F
 # Notices that licences prescribe or that are in common use.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Apache-2.0-short": "Licensed under the Apache License 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "BSD-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-short": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "BSD-warranty": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "MIT": "Released under the MIT License.",
     "MIT-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "MIT-short": "Licensed under the MIT License.",
+    "MIT-warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
@@ -78,7 +88,9 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, least: float =
     rows = rows.where(F.size(F.filter("_b", lambda b: b.isin(every))) >= F.size("_b") * F.lit(share))
     spark = df.sparkSession
     of = spark.createDataFrame([(b, k, len(p)) for k, p in known.items() for b in sorted(p)], "_g string, license string, _size int")
-    hits = rows.select("_id", "kind", "at", F.size("_b").alias("_n"), F.explode("_b").alias("_g")).join(F.broadcast(of), "_g")
+    fits = F.col("_size").between(F.col("_n") * F.lit(share), F.col("_n") / F.lit(share))  # the templates that a passage of its size can be
+    hits = rows.select("_id", "kind", "at", F.size("_b").alias("_n"), F.explode("_b").alias("_w"))
+    hits = hits.join(F.broadcast(of), (F.col("_w") == F.col("_g")) & fits)
     hits = hits.groupBy("_id", "kind", "at", "license").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"), F.first("_size").alias("_s"))
     dice = 2 * F.col("_c") / (F.col("_n") + F.col("_s"))
     return hits.where(dice >= least).select(F.col("_id").alias(id_col), "kind", F.col("at").alias("passage"), "license", dice.alias("dice"))
