@@ -162,6 +162,11 @@ def _descend(value, slope, lo, hi, start, steps: int = 3000) -> np.ndarray:
     return w
 
 
+def deviation(w: np.ndarray, cov: np.ndarray) -> float:
+    """The root of w'Cw; 0 where a covariance from few common times makes that negative."""
+    return max(float(w @ cov @ w), 0.0) ** 0.5
+
+
 def min_variance(cov: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     scale = max(float(np.trace(cov)) / len(cov), 1e-300)
     c = cov / scale
@@ -187,10 +192,10 @@ def max_sharpe(mu: np.ndarray, cov: np.ndarray, lo: np.ndarray, hi: np.ndarray,
 
     def value(w):
         earned = float(w @ mu) - rf - cost * float(np.abs(w - prev).sum() if previous is not None else 0.0)
-        return -earned / max(float(w @ cov @ w) ** 0.5, 1e-12)
+        return -earned / max(deviation(w, cov), 1e-12)
 
     def slope(w):
-        s = max(float(w @ cov @ w) ** 0.5, 1e-12)
+        s = max(deviation(w, cov), 1e-12)
         turn = cost * np.sign(w - prev) if previous is not None else 0.0
         earned = float(w @ mu) - rf - cost * float(np.abs(w - prev).sum() if previous is not None else 0.0)
         return -(mu - turn) / s + earned * (cov @ w) / s**3
@@ -201,7 +206,7 @@ def max_sharpe(mu: np.ndarray, cov: np.ndarray, lo: np.ndarray, hi: np.ndarray,
 
 
 def risk_parity(cov: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Equal shares of the variance, by cyclical descent on w'Cw/2 - sum(ln w)/n; then brought within bounds."""
+    """Equal shares of the variance, by cyclical descent on w'Cw/2 - sum(ln w)/n; where a bound binds, shares as equal as the bounds allow (least squares)."""
     n = len(cov)
     w = 1 / np.sqrt(np.diag(cov))
     for _ in range(500):
@@ -211,7 +216,21 @@ def risk_parity(cov: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
             w[i] = (-c + (c * c + 4 * cov[i, i] / n) ** 0.5) / (2 * cov[i, i])
         if np.abs(w - old).max() < 1e-12:
             break
-    return project(w / w.sum(), lo, hi)
+    w = w / w.sum()
+    start = project(w, lo, hi)
+    if np.abs(start - w).max() < 1e-9:
+        return w
+
+    def shares(w):
+        return w * (cov @ w) / max(float(w @ cov @ w), 1e-300)
+
+    def slope(w):
+        c = cov @ w
+        v = max(float(w @ c), 1e-300)
+        jacobian = (np.diag(c) + w[:, None] * cov) / v - 2 * np.outer(w * c, c) / v**2
+        return 2 * jacobian.T @ (shares(w) - 1 / n)
+
+    return _descend(lambda w: float(((shares(w) - 1 / n) ** 2).sum()), slope, lo, hi, start)
 
 
 def optimise(cov: DataFrame, method: str, bounds: Bounds | None = None, mu: DataFrame | None = None, **options) -> DataFrame:
@@ -231,6 +250,6 @@ def optimise(cov: DataFrame, method: str, bounds: Bounds | None = None, mu: Data
         lo, hi = bounds.of(names)
         m = pdf.groupby("a")["mu"].first().reindex(names).fillna(0.0).to_numpy()
         w = {"min_variance": lambda: min_variance(c, lo, hi), "max_sharpe": lambda: max_sharpe(m, c, lo, hi, **options), "risk_parity": lambda: risk_parity(c, lo, hi)}[method]()
-        return pd.DataFrame({"ts": pdf["ts"].iloc[0], "symbol": names, "weight": w, "objective": float((w @ c @ w) ** 0.5)})
+        return pd.DataFrame({"ts": pdf["ts"].iloc[0], "symbol": names, "weight": w, "objective": deviation(w, c)})
 
     return rows.groupBy("ts").applyInPandas(solve, "ts timestamp_ntz, symbol string, weight double, objective double")

@@ -218,8 +218,10 @@ def snapshot_metrics(equity: DataFrame) -> DataFrame:
 
 
 def clamp_weights(weights: DataFrame, max_symbol: float = 1.0, max_gross: float = 1.0) -> DataFrame:
-    """clamp_targets as Columns, per time (and run)."""
+    """clamp_targets as Columns, per time (and run); a limit that is not above 0 is none, as there."""
     key = [c for c in ("run_id", "ts") if c in weights.columns]
-    w = F.greatest(F.least("weight", F.lit(max_symbol)), F.lit(-max_symbol))
+    w = F.greatest(F.least("weight", F.lit(max_symbol)), F.lit(-max_symbol)) if max_symbol > 0 else F.col("weight")
     gross = F.sum(F.abs("weight")).over(W.partitionBy(*key))
+    if max_gross <= 0:
+        return weights.withColumn("weight", w)
     return weights.withColumn("weight", w).withColumn("weight", F.when(gross > max_gross, F.col("weight") * max_gross / gross).otherwise(F.col("weight")))

@@ -85,13 +85,13 @@ def backtest(lines: DataFrame, rules: bt.Rules | None = None) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all input there is, and its result as a table: written by every batch, whole in mode complete."""
+    """Runs a stream over all input there is, and its result as a table. A batch has a folder of its own, so one that runs again after a failure replaces its rows; in mode complete each batch replaces the whole."""
     spark = stream.sparkSession
     base = f"{work_dir(spark)}/barspark/stream-{uuid.uuid4().hex[:12]}"
 
     def sink(df, batch):
-        df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+        df.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={batch}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return spark.read.schema(stream.schema).parquet(f"{base}/out").select(stream.columns)

@@ -323,3 +323,36 @@ def test_lots_of_partial_fills(spark):
     fills = spark.createDataFrame(rows, "run string, symbol string, ts timestamp_ntz, order_id long, size double, price double")
     got = [(r["symbol"], r["entry_time"], r["exit_time"], r["entry_price"], r["exit_price"], r["size"]) for r in results.fifo_trades(fills).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_stream_batch_that_runs_again(spark, tmp_path, monkeypatch):
+    """A micro-batch that is written twice leaves its rows once; late rows behind the watermark are left out in append mode."""
+    t0 = datetime(2021, 1, 1)
+    rows = [("A", t0 + timedelta(hours=i), 1.0) for i in (0, 1, 2, 30, 60, 61, 3)]
+    for k, part in enumerate((rows[:5], rows[5:6], rows[6:])):
+        spark.createDataFrame(part, "symbol string, ts timestamp, v double").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema("symbol string, ts timestamp, v double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    counted = stream.withWatermark("ts", "6 hours").groupBy(F.window("ts", "1 day"), "symbol").agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "n")
+    writer = type(spark.range(1).write)
+    save, calls = writer.parquet, []
+
+    def twice(self, path, *args, **kwargs):
+        calls.append(path)
+        save(self, path, *args, **kwargs)
+        save(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(writer, "parquet", twice)
+    got = sorted((r["day"].day, r["n"]) for r in streams.drain(counted, "append").collect())
+    assert got == [(1, 3), (2, 1)] and len(calls) > 1
+
+
+def test_risk_parity_within_bounds():
+    cov = np.array([[0.04, 0.006, 0.0], [0.006, 0.09, 0.01], [0.0, 0.01, 0.16]])
+    lo, hi = np.zeros(3), np.array([0.4, 1.0, 1.0])
+    w = alloc.risk_parity(cov, lo, hi)
+    spread = lambda w: float(((w * (cov @ w) / (w @ cov @ w) - 1 / 3) ** 2).sum())
+    assert w.sum() == pytest.approx(1) and w[0] == pytest.approx(0.4, abs=1e-6)
+    assert spread(w) <= min(spread(np.array([0.4, x, 0.6 - x])) for x in np.linspace(0.01, 0.59, 300)) + 1e-7
+    free = alloc.risk_parity(cov, lo, np.ones(3))
+    assert np.allclose(free * (cov @ free), free @ cov @ free / 3)
+    assert alloc.deviation(np.array([0.5, 0.5]), np.array([[1.0, -2.0], [-2.0, 1.0]])) == 0.0
