@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, language, licenses, mixing, ngram_join, passages, sharding, topk
+from . import bpe, chat, clustering, exact_dedup, language, licenses, mixing, ngram_join, passages, sharding, topk
 from .support import table
 
 #: Half of the mixture from the first six sources, half from the others of the twenty named.
@@ -80,6 +80,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.col("copy").cast("long").alias("copy"), F.col("copies").cast("long").alias("copies"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1)
+
+
 OP1 = rf"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{HARD_TURN}' UNION ALL SELECT -7, 1, 'assistant', '{HARD_TURN}'),
@@ -140,6 +144,27 @@ SELECT doc_id, source, unnest(range(copies::BIGINT)) AS "copy", copies::BIGINT A
 """
 
 
+def _op11(k: int = 16, rounds: int = 3) -> str:
+    ctes = []
+    for r in range(rounds + 1):  # round `rounds` only assigns
+        ctes.append(f"d{r} AS MATERIALIZED (SELECT row, c, sum((x - y) * (x - y))::BIGINT AS d FROM x JOIN c{r} USING (place) GROUP BY row, c)")
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT row, arg_min(c, d * {k} + c) AS c, min(d) AS d FROM d{r} GROUP BY row)")
+        if r < rounds:
+            ctes.append(f"s{r} AS (SELECT c, place, sum(x) AS s, count(*) AS n FROM x JOIN a{r} USING (row) GROUP BY c, place)")
+            ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT c, place, coalesce((s - ((s % n) + n) % n) // n, y)::BIGINT AS y FROM c{r} LEFT JOIN s{r} USING (c, place))")
+    return rf"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT row, unnest(v) AS x, unnest(range(64)) AS place FROM v),
+f AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM v QUALIFY c < {k}),
+c0 AS MATERIALIZED (SELECT c, unnest(range(64)) AS place, unnest(v) AS y FROM f),
+{", ".join(ctes)},
+h AS (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY place)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN v USING (row) JOIN h USING (c)
+"""
+
+
 def queries():
     return {
         "op1_chat_format": op1_chat_format,
@@ -152,8 +177,9 @@ def queries():
         "op8_passages": op8_passages,
         "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
+        "op11_clustering": op11_clustering,
     }
 
 
 def oracle_sql():
-    return {"op1_chat_format": OP1, "op2_exact_dedup": OP2, "op5_license_scan": _op5(), "op6_topk": OP6, "op10_mixing": _op10()}
+    return {"op1_chat_format": OP1, "op2_exact_dedup": OP2, "op5_license_scan": _op5(), "op6_topk": OP6, "op10_mixing": _op10(), "op11_clustering": _op11()}
