@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, clustering, exact_dedup, language, licenses, mixing, ngram_join, passages, sharding, topk
+from . import bpe, chat, clustering, exact_dedup, language, licenses, mixing, negatives, ngram_join, packing, passages, sharding, topk
 from .support import table
 
 #: Half of the mixture from the first six sources, half from the others of the twenty named.
@@ -84,6 +84,17 @@ def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), clustering.bounded(F.col("embedding"), 256).alias("v"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary_path(), length=1024)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 OP1 = rf"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{HARD_TURN}' UNION ALL SELECT -7, 1, 'assistant', '{HARD_TURN}'),
@@ -127,6 +138,17 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([q.v[i] * c.v[i] FOR i IN
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5
 """
+OP12 = """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT min(row) AS a, vec_id AS anchor_id, label, v FROM v WHERE vec_id % 100 = 0 GROUP BY ALL),
+s AS MATERIALIZED (SELECT a, anchor_id, a.label = v.label AS same, vec_id, row, coalesce(list_sum([a.v[i] * v.v[i] FOR i IN range(1, least(len(a.v), len(v.v)) + 1)]), 0)::BIGINT AS score FROM a JOIN v ON vec_id <> anchor_id),
+p AS (SELECT a, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, row) AS place FROM s WHERE same),
+n AS (SELECT s.anchor_id, positive_id, row_number() OVER (PARTITION BY a, place ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM s JOIN p USING (a) WHERE place <= 5 AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT * FROM n WHERE rank <= 10
+"""
 
 
 def _op10() -> str:
@@ -178,8 +200,10 @@ def queries():
         "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
         "op11_clustering": op11_clustering,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_packing": op13_packing,
     }
 
 
 def oracle_sql():
-    return {"op1_chat_format": OP1, "op2_exact_dedup": OP2, "op5_license_scan": _op5(), "op6_topk": OP6, "op10_mixing": _op10(), "op11_clustering": _op11()}
+    return {"op1_chat_format": OP1, "op2_exact_dedup": OP2, "op5_license_scan": _op5(), "op6_topk": OP6, "op10_mixing": _op10(), "op11_clustering": _op11(), "op12_hard_negatives": OP12}

@@ -37,7 +37,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/barspark/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -46,15 +48,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def done_with(*tables: DataFrame) -> None:
-    """Deletes tables that saved() wrote and that no plan reads any more."""
+    """Deletes tables that saved() returned and that no plan reads any more."""
     for df in tables:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            known = next((w for w in _written if w[1].split(":", 1)[-1].lstrip("/") == path.split(":", 1)[-1].lstrip("/")), None)
-            if known:
-                _delete(*known)
-                _written.remove(known)
-    if tables:  # the shuffle files of what was written go once the driver's JVM finds them unused
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        known = (df.sparkSession, df.saved_at)
+        _delete(*known)
+        _written.remove(known)
 
 
 @atexit.register
