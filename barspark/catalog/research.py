@@ -13,23 +13,23 @@ from . import R, query, r6
 COMBOS = [{"fast": 2, "slow": 5}, {"fast": 3, "slow": 8}, {"fast": 4, "slow": 10}]
 
 
-def _equity_sql(rows: str, key: str) -> str:
-    """SQL for the equity of each combination on rows (key, symbol, ts, close), partitioned by key and symbol."""
+def _equity_sql(rows: str, key: str, combos: list[dict] = COMBOS) -> str:
+    """SQL for the equity of each combination on rows (key, symbol, ts, close), partitioned by key and symbol, and how many symbols traded."""
     parts = []
-    for k, c in enumerate(COMBOS):
+    for k, c in enumerate(combos):
         w = lambda n: f"(PARTITION BY {key}, symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
         parts.append(f"SELECT {k} AS combo, {key}, symbol, ts, close, avg(close) OVER {w(c['fast'])} AS f, avg(close) OVER {w(c['slow'])} AS s FROM {rows}")
     union = " UNION ALL ".join(parts)
     by = f"PARTITION BY combo, {key}, symbol ORDER BY ts"
     held = f"SELECT *, coalesce(last_value(CASE WHEN f > s THEN 1.0 WHEN f < s THEN 0.0 END IGNORE NULLS) OVER ({by}), 0)::DOUBLE AS w FROM ({union})"
-    growth = f"SELECT *, 1 + coalesce(lag(w) OVER ({by}) * (close / lag(close) OVER ({by}) - 1), 0) AS g FROM ({held})"
-    each = f"SELECT combo, {key}, symbol, ts, product(g) OVER ({by}) AS e FROM ({growth})"
-    return f"SELECT combo, {key}, ts, avg(e) AS equity FROM ({each}) GROUP BY ALL"
+    growth = f"SELECT *, 1 + coalesce(lag(w) OVER ({by}) * (close / lag(close) OVER ({by}) - 1), 0) AS g, (w > 0) <> (coalesce(lag(w) OVER ({by}), 0) > 0) AS went FROM ({held})"
+    each = f"SELECT combo, {key}, symbol, ts, went, product(g) OVER ({by}) AS e FROM ({growth})"
+    return f"SELECT combo, {key}, ts, avg(e) AS equity, sum(went::INT) AS trades FROM ({each}) GROUP BY ALL"
 
 
 def _summary_sql(equity: str, key: str) -> str:
     by = f"PARTITION BY combo, {key} ORDER BY ts"
-    return f"SELECT combo, {key}, arg_max(equity, ts) / arg_min(equity, ts) - 1 AS total_return, min(dd) AS max_drawdown, arg_max(equity, ts) AS final_equity, coalesce(CASE WHEN stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) * sqrt(252) END, 0) AS sharpe, count(*) AS bars FROM (SELECT *, equity / max(equity) OVER ({by}) - 1 AS dd, equity / lag(equity) OVER ({by}) - 1 AS r FROM ({equity})) GROUP BY ALL"
+    return f"SELECT combo, {key}, arg_max(equity, ts) / arg_min(equity, ts) - 1 AS total_return, min(dd) AS max_drawdown, arg_max(equity, ts) AS final_equity, coalesce(CASE WHEN stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) * sqrt(252) END, 0) AS sharpe, count(*) AS bars, sum(trades)::BIGINT AS trades FROM (SELECT *, equity / max(equity) OVER ({by}) - 1 AS dd, equity / lag(equity) OVER ({by}) - 1 AS r FROM ({equity})) GROUP BY ALL"
 
 
 _WHOLE = _summary_sql(_equity_sql("(SELECT 0 AS run_id, * FROM bars_d)", "run_id"), "run_id")
@@ -95,10 +95,37 @@ def cv_penalties(spark, sf_dir):
     return s.crossJoin(F.broadcast(t)).select("symbol", r6(re_.overfit_penalty(F.col("i"), F.col("o"), 2, F.col("n")), "overfit"), r6("stability", "stability"))
 
 
-@query("evaluate_candidates")
+def _evaluate_sql(combos: list[dict], least: int, stability: bool, metric: str = "sharpe") -> str:
+    """SQL of evaluate() on bars_o over three folds."""
+    cal = "(SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i FROM (SELECT DISTINCT ts FROM bars_o))"
+    size = f"(SELECT count(*) // 4 FROM {cal})"
+    rows = f"(SELECT 2 * fold + (i >= (fold + 1) * {size})::INT AS k, symbol, ts, close FROM bars_o JOIN {cal} USING (ts), range(0, 3) r(fold) WHERE i < (fold + 2) * {size})"
+    of = _summary_sql(_equity_sql(rows, "k", combos), "k")
+    per = f"SELECT combo, k // 2 AS fold, max({metric}) FILTER (k % 2 = 0) AS i, max({metric}) FILTER (k % 2 = 1) AS o, max(bars) FILTER (k % 2 = 1) AS bars, max(trades) FILTER (k % 2 = 1) AS t FROM ({of}) GROUP BY ALL"
+    means = f"SELECT combo, avg(i) FILTER (t >= {least}) AS i, avg(o) FILTER (t >= {least}) AS o, sum(bars) AS n, {f'coalesce(CASE WHEN count(o) FILTER (t >= {least}) >= 2 THEN 0.1 * stddev_pop(o) FILTER (t >= {least}) / abs(avg(o) FILTER (t >= {least})) END, 0)' if stability else '0.0'} AS stability, sum(t)::BIGINT AS trades, count(*) FILTER (t >= {least}) AS folds FROM ({per}) GROUP BY combo"
+    return f"SELECT combo, i AS in_sample, o AS out_of_sample, greatest(i - o, 0) / 2 + 2 * ln(n) / (2 * n) AS overfit, stability, trades, folds FROM ({means})"
+
+
+_E = "in_sample out_of_sample overfit stability score".split()
+_SCORED = "(SELECT *, coalesce(out_of_sample - overfit - stability, '-inf'::DOUBLE) AS score FROM ({0}))"
+
+
+@query("evaluate_candidates", f"SELECT combo, trades, folds, {', '.join(f'{R(c)} AS {c}' for c in _E)} FROM {_SCORED.format(_evaluate_sql(COMBOS, 0, True))}")
 def evaluate_candidates(spark, sf_dir):
-    e = re_.evaluate(bars_o(spark, sf_dir), st.sma_crossover, COMBOS, folds=3)
-    return e.select("combo", *[r6(c, c) for c in e.columns[1:]])
+    e = re_.evaluate(bars_o(spark, sf_dir), st.sma_crossover, COMBOS, re_.Evaluation(folds=3))
+    return e.select("combo", "trades", "folds", *[r6(c, c) for c in _E])
+
+
+_SPACE = {"fast": [2, 5, 10], "slow": [20, 40]}
+_GRID = [{"fast": f, "slow": s} for f in _SPACE["fast"] for s in _SPACE["slow"]]
+_NAMED = "CASE combo " + " ".join(f"WHEN {k} THEN '{c['fast']}/{c['slow']}'" for k, c in enumerate(_GRID)) + " END"
+
+
+@query("grid_search", f"SELECT combo, {_NAMED} AS parameters, trades, folds, {', '.join(f'{R(c)} AS {c}' for c in _E if c not in ('in_sample', 'stability'))} FROM {_SCORED.format(_evaluate_sql(_GRID, 200, False, 'total_return'))}")
+def grid_search(spark, sf_dir):
+    how = re_.Evaluation(name="total_return", folds=3, min_trades=200, stability=False)
+    e = re_.grid_search(bars_o(spark, sf_dir), st.sma_crossover, re_.SearchSpace(_SPACE), how)
+    return e.select("combo", F.concat_ws("/", "fast", "slow").alias("parameters"), "trades", "folds", *[r6(c, c) for c in _E if c not in ("in_sample", "stability")])
 
 
 @query("bootstrap", f"""WITH r AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS i, r FROM (SELECT ts, equity / lag(equity) OVER (ORDER BY ts) - 1 AS r FROM equity) WHERE r IS NOT NULL),

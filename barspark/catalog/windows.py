@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import factors as fx
-from ..functions.expr import col, compile, lit
+from ..functions.expr import col, compile, lit, rolling
 from ..operators import filters as fl
 from ..operators import panel as pn
 from ..operators import recursive, signals
@@ -86,6 +86,31 @@ _factor("winsorize", fx.returns(1).winsorize(0.05, 0.95), f"SELECT symbol, ts, {
 _factor("normalize_minmax", col("close").normalize("minmax"), "coalesce((close - min(close) OVER (PARTITION BY symbol)) / nullif(max(close) OVER (PARTITION BY symbol) - min(close) OVER (PARTITION BY symbol), 0), 0)")
 _factor("normalize_zscore", col("close").normalize("zscore"), "coalesce((close - avg(close) OVER (PARTITION BY symbol)) / nullif(stddev_samp(close) OVER (PARTITION BY symbol), 0), 0)")
 
+# The same frames over ticks (one bar a tick), narrow ones sliding and wide ones put together from two halves.
+_TICKS = "(SELECT event_type AS symbol, ts, value AS close, ln(value + 1) AS y, row_number() OVER (PARTITION BY event_type ORDER BY ts)::DOUBLE AS x FROM events)"
+
+
+def _frames(name: str, n: int) -> None:
+    close, y, x = col("close"), col("y"), col("x")
+    parts = {
+        "mean": (rolling("avg", n, y), "avg(y) OVER w"),
+        "deviation": (rolling("stddev_samp", n, close), "stddev_samp(close) OVER w"),
+        "least": (rolling("min", n, close), "min(close) OVER w"),
+        "most": (rolling("max", n, close), "max(close) OVER w"),
+        "slope": (rolling("regr_slope", n, y, x), "regr_slope(y, x) OVER w"),
+        "fit": (rolling("regr_r2", n, y, x), "regr_r2(y, x) OVER w"),
+    }
+
+    @query(name, f"SELECT symbol, ts, {', '.join(f'{R(s)} AS {k}' for k, (_, s) in parts.items())} FROM {_TICKS} WINDOW w AS {_w(n)}")
+    def run(spark, sf_dir):
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        ticks = events.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"), F.ln(F.col("value") + 1).alias("y"), F.row_number().over(W.partitionBy("event_type").orderBy("ts")).cast("double").alias("x"))
+        return compile(ticks, {k: e for k, (e, _) in parts.items()}).select("symbol", "ts", *[r6(k, k) for k in parts])
+
+
+_frames("rolling_narrow", 10)
+_frames("rolling_wide", 1000)
+
 
 # Recursive averages: DuckDB folds the rows by a recursive query.
 def _fold(columns: str, first: str, then: str, out: str) -> str:

@@ -18,6 +18,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 OWN, GRID, CROSS, WHOLE = "own", "grid", "cross", "whole"
+#: The widest frame that slides; a wider one is put together from two halves.
+SLIDE = 32
 
 
 @dataclass(frozen=True)
@@ -99,12 +101,12 @@ class Expr:
         return (self - self.rolling_mean(window)) / self.rolling_std(window)
 
     def rolling_mean(self, window: int):
-        return _window(GRID, ("mean", window), lambda c: F.avg(c).over(rows(window)), self)
+        return rolling("avg", window, self, over=GRID)
 
     smooth = rolling_mean
 
     def rolling_std(self, window: int):
-        return _window(GRID, ("std", window), lambda c: F.stddev_samp(c).over(rows(window)), self)
+        return rolling("stddev_samp", window, self, over=GRID)
 
     def delay(self, periods: int = 1):
         return _window(GRID, ("lag", periods), lambda c: F.lag(c, periods).over(W.partitionBy("symbol").orderBy("ts")), self)
@@ -177,9 +179,13 @@ def lag(x: Expr, n: int = 1) -> Expr:
     return _window(OWN, ("lag", n), lambda c: F.lag(c, n).over(by_time()), x)
 
 
-def rolling(fn: str, n: int, *xs: Expr) -> Expr:
+def rolling(fn: str, n: int, *xs: Expr, over: str = OWN) -> Expr:
     """A built-in aggregate over the last n rows."""
-    return _window(OWN, (fn, n), lambda *cs: getattr(F, fn)(*cs).over(rows(n)), *xs)
+    from .halves import MERGED, Halves
+
+    if n > SLIDE and fn in MERGED:
+        return getattr(Halves(n, over), fn)(*xs)
+    return _window(over, (fn, n), lambda *cs: getattr(F, fn)(*cs).over(rows(n)), *xs)
 
 
 def align(panel: DataFrame) -> DataFrame:

@@ -87,29 +87,28 @@ def parkinson(n: int = 63) -> Expr:
 
 def return_skew(n: int = 63) -> Expr:
     """Bias-corrected; from three values on; 0 over equal values."""
+    r = returns()
 
-    def make(c):
-        k, spread = F.count(c).over(rows(n)), F.stddev_pop(c).over(rows(n))
-        g1 = F.when(spread > 0, F.skewness(c).over(rows(n)))
-        return F.when(k >= 3, F.when(spread == 0, F.lit(0.0)).otherwise(F.sqrt(k * (k - 1)) / (k - 2) * g1))
+    def make(k, spread, g):
+        return F.when(k >= 3, F.when(spread == 0, F.lit(0.0)).otherwise(F.sqrt(k * (k - 1)) / (k - 2) * g))
 
-    return window(("skew", n), make, returns())
+    return row("skew", make, rolling("count", n, r), rolling("stddev_pop", n, r), rolling("skewness", n, r))
 
 
 def return_kurtosis(n: int = 63) -> Expr:
     """Bias-corrected excess; from four values on; -3 over equal values."""
+    r = returns()
 
-    def make(c):
-        k, spread = F.count(c).over(rows(n)), F.stddev_pop(c).over(rows(n))
-        g2 = F.when(spread > 0, F.kurtosis(c).over(rows(n)))
-        return F.when(k >= 4, F.when(spread == 0, F.lit(-3.0)).otherwise((k - 1) / ((k - 2) * (k - 3)) * ((k + 1) * g2 + 6)))
+    def make(k, spread, g):
+        return F.when(k >= 4, F.when(spread == 0, F.lit(-3.0)).otherwise((k - 1) / ((k - 2) * (k - 3)) * ((k + 1) * g + 6)))
 
-    return window(("kurt", n), make, returns())
+    return row("kurt", make, rolling("count", n, r), rolling("stddev_pop", n, r), rolling("kurtosis", n, r))
 
 
 def _line(fn: str, n: int) -> Expr:
     place = window(("row",), lambda: F.row_number().over(by_time()).cast("double"))
-    return window((fn, n), lambda y, x: F.when(F.count(y).over(rows(n)) >= 2, getattr(F, fn)(y, x).over(rows(n))), _ln(close), place)
+    y = _ln(close)
+    return row("two", lambda v, k: F.when(k >= 2, v), rolling(fn, n, y, place), rolling("count", n, y))
 
 
 def trend_slope(n: int = 63) -> Expr:
@@ -119,10 +118,8 @@ def trend_slope(n: int = 63) -> Expr:
 
 def trend_strength(n: int = 63) -> Expr:
     """R squared of that line; 0 if the prices are equal."""
-    r2, syy = _line("regr_r2", n), _line("regr_syy", n)
-    place = window(("row",), lambda: F.row_number().over(by_time()).cast("double"))
-    syy = window(("syy", n), lambda y, x: F.when(F.count(y).over(rows(n)) >= 2, F.var_pop(y).over(rows(n))), _ln(close), place)
-    return row("r2", lambda a, s: F.when(s.isNull(), None).when(s == 0, F.lit(0.0)).otherwise(a), r2, syy)
+    y = _ln(close)
+    return row("r2", lambda a, k, s: F.when(k >= 2, F.when(s == 0, F.lit(0.0)).otherwise(a)), _line("regr_r2", n), rolling("count", n, y), rolling("var_pop", n, y))
 
 
 def benchmark(symbol: str, x: Expr) -> Expr:
@@ -132,37 +129,38 @@ def benchmark(symbol: str, x: Expr) -> Expr:
     return window(("benchmark", symbol), lambda v, s: F.max(F.when(s == symbol, v)).over(W.partitionBy("ts")), x, col("symbol"), over=CROSS)
 
 
-def _paired(n: int, symbol: str, make) -> Expr:
-    """make(y, x) over the last n rows that both the symbol and the benchmark have; null for a symbol with fewer than n of them in all, and from the second pair on."""
-    from pyspark.sql import Window as W
-
+def _pairs(symbol: str) -> tuple[Expr, Expr]:
+    """Returns of the symbol and of the benchmark where there are both."""
     own = returns()
     other = benchmark(symbol, own)
-    y = row("both_y", lambda a, b: F.when(b.isNotNull(), a), own, other)
-    x = row("both_x", lambda a, b: F.when(a.isNotNull(), b), own, other)
+    return row("both_y", lambda a, b: F.when(b.isNotNull(), a), own, other), row("both_x", lambda a, b: F.when(a.isNotNull(), b), own, other)
+
+
+def _enough(n: int, stat: Expr, y: Expr) -> Expr:
+    """stat from the second pair on; null for a symbol with fewer than n of them in all."""
+    from pyspark.sql import Window as W
+
     have = window(("pairs",), lambda c: F.count(c).over(W.partitionBy("symbol")), y)
-    stat = window(("pair", n, symbol, make.__name__), lambda a, b: F.when(F.count(a).over(rows(n)) >= 2, make(a, b, rows(n))), y, x)
-    return row("enough", lambda v, k: F.when(k >= n, v), stat, have)
+    return row(f"enough{n}", lambda v, k, c: F.when((k >= n) & (c >= 2), v), stat, have, rolling("count", n, y))
 
 
 def beta(n: int = 63, symbol: str = "SPY") -> Expr:
     """Covariance with the benchmark's returns over their variance; 1 for the benchmark."""
-
-    def slope(y, x, w):
-        return F.try_divide(F.covar_samp(y, x).over(w), F.var_samp(x).over(w))
-
-    found = _paired(n, symbol, slope)
+    y, x = _pairs(symbol)
+    found = _enough(n, rolling("covar_samp", n, y, x) / rolling("var_samp", n, x), y)
     return row("own_beta", lambda v, s: F.when(s == symbol, F.lit(1.0)).otherwise(v), found, col("symbol"))
 
 
 def idiosyncratic_volatility(n: int = 63, symbol: str = "SPY") -> Expr:
     """Yearly standard deviation (population) of returns less beta times the benchmark's, with beta = sample covariance over population variance; 0 for the benchmark."""
+    y, x = _pairs(symbol)
 
-    def residual(y, x, w):
-        b = F.try_divide(F.covar_samp(y, x).over(w), F.var_pop(x).over(w))
-        return F.sqrt(F.greatest(F.lit(0.0), F.var_pop(y).over(w) - 2 * b * F.covar_pop(y, x).over(w) + b * b * F.var_pop(x).over(w))) * math.sqrt(YEAR)
+    def residual(c, cp, vx, vy):
+        b = F.try_divide(c, vx)
+        return F.sqrt(F.greatest(F.lit(0.0), vy - 2 * b * cp + b * b * vx)) * math.sqrt(YEAR)
 
-    found = _paired(n, symbol, residual)
+    parts = rolling("covar_samp", n, y, x), rolling("covar_pop", n, y, x), rolling("var_pop", n, x), rolling("var_pop", n, y)
+    found = _enough(n, row("residual", residual, *parts), y)
     return row("own_residual", lambda v, s: F.when(s == symbol, F.lit(0.0)).otherwise(v), found, col("symbol"))
 
 

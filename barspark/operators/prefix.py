@@ -6,18 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import saved
 
-def running(df: DataFrame, at: str, order: list[str], sums: dict[str, Column], slot: str = "day") -> DataFrame:
-    """df and, per name, the sum of the column over all rows up to each in the order of `at` (a time), then `order`.
 
-    Rows are summed in their slot of time; the slots' totals (a row for each slot that the table has, whatever its rows) are
-    summed along and added. Rows whose time is null come first, as a slot of their own.
+def running(df: DataFrame, at: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """df and, per name, the sum of the column over all rows up to each in the order of `at`, then `order` (nulls first).
+
+    The rows are range-sorted into partitions of like size and written with their partition's number, so a busy day or
+    a null time is as many partitions as it needs (ties of the whole order stay together). Each partition's total is one
+    row; the totals of those before are added to the sums within.
     """
-    s = F.date_trunc(slot, at).cast("timestamp_ntz")
-    named = df.withColumns({"_slot": s, **{f"_x_{n}": c for n, c in sums.items()}})
-    before = W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    per = named.groupBy("_slot").agg(*[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in sums])
-    per = per.select(F.col("_slot").alias("_of"), *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
-    inside = W.partitionBy("_slot").orderBy(at, *order).rowsBetween(W.unboundedPreceding, 0)
-    out = named.join(per, F.col("_slot").eqNullSafe(F.col("_of"))).withColumns({n: F.col(f"_b_{n}") + F.sum(f"_x_{n}").over(inside) for n in sums})
+    named = df.withColumns({f"_x_{n}": c for n, c in sums.items()})
+    laid = saved(named.repartitionByRange(at, *order).withColumn("_part", F.spark_partition_id()), "running")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # over a line a partition
+    per = laid.groupBy("_part").agg(*[F.sum(f"_x_{n}").alias(f"_t_{n}") for n in sums])
+    per = per.select("_part", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    inside = W.partitionBy("_part").orderBy(at, *order).rowsBetween(W.unboundedPreceding, 0)
+    out = laid.join(F.broadcast(per), "_part").withColumns({n: F.col(f"_b_{n}") + F.sum(f"_x_{n}").over(inside) for n in sums})  # broadcast: a line a partition
     return out.select(*df.columns, *sums)

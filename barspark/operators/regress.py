@@ -4,23 +4,30 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.expr import col, compile, rolling
+
+#: Factors of a rolling regression at most.
+MOST_FACTORS = 6
+
 
 def rolling_ols(df: DataFrame, y: str, xs: list[str], n: int, by: str = "symbol", order: str = "ts") -> DataFrame:
     """With intercept over each full window of n complete rows: alpha, beta_<x>, prediction, residual (of the last row) and r2.
 
-    The normal equations come from windowed sums; they are solved as Columns (Cramer's rule on the covariances, by expansion),
-    so any small number of factors stays in the JVM. Near-singular windows give null.
+    The normal equations come from windowed moments (wide windows from two halves); they are solved as Columns (Cramer's rule
+    on the covariances, by expansion), so they stay in the JVM. The expansion grows with the factorial of the factors:
+    MOST_FACTORS at most. Near-singular windows give null.
     """
-    w = W.partitionBy(by).orderBy(order).rowsBetween(-(n - 1), 0)
-    have = df.na.drop(subset=[y, *xs])
-    cols = {f"_m_{c}": F.avg(c).over(w) for c in [y, *xs]}
-    cols |= {f"_c_{i}_{j}": F.covar_samp(a, b).over(w) for i, a in enumerate(xs) for j, b in enumerate(xs) if i <= j}
-    cols |= {f"_y_{i}": F.covar_samp(y, a).over(w) for i, a in enumerate(xs)}
-    cols |= {"_yy": F.var_samp(y).over(w), "_k": F.count("*").over(w)}
-    have = have.withColumns(cols)
+    if not 1 <= len(xs) <= MOST_FACTORS:
+        raise ValueError(f"from 1 to {MOST_FACTORS} factors")
+    have = df.na.drop(subset=[y, *xs]).withColumnsRenamed({by: "symbol", order: "ts"})
+    target, factors = col(y), [col(x) for x in xs]
+    cols = {f"_m_{c}": rolling("avg", n, col(c)) for c in [y, *xs]}
+    cols |= {f"_c_{i}_{j}": rolling("covar_samp", n, a, b) for i, a in enumerate(factors) for j, b in enumerate(factors) if i <= j}
+    cols |= {f"_y_{i}": rolling("covar_samp", n, target, a) for i, a in enumerate(factors)}
+    cols |= {"_yy": rolling("var_samp", n, target), "_k": rolling("count", n, target)}
+    have = compile(have, cols, keep=have.columns).withColumnsRenamed({"symbol": by, "ts": order})
     m = [[F.col(f"_c_{min(i, j)}_{max(i, j)}") for j in range(len(xs))] for i in range(len(xs))]
     v = [F.col(f"_y_{i}") for i in range(len(xs))]
     det = determinant(m)

@@ -31,8 +31,8 @@ def drawdown(equity: DataFrame, run: str | None = None) -> DataFrame:
     return equity.withColumn("drawdown", F.coalesce(F.try_divide(F.col("equity"), peak) - 1, F.lit(0.0)))
 
 
-def summary(equity: DataFrame, run: str | None = None, rf: float = 0.0) -> DataFrame:
-    """final_equity, total_return, max_drawdown, sharpe, cagr, sortino, bars; a line per run."""
+def summary(equity: DataFrame, run: str | list[str] | None = None, rf: float = 0.0, also: list[Column] | None = None) -> DataFrame:
+    """final_equity, total_return, max_drawdown, sharpe, cagr, sortino, bars, and the aggregates of `also`; a line per run (told apart by a column or several)."""
     df = drawdown(with_returns(equity, run), run)
     excess = F.col("r") - rf / YEAR
     first, last, n = F.min_by("equity", "ts"), F.max_by("equity", "ts"), F.count("*")
@@ -46,6 +46,7 @@ def summary(equity: DataFrame, run: str | None = None, rf: float = 0.0) -> DataF
         F.coalesce(F.when(first > 0, F.pow(F.try_divide(last, first), F.lit(YEAR) / n) - 1), F.lit(0.0)).alias("cagr"),
         F.coalesce(F.when(down > 0, F.avg(excess) / down * root), F.lit(0.0)).alias("sortino"),
         n.alias("bars"),
+        *(also or []),
     ]
     return df.groupBy(run).agg(*aggs) if run else df.agg(*aggs)
 

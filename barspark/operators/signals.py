@@ -37,6 +37,6 @@ def streak(df: DataFrame, condition: Column, name: str = "streak") -> DataFrame:
     return island.withColumn(name, F.when(F.col("_ok"), held).otherwise(F.lit(0)).cast("long")).drop("_ok", "_island")
 
 
-def hold(enter: Column, leave: Column) -> Column:
-    """1.0 from a bar that enters until one that leaves, else 0.0."""
-    return F.coalesce(F.last(F.when(enter, F.lit(1.0)).when(leave, F.lit(0.0)), True).over(_by_time()), F.lit(0.0))
+def hold(enter: Column, leave: Column, along=None) -> Column:
+    """1.0 from a bar that enters until one that leaves, else 0.0; along: the window of a history, a symbol's by time where not given."""
+    return F.coalesce(F.last(F.when(enter, F.lit(1.0)).when(leave, F.lit(0.0)), True).over(along or _by_time()), F.lit(0.0))

@@ -1,7 +1,8 @@
 """Sweeps, walk-forward studies, time splits, bootstrap and search.
 
-A run is a value of a key column, not a process: windows and parameters become part of the key that strategies
-partition by, so one plan evaluates all windows of a parameter set at once.
+A run is a value of a key column, not a process: windows, folds and parameter sets become part of the key that
+strategies partition by, so one plan with one scan of the panel evaluates all of them (for a strategy that is a Rule; any
+other callable is planned once for each parameter set).
 """
 
 from __future__ import annotations
@@ -10,16 +11,20 @@ import itertools
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import results as rs
 from ..operators.panel import ordinals
+from ..session import saved
 from . import backtest as bt
+from .strategies import Rule
 
-Strategy = Callable[..., DataFrame]  # (panel, **parameters) -> symbol, ts, weight
+Strategy = Callable[..., DataFrame]  # (panel, **parameters) -> symbol, ts, weight; a Rule is one too
 
 
 @dataclass(frozen=True)
@@ -68,32 +73,50 @@ def grid_frame(spark: SparkSession, parameters: dict[str, Sequence]) -> DataFram
     return df
 
 
-def portfolio_equity(panel: DataFrame, weights: DataFrame, by: str, capital: float = 1.0) -> DataFrame:
-    """by, ts, equity: the mean over symbols of each one's own long-or-flat run."""
-    held = panel.join(weights, ["symbol", "ts"])
-    each = bt.long_flat(held, F.col("weight"), capital)
-    return each.groupBy(by, "ts").agg(F.avg("equity").alias("equity"))
+def runs(rows: DataFrame, strategy: Strategy, combos: list[dict]) -> DataFrame:
+    """rows (symbol, ts, close, ...), once for each combination: combo (its number), weight and the equity of the symbol's own long-or-flat run from 1."""
+    if not combos:
+        raise ValueError("no combination of parameters")
+    if isinstance(strategy, Rule):
+        held = strategy.each(rows, combos)
+    else:
+        rows = saved(rows, "sweep-rows")
+        parts = [rows.join(strategy(rows, **c), ["symbol", "ts"]).withColumn("combo", F.lit(k)) for k, c in enumerate(combos)]
+        held = reduce(DataFrame.unionByName, parts)
+    return bt.long_flat(held.withColumnRenamed("weight", "_held"), F.col("_held"), 1.0, ["combo"]).drop("_held")
 
 
-def metric(name: str) -> tuple[Column, Column]:
-    """Value and score (more is better) of summary()'s columns."""
-    if name == "max_drawdown":
-        return F.col(name), -F.abs(name)
-    if name not in ("sharpe", "total_return", "cagr", "sortino", "final_equity"):
+def portfolio_equity(held: DataFrame, by: list[str]) -> DataFrame:
+    """by, ts, equity: the mean of symbols' runs; and trades: how many of them went in or out of their position at that time."""
+    w = W.partitionBy("combo", "symbol").orderBy("ts")
+    went = (F.col("weight") > 0) != (F.coalesce(F.lag("weight").over(w), F.lit(0.0)) > 0)
+    return held.withColumn("_went", went.cast("int")).groupBy(*by, "ts").agg(F.avg("equity").alias("equity"), F.sum("_went").alias("trades"))
+
+
+@dataclass(frozen=True)
+class Metric:
+    """value: of a run, from the columns of summary(); score: what is best where it is highest."""
+
+    value: Callable[[], Column]
+    score: Callable[[Column], Column] = lambda c: c
+
+
+#: Metrics by name.
+METRICS = {n: Metric(lambda n=n: F.col(n)) for n in ("sharpe", "total_return", "cagr", "sortino", "final_equity")} | {"max_drawdown": Metric(lambda: F.col("max_drawdown"), lambda c: -F.abs(c))}
+
+
+def metric(name: str | Metric | Callable[[], Column]) -> tuple[Column, Column]:
+    """Value and score (more is better) of summary()'s columns; name: one of METRICS, a Metric, or a function that gives the value as a Column."""
+    if isinstance(name, str) and name not in METRICS:
         raise ValueError(f"unknown metric {name!r}")
-    return F.col(name), F.col(name)
+    m = METRICS[name] if isinstance(name, str) else name if isinstance(name, Metric) else Metric(name)
+    value = m.value()
+    return value, m.score(value)
 
 
-def sweep(panel: DataFrame, strategy: Strategy, combos: list[dict], by: str = "run_id") -> DataFrame:
+def sweep(panel: DataFrame, strategy: Strategy, combos: list[dict]) -> DataFrame:
     """combo (number), and summary()'s columns of each combination over the whole panel."""
-    parts = []
-    for k, combo in enumerate(combos):
-        e = portfolio_equity(panel.withColumn(by, F.lit(k)), strategy(panel, **combo), by)
-        parts.append(rs.summary(e, by).withColumnRenamed(by, "combo"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return rs.summary(portfolio_equity(runs(panel, strategy, combos), ["combo"]), ["combo"])
 
 
 def best(results: DataFrame, name: str = "sharpe", key: str = "combo", by: list[str] | None = None) -> DataFrame:
@@ -104,14 +127,14 @@ def best(results: DataFrame, name: str = "sharpe", key: str = "combo", by: list[
 
 
 def windows(panel: DataFrame, train: int, test: int, step: int | None = None) -> DataFrame:
-    """The panel's rows once for each window that holds them: window, phase (train or test), and symbol with the window before it.
+    """The panel's rows once for each window that holds them: window, phase (train or test), and symbol with both before it.
 
     A window begins every `step` times of the calendar and lies wholly within it; a time's windows follow from its number, so nothing is joined but the calendar.
     """
     if train <= 0 or test <= 0 or step is not None and step <= 0:
         raise ValueError("train, test and step must be above 0")
     step = step or test
-    cal = ordinals(panel)
+    cal = saved(ordinals(panel), "calendar")
     n = cal.count()
     last = (n - train - test) // step
     o = F.col("ordinal")
@@ -121,30 +144,24 @@ def windows(panel: DataFrame, train: int, test: int, step: int | None = None) ->
     rows = panel.join(cal, "ts").withColumn("window", F.explode(seq))
     place = F.col("ordinal") - F.col("window") * step
     rows = rows.withColumn("phase", F.when(place < train, F.lit("train")).otherwise(F.lit("test")))
-    return rows.withColumn("symbol", F.concat_ws("|", F.col("window").cast("string"), "symbol")).drop("ordinal")
+    return rows.withColumn("symbol", F.concat_ws("|", F.col("window").cast("string"), "phase", "symbol")).drop("ordinal")
 
 
-def walk_forward(panel: DataFrame, strategy: Strategy, combos: list[dict], train: int, test: int, step: int | None = None, name: str = "sharpe") -> tuple[DataFrame, DataFrame]:
+def walk_forward(panel: DataFrame, strategy: Strategy, combos: list[dict], train: int, test: int, step: int | None = None, name: str | Metric = "sharpe") -> tuple[DataFrame, DataFrame]:
     """(windows, equity): window, combo, metric_value, test_return, test_max_drawdown; and the out-of-sample equity of each window (window, ts, equity).
 
-    Every combination is judged on each window's training rows; the first best runs on its test rows.
+    Every combination runs on each window's training rows and, apart from them, on its test rows, all in one pass whose
+    equity is written once. The first best in training is judged on its test rows.
     """
-    rows = windows(panel, train, test, step)
     value, score = metric(name)
-    parts = None
-    for k, combo in enumerate(combos):
-        own = rows.where("phase = 'train'")
-        s = rs.summary(portfolio_equity(own, strategy(own.drop("window", "phase"), **combo), "window"), "window").withColumn("combo", F.lit(k))
-        s = s.select("window", "combo", value.alias("metric_value"), score.alias("score"))
-        parts = s if parts is None else parts.unionByName(s)
-    chosen = parts.groupBy("window").agg(F.max_by(F.struct("combo", "metric_value"), F.struct("score", (-F.col("combo")).alias("k"))).alias("b")).select("window", "b.*")
-    out = None
-    for k, combo in enumerate(combos):
-        own = rows.where("phase = 'test'").join(F.broadcast(chosen.where(F.col("combo") == k).select("window")), "window", "left_semi")  # a line per window
-        e = portfolio_equity(own, strategy(own.drop("window", "phase"), **combo), "window")
-        out = e if out is None else out.unionByName(e)
-    tested = rs.summary(out, "window").select("window", F.col("total_return").alias("test_return"), F.col("max_drawdown").alias("test_max_drawdown"))
-    return chosen.join(tested, "window", "left"), out
+    key = ["window", "phase", "combo"]
+    curves = saved(portfolio_equity(runs(windows(panel, train, test, step), strategy, combos), key), "walk-forward")
+    of = saved(rs.summary(curves, key), "walk-forward-summary")
+    judged = of.where("phase = 'train'").select("window", "combo", value.alias("metric_value"), score.alias("score"))
+    chosen = judged.groupBy("window").agg(F.max_by(F.struct("combo", "metric_value"), F.struct("score", (-F.col("combo")).alias("k"))).alias("b")).select("window", "b.*")
+    tested = of.where("phase = 'test'").select("window", "combo", F.col("total_return").alias("test_return"), F.col("max_drawdown").alias("test_max_drawdown"))
+    equity = curves.where("phase = 'test'").join(chosen.select("window", "combo"), ["window", "combo"], "left_semi").select("window", "ts", "equity")
+    return chosen.join(tested, ["window", "combo"], "left"), equity
 
 
 def chained_equity(out_of_sample: DataFrame) -> DataFrame:
@@ -154,7 +171,7 @@ def chained_equity(out_of_sample: DataFrame) -> DataFrame:
 
 def time_splits(panel: DataFrame, folds: int) -> DataFrame:
     """fold, ts, phase: one fold is 70 to 30; k folds train on the first i * (n // (k + 1)) times and test on the next."""
-    cal = ordinals(panel)
+    cal = saved(ordinals(panel), "calendar")
     n = cal.count()
     if folds == 1:
         cut = int(n * 0.7)
@@ -165,9 +182,10 @@ def time_splits(panel: DataFrame, folds: int) -> DataFrame:
     return rows.where(F.col("ordinal") < end + size).select("fold", "ts", F.when(F.col("ordinal") < end, "train").otherwise("test").alias("phase"))
 
 
-def overfit_penalty(inside: Column, outside: Column, parameters: int, observations: Column) -> Column:
+def overfit_penalty(inside: Column, outside: Column, parameters: int | Column, observations: Column) -> Column:
     gap = F.greatest(inside - outside, F.lit(0.0)) / 2
-    return gap + F.coalesce(F.when(observations > 0, F.lit(float(parameters)) * F.ln(observations) / (2 * observations)), F.lit(0.0))
+    count = parameters if isinstance(parameters, Column) else F.lit(float(parameters))
+    return gap + F.coalesce(F.when(observations > 0, count * F.ln(observations) / (2 * observations)), F.lit(0.0))
 
 
 def stability_penalty(score: Column) -> Column:
@@ -176,35 +194,68 @@ def stability_penalty(score: Column) -> Column:
     return F.coalesce(F.when((F.count(score) >= 2) & (F.abs(mean) >= 1e-8), 0.1 * std / F.abs(mean)), F.lit(0.0))
 
 
-def evaluate(panel: DataFrame, strategy: Strategy, combos: list[dict], folds: int = 3, name: str = "sharpe", parameters: int | None = None) -> DataFrame:
-    """combo, in_sample, out_of_sample, overfit, stability, score: means over expanding time splits, less penalties."""
-    split = time_splits(panel, folds)
-    rows = panel.join(split, "ts").withColumn("_key", F.concat_ws("|", F.col("fold").cast("string"), "phase"))
-    rows = rows.withColumn("symbol", F.concat_ws("|", "_key", "symbol"))
-    value, score = metric(name)
-    parts = None
-    for k, combo in enumerate(combos):
-        s = rs.summary(portfolio_equity(rows, strategy(rows.drop("fold", "phase", "_key"), **combo), "_key"), "_key")
-        s = s.select(F.lit(k).alias("combo"), F.split("_key", r"\|")[0].alias("fold"), F.split("_key", r"\|")[1].alias("phase"), score.alias("v"), "bars")
-        parts = s if parts is None else parts.unionByName(s)
-    per = parts.groupBy("combo", "fold").agg(F.max(F.when(F.col("phase") == "train", F.col("v"))).alias("i"), F.max(F.when(F.col("phase") == "test", F.col("v"))).alias("o"), F.max(F.when(F.col("phase") == "test", F.col("bars"))).alias("n"))
-    count = parameters if parameters is not None else max((len(c) for c in combos), default=0)
-    all_ = per.groupBy("combo").agg(F.avg("i").alias("in_sample"), F.avg("o").alias("out_of_sample"), F.sum("n").alias("n"), stability_penalty(F.col("o")).alias("stability"))
-    all_ = all_.withColumn("overfit", overfit_penalty(F.col("in_sample"), F.col("out_of_sample"), count, F.col("n")))
-    return all_.withColumn("score", F.col("out_of_sample") - F.col("overfit") - F.col("stability")).select("combo", "in_sample", "out_of_sample", "overfit", "stability", "score")
+@dataclass(frozen=True)
+class Evaluation:
+    """How candidates are judged: the metric, the folds (expanding splits of time), the fewest trades a fold's test rows must have, and which penalties count."""
+
+    name: str | Metric = "sharpe"
+    folds: int = 3
+    min_trades: int = 0
+    overfit: bool = True
+    stability: bool = True
+
+
+def evaluate(panel: DataFrame, strategy: Strategy, combos: list[dict], how: Evaluation | None = None, parameters: int | None = None) -> DataFrame:
+    """combo, in_sample, out_of_sample, overfit, stability, score, trades, folds: means over the folds that have min_trades, less penalties.
+
+    A combination without such a fold scores minus infinity and has null means; penalties that are switched off are 0. folds
+    counts those that have the trades, trades is the sum over all. parameters: how many the overfit penalty counts, by default the combination's.
+    """
+    how = how or Evaluation()
+    split = time_splits(panel, how.folds)
+    rows = panel.join(split, "ts").withColumn("symbol", F.concat_ws("|", F.col("fold").cast("string"), "phase", "symbol"))
+    _, score = metric(how.name)
+    key = ["combo", "fold", "phase"]
+    curves = portfolio_equity(runs(rows, strategy, combos), key)
+    of = rs.summary(curves, key, also=[F.sum("trades").alias("trades")]).withColumn("v", score)
+    at = lambda phase, c: F.max(F.when(F.col("phase") == phase, F.col(c)))
+    per = of.groupBy("combo", "fold").agg(at("train", "v").alias("i"), at("test", "v").alias("o"), at("test", "bars").alias("bars"), at("test", "trades").alias("t"))
+    enough = F.col("t") >= how.min_trades
+    judged = lambda c: F.when(enough, F.col(c))
+    all_ = per.groupBy("combo").agg(F.avg(judged("i")).alias("in_sample"), F.avg(judged("o")).alias("out_of_sample"), F.sum("bars").alias("n"), stability_penalty(judged("o")).alias("stability"), F.sum("t").alias("trades"), F.count(F.when(enough, 1)).alias("folds"))
+    sizes = F.get(F.array(*[F.lit(float(len(c) if parameters is None else parameters)) for c in combos]), F.col("combo"))
+    none = F.lit(0.0)
+    all_ = all_.withColumn("overfit", overfit_penalty(F.col("in_sample"), F.col("out_of_sample"), sizes, F.col("n")) if how.overfit else none)
+    all_ = all_.withColumn("stability", F.col("stability") if how.stability else none)
+    total = F.coalesce(F.col("out_of_sample") - F.col("overfit") - F.col("stability"), F.lit(float("-inf")))
+    return all_.withColumn("score", total).select("combo", "in_sample", "out_of_sample", "overfit", "stability", "score", "trades", "folds")
 
 
 def ranked(evaluated: DataFrame) -> DataFrame:
     return evaluated.orderBy(F.desc("score"), "combo")
 
 
+def grid_search(panel: DataFrame, strategy: Strategy, space: SearchSpace, how: Evaluation | None = None) -> DataFrame:
+    """evaluate() of every combination of the space and its parameters (a column each, as text), best first."""
+    return _searched(panel, strategy, space.grid(), how)
+
+
+def random_search(panel: DataFrame, strategy: Strategy, space: SearchSpace, n: int, seed: int | None = None, how: Evaluation | None = None) -> DataFrame:
+    """evaluate() of n combinations drawn from the space, best first."""
+    return _searched(panel, strategy, space.random(n, seed), how)
+
+
+def _searched(panel: DataFrame, strategy: Strategy, combos: list[dict], how: Evaluation | None) -> DataFrame:
+    found = evaluate(panel, strategy, combos, how)
+    own = [F.get(F.array(*[F.lit(str(c[p])) for c in combos]), F.col("combo")).alias(p) for p in combos[0]]
+    return ranked(found.select("*", *own))
+
+
 def bootstrap(equity: DataFrame, samples: int, seed: int = 0) -> DataFrame:
     """sample, total_return, max_drawdown of equity curves whose returns are drawn with replacement.
 
     A draw's place comes from an MD5 of seed, sample and position, so any executor repeats it; draws meet the numbered returns in an equi-join.
     """
-    from pyspark.sql import Window as W
-
     r = rs.with_returns(equity).where("r is not null").withColumn("i", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("ts")) - 1).select("i", "r")
     n = r.count()
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), "sample", "position"))
@@ -217,12 +268,7 @@ def bootstrap(equity: DataFrame, samples: int, seed: int = 0) -> DataFrame:
     return e.groupBy("sample").agg((F.max_by("e", "position") - 1).alias("total_return"), F.min("d").alias("max_drawdown"))
 
 
-def multi_start(panel: DataFrame, strategy: Strategy, runs: int, **parameters) -> DataFrame:
-    """runs equal runs: their number, mean and best final equity."""
-    s = rs.summary(portfolio_equity(panel.withColumn("run_id", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).withColumn("symbol", F.concat_ws("|", "run_id", "symbol")), _repeated(panel, strategy, runs, parameters), "run_id"), "run_id")
+def multi_start(panel: DataFrame, strategy: Strategy, times: int, **parameters) -> DataFrame:
+    """Equal runs, `times` of them: their number, mean and best final equity. An equal run is a combination of equal parameters."""
+    s = sweep(panel, strategy, [parameters] * times)
     return s.agg(F.count("*").alias("runs"), F.avg("final_equity").alias("mean_final"), F.max("final_equity").alias("best_final"))
-
-
-def _repeated(panel: DataFrame, strategy: Strategy, runs: int, parameters: dict) -> DataFrame:
-    w = strategy(panel, **parameters).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    return w.withColumn("symbol", F.concat_ws("|", "_k", "symbol")).drop("_k")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,14 +26,54 @@ def buy_and_hold(panel: DataFrame) -> DataFrame:
     return panel.select("symbol", "ts", (F.lit(1.0) / F.count("*").over(_cross())).alias("weight"))
 
 
-def sma_crossover(panel: DataFrame, fast: int = 10, slow: int = 30) -> DataFrame:
-    df = compile(panel, {"f": fx.sma(fast), "s": fx.sma(slow)})
-    return df.select("symbol", "ts", signals.hold(F.col("f") > F.col("s"), F.col("f") < F.col("s")).alias("weight"))
-
-
-def rsi_reversion(panel: DataFrame, n: int = 14, enter: float = 30, leave: float = 70) -> DataFrame:
-    df = compile(panel, {"r": fx.rsi(n)})
-    return df.select("symbol", "ts", signals.hold(F.col("r") < enter, F.col("r") > leave).alias("weight"))
+@dataclass(frozen=True)
+class Rule:
+    """A strategy of symbols by themselves, in two parts, so that a sweep evaluates any number of parameter sets in one scan.
+
+    features: parameters -> expressions by name. decide: the window of a history (a symbol's rows in time order), the
+    features' Columns and the parameters that features() does not name as `values` -> the target weight.
+    """
+
+    features: Callable[..., dict[str, Expr]]
+    decide: Callable[..., Column]
+    values: Callable[..., dict[str, float]] = lambda **_: {}
+
+    def __call__(self, panel: DataFrame, **parameters) -> DataFrame:
+        df = compile(panel, self.features(**parameters))
+        held = {n: F.col(n) for n in df.columns[2:]} | {n: F.lit(float(v)) for n, v in self.values(**parameters).items()}
+        return df.select("symbol", "ts", self.decide(W.partitionBy("symbol").orderBy("ts"), **held).alias("weight"))
+
+    def each(self, panel: DataFrame, combos: list[dict]) -> DataFrame:
+        """The panel's rows once for each combination, with its number, `combo`, and its target weight.
+
+        Equal features of several combinations are computed once; the combinations are rows of an array that is exploded.
+        """
+        names, exprs, lines = {}, {}, []
+        for k, combo in enumerate(combos):
+            of = self.features(**combo)
+            for e in of.values():
+                exprs.setdefault(names.setdefault(e.key, f"_f{len(names)}"), e)
+            values = {n: F.lit(float(v)) for n, v in self.values(**combo).items()}
+            lines.append(F.struct(F.lit(k).alias("combo"), *[F.col(names[e.key]).cast("double").alias(n) for n, e in of.items()], *[v.alias(n) for n, v in values.items()]))
+        df = compile(panel, exprs, keep=panel.columns).withColumn("_c", F.explode(F.array(*lines))).drop(*exprs)
+        held = [n for n in df.schema["_c"].dataType.names if n != "combo"]
+        df = df.select(*panel.columns, "_c.combo", *[F.col(f"_c.{n}").alias(f"_v_{n}") for n in held])
+        weight = self.decide(W.partitionBy("combo", "symbol").orderBy("ts"), **{n: F.col(f"_v_{n}") for n in held})
+        return df.withColumn("weight", weight).drop(*[f"_v_{n}" for n in held])
+
+
+#: Parameters: fast and slow, widths of two averages.
+sma_crossover = Rule(
+    lambda fast=10, slow=30: {"f": fx.sma(fast), "s": fx.sma(slow)},
+    lambda along, f, s: signals.hold(f > s, f < s, along),
+)
+
+#: Parameters: n, and the levels below which it enters and above which it leaves.
+rsi_reversion = Rule(
+    lambda n=14, enter=30, leave=70: {"r": fx.rsi(n)},
+    lambda along, r, enter, leave: signals.hold(r < enter, r > leave, along),
+    lambda n=14, enter=30, leave=70: {"enter": enter, "leave": leave},
+)
 
 
 def breakout(panel: DataFrame, period: int = 20, bars: int = 3) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -59,3 +61,25 @@ def work_dir(spark: SparkSession) -> str:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="barspark-"))
         found = _own_dir[0]
     return found.rstrip("/")
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet in the work folder and read again: planned and computed once whatever reads it, and safe from lost executors."""
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/barspark/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session is gone; the folder's owner sweeps it
+            return
