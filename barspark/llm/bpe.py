@@ -39,8 +39,8 @@ BETWEEN, ADDED = 0xD800, 0xD801
 NEVER = np.int64(1) << 40
 #: Words that a worker remembers before it forgets all.
 REMEMBERED = 250_000
-#: Bytes by which the longest token of a place is looked up, and the longest word that is merged together with others.
-HEAD, TOGETHER = 6, 48
+#: The longest word that is merged together with others.
+TOGETHER = 48
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -50,6 +50,40 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Table:
+    """A map of whole numbers of at least 0, looked up for whole arrays: open addressing in a table that is at most a quarter full."""
+
+    def __init__(self, entries: dict[int, int]):
+        bits = max(4, (4 * len(entries)).bit_length())
+        self.shift, self.mask = U64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
+        key, value = (np.fromiter(x, np.int64, len(entries)) for x in (entries.keys(), entries.values()))
+        slot = self._slot(key)
+        while len(key):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = key[free]
+            placed = self.keys[slot] == key
+            self.values[slot[placed]] = value[placed]
+            key, value, slot = key[~placed], value[~placed], (slot[~placed] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(U64) * U64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def get(self, key: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 where there is none."""
+        slot = self._slot(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.values[slot], -1)
+        on = np.flatnonzero((there != key) & (there >= 0))
+        while len(on):
+            slot[on] = (slot[on] + 1) & self.mask
+            there = self.keys[slot[on]]
+            same = there == key[on]
+            out[on[same]] = self.values[slot[on[same]]]
+            on = on[~same & (there >= 0)]
+        return out
+
+
 class Vocabulary:
     """Arrays of a byte-level BPE read from a tokenizer file."""
 
@@ -88,25 +122,50 @@ class Vocabulary:
                 self.of_byte[t[0]] = i
         special = set(self.added.values())
         self.ids = {t: i for i, t in enumerate(self.bytes) if t and i not in special}
-        self.reach: dict[bytes, int] = {}  # longest token by its first HEAD bytes
-        for t in self.ids:
-            if len(t) >= HEAD:
-                self.reach[t[:HEAD]] = max(self.reach.get(t[:HEAD], HEAD), len(t))
+        nodes: dict[int, int] = {}  # a tree of all tokens' bytes: node * 256 + byte -> node
+        token = [-1]
+        for t, i in self.ids.items():
+            at = 0
+            for c in t:
+                at = nodes.setdefault(at << 8 | c, len(token))
+                if at == len(token):
+                    token.append(-1)
+            token[at] = i
+        self.token_at, self.steps = np.array(token, np.int64), Table(nodes)
         self.byte_id = np.array(self.of_byte, np.int64)
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.lengths = np.array([len(t) for t in self.bytes], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
-    def propose(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
-        out, i, n, ids, reach = [], 0, len(word), self.ids, self.reach
-        while i < n:
-            j = min(n, i + reach.get(word[i : i + HEAD], HEAD - 1))
-            while (t := ids.get(word[i:j])) is None:
-                j -= 1
-            out.append(t)
-            i = j
-        return out
+    def propose(self, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match of all words (byte ranges of data) together: tokens one after another, and how many each word has.
+
+        Every word walks the tree of tokens, a byte a step. One that cannot go on gives the last token that it passed and begins anew behind it.
+        """
+        word = np.arange(len(first))
+        at, node, until = first.copy(), np.zeros(len(first), np.int64), end.copy()
+        token, behind = np.full(len(first), -1), first.copy()
+        words, tokens = [], []
+        while len(word):
+            inside = at < until
+            next_ = np.where(inside, self.steps.get(node << 8 | data[np.minimum(at, len(data) - 1)]), -1)
+            go = next_ >= 0
+            node, at = np.where(go, next_, 0), at + go
+            found = np.where(go, self.token_at[node], -1)
+            hit = found >= 0
+            token, behind = np.where(hit, found, token), np.where(hit, at, behind)
+            if go.all():
+                continue
+            stop = np.flatnonzero(~go)
+            words.append(word[stop])
+            tokens.append(token[stop])
+            at[stop] = behind[stop]
+            left = go | (behind < until)
+            word, at, node, until, token, behind = (x[left] for x in (word, at, node, until, token, behind))
+        if not words:
+            return np.empty(0, np.int64), np.zeros(len(first), np.int64)
+        words = np.concatenate(words)
+        return np.concatenate(tokens)[np.argsort(words, kind="stable")], np.bincount(words, minlength=len(first))
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging a's and b's bytes gives just a and b.
@@ -193,28 +252,40 @@ class Vocabulary:
             rank[line, sizes - 1] = NEVER
         return out
 
-    def encode_words(self, found: list[bytes]) -> list[list[int]]:
-        """Tokens of each word: proposed, checked all together, and merged where a pair fails."""
-        proposed = [self.propose(w) for w in found]
-        sizes = np.array([len(p) for p in proposed], np.int64)
-        flat = np.array([t for p in proposed for t in p], np.int64)
+    def encode_words(self, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all words one after another, and how many each has: proposed, checked all together, and merged where a pair fails."""
+        flat, sizes = self.propose(data, first, end)
         ends = np.cumsum(sizes)
         inner = np.ones(len(flat), bool)
-        inner[ends - 1] = False
+        inner[ends[sizes > 0] - 1] = False
         at = np.flatnonzero(inner)
-        if len(at):
-            pairs, back = np.unique(flat[at] * self.size + flat[at + 1], return_inverse=True)
-            good = self.compatible(pairs // self.size, pairs % self.size)[back]
-            failing = np.unique(np.searchsorted(ends, at[~good], "right")).tolist()
-            failing.sort(key=lambda k: len(found[k]))
-            short = [k for k in failing if len(found[k]) <= TOGETHER]
-            for i in range(0, len(short), 4096):
-                part = short[i : i + 4096]
-                for k, tokens in zip(part, self.merge_together([found[k] for k in part])):
-                    proposed[k] = tokens
-            for k in failing[len(short) :]:
-                proposed[k] = self.merge(found[k])
-        return proposed
+        if not len(at):
+            return flat, sizes
+        pairs, back = np.unique(flat[at] * self.size + flat[at + 1], return_inverse=True)
+        good = self.compatible(pairs // self.size, pairs % self.size)[back]
+        failing = np.unique(np.searchsorted(ends, at[~good], "right"))
+        if not len(failing):
+            return flat, sizes
+        failing = failing[np.argsort((end - first)[failing], kind="stable")]
+        raw = data.tobytes()
+        found = [raw[a:b] for a, b in zip(first[failing].tolist(), end[failing].tolist())]
+        many = int(np.searchsorted((end - first)[failing], TOGETHER, "right"))
+        exact: list[list[int]] = []
+        for i in range(0, many, 4096):
+            exact += self.merge_together(found[i : min(i + 4096, many)])
+        exact += [self.merge(w) for w in found[many:]]
+        own = np.array([len(t) for t in exact], np.int64)
+        kept = np.ones(len(sizes), bool)
+        kept[failing] = False
+        before = ends - sizes
+        sizes = sizes.copy()
+        sizes[failing] = own
+        begin = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.int64)
+        for where, count, source in ((np.flatnonzero(kept), sizes[kept], flat), (failing, own, np.array([x for t in exact for x in t], np.int64))):
+            inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            out[np.repeat(begin[where], count) + inside] = source[np.repeat(before[where], count) + inside] if source is flat else source
+        return out, sizes
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all ids, and how many each has."""
@@ -287,14 +358,13 @@ class Encoder:
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.first, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _remember(self, hashes: list[int], tokens: list[list[int]]) -> None:
-        sizes = np.array([len(t) for t in tokens], np.int64)
-        have, n, more = len(self.slot), len(tokens), int(sizes.sum())
+    def _remember(self, hashes: list[int], tokens: np.ndarray, sizes: np.ndarray) -> None:
+        have, n, more = len(self.slot), len(sizes), len(tokens)
         while self.used + more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while have + n > len(self.first):
             self.first, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.first, self.count))
-        self.flat[self.used : self.used + more] = np.array([x for t in tokens for x in t], np.int32)
+        self.flat[self.used : self.used + more] = tokens
         self.first[have : have + n] = self.used + np.cumsum(sizes) - sizes
         self.count[have : have + n] = sizes
         self.used += more
@@ -310,7 +380,8 @@ class Encoder:
                 if self.special.search(t):
                     added += [self.v.added[x] for x in self.special.findall(t)]
                     texts[k] = self.special.sub(chr(ADDED), t)
-        cp = np.frombuffer(("".join(t + chr(BETWEEN) for t in texts)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        joined = "".join(t + chr(BETWEEN) for t in texts)
+        cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         starts = cut_words(cp)
         lengths = np.diff(np.concatenate([starts, [len(cp)]]))
         hashes = columns.segment_hashes(classes()[1][cp], starts, lengths)
@@ -322,15 +393,16 @@ class Encoder:
         new = np.flatnonzero(slots < 0)
         if len(new):
             s, e = starts[where[new]].tolist(), (starts[where[new]] + lengths[where[new]]).tolist()
-            raw = cp.astype(np.uint32)
-            found = [raw[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(s, e)]
-            marks = {chr(BETWEEN), chr(ADDED)}
-            plain = [k for k, w in enumerate(found) if w not in marks]
-            tokens: list[list[int]] = [[-1] if w in marks else [] for w in found]
-            for k, t in zip(plain, self.v.encode_words([found[k].encode() for k in plain])):
-                tokens[k] = t
+            data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+            byte = np.concatenate([[0], np.cumsum(1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF))])
+            begin = starts[where[new]]
+            first, end = byte[begin], byte[begin + lengths[where[new]]]
+            mark = (cp[begin] == BETWEEN) | (cp[begin] == ADDED)
+            tokens, sizes = self.v.encode_words(data, first[~mark], end[~mark])
+            new = np.concatenate([new[~mark], new[mark]])
+            marks = np.full(int(mark.sum()), -1)
             have = len(self.slot)
-            self._remember([keys[k] for k in new], tokens)
+            self._remember([keys[k] for k in new.tolist()], np.concatenate([tokens, marks]), np.concatenate([sizes, np.ones(len(marks), np.int64)]))
             slots[new] = np.arange(have, have + len(new))
         slot = slots[back]
         count = self.count[slot]
