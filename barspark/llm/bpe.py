@@ -51,13 +51,28 @@ def byte_of_letter() -> dict[str, int]:
 
 
 class Table:
-    """A map of whole numbers of at least 0, looked up for whole arrays: open addressing in a table that is at most a quarter full."""
+    """A map of whole numbers of at least 0, looked up and added to for whole arrays: open addressing in a table that is at most a quarter full."""
 
-    def __init__(self, entries: dict[int, int]):
-        bits = max(4, (4 * len(entries)).bit_length())
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        self.used = 0
+        self._resize(len(key))
+        self.add(key, value)
+
+    def _resize(self, n: int) -> None:
+        bits = max(4, (4 * n).bit_length())
         self.shift, self.mask = U64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
-        key, value = (np.fromiter(x, np.int64, len(entries)) for x in (entries.keys(), entries.values()))
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(U64) * U64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def add(self, key: np.ndarray, value: np.ndarray) -> None:
+        """Distinct keys that the table does not hold."""
+        self.used += len(key)
+        if 4 * self.used > len(self.keys):
+            there = self.keys >= 0
+            key, value = np.concatenate([self.keys[there], key]), np.concatenate([self.values[there], value])
+            self._resize(2 * self.used)
         slot = self._slot(key)
         while len(key):
             free = self.keys[slot] < 0
@@ -66,9 +81,6 @@ class Table:
             self.values[slot[placed]] = value[placed]
             key, value, slot = key[~placed], value[~placed], (slot[~placed] + 1) & self.mask
 
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return (key.astype(U64) * U64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-
     def get(self, key: np.ndarray) -> np.ndarray:
         """The value of each key, -1 where there is none."""
         slot = self._slot(key)
@@ -131,7 +143,7 @@ class Vocabulary:
                 if at == len(token):
                     token.append(-1)
             token[at] = i
-        self.token_at, self.steps = np.array(token, np.int64), Table(nodes)
+        self.token_at, self.steps = np.array(token, np.int64), Table(*(np.fromiter(x, np.int64, len(nodes)) for x in (nodes.keys(), nodes.values())))
         self.byte_id = np.array(self.of_byte, np.int64)
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.lengths = np.array([len(t) for t in self.bytes], np.int64)
@@ -354,12 +366,12 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot = Table(np.empty(0, np.int64), np.empty(0, np.int64))
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.first, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _remember(self, hashes: list[int], tokens: np.ndarray, sizes: np.ndarray) -> None:
-        have, n, more = len(self.slot), len(sizes), len(tokens)
+    def _remember(self, keys: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> None:
+        have, n, more = self.slot.used, len(sizes), len(tokens)
         while self.used + more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while have + n > len(self.first):
@@ -368,7 +380,7 @@ class Encoder:
         self.first[have : have + n] = self.used + np.cumsum(sizes) - sizes
         self.count[have : have + n] = sizes
         self.used += more
-        self.slot.update(zip(hashes, range(have, have + n)))
+        self.slot.add(keys, np.arange(have, have + n))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts one after another, and how many each has."""
@@ -384,12 +396,11 @@ class Encoder:
         cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         starts = cut_words(cp)
         lengths = np.diff(np.concatenate([starts, [len(cp)]]))
-        hashes = columns.segment_hashes(classes()[1][cp], starts, lengths)
-        if len(self.slot) > REMEMBERED:
+        hashes = (columns.segment_hashes(classes()[1][cp], starts, lengths) >> U64(1)).astype(np.int64)
+        if self.slot.used > REMEMBERED:
             self.forget()
         uniq, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = uniq.tolist()
-        slots = np.fromiter((self.slot.get(k, -1) for k in keys), np.int64, len(keys))
+        slots = self.slot.get(uniq)
         new = np.flatnonzero(slots < 0)
         if len(new):
             s, e = starts[where[new]].tolist(), (starts[where[new]] + lengths[where[new]]).tolist()
@@ -401,8 +412,8 @@ class Encoder:
             tokens, sizes = self.v.encode_words(data, first[~mark], end[~mark])
             new = np.concatenate([new[~mark], new[mark]])
             marks = np.full(int(mark.sum()), -1)
-            have = len(self.slot)
-            self._remember([keys[k] for k in new.tolist()], np.concatenate([tokens, marks]), np.concatenate([sizes, np.ones(len(marks), np.int64)]))
+            have = self.slot.used
+            self._remember(uniq[new], np.concatenate([tokens, marks]), np.concatenate([sizes, np.ones(len(marks), np.int64)]))
             slots[new] = np.arange(have, have + len(new))
         slot = slots[back]
         count = self.count[slot]
