@@ -51,21 +51,21 @@ def target_clamp(spark, sf_dir):
 _SMA = "(SELECT symbol, ts, close, avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS f, avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS s FROM bars_d)"
 _HELD = f"(SELECT symbol, ts, close, coalesce(last_value(CASE WHEN f > s THEN 1.0 WHEN f < s THEN 0.0 END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts), 0) AS w FROM {_SMA})"
 _GROWTH = f"(SELECT symbol, ts, 1 + coalesce(lag(w) OVER (PARTITION BY symbol ORDER BY ts) * (close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1), 0) AS g FROM {_HELD})"
-_LONG_FLAT = f"SELECT symbol, ts, {R('product(g) OVER (PARTITION BY symbol ORDER BY ts)')} AS growth FROM {_GROWTH}"
+LONG_FLAT = f"SELECT symbol, ts, {R('product(g) OVER (PARTITION BY symbol ORDER BY ts)')} AS growth FROM {_GROWTH}"
 
 
-@query("long_flat_closed_form", _LONG_FLAT)
+@query("long_flat_closed_form", LONG_FLAT)
 def long_flat_closed_form(spark, sf_dir):
     b = bars_d(spark, sf_dir)
-    held = b.join(st.sma_crossover(b, 5, 10), ["symbol", "ts"])
+    held = b.join(st.sma_crossover(b, fast=5, slow=10), ["symbol", "ts"])
     return bt.long_flat(held, F.col("weight")).select("symbol", "ts", r6(F.col("equity") / 100_000, "growth"))
 
 
-@query("backtest_fold", _LONG_FLAT)
+@query("backtest_fold", LONG_FLAT)
 def backtest_fold(spark, sf_dir):
     """The same strategy, a run per symbol, through the fold of cash and positions."""
     b = bars_d(spark, sf_dir).withColumn("volume", F.lit(1e12))
-    orders = bt.target_orders(st.sma_crossover(b, 5, 10).withColumn("run_id", F.col("symbol")))
+    orders = bt.target_orders(st.sma_crossover(b, fast=5, slow=10).withColumn("run_id", F.col("symbol")))
     got = bt.equity(bt.run(b.withColumn("run_id", F.col("symbol")), orders))
     return got.select(F.col("run_id").alias("symbol"), "ts", r6(F.col("equity") / 100_000, "growth"))
 
@@ -87,14 +87,14 @@ def backtest_orders(spark, sf_dir):
 def trade_at_next_open(spark, sf_dir):
     b = bars_d(spark, sf_dir)
     w = W.partitionBy("symbol").orderBy("ts")
-    held = st.sma_crossover(b, 5, 10).join(b, ["symbol", "ts"])
+    held = st.sma_crossover(b, fast=5, slow=10).join(b, ["symbol", "ts"])
     return held.select("symbol", "ts", F.lag("weight").over(w).alias("weight"), r6(ex.open_price().expr(), "fill_price"))
 
 
 @query("snapshot_metrics", f"SELECT symbol AS run_id, ts, {R('e - lag(e) OVER w')} AS pnl, {R('e / max(e) OVER w - 1')} AS drawdown FROM (SELECT symbol, ts, product(g) OVER (PARTITION BY symbol ORDER BY ts) AS e FROM {_GROWTH}) WINDOW w AS (PARTITION BY symbol ORDER BY ts)")
 def snapshot_metrics(spark, sf_dir):
     b = bars_d(spark, sf_dir)
-    held = b.join(st.sma_crossover(b, 5, 10), ["symbol", "ts"])
+    held = b.join(st.sma_crossover(b, fast=5, slow=10), ["symbol", "ts"])
     e = bt.long_flat(held, F.col("weight"), 1.0).withColumnRenamed("symbol", "run_id")
     return bt.snapshot_metrics(e).select("run_id", "ts", r6("pnl", "pnl"), r6("drawdown", "drawdown"))
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..plans import backtest as bt
 from ..plans import research as re_
 from ..plans import strategies as st
-from ..sources.bars import bars_d, bars_o
+from ..session import work_dir
+from ..sources import replay
+from ..sources.bars import bars_d, bars_h, bars_o
 from ..streaming import streams
 from . import R, query, r6
+from .engine import LONG_FLAT
 
 COMBOS = [{"fast": 2, "slow": 5}, {"fast": 3, "slow": 8}, {"fast": 4, "slow": 10}]
 
@@ -165,3 +171,48 @@ f(symbol, ts, i, y) AS (SELECT symbol, ts, i, value FROM n WHERE i = 1 UNION ALL
 SELECT symbol, ts, {R('y')} AS ema FROM f""")
 def stream_ema(spark, sf_dir):
     return streams.drain(streams.ema(streams.ticks(spark, sf_dir), 20), "append").select("symbol", "ts", r6("ema", "ema"))
+
+
+_TIMES = 7
+_COMMON = "(SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i FROM (SELECT ts FROM bars_h GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT symbol) FROM bars_h)))"
+
+
+def _replayed(spark, panel, name: str, times: int):
+    folder = f"{work_dir(spark)}/barspark/replay-{uuid.uuid4().hex[:12]}"
+    replay.prepare(panel, folder, times)
+    return replay.replay(spark, folder, times, name)
+
+
+@query("stream_replay", f"SELECT symbol, ts, i AS ordinal, {R('close')} AS close FROM bars_h JOIN {_COMMON} USING (ts)")
+def stream_replay(spark, sf_dir):
+    stream = _replayed(spark, bars_h(spark, sf_dir).select("symbol", "ts", "close"), "bars", 50)
+    return streams.drain(stream, "append", at_once=False).select("symbol", "ts", "ordinal", r6("close", "close"))
+
+
+@query("stream_monitor", f"SELECT i // 40 AS batch, count(*) AS rows, {R('sum(close)')} AS total, min(symbol) AS first_symbol FROM bars_h JOIN {_COMMON} USING (ts) GROUP BY 1")
+def stream_monitor(spark, sf_dir):
+    stream = _replayed(spark, bars_h(spark, sf_dir).select("symbol", "ts", "close"), "watched", 40)
+    stream = streams.watched(stream, "bars", total=F.sum("close"), first_symbol=F.min("symbol"))
+    _, seen = streams.monitored_drain(stream, "append", "bars", at_once=False)
+    return seen.select("batch", "rows", r6(F.col("metrics")["total"].cast("double"), "total"), F.col("metrics")["first_symbol"].alias("first_symbol"))
+
+
+@query("stream_backtest", LONG_FLAT)
+def stream_backtest(spark, sf_dir):
+    """backtest_fold's runs, some days a batch, with account and positions in the state store between batches."""
+    b = bars_d(spark, sf_dir).withColumn("volume", F.lit(1e12))
+    orders = bt.target_orders(st.sma_crossover(b, fast=5, slow=10).withColumn("run_id", F.col("symbol")))
+    lines = streams.as_text(bt.by_time(b.withColumn("run_id", F.col("symbol")), orders))
+    stream = _replayed(spark, lines.select(F.col("run_id").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), "bars", "orders"), "lines", _TIMES)
+    got = streams.drain(streams.backtest(stream.select(F.col("symbol").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), "bars", "orders")), "append", at_once=False)
+    return got.where("kind = 'equity'").select(F.col("run_id").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), r6(F.col("equity") / 100_000, "growth"))
+
+
+@query("stream_late", """WITH t AS (SELECT event_type AS symbol, time_bucket(INTERVAL 1 DAY, ts) AS ts FROM events)
+SELECT symbol, ts, count(*) AS n FROM t WHERE ts + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 3 HOURS GROUP BY ALL""")
+def stream_late(spark, sf_dir):
+    """Daily counts in append mode: a window comes out once the watermark has passed its end, and those still open do not."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = _replayed(spark, e.select(F.lit("all").alias("symbol"), "ts", F.col("event_type").alias("kind")), "late", 2_000)
+    rows = stream.select(F.col("kind").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"))
+    return streams.drain(streams.counts(rows, "1 day", "1 day", "3 hours"), "append", at_once=False)

@@ -80,12 +80,17 @@ def daily_signal_intraday(spark, sf_dir):
     return st.daily_signal_intraday(bars_h(spark, sf_dir), 5).select("symbol", "ts", "weight", r6("fill_price", "fill_price"))
 
 
-@query("regime_rotation")
+@query("regime_rotation", f"""WITH RECURSIVE a AS (SELECT symbol, ts, close, avg(close) OVER {_w(10)} AS f, avg(close) OVER {_w(250)} AS s, row_number() OVER ({_BY}) AS i FROM bars_o),
+g AS (SELECT *, sum((NOT close > s)::INT) OVER ({_BY}) AS ups, sum((NOT close < s)::INT) OVER ({_BY}) AS downs FROM a),
+n AS (SELECT *, count(*) FILTER (close > s) OVER (PARTITION BY symbol, ups ORDER BY ts) AS up, count(*) FILTER (close < s) OVER (PARTITION BY symbol, downs ORDER BY ts) AS down FROM g),
+r(symbol, ts, i, w) AS (SELECT symbol, ts, i, 0.0::DOUBLE FROM n WHERE i = 1 UNION ALL SELECT n.symbol, n.ts, n.i, CASE WHEN w = 1 AND close < f OR w = -1 AND close > f THEN 0.0 WHEN up >= 3 AND close > f THEN 1.0 WHEN down >= 3 AND close < f THEN -1.0 ELSE w END::DOUBLE FROM r JOIN n ON n.symbol = r.symbol AND n.i = r.i + 1)
+SELECT symbol, ts, w AS weight FROM r""")
 def regime_rotation(spark, sf_dir):
     return st.regime_rotation(bars_o(spark, sf_dir))
 
 
-@query("earnings_event")
+@query("earnings_event", f"""WITH e AS (SELECT b.symbol, b.ts, EXISTS (SELECT 1 FROM events x WHERE x.event_type = b.symbol AND x.ts >= b.ts - INTERVAL 3 HOURS AND x.ts <= b.ts) AS seen, row_number() OVER ({_BY}) AS i FROM bars_h b)
+SELECT symbol, ts, coalesce(i - max(CASE WHEN seen THEN i END) OVER ({_BY}) < 2, false)::INT::DOUBLE AS weight FROM e""")
 def earnings_event(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", F.col("event_type").alias("type"), F.col("event_type").alias("symbol"))
     return st.event_hold(bars_h(spark, sf_dir), e, "3 HOURS")

@@ -107,17 +107,31 @@ def range_join(bars: DataFrame, events: DataFrame, before: str, include_now: boo
     return keyed.unionByName(b.join(free, (b["_slot"] == free["_slot"]) & inside).drop("_slot"))
 
 
+#: Parts of a look-back, and shares of the symbols, that events without symbol are dealt by.
+PARTS, SHARES = 64, 16
+
+
 def has_event(bars: DataFrame, events: DataFrame, before: str, include_now: bool = True) -> DataFrame:
-    """bars' rows and has_event: whether range_join would pair them. The last event before each bar tells, so no pairs are made."""
-    slot, span = F.lit(_slot_micros(before)), F.expr(f"INTERVAL {before}")
+    """bars' rows and has_event: whether range_join would pair them. The last event before each bar tells, so no pairs are made.
+
+    Events without symbol serve all symbols: a bar's last one is in its own part of the look-back (an as-of join within part
+    and share of the symbols, where the part's events are few) or the last of the parts before (a line a part).
+    """
+    width = _slot_micros(before)
+    slot, span = F.lit(width), F.expr(f"INTERVAL {before}")
     out = bars.withColumn("_slot", F.floor(_micros(F.col("ts")) / slot))
     own = F.floor(_micros(F.col("ts")) / slot)
     e = events.select("symbol", "ts", F.col("ts").alias("_seen"), F.explode(F.array(own, own + 1)).alias("_slot"))
-    keyed, free = e.where("symbol is not null"), e.where("symbol is null").drop("symbol")
-    out = asof(out, keyed, ["symbol", "_slot"], values=["_seen"], strict=not include_now).withColumnRenamed("_seen", "_own")
-    out = asof(out, free, ["_slot"], values=["_seen"], strict=not include_now)
-    found = F.greatest("_own", "_seen") >= F.col("ts") - span
-    return out.withColumn("has_event", F.coalesce(found, F.lit(False))).drop("_slot", "_own", "_seen")
+    out = asof(out, e.where("symbol is not null"), ["symbol", "_slot"], values=["_seen"], strict=not include_now).withColumnRenamed("_seen", "_own")
+    part = F.floor(_micros(F.col("ts")) / F.lit(max(1, width // PARTS)))
+    free = events.where("symbol is null").select("ts", F.col("ts").alias("_seen"), part.alias("_part"))
+    out = out.withColumns({"_part": part, "_share": F.pmod(F.xxhash64("symbol"), F.lit(SHARES))})
+    last = free.groupBy("_part").agg(F.max("ts").alias("_t"))
+    last = last.select("_t", F.explode(F.sequence(F.col("_part") + 1, F.col("_part") + PARTS + 1)).alias("_part")).groupBy("_part").agg(F.max("_t").alias("_before"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))).alias("_share")
+    out = asof(out, free.select("*", every), ["_part", "_share"], values=["_seen"], strict=not include_now).join(last, "_part", "left")
+    found = F.greatest("_own", "_seen", "_before") >= F.col("ts") - span
+    return out.withColumn("has_event", F.coalesce(found, F.lit(False))).select(*bars.columns, "has_event")
 
 
 def events_between(events: DataFrame, start, end, symbol: str | None = None, kind: str | None = None) -> DataFrame:

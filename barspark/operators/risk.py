@@ -5,26 +5,143 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .recursive import along, Ema
+from ..session import ship
+from .recursive import Ema, along
 
 YEAR = 252
 
 
-def pairs(returns: DataFrame, value: str = "r") -> DataFrame:
-    """ts, a, b, x, y: the values of every two symbols (a <= b) at a time. A covariance needs them all; each time's symbols meet once, as an array."""
-    held = returns.where(F.col(value).isNotNull()).groupBy("ts").agg(F.array_sort(F.collect_list(F.struct("symbol", F.col(value).alias("v")))).alias("l"))
-    one = held.select("ts", "l", F.posexplode("l").alias("i", "p"))
-    two = one.select("ts", "p", F.explode(F.slice("l", F.col("i") + 1, F.size("l") - F.col("i"))).alias("q"))
-    return two.select("ts", F.col("p.symbol").alias("a"), F.col("q.symbol").alias("b"), F.col("p.v").alias("x"), F.col("q.v").alias("y"))
+#: Symbols of a block and times of a chunk, about.
+BLOCK, TIMES = 128, 1 << 16
+
+
+class Gram:
+    """Products of two blocks of symbols over the times that come, as matrices; symbols get a line or column as they appear."""
+
+    SUMS = ("n", "sx", "sy", "sxy")
+
+    def __init__(self, alpha: float | None):
+        self.alpha, self.rows, self.columns = alpha, {}, {}
+        self.held = {k: np.zeros((0, 0)) for k in (self.SUMS if alpha is None else ("n", "e", "first"))}
+
+    def _at(self, known: dict, symbols: list) -> np.ndarray:
+        return np.array([known.setdefault(s, len(known)) for s in symbols], np.int64)
+
+    def add(self, left: np.ndarray, symbols: list, ts: np.ndarray, values: np.ndarray) -> None:
+        """Rows of whole times, in their order; left: whether a row is of the first block (of the only one, if it is paired with itself), right the rest."""
+        times, t = np.unique(ts, return_inverse=True)
+        (i, j) = (self._at(k, [s for s, own in zip(symbols, side.tolist()) if own]) for k, side in ((self.rows, left[0]), (self.columns, left[1])))
+        shape = len(self.rows), len(self.columns)
+        self.held = {k: np.pad(v, [(0, n - m) for n, m in zip(shape, v.shape)]) for k, v in self.held.items()}
+        x, y = np.full((len(times), shape[0]), np.nan), np.full((len(times), shape[1]), np.nan)
+        x[t[left[0]], i], y[t[left[1]], j] = values[left[0]], values[left[1]]
+        a, b = ~np.isnan(x), ~np.isnan(y)
+        x, y = np.where(a, x, 0.0), np.where(b, y, 0.0)
+        a, b = a.astype(float), b.astype(float)
+        h = self.held
+        if self.alpha is None:
+            for k, p, q in zip(self.SUMS, (a, x, a, x), (b, b, y, y)):
+                h[k] += p.T @ q
+            return
+        for p, q, u, v in zip(x, y, a, b):
+            both = np.outer(u, v) > 0
+            product = np.outer(p, q)
+            new = both & (h["n"] == 0)
+            h["first"][new] = product[new]
+            h["e"] = np.where(both, np.where(new, product, h["e"] + self.alpha * (product - h["e"])), h["e"])
+            h["n"] += both
+
+    def lines(self, diagonal: bool) -> list[pa.Array]:
+        """a, b and what is held, of every pair that has met (of a block with itself: in order of name)."""
+        a, b = (np.array(list(k), object) for k in (self.rows, self.columns))
+        i, j = np.nonzero(self.held["n"])
+        if diagonal:
+            keep = a[i] <= b[j]
+            i, j = i[keep], j[keep]
+        swap = a[i] > b[j]
+        names = np.where(swap, b[j], a[i]), np.where(swap, a[i], b[j])
+        parts = {k: v[i, j] for k, v in self.held.items()}
+        if "sx" in parts:
+            parts["sx"], parts["sy"] = np.where(swap, parts["sy"], parts["sx"]), np.where(swap, parts["sx"], parts["sy"])
+        return [pa.array(names[0], pa.string()), pa.array(names[1], pa.string()), *(pa.array(v) for v in parts.values())]
+
+
+def _products(alpha: float | None, names: list[str]):
+    """Batches (_p, _q, _chunk, block, symbol, ts, v), sorted by the first three and ts, to lines of pairs: a batch and two blocks' products are held, whatever the times."""
+
+    def run(batches):
+        now, gram, rest = None, None, None
+
+        def feed(table):
+            block, p, q = (table.column(c).to_numpy() for c in ("block", "_p", "_q"))
+            gram.add((block == p, block == q), table.column("symbol").to_pylist(), table.column("ts").cast(pa.int64()).to_numpy(), table.column("v").to_numpy())
+
+        def done():
+            feed(rest)
+            made = gram.lines(now[0] == now[1])
+            return pa.RecordBatch.from_arrays([*made[:2], pa.array([now[2]] * len(made[0]), pa.int32()), *made[2:]], names=names)
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            key = np.stack([table.column(c).to_numpy() for c in ("_p", "_q", "_chunk")], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if i == j:
+                    continue
+                if now != tuple(key[i]):
+                    if now is not None:
+                        yield done()
+                    now, gram, rest = tuple(key[i].tolist()), Gram(alpha), None
+                part = table.slice(i, j - i)
+                part = part if rest is None else pa.concat_tables([rest, part])
+                ts = part.column("ts").cast(pa.int64()).to_numpy()
+                whole = int(np.searchsorted(ts, ts[-1]))  # the last time may go on in the next batch
+                if whole:
+                    feed(part.slice(0, whole))
+                rest = part.slice(whole)
+        if now is not None:
+            yield done()
+
+    return run
+
+
+def block_products(values: DataFrame, alpha: float | None = None, block: int = BLOCK, times: int = TIMES) -> DataFrame:
+    """a, b (a <= b), _chunk and sums over the times that both have, from values (symbol, ts, v): n, sx, sy, sxy; with alpha n, e and first (see ewma_covariance).
+
+    Symbols fall into blocks and times into chunks; a task multiplies two blocks over a chunk as matrices with masks of what
+    is there. A row goes to as many tasks as there are blocks, and a pair is a line a chunk, never a line a time.
+    """
+    ship(values.sparkSession)
+    values = values.where(F.col("v").isNotNull() & F.col("symbol").isNotNull() & F.col("ts").isNotNull())
+    counts = values.agg(F.approx_count_distinct("symbol").alias("s"), F.approx_count_distinct("ts").alias("t")).first()
+    blocks, chunks = max(1, -(-counts["s"] // block)), max(1, -(-counts["t"] // times))
+    rows = values.withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int"))
+    if chunks == 1:
+        rows = rows.withColumn("_chunk", F.lit(0))
+    else:  # chunks follow one another in time
+        cuts = values.agg(F.percentile_approx("ts", [i / chunks for i in range(1, chunks)]).alias("cuts"))
+        rows = rows.crossJoin(F.broadcast(cuts)).withColumn("_chunk", F.size(F.filter("cuts", lambda c: c < F.col("ts"))).cast("int")).drop("cuts")  # one line
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o")
+    rows = rows.select("*", other).select(F.least("block", "_o").alias("_p"), F.greatest("block", "_o").alias("_q"), "_chunk", "block", "symbol", "ts", "v")
+    sums = Gram.SUMS if alpha is None else ("n", "e", "first")
+    schema = "a string, b string, _chunk int, " + ", ".join(f"{s} double" for s in sums)
+    names = ["a", "b", "_chunk", *sums]
+    tasks = blocks * (blocks + 1) // 2 * chunks
+    return rows.repartition(tasks, "_p", "_q", "_chunk").sortWithinPartitions("_p", "_q", "_chunk", "ts").mapInArrow(_products(alpha, names), schema)
 
 
 def covariance(returns: DataFrame, value: str = "r", scale: float = 1.0) -> DataFrame:
-    """a, b (a <= b), cov over the times that both have."""
-    return pairs(returns, value).groupBy("a", "b").agg((F.covar_samp("x", "y") * scale).alias("cov"), F.count("*").alias("n"))
+    """a, b (a <= b), cov and n over the times that both have. Values are taken less their symbol's mean first, so sums of products keep their digits."""
+    values = returns.select("symbol", "ts", F.col(value).alias("v")).where("v is not null")
+    means = values.groupBy("symbol").agg(F.avg("v").alias("_m"))
+    sums = block_products(values.join(means, "symbol").select("symbol", "ts", (F.col("v") - F.col("_m")).alias("v")))
+    n, sx, sy, sxy = (F.sum(c) for c in Gram.SUMS)
+    return sums.groupBy("a", "b").agg(F.when(n > 1, (sxy - sx * sy / n) / (n - 1) * scale).alias("cov"), n.cast("long").alias("n"))
 
 
 def full(cov: DataFrame) -> DataFrame:
@@ -32,18 +149,39 @@ def full(cov: DataFrame) -> DataFrame:
     return cov.select("a", "b", "cov").unionByName(cov.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "cov"))
 
 
-def ewma_covariance(returns: DataFrame, span: float, value: str = "r") -> DataFrame:
-    """a, b, cov: the exponential average (half-life span / ln 2) of products of values less their own exponential averages, at the last time."""
-    halflife = span / math.log(2)
-    alpha = 1 - math.exp(-math.log(2) / halflife)
-    centred = along(returns.where(F.col(value).isNotNull()).select("symbol", "ts", F.col(value).alias("v")), {"m": ("v", lambda: Ema(2 / alpha - 1))})
-    products = pairs(centred.select("symbol", "ts", (F.col("v") - F.col("m")).alias("d")), "d").select(F.concat_ws("|", "a", "b").alias("symbol"), "a", "b", "ts", (F.col("x") * F.col("y")).alias("p"))
-    done = along(products, {"e": ("p", lambda: Ema(2 / alpha - 1))})
-    return done.groupBy("a", "b").agg(F.max_by("e", "ts").alias("cov"))
+def _decay(span: float) -> float:
+    """Of an average whose half-life is span / ln 2."""
+    return 1 - math.exp(-math.log(2) / (span / math.log(2)))
 
 
-def volatility(returns: DataFrame, value: str = "r") -> DataFrame:
-    return returns.groupBy("symbol").agg((F.stddev_samp(value) * math.sqrt(YEAR)).alias("vol"))
+def ewma_covariance(returns: DataFrame, span: float, value: str = "r") -> DataFrame:
+    """a, b, cov: the exponential average (half-life span / ln 2) of products of values less their own exponential averages, at the last time.
+
+    Of each chunk of times come the number of products n, the average e as if it began there, and the first product: put after
+    an average y, the chunk leads to (1 - alpha)^n * (y - first) + e.
+    """
+    alpha = _decay(span)
+    values = returns.where(F.col(value).isNotNull()).select("symbol", "ts", F.col(value).alias("v"))
+    centred = along(values, {"m": ("v", lambda: Ema(2 / alpha - 1))})
+    parts = block_products(centred.select("symbol", "ts", (F.col("v") - F.col("m")).alias("v")), alpha)
+    chunks = parts.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("_chunk", "n", "e", "first"))).alias("l"))  # a line a chunk
+    step = lambda y, c: F.when(y.isNull(), c["e"]).otherwise(F.pow(F.lit(1 - alpha), c["n"]) * (y - c["first"]) + c["e"])
+    return chunks.select("a", "b", F.aggregate("l", F.lit(None).cast("double"), step).alias("cov"))
+
+
+def volatility(returns: DataFrame, value: str = "r", span: float | None = None) -> DataFrame:
+    """symbol, vol: the yearly sample standard deviation, of all values alike or, with span, exponentially weighted (half-life span / ln 2, without bias) at the last time; missing values do not count."""
+    if span is None:
+        return returns.groupBy("symbol").agg((F.stddev_samp(value) * math.sqrt(YEAR)).alias("vol"))
+    alpha = _decay(span)
+    q = 1 - alpha
+    values = returns.where(F.col(value).isNotNull()).select("symbol", "ts", F.col(value).alias("v"))
+    centred = values.join(values.groupBy("symbol").agg(F.avg("v").alias("_m")), "symbol").select("symbol", "ts", (F.col("v") - F.col("_m")).alias("x"))
+    kernel = lambda: Ema(2 / alpha - 1)
+    last = along(centred.withColumn("xx", F.col("x") * F.col("x")), {"e1": ("x", kernel), "e2": ("xx", kernel)}).groupBy("symbol").agg(F.max_by(F.struct("e1", "e2"), "ts").alias("e"), F.count("*").alias("n"))
+    tail = F.pow(F.lit(q * q), F.col("n") - 1)
+    weights = tail + alpha * alpha * (1 - tail) / (1 - q * q)  # the sum of squared weights
+    return last.select("symbol", F.when(F.col("n") > 1, F.sqrt(F.greatest(F.lit(0.0), F.col("e.e2") - F.col("e.e1") * F.col("e.e1")) / (1 - weights) * YEAR)).alias("vol"))
 
 
 def shrink(cov: DataFrame, method: str = "oas") -> DataFrame:

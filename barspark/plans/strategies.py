@@ -8,13 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import factors as fx
 from ..functions.expr import Expr, col, compile
 from ..operators import filters, signals
 from ..operators import panel as pn
 from ..sources import bars as bars_of
+from . import custom
 
 
 def _cross() -> W:
@@ -138,71 +138,13 @@ def daily_signal_intraday(intraday: DataFrame, n: int = 20) -> DataFrame:
     return df.where("last and m is not null").select("symbol", "ts", (F.col("close") > F.col("m")).cast("double").alias("weight"), "fill_price")
 
 
-def regime_kernel(fast: int = 10, slow: int = 250, bars: int = 3):
-    """A three-state automaton per symbol, fed (close, fast average, slow average): 1 after `bars` closes above the slow average, -1 after as many below, 0 when the close breaks the fast average against the state."""
-
-    class Regime:
-        def __init__(self):
-            self.state, self.up, self.down = 0.0, 0, 0
-
-        def step(self, close, f, s):
-            self.up = self.up + 1 if close > s else 0
-            self.down = self.down + 1 if close < s else 0
-            if self.state == 1.0 and close < f or self.state == -1.0 and close > f:
-                self.state = 0.0
-            elif self.up >= bars and close > f:
-                self.state = 1.0
-            elif self.down >= bars and close < f:
-                self.state = -1.0
-            return self.state
-
-    return Regime
-
-
-def _stateful(df: DataFrame, inputs: list[str], kernel, name: str) -> DataFrame:
-    """df (symbol, ts, inputs) with what kernel().step gives for each row in time order; a symbol's rows stream through one task."""
-    import pyarrow as pa
-
-    from ..session import ship
-
-    ship(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
-    at, ins = df.columns.index("symbol"), [df.columns.index(c) for c in inputs]
-
-    def run(batches):
-        now, k = object(), None
-        for batch in batches:
-            out = []
-            for s, *v in zip(batch.column(at).to_pylist(), *(batch.column(i).to_pylist() for i in ins)):
-                if s != now:
-                    now, k = s, kernel()
-                out.append(k.step(*v))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=schema.names)
-
-    return df.repartition("symbol").sortWithinPartitions("symbol", "ts").mapInArrow(run, schema)
-
-
 def regime_rotation(panel: DataFrame, fast: int = 10, slow: int = 250, bars: int = 3) -> DataFrame:
+    """A three-state automaton per symbol, see custom.RegimeRotation."""
     df = compile(panel, {"close": col("close"), "f": fx.sma(fast), "s": fx.sma(slow)})
-    return _stateful(df, ["close", "f", "s"], regime_kernel(fast, slow, bars), "weight").select("symbol", "ts", "weight")
+    return custom.weights(df, custom.RegimeRotation, bars=bars)
 
 
 def event_hold(panel: DataFrame, events: DataFrame, look_back: str = "3 DAYS", bars: int = 2) -> DataFrame:
-    """1 from a bar that sees an event in the look-back until `bars` bars later; a visible event starts the count again."""
-
-    class Hold:
-        def __init__(self):
-            self.left = 0
-
-        def step(self, seen):
-            if seen:
-                self.left = bars
-                return 1.0
-            if self.left > 0:
-                self.left -= 1
-            return 1.0 if self.left > 0 else 0.0
-
+    """1 from a bar that sees an event in the look-back until `bars` bars later; see custom.EventHold."""
     df = pn.has_event(panel.select("symbol", "ts"), events, look_back).withColumnRenamed("has_event", "seen")
-    return _stateful(df, ["seen"], Hold, "weight").select("symbol", "ts", "weight")
-
-
+    return custom.weights(df, custom.EventHold, bars=bars)

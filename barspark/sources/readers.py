@@ -7,6 +7,7 @@ read are filtered; sorting is left to the sink. Missing is NULL.
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,37 +89,55 @@ def load_parquet(spark: SparkSession, path: str, symbol: str | None = None, tz:
 
 
 def _files(spark: SparkSession, path: str) -> list[str]:
-    """Paths of a folder's CSV and Parquet files, as Spark lists them (no content is read)."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,parquet}").load(path).select("path")
+    """Paths of a folder's CSV and Parquet files (whatever the case of their ends), as Spark lists them; no content is read."""
+    listed = spark.read.format("binaryFile").load(path).select("path").where(F.lower("path").rlike(r"\.(csv|parquet)$"))
     return sorted(r["path"] for r in listed.collect())
 
 
+#: Files whose first lines are asked for at once.
+OPENED = 32
+
+
+def first_line(spark: SparkSession, file: str) -> str:
+    """A file's first line, from whatever store Spark reads: the file is opened and read no further than a buffer."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(file)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where), "UTF-8"))
+    try:
+        return (reader.readLine() or "").removeprefix("\ufeff")
+    finally:
+        reader.close()
+
+
 def _by_header(spark: SparkSession, files: list[str]) -> list[list[str]]:
-    """CSV files in groups of one first line each (a line a file comes to the driver)."""
-    lines = spark.read.text(files).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    """CSV files in groups of one first line each. The lines (one a file, as its path is) come to the driver, many at a time."""
     groups: dict[str, list[str]] = {}
-    for r in first.collect():
-        groups.setdefault(r["header"], []).append(r["file"])
+    with ThreadPoolExecutor(OPENED) as pool:
+        for file, line in zip(files, pool.map(lambda f: first_line(spark, f), files)):
+            groups.setdefault(line, []).append(file)
     return [sorted(g) for _, g in sorted(groups.items())]
 
 
-def load_directory(spark: SparkSession, path: str, kind: str | None = None, symbols: list[str] | None = None, tz: str | None = None) -> DataFrame:
+def load_directory(spark: SparkSession, path: str, kind: str | None = None, symbols: list[str] | None = None, tz: str | None = None, start=None, end=None) -> DataFrame:
     """Bars of every CSV and Parquet file of a folder (of one kind, if named), the symbol from the file's name. Of two files of one symbol the last name wins.
 
-    Each CSV file is read by its own header: files with one header make a scan, and the scans are united by name. Parquet files
-    are one scan by column names. A column's type may differ between Parquet files as far as Spark merges it.
+    symbols leave out files before any is opened; start and end bound the times of rows, both included. Each CSV file is read
+    by its own header: files with one header make a scan, and the scans are united by name. Parquet files are one scan by
+    column names. A column's type may differ between Parquet files as far as Spark merges it.
     """
-    chosen = {symbol_of(f): f for f in _files(spark, path) if kind is None or f.endswith(f".{kind}")}
+    ends = lambda f, k: f.lower().endswith(f".{k}")
+    chosen = {symbol_of(f): f for f in _files(spark, path) if kind is None or ends(f, kind.lower())}
     wanted = None if symbols is None else {s.upper() for s in symbols}
     files = sorted(f for s, f in chosen.items() if wanted is None or s in wanted)
-    tables, parquet = [f for f in files if f.endswith(".csv")], [f for f in files if f.endswith(".parquet")]
+    tables, parquet = [f for f in files if ends(f, "csv")], [f for f in files if ends(f, "parquet")]
     parts = [_bars_of_files(spark.read.option("header", True).csv(group), tz) for group in (_by_header(spark, tables) if tables else [])]
     if parquet:
         parts.append(_bars_of_files(spark.read.option("mergeSchema", True).parquet(*parquet), tz))
     if not parts:
         raise ValueError(f"no bars in {path}")
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    out = reduce(lambda a, b: a.unionByName(b), parts)
+    bounds = [F.col("ts") >= F.lit(start).cast("timestamp_ntz")] * (start is not None) + [F.col("ts") <= F.lit(end).cast("timestamp_ntz")] * (end is not None)
+    return reduce(DataFrame.where, bounds, out)
 
 
 def _bars_of_files(raw: DataFrame, tz: str | None) -> DataFrame:
@@ -168,6 +187,10 @@ def from_pandas(spark: SparkSession, frame, symbol: str) -> DataFrame:
     return normalize(spark.createDataFrame(frame), volume_required=False).withColumn("symbol", F.lit(symbol.upper()))
 
 
-def replay(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """A stream of bars from Parquet files as they come, oldest first."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("latestFirst", False).parquet(path)
+def from_arrow(spark: SparkSession, table, symbol: str) -> DataFrame:
+    """An Arrow table, or a frame that gives one (to_arrow(), as polars' do, or the Arrow stream protocol), with a column of times."""
+    import pyarrow as pa
+
+    if not isinstance(table, pa.Table):
+        table = table.to_arrow() if hasattr(table, "to_arrow") else pa.table(table)
+    return normalize(spark.createDataFrame(table), volume_required=False).withColumn("symbol", F.lit(symbol.upper()))

@@ -196,7 +196,7 @@ def test_price_models():
 
 def test_stream_backtest_equals_batch(spark, tmp_path):
     b = bars(spark, [100, 102, 101, 105, 103, 107, 110, 108], "A")
-    o = bt.target_orders(strategies.sma_crossover(b, 2, 4))
+    o = bt.target_orders(strategies.sma_crossover(b, fast=2, slow=4))
     batch = [r["equity"] for r in bt.equity(bt.run(b, o)).orderBy("ts").collect()]
     lines = bt.by_time(b, o)
     lines.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "lines"))
