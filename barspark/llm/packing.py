@@ -89,10 +89,17 @@ def with_ends(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def id_type(vocabulary: bpe.Vocabulary) -> np.dtype:
+    """How ids travel: in two bytes where all ids of the vocabulary fit."""
+    return np.dtype("<u2" if vocabulary.size <= 1 << 16 else "<u4")
+
+
 def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 13) -> DataFrame:
-    """id_col, start, doc_tokens, key, ids: each document's ids in rows of at most CHUNK tokens."""
+    """id_col, start, doc_tokens, key, ids: each document's ids in rows of at most CHUNK tokens, as little-endian integers of id_type()."""
     ship(df.sparkSession)
-    vocabulary = df.sparkSession.sparkContext.broadcast(bpe.load(path))  # a vocabulary file of a few MB
+    loaded = bpe.load(path)
+    vocabulary = df.sparkSession.sparkContext.broadcast(loaded)  # a vocabulary file of a few MB
+    kind = id_type(loaded)
     matrix = projection(seed)
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("start", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("key", T.LongType()), T.StructField("ids", T.BinaryType())])
 
@@ -107,7 +114,7 @@ def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                 doc = np.repeat(np.arange(len(sizes)), rows)
                 start = (np.arange(len(doc)) - np.repeat(np.cumsum(rows) - rows, rows)) * CHUNK
                 first = (np.cumsum(sizes) - sizes)[doc] + start
-                stream = columns.large_strings(stream.astype("<u4").view(np.uint8), np.append(first, sizes.sum()) * 4, pa.large_binary())
+                stream = columns.large_strings(stream.astype(kind).view(np.uint8), np.append(first, sizes.sum()) * kind.itemsize, pa.large_binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(start), pa.array(sizes[doc]), pa.array(key[doc]), stream.cast(pa.binary())], names=schema.names)
 
     return df.select(id_col, text_col).mapInArrow(run, schema)
@@ -155,7 +162,7 @@ class Stream:
         return out
 
 
-def _packed(length: int, names: list[str]):
+def _packed(length: int, names: list[str], kind: np.dtype):
     def run(batches):
         stream, base, empty = Stream(length), TaskContext.get().partitionId() * TASK, None
 
@@ -166,7 +173,7 @@ def _packed(length: int, names: list[str]):
         for b in batches:
             data, offsets = columns.buffers(b.column(3))
             empty = b.column(0).slice(0, 0)
-            yield rows(stream.cut(b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy(), data.view("<u4"), np.diff(offsets) // 4))
+            yield rows(stream.cut(b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy(), data.view(kind).astype("<u4"), np.diff(offsets) // kind.itemsize))
         if empty is not None:
             none = np.empty(0, np.int64)
             yield rows(stream.cut(empty, none, none, none.astype("<u4"), none, last=True))
@@ -181,7 +188,7 @@ def pack(df: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id",
     names = [id_col, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in names[1:-1]], T.StructField("ids", T.BinaryType())])
     order = rows.repartitionByRange(max(1, -(-total // range_tokens)), "key", "row").sortWithinPartitions("key", "row")
-    return order.select(id_col, "start", "doc_tokens", "ids").mapInArrow(_packed(length, names), schema)
+    return order.select(id_col, "start", "doc_tokens", "ids").mapInArrow(_packed(length, names, id_type(bpe.load(path))), schema)
 
 
 def sequences(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
