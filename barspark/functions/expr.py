@@ -113,8 +113,7 @@ class Expr:
 
     # A symbol's whole history.
     def winsorize(self, lower: float = 0.01, upper: float = 0.99):
-        lo = _window(WHOLE, ("quantile", lower), lambda c: F.percentile(c, F.lit(lower)).over(_history()), self)
-        hi = _window(WHOLE, ("quantile", upper), lambda c: F.percentile(c, F.lit(upper)).over(_history()), self)
+        lo, hi = (_window(WHOLE, ("quantile", q), None, self) for q in (lower, upper))  # compile() joins them in
         return _row("clip", lambda c, a, b: F.when(c.isNotNull(), F.least(F.greatest(c, a), b)), self, lo, hi)
 
     def normalize(self, method: str = "minmax"):
@@ -194,6 +193,14 @@ def align(panel: DataFrame) -> DataFrame:
     return times.crossJoin(symbols).join(panel, ["symbol", "ts"], "left")
 
 
+def _with_quantile(df: DataFrame, c: Column, point: float, name: str) -> DataFrame:
+    """df with the quantile of a column over each symbol's history: a line a symbol, joined back."""
+    from ..operators.quantiles import quantiles
+
+    q = quantiles(df.select("symbol", c.alias("_v")), ["symbol"], "_v", [point]).select(F.col("symbol").alias("_of"), F.get("q", F.lit(0)).alias(name))
+    return df.join(q, F.col("symbol").eqNullSafe(F.col("_of")), "left").drop("_of")
+
+
 def compile(panel: DataFrame, exprs: dict[str, Expr], keep: list[str] | None = None) -> DataFrame:
     """The panel's rows (those of the grid where an expression needs it) with a column per expression."""
     order: list[Expr] = []
@@ -237,7 +244,11 @@ def compile(panel: DataFrame, exprs: dict[str, Expr], keep: list[str] | None = N
                 if k not in names:
                     names[k] = f"_r{len(names)}"
                     df = df.withColumn(names[k], value(a))
-            df = df.withColumns({names[e.key]: e.make(*(F.col(names[a.key]) if a.key in names else value(a, False) for a in e.args)) for e in here})
+            of = lambda e: [F.col(names[a.key]) if a.key in names else value(a, False) for a in e.args]  # noqa: E731, B023
+            ranked = [e for e in here if e.key[:2] == (WHOLE, "quantile")]
+            df = df.withColumns({names[e.key]: e.make(*of(e)) for e in here if e not in ranked})
+            for e in ranked:
+                df = _with_quantile(df, of(e)[0], e.key[2], names[e.key])
         return df
 
     df = run(panel, [e for e in order if not after_grid(e)])

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .prefix import running
+from .quantiles import quantiles
 
 YEAR = 252
 
@@ -144,15 +145,16 @@ def trade_summary(trades: DataFrame) -> DataFrame:
     win, loss = F.col("pnl") > 0, F.col("pnl") < 0
     rate = F.avg(win.cast("double"))
     avg_win, avg_loss = F.coalesce(F.avg(F.when(win, F.col("pnl"))), F.lit(0.0)), F.coalesce(F.avg(F.when(loss, F.col("pnl"))), F.lit(0.0))
-    whole = trades.agg(F.count("*").alias("trades"), rate.alias("win_rate"), avg_win.alias("avg_win"), avg_loss.alias("avg_loss"), (rate * avg_win + (1 - rate) * avg_loss).alias("expectancy"), F.percentile("duration", F.lit(0.5)).alias("median_duration"))
-    return whole.crossJoin(F.broadcast(runs))  # one line each
+    whole = trades.agg(F.count("*").alias("trades"), rate.alias("win_rate"), avg_win.alias("avg_win"), avg_loss.alias("avg_loss"), (rate * avg_win + (1 - rate) * avg_loss).alias("expectancy"))
+    median = quantiles(trades, [], "duration", [0.5]).select(F.get("q", F.lit(0)).alias("median_duration"))
+    return whole.crossJoin(F.broadcast(median)).crossJoin(F.broadcast(runs))  # one line each
 
 
 def trade_distribution(trades: DataFrame, column: str = "pnl") -> DataFrame:
     """quantile, value at .1 .25 .5 .75 .9, interpolated linearly."""
     points = [0.1, 0.25, 0.5, 0.75, 0.9]
-    q = trades.agg(F.percentile(column, F.array(*[F.lit(p) for p in points])).alias("v"))
-    return q.select(F.posexplode("v").alias("i", "value")).select(F.element_at(F.array(*[F.lit(p) for p in points]), F.col("i") + 1).alias("quantile"), "value")
+    q = quantiles(trades, [], column, points)
+    return q.select(F.posexplode("q").alias("i", "value")).select(F.element_at(F.array(*[F.lit(p) for p in points]), F.col("i") + 1).alias("quantile"), "value")
 
 
 def size_turnover(trades: DataFrame, unit: str = "month") -> DataFrame:

@@ -7,6 +7,7 @@ other callable is planned once for each parameter set).
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections.abc import Callable, Sequence
@@ -14,13 +15,15 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import results as rs
 from ..operators.panel import ordinals
-from ..session import saved
+from ..operators.prefix import running
+from ..session import saved, ship
 from . import backtest as bt
 from .strategies import Rule
 
@@ -251,23 +254,54 @@ def _searched(panel: DataFrame, strategy: Strategy, combos: list[dict], how: Eva
     return ranked(found.select("*", *own))
 
 
-def bootstrap(equity: DataFrame, samples: int, seed: int = 0) -> DataFrame:
+#: Returns that are sent whole to every task (8 bytes each); a longer curve's are joined instead.
+SENT = 1 << 21
+
+
+def bootstrap(equity: DataFrame, samples: int, seed: int = 0, sent: int = SENT) -> DataFrame:
     """sample, total_return, max_drawdown of equity curves whose returns are drawn with replacement.
 
-    A draw's place comes from an MD5 of seed, sample and position, so any executor repeats it; draws meet the numbered returns in an equi-join.
+    A draw's place comes from an MD5 of seed, sample and position, so any executor repeats it. Of a curve of up to `sent` returns
+    every task draws its samples from a copy; the draws of a longer one meet the numbered returns in an equi-join.
     """
-    r = rs.with_returns(equity).where("r is not null").withColumn("i", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("ts")) - 1).select("i", "r")
-    n = r.count()
+    spark = equity.sparkSession
+    ship(spark)
+    at = saved(equity.select("ts", "equity").join(ordinals(equity), "ts").select(F.col("ordinal").cast("long").alias("i"), "equity"), "bootstrap-curve")
+    before = at.select((F.col("i") + 1).alias("i"), F.col("equity").alias("_b"))
+    r = at.join(before, "i").select((F.col("i") - 1).alias("i"), (F.try_divide("equity", "_b") - 1).alias("r"))
+    if r.where("r is null").isEmpty():
+        numbered = saved(r, "bootstrap-returns")
+    else:  # what is missing takes no number
+        numbered = saved(running(r.where("r is not null"), "i", [], {"_n": F.lit(1)}).select((F.col("_n") - 1).cast("long").alias("i"), "r"), "bootstrap-returns")
+    n = numbered.count()
+    if n <= sent:
+        drawn = spark.sparkContext.broadcast(np.array([x["r"] for x in numbered.orderBy("i").collect()], float))  # `sent` at most
+        return spark.range(0, samples, 1, max(1, min(samples, spark.sparkContext.defaultParallelism * 4))).mapInArrow(_draws(drawn, n, seed), "sample long, total_return double, max_drawdown double")
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), "sample", "position"))
     u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    draws = equity.sparkSession.range(samples * n).select(F.floor(F.col("id") / n).alias("sample"), (F.col("id") % n).alias("position"))
-    draws = draws.withColumn("i", F.floor(u * n).cast("int")).join(r, "i")
+    draws = spark.range(samples * n).select(F.floor(F.col("id") / n).alias("sample"), (F.col("id") % n).alias("position"))
+    draws = draws.withColumn("i", F.floor(u * n)).join(numbered, "i")
     w = W.partitionBy("sample").orderBy("position").rowsBetween(W.unboundedPreceding, 0)
     e = draws.withColumn("e", F.product(F.lit(1.0) + F.col("r")).over(w))
     e = e.withColumn("d", F.col("e") / F.greatest(F.max("e").over(w), F.lit(1.0)) - 1)
     return e.groupBy("sample").agg((F.max_by("e", "position") - 1).alias("total_return"), F.min("d").alias("max_drawdown"))
 
 
+def _draws(returns, n: int, seed: int):
+    def run(batches):
+        r = returns.value
+        for batch in batches:
+            out = []
+            for s in batch.column(0).to_pylist() if n else ():
+                head = f"{seed}|{s}|".encode()
+                u = np.array([int(hashlib.md5(head + str(p).encode()).hexdigest()[:13], 16) for p in range(n)], np.float64) / (1 << 52)
+                e = np.cumprod(1.0 + r[np.floor(u * n).astype(np.int64)])
+                out.append((s, e[-1] - 1, (e / np.maximum(np.maximum.accumulate(e), 1.0) - 1).min()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64()))], names=["sample", "total_return", "max_drawdown"])
+
+    return run
+
+
 def multi_start(panel: DataFrame, strategy: Strategy, times: int, **parameters) -> DataFrame:
     """Equal runs, `times` of them: their number, mean and best final equity. An equal run is a combination of equal parameters."""
     s = sweep(panel, strategy, [parameters] * times)
