@@ -70,17 +70,28 @@ def backtest_fold(spark, sf_dir):
     return got.select(F.col("run_id").alias("symbol"), "ts", r6(F.col("equity") / 100_000, "growth"))
 
 
-@query("backtest_orders")
+_ORDERED = """(SELECT *, coalesce(CASE k WHEN 1 THEN true WHEN 2 THEN low <= p AND p <= high WHEN 3 THEN hit ELSE hit AND low <= p AND p <= high END, false) AS fires, CASE k WHEN 2 THEN p WHEN 3 THEN p * 1.02 WHEN 4 THEN p END AS given
+FROM (SELECT *, CASE WHEN z > 0 THEN high >= p * 1.02 ELSE low <= p * 1.02 END AS hit FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS p, day(ts) % 4 + 1 AS k, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i,
+greatest(least(CASE WHEN day(ts) % 3 = 0 THEN -5.0 ELSE 5.0 END, volume), -volume)::DOUBLE AS z, CASE WHEN symbol = '2-HIGH' AND month(ts) = 3 AND day(ts) = 15 THEN 2.0 ELSE 1.0 END::DOUBLE AS split FROM bars_o)))"""
+
+
+@query("backtest_orders", f"""WITH RECURSIVE o AS (SELECT * FROM {_ORDERED}),
+r(symbol, ts, i, cash, pos, size, price, fee, close) AS (SELECT DISTINCT symbol, NULL::TIMESTAMP, 0::BIGINT, 1000000.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM o
+UNION ALL SELECT symbol, ts, i, CASE WHEN abs(size) > 1e-12 THEN cash - size * price - abs(size) * 0.01 ELSE cash END, CASE WHEN abs(size) <= 1e-12 THEN pos WHEN abs(pos + size) < 1e-10 THEN 0.0 ELSE pos + size END, size, price, abs(size) * 0.01, close
+  FROM (SELECT *, coalesce(given, close * (1 + CASE WHEN size > 0 THEN 1.0 ELSE -1.0 END * 0.0025)) AS price FROM (SELECT o.symbol, o.ts, o.i, o.close, o.given, r.cash, r.pos * o.split AS pos, CASE WHEN NOT fires THEN 0.0 WHEN z > 0 THEN least(z, r.cash / o.close) ELSE greatest(z, -abs(r.pos * o.split)) END::DOUBLE AS size FROM r JOIN o ON o.symbol = r.symbol AND o.i = r.i + 1))),
+e AS (SELECT *, cash + pos * close AS equity FROM r WHERE i > 0)
+SELECT symbol AS run_id, 'fill' AS kind, ts, {R('size')} AS size, {R('price')} AS price, {R('fee')} AS fee, NULL::DOUBLE AS equity, NULL::DOUBLE AS cash, NULL::DOUBLE AS positions_value, NULL::DOUBLE AS pnl, NULL::DOUBLE AS drawdown FROM e WHERE abs(size) > 1e-12
+UNION ALL SELECT symbol, 'equity', ts, NULL, NULL, NULL, {R('equity / 1e6')}, {R('cash / 1e6')}, {R('pos * close / 1e6')}, {R('(equity - coalesce(lag(equity) OVER w, 1000000)) / 1e6')}, {R('equity / greatest(max(equity) OVER w, 1000000) - 1')} FROM e WINDOW w AS (PARTITION BY symbol ORDER BY ts)""")
 def backtest_orders(spark, sf_dir):
-    """One run over all symbols, with limit and stop orders, fees, slippage, volume limits and a split: fills and snapshots."""
-    b = bars_d(spark, sf_dir).withColumn("volume", F.col("volume") * 10)
+    """A run a symbol, with market, limit, stop and stop-limit orders, fees, slippage, volume limits and a split: fills and snapshots."""
+    b = bars_o(spark, sf_dir)
     p = F.lag("close").over(W.partitionBy("symbol").orderBy("ts"))
     kind = F.element_at(F.array(*[F.lit(x) for x in ("MARKET", "LIMIT", "STOP", "STOP_LIMIT")]), (F.dayofmonth("ts") % 4 + 1).cast("int"))
-    orders = b.select(F.lit("run").alias("run_id"), "ts", F.row_number().over(W.partitionBy("ts").orderBy("symbol")).alias("seq"), "symbol", kind.alias("order_type"), F.when(F.dayofmonth("ts") % 3 == 0, F.lit(-5.0)).otherwise(F.lit(5.0)).alias("size"), p.alias("limit_price"), (p * 1.02).alias("stop_price"))
-    splits = spark.createDataFrame([("click", "2024-01-15", 2.0)], "symbol string, date string, ratio double").withColumn("date", F.to_date("date"))
-    rules = bt.Rules(slippage=ex.bps_slippage(25), fees=ex.per_share_fees(0.01), volume=ex.volume_limit(0.1))
-    got = bt.run(b, orders, rules, splits=splits)
-    return got.select("kind", "symbol", "ts", *[r6(c, c) for c in ("size", "price", "fee", "equity", "cash", "positions_value", "leverage", "pnl", "drawdown")])
+    orders = b.select(F.col("symbol").alias("run_id"), "ts", F.lit(0).alias("seq"), "symbol", kind.alias("order_type"), F.when(F.dayofmonth("ts") % 3 == 0, F.lit(-5.0)).otherwise(F.lit(5.0)).alias("size"), p.alias("limit_price"), (p * 1.02).alias("stop_price"))
+    splits = b.where("symbol = '2-HIGH' and month(ts) = 3 and day(ts) = 15").select("symbol", F.to_date("ts").alias("date"), F.lit(2.0).alias("ratio"))
+    rules = bt.Rules(capital=1_000_000.0, slippage=ex.bps_slippage(25), fees=ex.per_share_fees(0.01), volume=ex.volume_limit(1.0))
+    got = bt.run(b.withColumn("run_id", F.col("symbol")), orders, rules, splits=splits)
+    return got.select("run_id", "kind", "ts", *[r6(c, c) for c in ("size", "price", "fee", "drawdown")], *[r6(F.col(c) / 1e6, c) for c in ("equity", "cash", "positions_value", "pnl")])
 
 
 @query("trade_at_next_open", f"SELECT symbol, ts, lag(w) OVER (PARTITION BY symbol ORDER BY ts)::DOUBLE AS weight, {R('open')} AS fill_price FROM (SELECT h.symbol, h.ts, w, open FROM {_HELD} h JOIN bars_d USING (symbol, ts))")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,27 +53,33 @@ class SizedModel:
 
     expr: Callable[[Column, Column], Column]
     scalar: Callable[[float, float | None], float]
+    array: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None  # the same over arrays (NaN: missing); without it scalar() is called for each
+
+    def vector(self, size: np.ndarray, other: np.ndarray) -> np.ndarray:
+        if self.array is not None:
+            return self.array(size, other)
+        return np.array([self.scalar(a, None if b != b else b) for a, b in zip(size.tolist(), other.tolist())], float)
 
 
 def no_slippage() -> SizedModel:
-    return SizedModel(lambda size, close: close, lambda size, close: close)
+    return SizedModel(lambda size, close: close, lambda size, close: close, lambda size, close: close)
 
 
 def bps_slippage(bps: float) -> SizedModel:
     """The close, worse by so many hundredths of a per cent."""
-    return SizedModel(lambda size, close: close * (1 + F.when(size > 0, F.lit(1.0)).otherwise(F.lit(-1.0)) * (bps / 1e4)), lambda size, close: close * (1 + (1.0 if size > 0 else -1.0) * bps / 1e4))
+    return SizedModel(lambda size, close: close * (1 + F.when(size > 0, F.lit(1.0)).otherwise(F.lit(-1.0)) * (bps / 1e4)), lambda size, close: close * (1 + (1.0 if size > 0 else -1.0) * bps / 1e4), lambda size, close: close * (1 + np.where(size > 0, 1.0, -1.0) * bps / 1e4))
 
 
 def no_fees() -> SizedModel:
-    return SizedModel(lambda size, price: F.lit(0.0), lambda size, price: 0.0)
+    return SizedModel(lambda size, price: F.lit(0.0), lambda size, price: 0.0, lambda size, price: np.zeros(len(size)))
 
 
 def per_share_fees(rate: float) -> SizedModel:
-    return SizedModel(lambda size, price: F.abs(size) * rate, lambda size, price: abs(size) * rate)
+    return SizedModel(lambda size, price: F.abs(size) * rate, lambda size, price: abs(size) * rate, lambda size, price: np.abs(size) * rate)
 
 
 def percentage_fees(rate: float) -> SizedModel:
-    return SizedModel(lambda size, price: F.abs(size * price) * rate, lambda size, price: abs(size * price) * rate)
+    return SizedModel(lambda size, price: F.abs(size * price) * rate, lambda size, price: abs(size * price) * rate, lambda size, price: np.abs(size * price) * rate)
 
 
 def volume_limit(share: float = 1.0) -> SizedModel:
@@ -83,7 +90,7 @@ def volume_limit(share: float = 1.0) -> SizedModel:
             return 0.0
         return max(-share * volume, min(share * volume, size))
 
-    return SizedModel(lambda size, volume: F.when(volume > 0, F.greatest(F.least(size, share * volume), -share * volume)).otherwise(F.lit(0.0)), scalar)
+    return SizedModel(lambda size, volume: F.when(volume > 0, F.greatest(F.least(size, share * volume), -share * volume)).otherwise(F.lit(0.0)), scalar, lambda size, volume: np.where(volume > 0, np.clip(size, -share * volume, share * volume), 0.0))
 
 
 def triggered(kind: Column, size: Column, limit: Column, stop: Column) -> Column:

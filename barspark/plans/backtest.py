@@ -1,9 +1,9 @@
 """Backtests: a fold of cash and positions over bars and orders, many runs at a time.
 
 Orders are made declaratively, as a table; what is left to fold is cash, positions and fills.
-Bars and orders of one time come together as one row; a run's rows pass in time order
-through step(), which the batch runner feeds from sorted Arrow batches (holding one batch and
-the state, never a run) and the stream from its state store.
+Bars and orders of one time come together as one row. In a stream a run's rows pass through
+step(), one by one, with state in the state store; the batch runner folds many runs in
+lockstep (module lockstep), a batch and the state of a lane of runs at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from ..session import ship
 
 TINY = 1e-12
 OUTPUT = "run_id string, ts timestamp_ntz, kind string, symbol string, order_id long, size double, price double, fee double, equity double, cash double, positions_value double, leverage double, pnl double, drawdown double"
-_COLUMNS = [c.split(" ")[0] for c in OUTPUT.split(", ")]
 
 
 @dataclass(frozen=True)
@@ -153,7 +152,7 @@ def by_time(bars: DataFrame, orders: DataFrame, splits: DataFrame | None = None,
     rank = F.col("symbol")
     if universe:
         rank = F.coalesce(F.element_at(F.create_map(*[x for s, i in universe.items() for x in (F.lit(s), F.lit(i))]), F.col("symbol")), F.lit(len(universe)))
-    columns = ["symbol", *[c for c in ("open", "high", "low", "close", "volume") if c in b.columns], "split", "dividend"]
+    columns = ["symbol", *[c for c in ("open", "high", "low", "close", "volume", "exec_price") if c in b.columns], "split", "dividend"]
     key = [c for c in ("run_id", "ts") if c in b.columns]
     lines = b.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(rank.alias("_k"), *columns))).alias("bars"))
     o = orders.select("run_id", "ts", "seq", *[F.col(c) if c in orders.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in ORDER.split(", "))])
@@ -163,29 +162,32 @@ def by_time(bars: DataFrame, orders: DataFrame, splits: DataFrame | None = None,
     return lines.join(given, ["run_id", "ts"], "left").select("run_id", "ts", "bars", "orders")
 
 
-def fold(batches, rules: Rules):
-    """Arrow batches of by_time(), sorted by run and time, to batches of OUTPUT."""
-    run_id, state = object(), None
-    for batch in batches:
-        rows = {c: [] for c in _COLUMNS}
-        for run, ts, bars, orders in zip(*(c.to_pylist() for c in batch.columns)):
-            if run != run_id:
-                run_id, state = run, new_state(rules)
-            fills, shot = step(state, {b["symbol"]: b for b in bars}, orders or [], rules)
-            for line in [{"kind": "fill", **f} for f in fills] + [{"kind": "equity", **shot}]:
-                line |= {"run_id": run, "ts": ts}
-                for c in _COLUMNS:
-                    rows[c].append(line.get(c))
-        kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "timestamp_ntz": pa.timestamp("us")}
-        yield pa.RecordBatch.from_arrays([pa.array(rows[c], kinds[t]) for c, t in (x.split(" ") for x in OUTPUT.split(", "))], names=_COLUMNS)
-
-
-def run(bars: DataFrame, orders: DataFrame, rules: Rules | None = None, **kwargs) -> DataFrame:
-    """Fills and snapshots of every run, told apart by kind."""
+def run(bars: DataFrame, orders: DataFrame, rules: Rules | None = None, positions: bool = False, lane: int | None = None, **kwargs) -> DataFrame:
+    """Fills and snapshots of every run, told apart by kind; with positions also what each run holds at each time (kind position: symbol, size and the close, null without a bar).
+
+    Runs are dealt to lanes by hash, and a lane's runs are folded in lockstep (see lockstep). A price model is a column of the bars before that.
+    """
+    from . import lockstep
+
     rules = rules or Rules()
     ship(bars.sparkSession)
-    lines = by_time(bars, orders, **kwargs).repartition("run_id").sortWithinPartitions("run_id", "ts")
-    return lines.mapInArrow(lambda batches: fold(batches, rules), OUTPUT)
+    if rules.price:
+        bars = bars.withColumn("exec_price", rules.price.expr().cast("double"))
+    runs = orders.agg(F.approx_count_distinct("run_id").alias("n")).first()["n"]
+    lanes = max(1, -(-runs // (lane or lockstep.LANE)))
+    lanes = max(lanes, min(runs, bars.sparkSession.sparkContext.defaultParallelism))  # a cluster's cores have a lane each where there are runs enough
+    lines = by_time(bars, orders, **kwargs).select(F.pmod(F.xxhash64("run_id"), F.lit(max(1, lanes))).cast("int").alias("_lane"), "run_id", "ts", "bars", "orders")
+    lines = lines.repartition(max(1, lanes), "_lane").sortWithinPartitions("_lane", "ts", "run_id")
+    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "timestamp_ntz": pa.timestamp("us")}
+    output = [(c, kinds[t]) for c, t in (x.split(" ") for x in OUTPUT.split(", "))]
+    return lines.mapInArrow(lambda batches: lockstep.fold(batches, rules, output, positions), OUTPUT)
+
+
+def snapshots(result: DataFrame) -> DataFrame:
+    """The equity lines of a run with positions, and maps of positions and prices by symbol (empty where nothing is held)."""
+    held = result.where("kind = 'position'").groupBy("run_id", "ts").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "size"))).alias("positions"), F.map_from_entries(F.collect_list(F.struct("symbol", "price"))).alias("prices"))  # a line a symbol held
+    none = F.create_map().cast("map<string,double>")
+    return equity(result).join(held, ["run_id", "ts"], "left").withColumns({c: F.coalesce(c, none) for c in ("positions", "prices")})
 
 
 def equity(result: DataFrame) -> DataFrame:
