@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import execution as ex
+from ..operators import results as rs
 from ..plans import backtest as bt
 from ..plans import strategies as st
 from ..sources.bars import bars_d, bars_h, bars_o
@@ -120,3 +121,21 @@ def split_cumulative(spark, sf_dir):
     ratio = F.when(F.day("ts") == 10, F.lit(2.0)).when(F.day("ts") == 20, F.lit(0.5)).otherwise(F.lit(1.0))
     w = W.partitionBy("symbol").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
     return bars_d(spark, sf_dir).select("symbol", "ts", r6(F.product(ratio).over(w), "factor"))
+
+
+def _held_runs(spark, sf_dir):
+    """The runs of backtest_fold, with what they hold."""
+    b = bars_d(spark, sf_dir).withColumns({"volume": F.lit(1e12), "run_id": F.col("symbol")})
+    orders = bt.target_orders(st.sma_crossover(b.drop("run_id"), fast=5, slow=10).withColumn("run_id", F.col("symbol")))
+    return bt.run(b, orders, bt.Rules(fees=ex.no_fees()), positions=True)
+
+
+@query("run_exposures", f"SELECT symbol AS run_id, ts, symbol, {R('w')} AS exposure FROM {_HELD} WHERE w > 0")
+def run_exposures(spark, sf_dir):
+    return rs.exposures(bt.snapshots(_held_runs(spark, sf_dir))).select("run_id", "ts", "symbol", r6("exposure", "exposure"))
+
+
+@query("run_turnover", f"SELECT symbol AS run_id, ts, {R('0.5 * abs(w - coalesce(lag(w) OVER (PARTITION BY symbol ORDER BY ts), w))')} AS turnover FROM {_HELD} WHERE symbol IN (SELECT symbol FROM {_HELD} WHERE w > 0)")
+def run_turnover(spark, sf_dir):
+    shots = bt.snapshots(_held_runs(spark, sf_dir))
+    return rs.weight_turnover(rs.exposures(shots), times=shots).select("run_id", "ts", r6("turnover", "turnover"))

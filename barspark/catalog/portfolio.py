@@ -39,6 +39,13 @@ def volatility_estimate(spark, sf_dir):
     return risk.volatility(_returns(spark, sf_dir)).select("symbol", r6("vol", "vol"))
 
 
+@query("volatility_ewm", f"""WITH k AS (SELECT 1 - exp(-ln(2) / (20 / ln(2))) AS a), p AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM rets_d WHERE r IS NOT NULL),
+w AS (SELECT symbol, r, CASE WHEN i = 1 THEN (1 - a) ^ (n - 1) ELSE a * (1 - a) ^ (n - i) END AS w FROM p, k), m AS (SELECT symbol, sum(w * r) AS m FROM w GROUP BY symbol)
+SELECT symbol, {R('sqrt(sum(w * (r - m) ^ 2) / (1 - sum(w * w)) * 252)')} AS vol FROM w JOIN m USING (symbol) GROUP BY symbol""")
+def volatility_ewm(spark, sf_dir):
+    return risk.volatility(_returns(spark, sf_dir, bars_d), span=20).select("symbol", r6("vol", "vol"))
+
+
 _STATS = f"(SELECT avg(cov) AS mu, count(*) AS k, var_pop(cov) AS v FROM {_FULL} WHERE a = b)"
 for _m, _d in (("lw", "v / (v + 1e-10)"), ("oas", "1.0 / (k + 1)")):
 
@@ -165,6 +172,13 @@ def decompose_risk(spark, sf_dir):
     return risk.decompose(w, b, fc, sp).select("factor", r6("exposure", "exposure"), r6("own_variance", "own_variance"), r6("contribution", "contribution"))
 
 
+@query("risk_by_symbol", f"""WITH s AS (SELECT a AS symbol, sum(cov * w.weight) AS s FROM {_TOTAL} t JOIN {_WT} w ON w.symbol = t.b GROUP BY a), v AS (SELECT sqrt(sum(weight * s)) AS v FROM s JOIN {_WT} w USING (symbol))
+SELECT symbol, {R('s / v')} AS marginal, {R('weight * s / v')} AS component FROM s JOIN {_WT} w USING (symbol), v""")
+def risk_by_symbol(spark, sf_dir):
+    b, fc, sp, w = _model(spark, sf_dir)
+    return risk.by_symbol(w, risk.total_covariance(b, fc, sp)).select("symbol", r6("marginal", "marginal"), r6("component", "component"))
+
+
 @query("hedge_exposures", f"""WITH e AS (SELECT symbol, weight, m, v FROM {_EXP} JOIN {_WT} USING (symbol)),
 h AS (SELECT symbol, weight - sum(weight * m) OVER () / sum(m * m) OVER () * m AS w FROM e)
 SELECT symbol, {R('w / sum(w) OVER ()')} AS weight FROM h""")

@@ -37,10 +37,10 @@ def rolling_metrics(spark, sf_dir):
     return rs.rolling(_equity(spark, sf_dir), 5).select("ts", *[r6(c, c) for c in ("rolling_return", "rolling_vol", "rolling_sharpe", "rolling_drawdown")])
 
 
-@query("rolling_calendar", f"""SELECT ts, CASE WHEN count(r) OVER w > 0 THEN {R('product(1 + r) OVER w - 1')} END AS rolling_return, {R('stddev_samp(r) OVER w * sqrt(252.0 / 7 * 252)')} AS rolling_vol, {R('equity / max(equity) OVER w - 1')} AS rolling_drawdown
+@query("rolling_calendar", f"""SELECT ts, CASE WHEN count(r) OVER w > 0 THEN {R('product(1 + r) OVER w - 1')} END AS rolling_return, {R('stddev_samp(r) OVER w * sqrt(252.0 / 7 * 252)')} AS rolling_vol, {R('avg(r) OVER w / nullif(stddev_samp(r) OVER w, 0) * sqrt(252)')} AS rolling_sharpe, {R('equity / max(equity) OVER w - 1')} AS rolling_drawdown
 FROM ({_DD}) WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL '6 days 23:59:59.999999' PRECEDING AND CURRENT ROW)""")
 def rolling_calendar(spark, sf_dir):
-    return rs.rolling_calendar(_equity(spark, sf_dir), 7).select("ts", *[r6(c, c) for c in ("rolling_return", "rolling_vol", "rolling_drawdown")])
+    return rs.rolling_calendar(_equity(spark, sf_dir), 7).select("ts", *[r6(c, c) for c in ("rolling_return", "rolling_vol", "rolling_sharpe", "rolling_drawdown")])
 
 
 # Fills: each user's events in turn buy and sell one unit lots; odd ones of a user open, even ones close.

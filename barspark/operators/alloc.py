@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .prefix import carried
 
 
 @dataclass(frozen=True)
@@ -40,23 +41,27 @@ class Bounds:
         return np.array([x[0] for x in each]), np.array([x[1] for x in each])
 
 
-def _time(df: DataFrame):
-    return W.partitionBy("ts") if "ts" in df.columns else W.partitionBy(F.lit(0))
+def with_totals(df: DataFrame, **totals: Column) -> DataFrame:
+    """df with aggregates by name: over the rows of each time, or over the whole table (one line, joined to all) where it has no ts."""
+    if "ts" in df.columns:
+        return df.withColumns({n: c.over(W.partitionBy("ts")) for n, c in totals.items()})
+    return df.crossJoin(F.broadcast(df.agg(*[c.alias(n) for n, c in totals.items()])))
 
 
 def equal_weight(universe: DataFrame, gross: float = 1.0, high: float | None = None) -> DataFrame:
     """gross over the number of symbols; with a limit clipped and scaled back to gross."""
-    w = F.lit(gross) / F.count("*").over(_time(universe))
-    df = universe.withColumn("weight", F.least(w, F.lit(high)) if high is not None else w)
-    total = F.sum("weight").over(_time(universe))
-    return df.withColumn("weight", F.when(total > 0, F.col("weight") * gross / total).otherwise(F.col("weight")))
+    w = F.lit(gross) / F.col("_n")
+    df = with_totals(universe, _n=F.count("*")).withColumn("weight", F.least(w, F.lit(high)) if high is not None else w).drop("_n")
+    df = with_totals(df, _total=F.sum("weight"))
+    total = F.col("_total")
+    return df.withColumn("weight", F.when(total > 0, F.col("weight") * gross / total).otherwise(F.col("weight"))).drop("_total")
 
 
 def scores_to_weights(scores: DataFrame, column: str = "score") -> DataFrame:
     """Scores above 0 over their sum; equal weights if there are none."""
     v = F.greatest(F.coalesce(column, F.lit(0.0)), F.lit(0.0))
-    total, n = F.sum(v).over(_time(scores)), F.count("*").over(_time(scores))
-    return scores.withColumn("weight", F.when(total > 0, v / total).otherwise(F.lit(1.0) / n))
+    df = with_totals(scores, _total=F.sum(v), _n=F.count("*"))
+    return df.withColumn("weight", F.when(F.col("_total") > 0, v / F.col("_total")).otherwise(F.lit(1.0) / F.col("_n"))).drop("_total", "_n")
 
 
 def changes(previous: DataFrame, target: DataFrame) -> DataFrame:
@@ -82,8 +87,9 @@ def impact_cost(d: Column, adv: Column, coefficient: float = 0.1) -> Column:
 
 def filled(df: DataFrame, column: str) -> DataFrame:
     """Missing values take the last known one by symbol order, those at the begin the first."""
-    w = W.partitionBy(F.lit(0)).orderBy("symbol")
-    return df.withColumn(column, F.coalesce(F.last(column, True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first(column, True).over(w.rowsBetween(0, W.unboundedFollowing))))
+    known = carried(df, ["symbol"], column, "_known")
+    first = df.agg(F.min_by(column, F.when(F.col(column).isNotNull(), F.struct("symbol"))).alias("_first"))
+    return known.crossJoin(F.broadcast(first)).withColumn(column, F.coalesce("_known", "_first")).select(*df.columns)  # one line
 
 
 def turnover(change: DataFrame) -> DataFrame:
@@ -97,8 +103,8 @@ def limit_turnover(change: DataFrame, total: float | None = None, each: float |
     d = F.greatest(F.least(d, F.lit(each)), F.lit(-each)) if each is not None else d
     df = change.withColumn("_d", d)
     if total is not None:
-        s = F.sum(F.abs("_d")).over(_time(change))
-        df = df.withColumn("_d", F.when(s > total, F.col("_d") * total / s).otherwise(F.col("_d")))
+        df = with_totals(df, _s=F.sum(F.abs("_d")))
+        df = df.withColumn("_d", F.when(F.col("_s") > total, F.col("_d") * total / F.col("_s")).otherwise(F.col("_d"))).drop("_s")
     return df.withColumn("weight", F.col("w_prev") + F.col("_d")).drop("_d")
 
 
@@ -116,8 +122,8 @@ def finalize(change: DataFrame, penalty: float | None = None, total: float | Non
     if total is not None or each is not None:
         return limit_turnover(df, total, each)
     if penalty is None:
-        s = F.sum("weight").over(_time(change))
-        df = df.withColumn("weight", F.when(s != 0, F.col("weight") / s).otherwise(F.col("weight")))
+        df = with_totals(df, _s=F.sum("weight"))
+        df = df.withColumn("weight", F.when(F.col("_s") != 0, F.col("weight") / F.col("_s")).otherwise(F.col("weight"))).drop("_s")
     return df
 
 

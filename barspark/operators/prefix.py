@@ -24,3 +24,15 @@ def running(df: DataFrame, at: str, order: list[str], sums: dict[str, Column]) -
     inside = W.partitionBy("_part").orderBy(at, *order).rowsBetween(W.unboundedPreceding, 0)
     out = laid.join(F.broadcast(per), "_part").withColumns({n: F.col(f"_b_{n}") + F.sum(f"_x_{n}").over(inside) for n in sums})  # broadcast: a line a partition
     return out.select(*df.columns, *sums)
+
+
+def carried(df: DataFrame, order: list[str], column: str, name: str) -> DataFrame:
+    """df and, as `name`, the last value of the column that is not null up to each row in the order of `order` (nulls first); range-sorted as in running()."""
+    laid = saved(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "carried")
+    held = F.col(column).isNotNull()
+    last = F.max_by(F.struct(F.col(column).alias("v")), F.when(held, F.struct(*order)))
+    per = laid.groupBy("_part").agg(last.alias("_l"))
+    per = per.select("_part", F.last("_l", True).over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_l"))  # over a line a partition
+    inside = F.last(column, True).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    out = laid.join(F.broadcast(per), "_part").withColumn(name, F.coalesce(inside, F.col("_l.v")))  # broadcast: a line a partition
+    return out.select(*df.columns, *([name] if name not in df.columns else []))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .prefix import running
+from .prefix import carried, running
 from .quantiles import quantiles
 
 YEAR = 252
@@ -68,7 +68,7 @@ def rolling(equity: DataFrame, n: int, run: str | None = None, rf: float = 0.0)
     )
 
 
-def rolling_calendar(equity: DataFrame, days: int, run: str | None = None) -> DataFrame:
+def rolling_calendar(equity: DataFrame, days: int, run: str | None = None, rf: float = 0.0) -> DataFrame:
     """The same over the last `days` days (begin excluded), from the first return on; volatility is scaled by 252 / days * 252."""
     df = with_returns(equity, run).withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
     key = W.partitionBy(run) if run else W.partitionBy(F.lit(0))
@@ -77,6 +77,7 @@ def rolling_calendar(equity: DataFrame, days: int, run: str | None = None) -> Da
         {
             "rolling_return": F.when(F.count("r").over(w) > 0, F.product(F.lit(1.0) + F.col("r")).over(w) - 1),
             "rolling_vol": F.stddev_samp("r").over(w) * math.sqrt(YEAR / days * YEAR),
+            "rolling_sharpe": F.try_divide(F.avg("r").over(w) - rf / YEAR, F.stddev_samp("r").over(w)) * math.sqrt(YEAR),
             "rolling_drawdown": F.try_divide(F.col("equity"), F.max("equity").over(w)) - 1,
         }
     ).drop("_us")
@@ -179,23 +180,37 @@ def cumulative(trades: DataFrame, columns: tuple[str, ...] = ("pnl",), at: str =
 
 
 def exposures(snapshots: DataFrame) -> DataFrame:
-    """ts, symbol, exposure = size * price / equity, from maps of positions and prices."""
+    """ts (and run_id), symbol, exposure = size * price / equity, from maps of positions and prices."""
+    key = [c for c in ("run_id", "ts") if c in snapshots.columns]
     value = F.map_zip_with("positions", "prices", lambda _, q, p: F.coalesce(q * p, F.lit(0.0)))
-    return snapshots.select("ts", "equity", F.explode(value).alias("symbol", "value")).select("ts", "symbol", F.coalesce(F.try_divide(F.col("value"), F.col("equity")), F.lit(0.0)).alias("exposure"))
+    return snapshots.select(*key, "equity", F.explode(value).alias("symbol", "value")).select(*key, "symbol", F.coalesce(F.try_divide(F.col("value"), F.col("equity")), F.lit(0.0)).alias("exposure"))
 
 
-def weight_turnover(weights: DataFrame, value: str = "exposure") -> DataFrame:
-    """ts, turnover: half the absolute changes of weights from one time to the next; an absent symbol weighs 0. At a symbol's first time nothing changes."""
-    grid = weights.select("ts").distinct().crossJoin(weights.select("symbol").distinct())
-    w = grid.join(weights, ["ts", "symbol"], "left").withColumn("_w", F.coalesce(value, F.lit(0.0)))
-    d = F.abs(F.col("_w") - F.coalesce(F.lag("_w").over(W.partitionBy("symbol").orderBy("ts")), F.col("_w")))
-    return w.withColumn("_d", d).groupBy("ts").agg((F.sum("_d") * 0.5).alias("turnover"))
+def weight_turnover(weights: DataFrame, value: str = "exposure", times: DataFrame | None = None) -> DataFrame:
+    """ts (and run_id), turnover: half the absolute changes of weights from one time to the next; an absent symbol weighs 0. At a symbol's first time nothing changes.
 
+    times: the times there are (and runs), by default those of the weights.
+    """
+    run = [c for c in ("run_id",) if c in weights.columns]
+    every = (times if times is not None else weights).select(*run, "ts").distinct()
+    symbols = weights.select(*run, "symbol").distinct()
+    grid = every.join(symbols, run) if run else every.crossJoin(symbols)
+    w = grid.join(weights, [*run, "ts", "symbol"], "left").withColumn("_w", F.coalesce(value, F.lit(0.0)))
+    d = F.abs(F.col("_w") - F.coalesce(F.lag("_w").over(W.partitionBy(*run, "symbol").orderBy("ts")), F.col("_w")))
+    return w.withColumn("_d", d).groupBy(*run, "ts").agg((F.sum("_d") * 0.5).alias("turnover"))
 
-def drift(live: DataFrame, backtest: DataFrame) -> DataFrame:
-    """ts, drift: live equity over the backtest's last known, less 1; 0 where that is 0."""
-    from .panel import asof
 
-    left, right = live.withColumn("_k", F.lit(0)), backtest.select("ts", F.col("equity").alias("expected"), F.lit(0).alias("_k"))
-    both = asof(left, right, ["_k"])
-    return both.select("ts", F.coalesce(F.try_divide(F.col("equity") - F.col("expected"), F.col("expected")), F.lit(0.0)).alias("drift"))
+def costs_over_time(fills: DataFrame, unit: str = "month") -> DataFrame:
+    """run_id, period, fees, traded (absolute value bought and sold) and fee_rate of a run's fills (fee, size, price)."""
+    key = [c for c in ("run_id",) if c in fills.columns]
+    traded = F.sum(F.abs(F.col("size") * F.col("price")))
+    per = fills.groupBy(*key, F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("period")).agg(F.sum("fee").alias("fees"), traded.alias("traded"))
+    return per.withColumn("fee_rate", F.coalesce(F.try_divide("fees", "traded"), F.lit(0.0)))
+
+
+def drift(live: DataFrame, backtest: DataFrame) -> DataFrame:
+    """ts, drift: live equity over the backtest's last known (at the same time or before), less 1; 0 where that is 0."""
+    both = live.select("ts", "equity", F.lit(None).cast("double").alias("_e"), F.lit(1).alias("_live"))
+    both = both.unionByName(backtest.select("ts", F.lit(None).cast("double").alias("equity"), F.col("equity").alias("_e"), F.lit(0).alias("_live")))
+    known = carried(both, ["ts", "_live"], "_e", "expected").where("_live = 1")
+    return known.select("ts", F.coalesce(F.try_divide(F.col("equity") - F.col("expected"), F.col("expected")), F.lit(0.0)).alias("drift"))

@@ -197,7 +197,7 @@ def shrink(cov: DataFrame, method: str = "oas") -> DataFrame:
 
 
 def matrix(cov: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Names and the dense matrix, for the few symbols of an optimiser or factors of a model."""
+    """Names and the dense matrix of the few factors of a model, at the driver: for tests and small models only."""
     rows = cov.select("a", "b", "cov").collect()
     names = sorted({r["a"] for r in rows} | {r["b"] for r in rows})
     at = {s: i for i, s in enumerate(names)}
@@ -243,7 +243,7 @@ def specific_risk(panel: DataFrame, y: str, factors: list[str], factor_returns:
 def total_covariance(exposures: DataFrame, factor_cov: DataFrame, specific: DataFrame) -> DataFrame:
     """a, b, cov = B F B' + D, by joins over factors."""
     f = full(factor_cov).select(F.col("a").alias("f"), F.col("b").alias("g"), F.col("cov").alias("fc"))
-    left = exposures.select(F.col("symbol").alias("a"), F.col("factor").alias("f"), F.col("exposure").alias("ea")).join(F.broadcast(f), "f")
+    left = exposures.select(F.col("symbol").alias("a"), F.col("factor").alias("f"), F.col("exposure").alias("ea")).join(f, "f")
     half = left.groupBy("a", "g").agg(F.sum(F.col("ea") * F.col("fc")).alias("h"))
     right = exposures.select(F.col("symbol").alias("b"), F.col("factor").alias("g"), F.col("exposure").alias("eb"))
     systematic = half.join(right, "g").groupBy("a", "b").agg(F.sum(F.col("h") * F.col("eb")).alias("cov"))
@@ -256,20 +256,50 @@ def decompose(weights: DataFrame, exposures: DataFrame, factor_cov: DataFrame, s
     x = exposures.join(weights, "symbol").groupBy("factor").agg(F.sum(F.col("weight") * F.col("exposure")).alias("exposure"))
     f = full(factor_cov)
     y = x.select(F.col("factor").alias("b"), F.col("exposure").alias("_y"))
-    joined = f.join(F.broadcast(y), "b").groupBy(F.col("a").alias("factor")).agg(F.sum(F.col("cov") * F.col("_y")).alias("_m"), F.max(F.when(F.col("a") == F.col("b"), F.col("cov"))).alias("_v"))
+    joined = f.join(y, "b").groupBy(F.col("a").alias("factor")).agg(F.sum(F.col("cov") * F.col("_y")).alias("_m"), F.max(F.when(F.col("a") == F.col("b"), F.col("cov"))).alias("_v"))
     factors = x.join(joined, "factor").select("factor", "exposure", (F.col("exposure") ** 2 * F.col("_v")).alias("own_variance"), (F.col("exposure") * F.col("_m")).alias("contribution"))
     rest = weights.join(specific, "symbol").agg(F.coalesce(F.sum(F.col("weight") ** 2 * F.col("specific_var")), F.lit(0.0)).alias("contribution"))
     return factors.unionByName(rest.select(F.lit("specific").alias("factor"), F.lit(None).cast("double").alias("exposure"), F.col("contribution").alias("own_variance"), "contribution"))
 
 
+def by_symbol(weights: DataFrame, cov: DataFrame) -> DataFrame:
+    """symbol, marginal (of volatility by weight), component (weight times that; they sum to the volatility) from weights and a covariance of both halves."""
+    right = weights.select(F.col("symbol").alias("b"), F.col("weight").alias("_w"))
+    slope = cov.join(right, "b").groupBy(F.col("a").alias("symbol")).agg(F.sum(F.col("cov") * F.col("_w")).alias("_s"))
+    df = weights.join(slope, "symbol").select("symbol", "weight", "_s")
+    whole = df.agg(F.sqrt(F.sum(F.col("weight") * F.col("_s"))).alias("_vol"))
+    df = df.crossJoin(F.broadcast(whole))  # one line
+    marginal = F.try_divide(F.col("_s"), F.col("_vol"))
+    return df.select("symbol", marginal.alias("marginal"), (F.col("weight") * marginal).alias("component"))
+
+
+def validate(exposures: DataFrame, factor_cov: DataFrame, specific: DataFrame) -> bool:
+    """True; fails, with how many, where an exposure is to a factor without a covariance, a factor of the covariance has no exposure, two factors have none between them, or symbols of exposures and specific variances differ."""
+    both = full(factor_cov)
+    known, used = both.select(F.col("a").alias("factor")).distinct(), exposures.select("factor").distinct()
+    symbols, own = exposures.select("symbol").distinct(), specific.select("symbol").distinct()
+    k = known.count()
+    faults = {
+        "factors without covariance": used.join(known, "factor", "left_anti").count(),
+        "factors without exposure": known.join(used, "factor", "left_anti").count(),
+        "pairs of factors without covariance": k * k - both.select("a", "b").distinct().count(),
+        "symbols without specific variance": symbols.join(own, "symbol", "left_anti").count(),
+        "specific variances without exposures": own.join(symbols, "symbol", "left_anti").count(),
+    }
+    found = [f"{n} {what}" for what, n in faults.items() if n]
+    if found:
+        raise ValueError("; ".join(found))
+    return True
+
+
 def hedge(weights: DataFrame, exposures: DataFrame, factors: list[str]) -> DataFrame:
     """Weights with the portfolio's exposure to each factor taken out along that factor's exposures (all from the weights given), scaled to sum to 1."""
     wide = exposures.where(F.col("factor").isin(factors)).groupBy("symbol").pivot("factor", factors).agg(F.first("exposure"))
     df = weights.join(wide, "symbol", "left").na.fill(0.0, subset=factors)
-    one = W.partitionBy(F.lit(0))
+    sums = df.agg(*[F.coalesce(F.try_divide(F.sum(F.col("weight") * F.col(f)), F.sum(F.col(f) * F.col(f))), F.lit(0.0)).alias(f"_b_{f}") for f in factors])
     out = F.col("weight")
     for f in factors:
-        out = out - F.coalesce(F.try_divide(F.sum(F.col("weight") * F.col(f)).over(one), F.sum(F.col(f) * F.col(f)).over(one)), F.lit(0.0)) * F.col(f)
-    df = df.withColumn("_h", out)
-    total = F.sum("_h").over(one)
-    return df.select("symbol", F.when(F.abs(total) > 1e-10, F.col("_h") / total).otherwise(F.col("_h")).alias("weight"))
+        out = out - F.col(f"_b_{f}") * F.col(f)
+    df = df.crossJoin(F.broadcast(sums)).withColumn("_h", out)  # one line
+    df = df.crossJoin(F.broadcast(df.agg(F.sum("_h").alias("_total"))))
+    return df.select("symbol", F.when(F.abs("_total") > 1e-10, F.col("_h") / F.col("_total")).otherwise(F.col("_h")).alias("weight"))
