@@ -263,7 +263,7 @@ def target_volatility(spark, sf_dir):
 def _yearly_cov(spark, sf_dir):
     """Covariances of each year's returns, a rebalance at its begin."""
     r = _returns(spark, sf_dir)
-    p = risk.pairs(r).groupBy(F.date_trunc("year", "ts").cast("timestamp_ntz").alias("ts"), "a", "b").agg((F.covar_samp("x", "y") * 252).alias("cov"))
+    p = risk.covariance(r, scale=252.0, by=F.year("ts")).withColumn("ts", F.make_date("by", F.lit(1), F.lit(1)).cast("timestamp_ntz"))
     return p.select("ts", "a", "b", "cov").unionByName(p.where("a <> b").select("ts", F.col("b").alias("a"), F.col("a").alias("b"), "cov"))
 
 

@@ -133,13 +133,18 @@ def target_volatility(weights: DataFrame, cov: DataFrame, target: float, max_lev
     a, b = weights.select(*key, F.col("symbol").alias("a"), F.col("weight").alias("wa")), weights.select(*key, F.col("symbol").alias("b"), F.col("weight").alias("wb"))
     var = cov.join(a, [*key, "a"]).join(b, [*key, "b"]).groupBy(*key).agg(F.sum(F.col("wa") * F.col("wb") * F.col("cov")).alias("_var"))
     df = weights.join(var, key) if key else weights.crossJoin(F.broadcast(var))  # one line
-    gross = F.sum(F.abs("weight")).over(_time(weights))
+    df = with_totals(df, _gross=F.sum(F.abs("weight")))
     scale = F.coalesce(F.try_divide(F.lit(target), F.sqrt("_var")), F.lit(1.0))
-    return df.withColumn("_s", F.least(scale, F.coalesce(F.try_divide(F.lit(max_leverage), gross), scale))).withColumn("weight", F.col("weight") * F.col("_s")).drop("_s", "_var")
+    return df.withColumn("_s", F.least(scale, F.coalesce(F.try_divide(F.lit(max_leverage), F.col("_gross")), scale))).withColumn("weight", F.col("weight") * F.col("_s")).drop("_s", "_var", "_gross")
+
+
+#: Beyond any width of bounds, and small enough to leave weights their digits.
+FAR_APART = 1e6
 
 
 def project(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, total: float = 1.0) -> np.ndarray:
-    """The nearest point within bounds whose sum is total: v less a shift found by bisection."""
+    """The nearest point within bounds whose sum is total: v less a shift found by bisection. Only differences matter, and none beyond FAR_APART does."""
+    v = np.clip(v - v.max(), -FAR_APART, 0.0)
     a, b = float((v - hi).min()) - 1, float((v - lo).max()) + 1
     for _ in range(100):
         mid = (a + b) / 2
@@ -214,8 +219,10 @@ def max_sharpe(mu: np.ndarray, cov: np.ndarray, lo: np.ndarray, hi: np.ndarray,
 def risk_parity(cov: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Equal shares of the variance, by cyclical descent on w'Cw/2 - sum(ln w)/n; where a bound binds, shares as equal as the bounds allow (least squares)."""
     n = len(cov)
+    cov = cov + np.diag(np.where(np.diag(cov) > 0, 0.0, 1e-12))
     w = 1 / np.sqrt(np.diag(cov))
-    for _ in range(500):
+    definite = float(np.linalg.eigvalsh((cov + cov.T) / 2).min()) > 0  # else (few common times) the descent has no floor
+    for _ in range(500 if definite else 0):
         old = w.copy()
         for i in range(n):
             c = float(cov[i] @ w) - cov[i, i] * w[i]
@@ -224,7 +231,7 @@ def risk_parity(cov: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
             break
     w = w / w.sum()
     start = project(w, lo, hi)
-    if np.abs(start - w).max() < 1e-9:
+    if definite and np.abs(start - w).max() < 1e-9:
         return w
 
     def shares(w):

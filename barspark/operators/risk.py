@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -110,18 +110,21 @@ def _products(alpha: float | None, names: list[str]):
     return run
 
 
-def block_products(values: DataFrame, alpha: float | None = None, block: int = BLOCK, times: int = TIMES) -> DataFrame:
+def block_products(values: DataFrame, alpha: float | None = None, block: int = BLOCK, times: int = TIMES, chunk: Column | None = None) -> DataFrame:
     """a, b (a <= b), _chunk and sums over the times that both have, from values (symbol, ts, v): n, sx, sy, sxy; with alpha n, e and first (see ewma_covariance).
 
     Symbols fall into blocks and times into chunks; a task multiplies two blocks over a chunk as matrices with masks of what
-    is there. A row goes to as many tasks as there are blocks, and a pair is a line a chunk, never a line a time.
+    is there. A row goes to as many tasks as there are blocks, and a pair is a line a chunk, never a line a time. chunk: a whole
+    number by which the times are cut instead.
     """
     ship(values.sparkSession)
     values = values.where(F.col("v").isNotNull() & F.col("symbol").isNotNull() & F.col("ts").isNotNull())
     counts = values.agg(F.approx_count_distinct("symbol").alias("s"), F.approx_count_distinct("ts").alias("t")).first()
     blocks, chunks = max(1, -(-counts["s"] // block)), max(1, -(-counts["t"] // times))
     rows = values.withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int"))
-    if chunks == 1:
+    if chunk is not None:
+        rows = rows.withColumn("_chunk", chunk.cast("int"))
+    elif chunks == 1:
         rows = rows.withColumn("_chunk", F.lit(0))
     else:  # chunks follow one another in time
         cuts = values.agg(F.percentile_approx("ts", [i / chunks for i in range(1, chunks)]).alias("cuts"))
@@ -135,13 +138,17 @@ def block_products(values: DataFrame, alpha: float | None = None, block: int = B
     return rows.repartition(tasks, "_p", "_q", "_chunk").sortWithinPartitions("_p", "_q", "_chunk", "ts").mapInArrow(_products(alpha, names), schema)
 
 
-def covariance(returns: DataFrame, value: str = "r", scale: float = 1.0) -> DataFrame:
-    """a, b (a <= b), cov and n over the times that both have. Values are taken less their symbol's mean first, so sums of products keep their digits."""
+def covariance(returns: DataFrame, value: str = "r", scale: float = 1.0, by: Column | None = None) -> DataFrame:
+    """a, b (a <= b), cov and n over the times that both have; by: a whole number from ts, apart for each value of it (a column, `by`).
+
+    Values are taken less their symbol's mean first, so sums of products keep their digits.
+    """
     values = returns.select("symbol", "ts", F.col(value).alias("v")).where("v is not null")
     means = values.groupBy("symbol").agg(F.avg("v").alias("_m"))
-    sums = block_products(values.join(means, "symbol").select("symbol", "ts", (F.col("v") - F.col("_m")).alias("v")))
+    sums = block_products(values.join(means, "symbol").select("symbol", "ts", (F.col("v") - F.col("_m")).alias("v")), chunk=by)
     n, sx, sy, sxy = (F.sum(c) for c in Gram.SUMS)
-    return sums.groupBy("a", "b").agg(F.when(n > 1, (sxy - sx * sy / n) / (n - 1) * scale).alias("cov"), n.cast("long").alias("n"))
+    key = ["a", "b"] if by is None else ["a", "b", F.col("_chunk").alias("by")]
+    return sums.groupBy(*key).agg(F.when(n > 1, (sxy - sx * sy / n) / (n - 1) * scale).alias("cov"), n.cast("long").alias("n"))
 
 
 def full(cov: DataFrame) -> DataFrame:

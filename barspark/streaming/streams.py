@@ -168,12 +168,13 @@ def watched(stream: DataFrame, name: str, **metrics: Column) -> DataFrame:
     return stream.observe(name, *[c.alias(n) for n, c in metrics.items()])
 
 
-def drain(stream: DataFrame, mode: str, base: str | None = None, at_once: bool = True) -> DataFrame:
+def drain(stream: DataFrame, mode: str, base: str | None = None, at_once: bool = True, once: bool = False) -> DataFrame:
     """Runs a stream over all input there is, and its result as a table.
 
     A batch has a folder of its own, so one that runs again after a failure replaces its rows; in mode complete each batch
     replaces the whole. base: the folder of result and checkpoint; a stream that is drained again into it goes on where it
-    stood. at_once: False for sources that do not say what is available now.
+    stood. at_once: False for sources that do not say what is available now. once: one batch, for state with timers or expiry,
+    whose streams go on with empty batches.
     """
     spark = stream.sparkSession
     base = base or f"{work_dir(spark)}/barspark/stream-{uuid.uuid4().hex[:12]}"
@@ -182,7 +183,9 @@ def drain(stream: DataFrame, mode: str, base: str | None = None, at_once: bool =
         df.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={batch}")
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(sink)
-    if at_once:
+    if once:
+        writer.trigger(once=True).start().awaitTermination()
+    elif at_once:
         writer.trigger(availableNow=True).start().awaitTermination()
     else:
         q = writer.start()
