@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import threading
+import time
 import uuid
 
 import numpy as np
@@ -179,8 +180,11 @@ def drain(stream: DataFrame, mode: str, base: str | None = None, at_once: bool =
     spark = stream.sparkSession
     base = base or f"{work_dir(spark)}/barspark/stream-{uuid.uuid4().hex[:12]}"
 
+    ran: list[int] = []
+
     def sink(df, batch):
         df.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={batch}")
+        ran.append(batch)
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(sink)
     if once:
@@ -191,9 +195,23 @@ def drain(stream: DataFrame, mode: str, base: str | None = None, at_once: bool =
         q = writer.start()
         try:
             q.processAllAvailable()
+            begun = time.monotonic()  # the last batch is reported after it has ended, and a stop would come before that
+            while ran and time.monotonic() - begun < REPORTED_S and not any(p.batchId == ran[-1] for p in q.recentProgress):
+                time.sleep(0.05)
         finally:
             q.stop()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out").select(stream.columns)
+    return _table(spark, f"{base}/out", stream.schema).select(stream.columns)
+
+
+#: Seconds that a batch's report is waited for.
+REPORTED_S = 30
+
+
+def _table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What was written in a folder; no rows if nothing was."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
 def monitored_drain(stream: DataFrame, mode: str, name: str, **kwargs) -> tuple[DataFrame, DataFrame]:
@@ -207,4 +225,4 @@ def monitored_drain(stream: DataFrame, mode: str, name: str, **kwargs) -> tuple[
         monitor.ended.wait(60)
     finally:
         spark.streams.removeListener(monitor)
-    return out, spark.read.schema(MONITORED).parquet(path).select("stream", "batch", "rows", "metrics")
+    return out, _table(spark, path, MONITORED).select("stream", "batch", "rows", "metrics")
