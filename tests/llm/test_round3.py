@@ -234,3 +234,40 @@ def test_packing_awkward_rows(spark):
 def test_op13_equals_the_tokenizers_library(spark):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     check_pieces(queries.op13_packing(spark, SF).collect(), texts, 1024)
+
+
+# Earlier queries against what their contracts say
+
+
+@tables
+def test_op3_at_40_shards_keeps_its_law(spark):
+    from barspark.llm import sharding
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries.op3_sharding(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    more = sharding.shard_records(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), 41)
+    grown = {r.doc_id: r.shard for r in more.select("doc_id", "shard").collect()}
+    slots = defaultdict(list)
+    for r in rows:
+        raw = (docs[r.doc_id] or "").encode()
+        assert (r.law, r.size, r.text_crc32) == ("key", len(raw) + 16, zlib.crc32(raw))
+        assert r.grown_shard == grown[r.doc_id] and r.grown_shard in (r.shard, 40) and 0 <= r.shard < 40
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+@tables
+def test_op4_digests_are_those_of_the_tokenizers_library(spark):
+    import tokenizers
+
+    tok = tokenizers.Tokenizer.from_file(queries.vocabulary_path())
+    tok.no_padding()
+    tok.no_truncation()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries.op4_bpe(spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = tok.encode(docs[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
