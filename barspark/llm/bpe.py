@@ -51,7 +51,7 @@ def byte_of_letter() -> dict[str, int]:
 
 
 class Table:
-    """A map of whole numbers of at least 0, looked up and added to for whole arrays: open addressing in a table that is at most a quarter full."""
+    """A map of whole numbers of at least 0, looked up and added to for whole arrays: open addressing in a table that is at most half full."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
         self.used = 0
@@ -59,7 +59,7 @@ class Table:
         self.add(key, value)
 
     def _resize(self, n: int) -> None:
-        bits = max(4, (4 * n).bit_length())
+        bits = max(4, (2 * n).bit_length())
         self.shift, self.mask = U64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64)
 
@@ -69,7 +69,7 @@ class Table:
     def add(self, key: np.ndarray, value: np.ndarray) -> None:
         """Distinct keys that the table does not hold."""
         self.used += len(key)
-        if 4 * self.used > len(self.keys):
+        if 2 * self.used > len(self.keys):
             there = self.keys >= 0
             key, value = np.concatenate([self.keys[there], key]), np.concatenate([self.values[there], value])
             self._resize(2 * self.used)
