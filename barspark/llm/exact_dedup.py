@@ -2,7 +2,8 @@
 
 Rows whose length nobody shares leave after the first grouping, rows whose prefix
 nobody of that length shares after the second; only what is left has its whole text
-hashed and grouped. The groupings run on narrow rows; no text is shuffled.
+hashed and grouped. The groupings run on narrow rows; no text is shuffled. The scan that hashes
+knows the shared prefixes by a copy of them or, where they are many, by a bitmap of bounded size.
 
 Defined cases: a null text counts as empty; null ids are compared as values (and are
 smallest); of rows repeated with the same id and text exactly one is kept; an empty
@@ -20,6 +21,9 @@ from .support import BROADCAST_ROWS, fresh, saved
 #: One space for each run of ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
 
+#: Bits a shared key in the bitmaps, and bits in all.
+PLACES, MOST_PLACES = 16, 1 << 30
+
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACES, " ")
@@ -35,6 +39,25 @@ def _keep_shared(df: DataFrame, *key: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, list(key), "left_semi")
 
 
+def _bit(places: int) -> tuple[Column, Column]:
+    """The bitmap, and the bit there, of a row's length and prefix hash."""
+    place = F.pmod(F.xxhash64("_len", "_head"), F.lit(places))
+    return F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+
+
+def _maybe_shared(rows: DataFrame, keys: DataFrame, count: int) -> DataFrame:
+    """The rows whose length and prefix hash are among the keys, and about one in PLACES of the others (more beyond MOST_PLACES / PLACES keys).
+
+    The keys are bits in bitmaps of 4 KB, MOST_PLACES bits (128 MB) in all at most, which every task has a copy of.
+    """
+    places = min(MOST_PLACES, max(1 << 15, count * PLACES))
+    of, bit = _bit(places)
+    maps = saved(keys.groupBy(of.alias("_of")).agg(F.bitmap_construct_agg(bit).alias("_bits")), "dedup-bitmaps")
+    met = rows.withColumns({"_of": of, "_bit": bit}).join(F.broadcast(maps), "_of")
+    byte = F.conv(F.hex(F.substring("_bits", F.expr("cast(_bit div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+    return met.withColumn("_byte", byte).where("shiftright(_byte, cast(_bit % 8 as int)) & 1 = 1").drop("_of", "_bit", "_bits", "_byte")
+
+
 def exact_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, digest: bool = False) -> DataFrame:
     """One row per row of df: id_col, keep_id, group_size, kept; with digest also text_sha256 of every row.
 
@@ -52,15 +75,18 @@ def _classes(df: DataFrame, id_col: str, text_col: str, prefix: int, digest: boo
     full = F.sha2(text, 256)
     rows = saved(df.select(*row, *([full.alias("_full")] if digest else [])), "dedup-keys")
     heads = saved(_shared(_keep_shared(rows, "_len"), "_len", "_head"), "dedup-heads")
-    small = heads.count() <= BROADCAST_ROWS
-    heads = F.broadcast(heads) if small else heads
+    count = heads.count()
+    small = count <= BROADCAST_ROWS
+    of = F.broadcast(heads) if small else heads
     key = ["_len", "_head"]
-    alone = rows.join(heads, key, "left_anti")
-    if digest or small:
-        left = (rows if digest else df.select(*row, text.alias("_text"))).join(heads, key, "left_semi")
-        left = left if digest else left.withColumn("_full", F.sha2("_text", 256)).drop("_text")
-    else:  # too many to broadcast: hashing in the scan costs less than a shuffle of the texts
-        left = df.select(*row, full.alias("_full")).join(heads, key, "left_semi")
+    alone = rows.join(of, key, "left_anti")
+    if digest:
+        left = rows.join(of, key, "left_semi")
+    else:  # only what the two levels left is hashed, in the scan, so that no text is shuffled
+        texts = df.select(*row, text.alias("_text"))
+        texts = texts.join(of, key, "left_semi") if small else _maybe_shared(texts, heads, count)
+        left = texts.withColumn("_full", F.sha2("_text", 256)).drop("_text")
+        left = left if small else left.join(heads, key, "left_semi")
     left = saved(left, "dedup-left")
     groups = saved(left.groupBy("_len", "_full").agg(F.min(F.struct("_id")).alias("_keep"), F.count("*").alias("_size")), "dedup-groups")
     single = groups.where("_size = 1").select("_len", "_full", F.col("_keep._id").alias("_id"), F.lit(1).cast("long").alias("_size"))
