@@ -1,11 +1,13 @@
 """Language identification by rank-order n-gram profiles (out-of-place distance).
 
-A text's letters fold to 26 basic letters and 13 classes for all others; with the word
-border that makes 40 symbols, so every n-gram of 1 to 3 symbols has a number below
-65,640 and a text's counts are one bincount. A profile is the TOP most frequent n-grams
-in rank order; a language's profile comes from the counts of all its training texts,
-summed by Spark; the model that reaches the driver has TOP numbers a language. A text gets the language whose profile its own most frequent n-grams
-are least out of place in: the sum of rank differences, TOP for one that is missing.
+A text is the lower-case code points of its letters and combining marks, with one border for
+each run of anything else. An n-gram of 1 to 3 of them is their code points side by side in one
+63-bit number, so those of every script are told apart exactly. A profile is the TOP most
+frequent n-grams in rank order; a language's profile comes from the counts of all its training
+texts, summed by Spark. The model has TOP numbers a language, which is what reaches the driver
+and goes to the tasks, as a sorted list of (n-gram, language, rank); no table of n-grams times
+languages is made. A text gets the language whose profile its own most frequent n-grams are
+least out of place in: the sum of rank differences, TOP for one that is missing.
 
 Defined cases: a null text or one without a letter is "und" with score 0; ties go to the
 language first in order; without training rows all is "und"; rows with equal or null ids
@@ -28,54 +30,48 @@ from ..session import ship
 from . import columns
 from .support import saved
 
-SYMBOLS, CLASSES = 40, 13
-N1, N2, N3 = SYMBOLS, SYMBOLS**2, SYMBOLS**3
-CODES = N1 + N2 + N3
+#: Bits of a symbol in the number of an n-gram.
+BITS = 21
 TOP = 300
+#: N-grams that a training task holds before it passes them on.
+HELD = 1 << 20
 UNKNOWN = "und"
 
 
 @lru_cache(1)
-def symbols() -> np.ndarray:
-    """The symbol of each code point: 0 border, 1-26 basic letters, 27-39 classes of other letters."""
-    out = np.zeros(0x110000, np.uint8)
-    for cp in range(128, 0x110000):
+def symbols() -> tuple[np.ndarray, np.ndarray]:
+    """The symbol of each code point (1 a border, else the lower-case code point and 1), and whether it is a letter."""
+    out, letter = np.ones(0x110000, np.int64), np.zeros(0x110000, bool)
+    for cp in range(0x110000):
         c = chr(cp)
-        if unicodedata.category(c)[0] == "L":
+        kind = unicodedata.category(c)[0]
+        if kind in "LM":
             low = c.lower()
-            out[cp] = 27 + (ord(low) if len(low) == 1 else cp) % CLASSES
-    for i in range(26):
-        out[65 + i] = out[97 + i] = 1 + i
-    return out
+            out[cp] = 1 + (ord(low) if len(low) == 1 else cp)
+            letter[cp] = kind == "L"
+    return out, letter
 
 
-def counts(text: str) -> np.ndarray | None:
-    """How often each n-gram occurs; None without letters. Runs of anything but letters are one border."""
-    return count_symbols(symbols()[np.frombuffer(text.encode("utf-32-le"), np.uint32)])
-
-
-def count_symbols(s: np.ndarray) -> np.ndarray | None:
-    keep = s > 0
-    if not keep.any():
+def grams(text: str) -> np.ndarray | None:
+    """The number of each n-gram, once for each time it occurs; None without letters. A border alone is none."""
+    symbol, letter = symbols()
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    if not letter[points].any():
         return None
-    keep[1:] |= s[:-1] > 0  # the first of a run of others stays as the border
-    s = np.concatenate([[0], s[keep], [0]]).astype(np.int64)
-    if s[-2] == 0:
+    s = symbol[points]
+    keep = s > 1
+    keep[1:] |= s[:-1] > 1  # the first of a run of others stays as the border
+    s = np.concatenate([[1], s[keep], [1]])
+    if s[-2] == 1:
         s = s[:-1]
-    pairs = s[:-1] * SYMBOLS + s[1:]
-    triples = pairs[:-1] * SYMBOLS + s[2:]
-    out = np.bincount(np.concatenate([s, pairs + N1, triples + N1 + N2]), minlength=CODES)
-    out[0] = 0
-    return out
+    pairs = s[:-1] << BITS | s[1:]
+    return np.concatenate([s[s > 1], pairs, pairs[:-1] << BITS | s[2:]])
 
 
-def ranked(count: np.ndarray) -> np.ndarray:
-    """Codes of the TOP most frequent n-grams, ties by code."""
-    some = np.flatnonzero(count)
-    if len(some) > 4 * TOP:
-        least = np.partition(count[some], len(some) - TOP)[len(some) - TOP]
-        some = some[count[some] >= least]
-    return some[np.lexsort((some, -count[some]))][:TOP]
+def ranked(found: np.ndarray) -> np.ndarray:
+    """The TOP most frequent n-grams, ties by number."""
+    some, count = np.unique(found, return_counts=True)
+    return some[np.argsort(-count, kind="stable")[:TOP]]
 
 
 def _texts(column):
@@ -87,35 +83,40 @@ def _texts(column):
 
 
 def _count_by_language(batches):
-    sums: dict[str, np.ndarray] = {}
+    sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for i, _, texts in _texts(batch.column(1)):
-            for k, text in enumerate(texts):
-                found = counts(text)
+            new: dict[str, list[np.ndarray]] = {}
+            for lang, text in zip(langs[i:], texts):
+                found = grams(text)
                 if found is not None:
-                    lang = langs[i + k]
-                    if lang in sums:
-                        sums[lang] += found
-                    else:
-                        sums[lang] = found
-        if len(sums) > 64:  # keeps memory even if languages abound; counts add up later
-            yield from _emit(sums)
-            sums = {}
+                    new.setdefault(lang, []).append(found)
+            for lang, found in new.items():
+                sums[lang] = _added(sums.get(lang), *np.unique(np.concatenate(found), return_counts=True))
+            if sum(len(codes) for codes, _ in sums.values()) > HELD:  # memory stays bounded; counts add up later
+                yield from _emit(sums)
+                sums = {}
     yield from _emit(sums)
 
 
+def _added(sums, codes, count):
+    if sums is None:
+        return codes, count
+    both, at = np.unique(np.concatenate([sums[0], codes]), return_inverse=True)
+    return both, np.bincount(at, np.concatenate([sums[1], count])).astype(np.int64)
+
+
 def _emit(sums):
-    for lang, c in sums.items():
-        some = np.flatnonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.int32()), pa.array(c[some], pa.int64())], names=["lang", "code", "n"])
+    for lang, (codes, count) in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes, pa.int64()), pa.array(count, pa.int64())], names=["lang", "code", "n"])
 
 
 def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict[str, np.ndarray]:
     """Each language's profile, from all rows whose lang_col and text are not null."""
     ship(df.sparkSession)
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sums = rows.mapInArrow(_count_by_language, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    sums = rows.mapInArrow(_count_by_language, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     sums = saved(sums, "language-counts")
     # Each of 16 parts of a language gives its TOP, and of these few the language its own.
     part, whole = W.partitionBy("lang", F.pmod("code", F.lit(16))).orderBy(F.desc("n"), "code"), W.partitionBy("lang").orderBy(F.desc("n"), "code")
@@ -128,24 +129,29 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> dict
 
 
 class Judge:
-    """Profiles as a table of ranks, one line per language."""
+    """Profiles as one list of (n-gram, language, rank), sorted by n-gram."""
 
     def __init__(self, model: dict[str, np.ndarray]):
-        self.langs = [*model, UNKNOWN]
-        self.rank = np.full((len(model), CODES), TOP * 2, np.int32)
-        for row, codes in zip(self.rank, model.values()):
-            row[codes] = np.arange(len(codes))
+        self.langs = list(model)
+        codes = np.concatenate([np.empty(0, np.int64), *model.values()])
+        order = np.argsort(codes, kind="stable")
+        self.codes = codes[order]
+        self.lang = np.repeat(np.arange(len(model)), [len(c) for c in model.values()])[order]
+        self.rank = np.concatenate([np.empty(0, np.int64), *(np.arange(len(c)) for c in model.values())])[order]
 
     def __call__(self, text: str) -> tuple[str, float]:
         """The language, and by how much of the worst distance its profile is nearer than that: 0 to 1."""
-        found = counts(text) if len(self.rank) else None
+        found = grams(text) if self.langs else None
         if found is None:
             return UNKNOWN, 0.0
         own = ranked(found)
-        theirs = self.rank[:, own]
-        apart = np.where(theirs < TOP, np.abs(theirs - np.arange(len(own))), TOP).sum(1)
-        best = int(apart.argmin())
-        return self.langs[best], 1.0 - float(apart[best]) / (TOP * len(own))
+        first = np.searchsorted(self.codes, own, "left")
+        many = np.searchsorted(self.codes, own, "right") - first
+        place = np.repeat(np.arange(len(own)), many)
+        at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(len(place))
+        nearer = np.bincount(self.lang[at], TOP - np.abs(self.rank[at] - place), len(self.langs))
+        best = int(nearer.argmax())
+        return self.langs[best], float(nearer[best]) / (TOP * len(own))
 
 
 def predict(df: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", passing: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

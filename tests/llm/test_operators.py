@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -126,6 +127,17 @@ def test_exact_classes(docs, empty, rows, digest):
 def test_exact_without_broadcast(docs, rows, monkeypatch):
     monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", -1)
     check_classes(rows, exact_dedup.exact_classes(docs).collect())
+    assert exact_dedup.drop_copies(docs).count() == 15
+    monkeypatch.setattr(exact_dedup, "MOST_PLACES", 2)  # most bits are set: more is hashed, and the result stays
+    check_classes(rows, exact_dedup.exact_classes(docs).collect())
+
+
+def test_bitmap_of_shared_prefixes(spark):
+    rows = spark.range(20_000).selectExpr("cast(id % 97 as int) as _len", "xxhash64(id) as _head", "id")
+    keys = rows.where("id % 5 = 0").select("_len", "_head")
+    got = [r["id"] for r in exact_dedup._maybe_shared(rows, keys, 4_000).select("id").collect()]
+    assert len(got) == len(set(got)) and set(range(0, 20_000, 5)) <= set(got)
+    assert len(got) - 4_000 < 16_000 * 2 / exact_dedup.PLACES
 
 
 def test_drop_copies(docs, empty, rows):
@@ -498,11 +510,82 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in language.predict(docs, {}).collect()} == {"und"}
 
 
-def test_ngram_counts():
-    c = language.counts("Ab, a")
-    s = [0, 1, 2, 0, 1, 0]
-    assert c[1] == 2 and c[language.N1 + 1 * 40 + 2] == 1 and c[language.N1 + language.N2 + s[1] * 1600 + s[2] * 40 + 0] == 1
-    assert language.counts("12 !") is None
+def plain_grams(text):
+    """Counts of n-grams as tuples of symbols, a symbol at a time."""
+    marks, run = [1], False
+    for c in text:
+        if unicodedata.category(c)[0] in "LM":
+            low = c.lower()
+            marks.append(1 + ord(low if len(low) == 1 else c))
+            run = True
+        elif run:
+            marks.append(1)
+            run = False
+    if marks[-1] != 1:
+        marks.append(1)
+    found = Counter(tuple(marks[i : i + n]) for n in (1, 2, 3) for i in range(len(marks) - n + 1))
+    del found[1,]
+    return found
+
+
+def plain_profile(found):
+    return sorted(found, key=lambda g: (-found[g], len(g), g))[: language.TOP]
+
+
+def test_ngrams_and_profiles_against_plain_counts():
+    for text in ("Ab, a", "a", "Été -- à l'œuvre 12 ça", "中文 Текст ελληνικά عربى हिन्दी e\u0301", "x" * 5000, " ".join(words(400, 9))):
+        want = plain_grams(text)
+        number = lambda g: sum(s << language.BITS * (len(g) - 1 - i) for i, s in enumerate(g))
+        assert Counter(language.grams(text).tolist()) == {number(g): n for g, n in want.items()}
+        assert language.ranked(language.grams(text)).tolist() == [number(g) for g in plain_profile(want)]
+    assert language.grams("12 !") is None and language.grams("") is None and language.grams("\u0301") is None
+
+
+@tables
+def test_language_against_plain_distances(spark, monkeypatch):
+    """The query's rows, every one, from counts and distances in plain Python."""
+    monkeypatch.setattr(language, "HELD", 500)
+    rows = spark.read.parquet(SF + "/documents.parquet").select("doc_id", "text", "lang").collect()
+    late = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0
+    sums = defaultdict(Counter)
+    found = {r["doc_id"]: plain_grams(r["text"] or "") for r in rows}
+    for r in rows:
+        if r["lang"] is not None and r["text"] is not None and not late(r):
+            sums[r["lang"]].update(found[r["doc_id"]])
+    profiles = {lang: {g: k for k, g in enumerate(plain_profile(c))} for lang, c in sorted(sums.items())}
+    want = {}
+    for r in rows:
+        if not any(unicodedata.category(c)[0] == "L" for c in r["text"] or ""):
+            want[r["doc_id"]] = (late(r), "und", 0.0)
+            continue
+        own = plain_profile(found[r["doc_id"]])
+        apart = {lang: sum(abs(p[g] - k) if g in p else language.TOP for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(apart, key=apart.get)
+        want[r["doc_id"]] = (late(r), best, 1 - apart[best] / (language.TOP * len(own)))
+    got = {r["doc_id"]: (r["held_out"], r["lang_pred"], r["score"]) for r in queries.op9_language_id(spark, SF).collect()}
+    assert got.keys() == want.keys()
+    for i, (held, lang, score) in want.items():
+        assert got[i][:2] == (held, lang) and abs(got[i][2] - score) < 1e-12
+
+
+def test_languages_of_other_scripts(spark):
+    """Scripts whose letters are all beyond a to z are told apart by their words, and many languages need no wide table."""
+    speech = {
+        "ru": "в начале было слово и слово было у бога и все через него начало быть".split(),
+        "uk": "на початку було слово і слово було в бога і все через нього почало бути".split(),
+        "el": "εν αρχη ην ο λογος και ο λογος ην προς τον θεον και παντα δι αυτου εγενετο".split(),
+        "zh": "太初有道 道与神同在 道就是神 万物是藉着他造的 生命在他里头".split(),
+        "ja": "初めに言があった 言は神と共にあった 言は神であった 万物は言によって成った".split(),
+        "hi": "आदि में वचन था और वचन परमेश्वर के साथ था और सब कुछ उसी के द्वारा".split(),
+        "ar": "في البدء كان الكلمة والكلمة كان عند الله وكل شيء به كان".split(),
+    }
+    rng = random.Random(4)
+    rows = [(k * 100 + i, " ".join(rng.choices(pool, k=40)), lang) for k, (lang, pool) in enumerate(speech.items()) for i in range(30)]
+    rows += [(10_000 + i, "".join(chr(0x4E00 + 37 * i + j) for j in range(20)), f"x{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df.where("doc_id % 10 < 5 or doc_id >= 10000"))
+    assert len(model) == 207 and max(map(len, model.values())) <= language.TOP
+    assert all(r["lang"] == r["lang_pred"] for r in language.predict(df, model, passing=("lang",)).collect())
 
 
 # 10 mixing
