@@ -24,14 +24,19 @@ from ..session import saved, ship
 FORMAT = "replayed_bars"
 
 
-def prepare(panel: DataFrame, path: str, times_per_folder: int = 64) -> int:
-    """Writes the panel's rows at times that every symbol has, and their numbers from 0; gives how many times there are."""
+def prepare(panel: DataFrame, path: str, times_per_folder: int = 64, most_folders: int | None = None) -> int:
+    """Writes the panel's rows at times that every symbol has, and their numbers from 0; gives how many times there are.
+
+    most_folders: a long calendar has more times in a folder, so that there are no more folders than that.
+    """
     rows = saved(on_common_calendar(panel), "replay-rows")
     calendar = saved(ordinals(rows), "replay-calendar")
     numbered = rows.join(calendar, "ts").select(*rows.columns, F.col("ordinal").cast("long").alias("ordinal"))
+    n = calendar.count()
+    if most_folders:
+        times_per_folder = max(times_per_folder, -(-n // most_folders))
     step = F.floor(F.col("ordinal") / times_per_folder).cast("long")
     numbered.withColumn("step", step).repartition("step").sortWithinPartitions("step", "ordinal", "symbol").write.partitionBy("step").parquet(path)
-    n = calendar.count()
     where, inside = fs.FileSystem.from_uri(path)
     with where.open_output_stream(f"{inside}/_replay.json") as f:
         f.write(json.dumps({"times": n, "per": times_per_folder, "schema": numbered.schema.json()}).encode())
