@@ -60,9 +60,9 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(c: Column | str, name: str | None = None) -> Column:
-    """Rounded to 6 places, without negative zero."""
+    """Rounded to 6 places, without negative zero: the millionfold rounded to a whole number, as SQL's round has it (decimal digits of the value itself differ at ties)."""
     c = F.col(c) if isinstance(c, str) else c
-    out = F.round(c.cast("double"), 6) + F.lit(0.0)
+    out = F.round(c.cast("double") * 1e6) / F.lit(1e6) + F.lit(0.0)
     return out.alias(name) if name else out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import results as rs
 from ..sources.bars import bars_d
+from ..session import spread, tasks_for
 from . import R, query, r6
 
 _DD = "SELECT ts, equity, equity / max(equity) OVER (ORDER BY ts) - 1 AS dd, equity / lag(equity) OVER (ORDER BY ts) - 1 AS r FROM equity"
@@ -53,8 +54,10 @@ def _fills(spark, sf_dir):
     from pyspark.sql import Window as W
 
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return e.select(F.col("event_id").alias("order_id"), F.concat(F.lit("U"), F.col("user_id")).alias("symbol"), "ts", F.col("value").alias("price"), F.when(n % 2 == 1, F.lit(10.0)).otherwise(F.lit(-10.0)).alias("size"))
+    tasks = tasks_for(e.count())
+    f = e.select(F.col("event_id").alias("order_id"), F.concat(F.lit("U"), F.col("user_id")).alias("symbol"), "ts", F.col("value").alias("price"))
+    n = F.row_number().over(W.partitionBy("symbol").orderBy("ts", "order_id"))  # the order that trades are matched in, so one sort serves both
+    return spread(f, ["symbol"], tasks).withColumn("size", F.when(n % 2 == 1, F.lit(10.0)).otherwise(F.lit(-10.0)))
 
 
 def _trades(spark, sf_dir):

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.expr import quotient
+from ..session import saved
 from .prefix import carried, running
 from .quantiles import quantiles
 
@@ -88,33 +90,33 @@ def fifo_trades(fills: DataFrame, by: list[str] | None = None) -> DataFrame:
 
     Fills are intervals on the line of traded quantity. An entry extends the position's absolute quantity and an exit takes
     from the queue's head, so lots are the overlaps of the entries' and the exits' intervals of one side; a fill that
-    turns the position round is both. The cost is a sort of each symbol's fills.
+    turns the position round is both. The cost is two sorts of each symbol's fills.
     """
     key = [*(by or []), "symbol"]
-    order = W.partitionBy(*key).orderBy("ts", "order_id")
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    f = fills.where("size <> 0").withColumn("_after", F.sum("size").over(upto)).withColumn("_before", F.col("_after") - F.col("size"))
-    parts = []
+    upto = W.partitionBy(*key).orderBy("ts", "order_id").rowsBetween(W.unboundedPreceding, 0)
+    f = fills.where("size <> 0").select(*key, "ts", "order_id", "price", "size")
+    f = f.withColumn("_after", F.sum("size").over(upto)).withColumn("_before", F.col("_after") - F.col("size"))
+    moves = {}
     for side, sign in (("long", 1), ("short", -1)):
         before, after = F.greatest(F.col("_before") * sign, F.lit(0.0)), F.greatest(F.col("_after") * sign, F.lit(0.0))
-        parts.append(f.select(*key, "ts", "order_id", "price", F.lit(side).alias("direction"), F.greatest(after - before, F.lit(0.0)).alias("_in"), F.greatest(before - after, F.lit(0.0)).alias("_out")))
-    moves = parts[0].unionByName(parts[1])
-    line = W.partitionBy(*key, "direction").orderBy("ts", "order_id").rowsBetween(W.unboundedPreceding, 0)
-    moves = moves.withColumn("_in_end", F.sum("_in").over(line)).withColumn("_out_end", F.sum("_out").over(line))
-    k = [*key, "direction"]
+        moves |= {f"_in_{side}": F.greatest(after - before, F.lit(0.0)), f"_out_{side}": F.greatest(before - after, F.lit(0.0))}
+    f = f.withColumns(moves).withColumns({f"{c}_end": F.sum(c).over(upto) for c in moves})
     # Both kinds of intervals begin at 0 and follow one another without a gap: along the line, each stretch between two beginnings has one entry and one exit.
-    ends = [F.col(f"{c}_end") - F.col(c) for c in ("_in", "_out")]
-    at = lambda c: F.struct(F.col("ts").alias("t"), F.col("price").alias("p"), F.col(f"{c}_end").alias("end"))
-    starts = moves.where("_in > 1e-12").select(*k, ends[0].alias("_p"), at("_in").alias("_e")).unionByName(moves.where("_out > 1e-12").select(*k, ends[1].alias("_p"), at("_out").alias("_x")), allowMissingColumns=True)
-    cut = W.partitionBy(*k).orderBy("_p")
+    stretch = lambda c: F.struct(F.lit(c.endswith("_long")).alias("_long"), F.lit(c.startswith("_in")).alias("_in"), (F.col(f"{c}_end") - F.col(c)).alias("_p"), F.col(f"{c}_end").alias("_end"), F.col(c).alias("_len"))
+    starts = f.select(*key, "ts", "price", F.explode(F.filter(F.array(*[stretch(c) for c in moves]), lambda s: s["_len"] > 1e-12)).alias("_s"))
+    starts = starts.select(*key, "ts", "price", *[f"_s.{c}" for c in ("_long", "_in", "_p", "_end")])
+    cut = W.partitionBy(*key, "_long").orderBy("_p")
     so_far = cut.rowsBetween(W.unboundedPreceding, 0)
-    lots = starts.select(*k, "_p", F.last("_e", True).over(so_far).alias("_e"), F.last("_x", True).over(so_far).alias("_x"), F.lead("_p").over(cut).alias("_q"))
+    last = lambda own: F.last(F.when(own, F.struct(F.col("ts").alias("t"), F.col("price").alias("p"), F.col("_end").alias("end"))), True).over(so_far)
+    lots = starts.select(*key, "_long", "_p", last(F.col("_in")).alias("_e"), last(~F.col("_in")).alias("_x"), F.lead("_p").over(cut).alias("_q"))
     lots = lots.withColumn("size", F.least("_q", "_e.end", "_x.end") - F.col("_p")).where("_e is not null and _x is not null and size > 1e-12")
-    lots = lots.select(*k, F.col("_e.t").alias("entry_time"), F.col("_e.p").alias("entry_price"), F.col("_x.t").alias("exit_time"), F.col("_x.p").alias("exit_price"), "size")
-    sign = F.when(F.col("direction") == "long", F.lit(1.0)).otherwise(F.lit(-1.0))
+    lots = lots.select(*key, "_long", F.col("_e.t").alias("entry_time"), F.col("_e.p").alias("entry_price"), F.col("_x.t").alias("exit_time"), F.col("_x.p").alias("exit_price"), "size")
+    sign = F.when(F.col("_long"), F.lit(1.0)).otherwise(F.lit(-1.0))
     pnl = (F.col("exit_price") - F.col("entry_price")) * F.col("size") * sign
+    growth = (quotient(F.col("exit_price"), F.col("entry_price")) - 1) * sign
     days = (F.unix_micros(F.col("exit_time").cast("timestamp")) - F.unix_micros(F.col("entry_time").cast("timestamp"))) / 86_400_000_000
-    return lots.select(*key, "entry_time", "exit_time", "entry_price", "exit_price", "size", pnl.alias("pnl"), (F.try_divide(F.col("exit_price"), F.col("entry_price")) - 1).alias("_g"), sign.alias("_s"), days.alias("duration"), "direction").withColumn("pnl_pct", F.col("_g") * F.col("_s")).drop("_g", "_s")
+    side = F.when(F.col("_long"), F.lit("long")).otherwise(F.lit("short"))
+    return lots.select(*key, "entry_time", "exit_time", "entry_price", "exit_price", "size", pnl.alias("pnl"), days.alias("duration"), side.alias("direction"), growth.alias("pnl_pct"))
 
 
 def alternating_trades(fills: DataFrame) -> DataFrame:
@@ -138,6 +140,7 @@ def _group_aggs() -> list[Column]:
 
 def trade_summary(trades: DataFrame) -> DataFrame:
     """One line: counts, win rate, averages, expectancy, longest streaks (trades without result neither add nor break), median duration."""
+    trades = saved(trades, "trades")
     told = trades.where("pnl <> 0").withColumn("_win", F.col("pnl") > 0)
     told = running(told, "exit_time", ["entry_time", "symbol", "pnl"], {"_won": F.col("_win").cast("long"), "_lost": (~F.col("_win")).cast("long")})
     told = told.withColumn("_island", F.when(F.col("_win"), F.col("_lost")).otherwise(F.col("_won")))  # a streak ends where the other count moves
@@ -154,7 +157,7 @@ def trade_summary(trades: DataFrame) -> DataFrame:
 def trade_distribution(trades: DataFrame, column: str = "pnl") -> DataFrame:
     """quantile, value at .1 .25 .5 .75 .9, interpolated linearly."""
     points = [0.1, 0.25, 0.5, 0.75, 0.9]
-    q = quantiles(trades, [], column, points)
+    q = quantiles(saved(trades.select(column), "trades"), [], column, points)
     return q.select(F.posexplode("q").alias("i", "value")).select(F.element_at(F.array(*[F.lit(p) for p in points]), F.col("i") + 1).alias("quantile"), "value")
 
 

@@ -48,6 +48,22 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: Rows that one task of a spread table sorts, about.
+TASK_ROWS = 1 << 18
+
+
+def tasks_for(rows: int, each: int = TASK_ROWS) -> int:
+    """Tasks that so many rows need, for spread()."""
+    return -(-rows // each)
+
+
+def spread(df: DataFrame, by: list[str], tasks: int | None) -> DataFrame:
+    """df dealt by the columns over `tasks` tasks, if these are more than the session's shuffle partitions, so that a task's share does not grow with the table."""
+    if not tasks or tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df
+    return df.repartition(tasks, *by)
+
+
 _own_dir: list[str] = []
 
 

@@ -6,10 +6,11 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from barspark import catalog
+from barspark import catalog, session
 from barspark.catalog import research
 from barspark.functions import factors as fx
 from barspark.functions.expr import compile
+from barspark.operators import results
 from barspark.streaming import streams
 from helpers import bars
 
@@ -33,3 +34,34 @@ def test_range_volatility_of_a_bar_that_touches_zero(spark):
     assert [i for i, r in enumerate(got) if math.isinf(r.g)] == [i for i, r in enumerate(got) if math.isinf(r.p)] == [2, 3, 4, 5, 6]
     wide = compile(b, {"g": fx.garman_klass(40), "p": fx.parkinson(40)}).orderBy("ts").collect()
     assert [i for i, r in enumerate(wide) if math.isinf(r.g) and math.isinf(r.p)] == list(range(2, 42))
+
+
+def fills(spark, rows):
+    return spark.createDataFrame([(i, s, T0 + timedelta(hours=i), float(p), float(z)) for i, (s, p, z) in enumerate(rows)], "order_id long, symbol string, ts timestamp_ntz, price double, size double")
+
+
+def test_a_trade_entered_at_zero_has_an_infinite_gain(spark):
+    f = fills(spark, [("A", 0, 5), ("A", 3, -5), ("B", 0, -2), ("B", 1, 2), ("C", 0, 1), ("C", 0, -1), ("D", 2, 1), ("D", 3, -1)])
+    got = {r.symbol: r.pnl_pct for r in results.fifo_trades(f).collect()}
+    assert got["A"] == math.inf and got["B"] == -math.inf and math.isnan(got["C"]) and got["D"] == 0.5
+    assert {r.symbol: r.avg_pnl_pct for r in results.by_symbol(results.fifo_trades(f.where("symbol in ('A', 'D')"))).collect()} == {"A": math.inf, "D": 0.5}
+    assert results.by_month(results.fifo_trades(f.where("symbol in ('A', 'D')"))).first().avg_pnl_pct == math.inf
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    import duckdb
+
+    values = [8.0046875, -8.0046875, 57.63 / 6.4 - 1, 0.0000005, 1.0078125, -0.0, 1e15 + 0.3, math.inf]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(catalog.r6("v", "v")).collect()]
+    assert got == [duckdb.sql(f"SELECT {catalog.R('$v')}", params={"v": v}).fetchall()[0][0] for v in values]
+
+
+def test_fills_are_sorted_twice_and_dealt_once(spark, monkeypatch):
+    f = fills(spark, [(s, 1 + i % 7, 3 if i % 2 else -2) for i in range(40) for s in "AB"])
+    plan = results.fifo_trades(f)._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 2
+    wanted = sorted(map(str, results.fifo_trades(f).collect()))
+    assert sorted(map(str, results.fifo_trades(session.spread(f, ["symbol"], 23)).collect())) == wanted
+    assert session.spread(f, ["symbol"], 23).rdd.getNumPartitions() == 23 and session.spread(f, ["symbol"], 2) is f
+    assert session.tasks_for(0) == 0 and session.tasks_for(session.TASK_ROWS + 1) == 2
