@@ -48,18 +48,34 @@ def sessions(stream: DataFrame, gap: str, delay: str = "1 hour") -> DataFrame:
     return agg.select("symbol", F.col("w.start").cast("timestamp_ntz").alias("ts"), "n")
 
 
-def ema(stream: DataFrame, span: float) -> DataFrame:
-    """The exponential average of each symbol's prices; its state is one number. Rows of a batch are put in time order."""
-    ship(stream.sparkSession)
+#: Rows of a symbol and batch that a task gives out at once.
+PIECE = 1 << 14
+
 
+def _averaged(span: float):
     def step(key, frames, state):
-        rows = pd.concat(list(frames)).sort_values("ts")
-        out, now = Ema(span).step(rows["price"].to_numpy(float), np.array(state.get) if state.exists else None)
-        if now is not None:
-            state.update((float(now[0]),))
-        yield pd.DataFrame({"symbol": key[0], "ts": rows["ts"].to_numpy(), "ema": np.asarray(out)})
+        ts, price = (np.concatenate(c) for c in zip(*((f["ts"].to_numpy(), f["price"].to_numpy(float)) for f in frames)))
+        order = np.argsort(ts, kind="stable")
+        ts, price = ts[order], price[order]
+        del order
+        kernel, now = Ema(span), np.array(state.get) if state.exists else None
+        for i in range(0, len(ts), PIECE):
+            out, now = kernel.step(price[i : i + PIECE], now)
+            if i + PIECE >= len(ts) and now is not None:
+                state.update((float(now[0]),))
+            yield pd.DataFrame({"symbol": key[0], "ts": ts[i : i + PIECE], "ema": np.asarray(out)})
+
+    return step
+
+
+def ema(stream: DataFrame, span: float) -> DataFrame:
+    """The exponential average of each symbol's prices; its state is one number.
+
+    Rows of a batch are put in time order: of a symbol's share a task holds two numbers a row, and gives it out in pieces.
+    """
+    ship(stream.sparkSession)
 
-    got = stream.groupBy("symbol").applyInPandasWithState(step, "symbol string, ts timestamp, ema double", "y double", "append", GroupStateTimeout.NoTimeout)
+    got = stream.select("symbol", "ts", "price").groupBy("symbol").applyInPandasWithState(_averaged(span), "symbol string, ts timestamp, ema double", "y double", "append", GroupStateTimeout.NoTimeout)
     return got.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

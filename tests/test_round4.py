@@ -4,6 +4,8 @@ import math
 import os
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from barspark import catalog, session
@@ -11,6 +13,7 @@ from barspark.catalog import research
 from barspark.functions import factors as fx
 from barspark.functions.expr import compile
 from barspark.operators import results
+from barspark.operators.recursive import Ema
 from barspark.streaming import streams
 from helpers import bars
 
@@ -65,3 +68,24 @@ def test_fills_are_sorted_twice_and_dealt_once(spark, monkeypatch):
     assert sorted(map(str, results.fifo_trades(session.spread(f, ["symbol"], 23)).collect())) == wanted
     assert session.spread(f, ["symbol"], 23).rdd.getNumPartitions() == 23 and session.spread(f, ["symbol"], 2) is f
     assert session.tasks_for(0) == 0 and session.tasks_for(session.TASK_ROWS + 1) == 2
+
+
+def test_a_streamed_average_goes_out_in_pieces(spark):
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    rng, state, n = np.random.default_rng(3), State(), streams.PIECE + 500
+    price = rng.normal(100, 5, 2 * n)
+    price[[0, n + 7]] = np.nan
+    frame = pd.DataFrame({"symbol": "A", "ts": pd.date_range(T0, periods=2 * n, freq="s"), "price": price})
+    got = []
+    for half in (frame[:n], frame[n:]):
+        pieces = list(streams._averaged(20)(("A",), iter(np.array_split(half.sample(frac=1, random_state=1), 5)), state))
+        assert [len(p) for p in pieces] == [streams.PIECE, 500]
+        got += pieces
+    out = pd.concat(got)
+    want, _ = Ema(20).step(price, None)
+    assert (out["ts"].to_numpy() == frame["ts"].to_numpy()).all() and np.allclose(out["ema"], want, equal_nan=True, rtol=1e-12)
