@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import factors as fx
-from ..functions.expr import col, compile, lit, rolling
+from ..functions.expr import col, compile, compile_long, lit, rolling
 from ..operators import filters as fl
 from ..operators import panel as pn
 from ..operators import recursive, signals
+from ..operators.prefix import numbered
 from ..plans.pipeline import Pipeline
+from ..session import tasks_for
 from ..sources.bars import bars_d, bars_h, bars_o, bars_s
 from . import R, query, r6
 
@@ -104,8 +105,9 @@ def _frames(name: str, n: int) -> None:
     @query(name, f"SELECT symbol, ts, {', '.join(f'{R(s)} AS {k}' for k, (_, s) in parts.items())} FROM {_TICKS} WINDOW w AS {_w(n)}")
     def run(spark, sf_dir):
         events = spark.read.parquet(f"{sf_dir}/events.parquet")
-        ticks = events.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close"), F.ln(F.col("value") + 1).alias("y"), F.row_number().over(W.partitionBy("event_type").orderBy("ts")).cast("double").alias("x"))
-        return compile(ticks, {k: e for k, (e, _) in parts.items()}).select("symbol", "ts", *[r6(k, k) for k in parts])
+        ticks = numbered(events.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("close")), "symbol", "ts", "x")
+        ticks = ticks.withColumn("y", F.ln(F.col("close") + 1))
+        return compile_long(ticks, {k: e for k, (e, _) in parts.items()}, "x", n, tasks_for(events.count())).select("symbol", "ts", *[r6(k, k) for k in parts])
 
 
 _frames("rolling_narrow", 10)

@@ -26,6 +26,17 @@ def running(df: DataFrame, at: str, order: list[str], sums: dict[str, Column]) -
     return out.select(*df.columns, *sums)
 
 
+def numbered(df: DataFrame, by: str, at: str, name: str) -> DataFrame:
+    """df and, as `name`, each row's number (a double, from 1) among those of its `by` in the order of `at`; range-sorted as in running(), so one key's rows may be many partitions."""
+    laid = saved(df.repartitionByRange(by, at).withColumn("_part", F.spark_partition_id()), "numbered")
+    per = laid.groupBy(F.col("_part").alias("_of"), F.col(by).alias("_key")).agg(F.count("*").alias("_n"))  # a line a partition and key there
+    before = F.sum("_n").over(W.partitionBy("_key").orderBy("_of").rowsBetween(W.unboundedPreceding, -1))
+    per = per.select("_of", "_key", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_part", by).orderBy(at))
+    out = laid.withColumn("_i", inside).join(F.broadcast(per), (F.col("_part") == F.col("_of")) & F.col(by).eqNullSafe(F.col("_key")))
+    return out.select(*df.columns, (F.col("_before") + F.col("_i")).cast("double").alias(name))
+
+
 def carried(df: DataFrame, order: list[str], column: str, name: str) -> DataFrame:
     """df and, as `name`, the last value of the column that is not null up to each row in the order of `order` (nulls first); range-sorted as in running()."""
     laid = saved(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "carried")

@@ -11,8 +11,9 @@ import pytest
 from barspark import catalog, session
 from barspark.catalog import research
 from barspark.functions import factors as fx
-from barspark.functions.expr import compile
+from barspark.functions.expr import col, compile, compile_long, rolling
 from barspark.operators import results
+from barspark.operators.prefix import numbered
 from barspark.operators.recursive import Ema
 from barspark.streaming import streams
 from helpers import bars
@@ -89,3 +90,21 @@ def test_a_streamed_average_goes_out_in_pieces(spark):
     out = pd.concat(got)
     want, _ = Ema(20).step(price, None)
     assert (out["ts"].to_numpy() == frame["ts"].to_numpy()).all() and np.allclose(out["ema"], want, equal_nan=True, rtol=1e-12)
+
+
+def test_long_histories_in_chunks_with_what_they_look_back_on(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, T0 + timedelta(minutes=i), float(v)) for s, n in (("A", 430), ("B", 1), (None, 95)) for i, v in enumerate(rng.normal(50, 9, n))]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, close double").repartition(4)
+    laid = numbered(df, "symbol", "ts", "x")
+    places = {}
+    for r in sorted(laid.collect(), key=lambda r: (r.symbol or "", r.ts)):
+        places.setdefault(r.symbol, []).append(r.x)
+    assert places == {s: [float(i) for i in range(1, n + 1)] for s, n in (("A", 430), ("B", 1), (None, 95))}
+    exprs = {"m": rolling("avg", 40, col("close")), "s": rolling("stddev_samp", 40, col("close")), "b": rolling("regr_slope", 40, col("close"), col("x")), "k": rolling("count", 7, col("close"))}
+    keyed = lambda d: d.toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    want = keyed(compile(laid, exprs))
+    for rows_each, tasks in ((100, 23), (40, None), (1, None)):
+        pd.testing.assert_frame_equal(keyed(compile_long(laid, exprs, "x", 40, tasks, rows_each)), want, rtol=1e-9)
+    plan = compile_long(laid, exprs, "x", 40, 23, 100)
+    assert "hashpartitioning(symbol" in plan._jdf.queryExecution().executedPlan().toString() and ", 23)" in plan._jdf.queryExecution().executedPlan().toString()
