@@ -1,38 +1,29 @@
-"""Substring dedup: passages that repeat, nearly, in other documents, by compact windows.
-
-A text is the row of its word shingles, where one that repeats within t places counts as another. Under a random order of all shingles (one per hash
-function) the Cartesian tree of a text's row cuts all its subsequences of at least t shingles into
-compact windows (l, c, r): every subsequence that begins in [l, c] and ends in [c, r] has the
-shingle at c as its least. There are about 2 n / t of them. Two passages of similarity J have equal
-least shingles with probability J, so windows with equal signatures hold candidates.
-
-Texts that are equal but for white space are one text: its windows are made once, and each copy gets
-a line that names the whole of it. Then
-
-1. Windows are made once, for all functions. Those whose signature no other document has are left
-   out (an aggregation and a join).
-2. In each document, windows of two different functions that share subsequences of at least t
-   shingles are joined by their intervals; what is kept, a place, has two agreeing signatures (its
-   key). The first pair of functions comes first: it finds all exact repeats. The other pairs follow
-   for the windows that no verified span holds, and for all windows that share a signature with them.
-3. Of the documents with a key each place meets two, the least and the greatest id, at the first
-   place there, along the alignment that the windows give; so a passage that thousands share makes a
-   line for each, not pairs.
-4. Each candidate alignment is verified on the shingles themselves (32 bits of each, which travel):
-   windows of t shingles whose
-   Jaccard similarity is at least the threshold, merged to spans.
-5. Places in no verified span stay only if some window of t shingles there has as many that another
-   document's place holds as the threshold asks for: what shares but a short common line leaves by
-   one count of shingles. The documents that the keys of the places left connect are compared in
-   blocks of bounded size, in full: this is the exact way for what two partners a key did not find.
-
-Recall: two windows at similarity J agree in each function with probability J. With FUNCTIONS = 3
-and two agreeing, one window at J = 0.8 is found with 1 - 0.2^4 - 4 * 0.8 * 0.2^3 = 0.973; a passage
-has several. The tests measure it against brute force.
+"""Substring dedup: passages that repeat, nearly, in other documents, by compact windows; exact.
+
+A text is the row of its word shingles. Two windows of t shingles (words - width + 1) are alike if their Jaccard
+similarity as multisets is at least the threshold: of 46 each, 41 in common (`need`). Documents with alike windows are
+linked. The result has one row for each stretch of words of a document that windows alike to another
+document's cover, with one such partner, and component_id, the least id that links reach. No sampling or chance
+signature decides what is compared:
+
+1. The texts that have a shingle are counted (to MOST at most), for all shingles: slices of texts deal 32 bits of each to
+   buckets, which count and answer by place. Equal bits of unlike shingles only count more.
+2. A window with less than `need` shingles that other texts have is alike to none. What the other windows hold, a
+   document's reach, stays; on natural text this is little.
+3. All shingles have one order: the rarest first, then by hash. Of two alike windows the t - need + 1 least of each
+   have one in common. A compact window (l, c, r) here is a place c with the first and the last window that has it among its
+   so many least; the shingle at c is its key. windows() is the case of the one least, by Cartesian trees.
+4. Documents of a key meet the least of them, then up to ROUNDS others in seeded order, each time for those compact windows that no
+   verified stretch holds; so a passage that thousands share makes a pair for each.
+5. What still is in no verified stretch meets every document of its keys; and so do documents of a key that lie in
+   different components. This is quadratic only in what has shared keys and is alike to none of the documents met.
+6. A pair is compared in full, window by window, with no cut at an alignment.
+
+Texts that are equal but for white space are one text; each copy gets a line that names the whole of it.
 
 Defined cases: null ids take no part; null, empty and short texts have no passage; repeats inside
 one document alone are not passages; rows with the same id count as one document; an empty table
-gives an empty result; other columns are not looked at. Texts are used whole.
+gives an empty result; other columns are not looked at. Texts are used whole. Shingles are known by 64 bits.
 """
 
 from __future__ import annotations
@@ -41,7 +32,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,17 +41,25 @@ from ..session import ship
 from . import columns, exact_dedup
 from .columns import U64
 from .components import components
-from .ngram_join import incidence
 from .support import BROADCAST_ROWS, done_with, saved
 
-FUNCTIONS = 3
-#: Documents in a part of a group; two parts meet in a task.
-BLOCK_DOCS = 64
-#: Windows whose intervals are joined at once.
-TOGETHER = 150_000
+#: Texts with a shingle are counted up to here; a slice sends no more of one.
+MOST = 100
+#: Bytes of text in a slice, and in a bucket of shingles.
+SLICE_BYTES, BUCKET_BYTES = 1 << 22, 1 << 25
+#: Documents of a key that its others meet one after the other, before all meet.
+ROUNDS = 4
+#: Shingles of the documents that meet one hub in a task.
+TOGETHER = 1 << 17
+#: Pairs for which a task is made, and most tasks.
+TASK_PAIRS, TASKS = 64, 2048
+#: Rows of a key in a part; two parts meet in a task.
+BLOCK_ROWS = 512
 #: Low bits of a sort key that hold the place in a slice; more where one text is longer.
 PLACE_BITS = 21
 SPAN = "doc_id long, partner_id long, start_word long, end_word long, partner_start long, partner_end long, jaccard double"
+DEALT = "slice long, bucket int, data binary, docs binary, marks binary, firsts binary, again binary"
+REACH = "doc long, n long, ranges binary, tokens binary, counts binary"
 
 
 def windows(values: np.ndarray, firsts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,401 +110,425 @@ def windows(values: np.ndarray, firsts: np.ndarray, least: int) -> tuple[np.ndar
     return text, lo - base, c - base, hi - base
 
 
-def numbered(tokens: np.ndarray, firsts: np.ndarray, least: int) -> np.ndarray:
-    """Shingles, made unlike those of the same text less than `least` places before that they repeat: the first of a row of repeats stays, the k-th is another for each k.
-
-    So no window of `least` shingles holds one twice, its set is as large as it is long, and text that repeats a word or a
-    line on and on has no more windows than any other.
-    """
-    order = np.argsort(tokens, kind="stable")  # equal ones in order of place
-    text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))[order]
-    again = np.zeros(len(order), bool)
-    again[1:] = (tokens[order][1:] == tokens[order][:-1]) & (np.diff(order) < least) & (text[1:] == text[:-1])
-    if not again.any():
-        return tokens
-    start = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
-    nth = (np.arange(len(order)) - start)[again].astype(U64)
-    out = tokens.copy()
-    out[order[again]] = columns.mix64(tokens[order[again]] ^ columns.mix64(nth))
-    return out
-
-
-def _rows(column, width: int, least: int):
-    data, offsets = columns.buffers(column)
-    for i, j in columns.slices(offsets):
-        words, firsts = columns.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        tokens, at = columns.shingles(words, firsts, width)
-        yield i, numbered(tokens, at, least), at
-
-
-def _windows(width: int, least: int, functions: int):
-    """(sig, fn, doc, l, c, r) of every compact window. A function multiplies by its own odd number: the order of the products is its order of shingles."""
-    odd = columns.mix64(np.arange(1, functions + 1, dtype=U64)) | U64(1)
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, tokens, firsts in _rows(batch.column(1), width, least):
-                for fn in range(functions):
-                    values = tokens * odd[fn]
-                    text, lo, c, hi = windows(values, firsts, least)
-                    sig = values[firsts[text] + c].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.full(len(c), fn, np.int8)), pa.array(ids[i + text]), *(pa.array(x.astype(np.int32)) for x in (lo, c, hi))], names=["sig", "fn", "doc", "l", "c", "r"])
-
-    return run
+def _need(least: int, threshold: float) -> int:
+    """Shingles that alike windows share at least."""
+    return math.ceil(2 * least * threshold / (1 + threshold) - 1e-9)
 
 
-def agreements(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of windows (l, c, r), b in order of c, that share subsequences of at least `least` places: each holds the other's c."""
-    (al, ac, ar), (bl, bc, br) = a, b
-    start, stop = np.searchsorted(bc, al, "left"), np.searchsorted(bc, ar, "right")
-    size = np.maximum(stop - start, 0)
-    x = np.repeat(np.arange(len(ac)), size)
-    y = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    ok = (bl[y] <= ac[x]) & (br[y] >= ac[x]) & (np.minimum(ar[x], br[y]) - np.maximum(al[x], bl[y]) + 1 >= least)
-    return x[ok], y[ok]
-
-
-PLACE = "key long, doc long, lo int, hi int, c int, open boolean"
-
-
-def places(doc, sig, fn, lo, c, hi, open_, least: int, pairs: list[tuple[int, int]]):
-    """PLACE's columns for windows of two functions of a pair that agree on a subsequence, of many documents at once."""
-    names, number = np.unique(doc, return_inverse=True)
-    room = np.zeros(len(names) + 1, np.int64)
-    np.maximum.at(room, number + 1, hi + 2)
-    base = np.cumsum(room)[number]  # documents one after another on one line
-    order = np.lexsort((c + base, fn))
-    doc, sig, fn, lo, c, hi, open_, base = (x[order] for x in (doc, sig, fn, lo, c, hi, open_, base))
-    edge = np.searchsorted(fn, np.arange(max(map(max, pairs)) + 2))
-    for n, (f, g) in enumerate(pairs):
-        q = slice(edge[g], edge[g + 1])
-        other = (lo[q] + base[q], c[q] + base[q], hi[q] + base[q])
-        for k in range(edge[f], edge[f + 1], 16_384):
-            p = slice(k, min(k + 16_384, edge[f + 1]))
-            x, y = agreements((lo[p] + base[p], c[p] + base[p], hi[p] + base[p]), other, least)
-            if len(x):
-                x, y = x + k, y + edge[g]
-                key = columns.mix64(sig[x].view(U64) ^ columns.mix64(sig[y].view(U64) + U64(16 * f + g + 1)))
-                yield key.view(np.int64), doc[x], np.maximum(lo[x], lo[y]), np.minimum(hi[x], hi[y]), c[x], open_[x] | open_[y]
-
-
-def _places(least: int, pairs: list[tuple[int, int]]):
-    """places() of rows (doc, sig, fn, l, c, r, open) that come by doc."""
-
-    def emit(held):
-        cols = [np.concatenate(x) for x in zip(*held)]
-        for key, doc, lo, hi, c, open_ in places(*(x.astype(np.int64) if x.dtype in (np.int32, np.int8) else x for x in cols), least, pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), *(pa.array(x.astype(np.int32)) for x in (lo, hi, c)), pa.array(open_)], names=["key", "doc", "lo", "hi", "c", "open"])
+def _bytes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).tobytes()
 
-    def run(batches):
-        held: list[list[np.ndarray]] = []
-        rows = 0
-        for batch in batches:
-            cols = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-            rows += len(cols[0])
-            held.append(cols)
-            if rows > TOGETHER:  # whole documents go; the last one may go on
-                last = cols[0][-1]
-                whole = [np.concatenate(x) for x in zip(*held)]
-                cut = int(np.argmax(whole[0] == last))
-                if cut:
-                    yield from emit([[x[:cut] for x in whole]])
-                held = [[x[cut:] for x in whole]]
-                rows = len(held[0][0]) if cut else 0
-        if held and sum(len(h[0]) for h in held):
-            yield from emit(held)
 
-    return run
+def dealt(tokens: np.ndarray, firsts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bucket (from 1) of each place of a slice, 0 where its shingle is not sent; the places that are sent, by bucket, and how many to each; and pairs (place, an earlier place of the text with its shingle).
 
+    A text sends a shingle once, a slice MOST times.
+    """
+    order = np.argsort(tokens, kind="stable")
+    text = (np.searchsorted(firsts, np.arange(len(order)), "right") - 1)[order]
+    same = np.zeros(len(order), bool)
+    same[1:] = tokens[order][1:] == tokens[order][:-1]
+    again = same.copy()
+    again[1:] &= text[1:] == text[:-1]
+    here = np.arange(len(order))
+    source = order[np.maximum.accumulate(np.where(again, 0, here))]
+    upto = np.cumsum(~again)
+    nth = upto - upto[np.maximum.accumulate(np.where(same, 0, here))]
+    code = (((tokens >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.uint8 if buckets < 256 else np.uint16 if buckets < 1 << 16 else np.uint32) + 1
+    code[order[again | (nth >= MOST)]] = 0
+    places = np.argsort(code, kind="stable")
+    sizes = np.bincount(code, minlength=buckets + 1)
+    return code, places[sizes[0] :], sizes[1:], np.stack([order[again], source[again]]).astype(np.int32)
+
+
+def _deal(width: int, buckets: int):
+    """Of each slice a row with its documents and buckets by place (bucket -1), and a row for each bucket with 32 bits of every shingle."""
 
-def alike(a: np.ndarray, b: np.ndarray, shift: int, least: int, threshold: float) -> list[tuple[int, int, float]]:
-    """Stretches of a, merged from windows of `least` shingles alike to b's at the same place plus shift; and their best similarity."""
-    n = len(a) - least + 1
-    if n <= 0 or len(b) < least:
-        return []
-    if 0 <= shift <= len(b) - len(a) and np.array_equal(a, b[shift : shift + len(a)]):
-        return [(0, len(a), 1.0)]
-    order = np.argsort(b, kind="stable")
-    sorted_b = b[order]
-    want = np.arange(len(a)) + shift
-    lo, hi = np.searchsorted(sorted_b, a, "left"), np.searchsorted(sorted_b, a, "right")
-    found = hi > lo
-    near = np.where(found, order[np.minimum(lo, len(b) - 1)], -1)
-    many = np.flatnonzero(hi - lo > 1)
-    if len(many):  # the occurrence nearest to the alignment; places of equal shingles are in order
-        wide = len(b) + 1
-        of = np.searchsorted(sorted_b, sorted_b, "left") * wide + order
-        p = np.minimum(np.searchsorted(of, lo[many] * wide + np.clip(want[many], 0, len(b))), hi[many] - 1)
-        before = np.maximum(p - 1, lo[many])
-        near[many] = np.where(np.abs(order[p] - want[many]) <= np.abs(order[before] - want[many]), order[p], order[before])
-    at = np.flatnonzero(found)
-    off = near[at] - want[at]
-    begin, end = at - least + 1 + np.maximum(0, off), at - np.maximum(0, -off)  # windows that hold both sides
-    use = (begin <= end) & (np.abs(off) < least)
-    begin, end = np.clip(begin[use], 0, n), np.clip(end[use] + 1, 0, n)
-    step = np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1)
-    both = np.cumsum(step)[:n]
-    start = np.arange(n)
-    inside = (start + shift >= 0) & (start + shift + least <= len(b))
-    similar = both / (2 * least - both)
-    good = np.flatnonzero(inside & (similar >= threshold))
-    if not len(good):
-        return []
-    gaps = np.flatnonzero(np.diff(good) > least) + 1
-    return [(int(g[0]), int(g[-1]) + least, float(similar[g].max())) for g in np.split(good, gaps)]
-
-
-def _verified(width: int, least: int, threshold: float):
     def run(batches):
+        n = 0
         for batch in batches:
-            rows = []
-            for m, h, a0, b0, shift, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                for s, e, j in alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), a0 - shift - b0, least, threshold):
-                    at, of = a0 + s, a0 + s - shift
-                    rows.append((m, h, at, at + e - s + width - 1, of, of + e - s + width - 1, j))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 6 else pa.int64()) for k, c in enumerate(zip(*rows))], names=["doc_id", "partner_id", "start_word", "end_word", "partner_start", "partner_end", "jaccard"])
+            ids, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            data, offsets = columns.buffers(batch.column(2))
+            for i, j in columns.slices(offsets, SLICE_BYTES):
+                tokens, firsts = columns.shingles(*columns.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), width)
+                code, places, sizes, again = dealt(tokens, firsts, buckets)
+                short, upto = tokens[places].astype(np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+                to = np.flatnonzero(sizes)
+                name = (TaskContext.get().partitionId() << 32) + n
+                n += 1
+                none = [None] * len(to)
+                blobs = [_bytes(code), *(_bytes(short[upto[b] : upto[b + 1]]) for b in to)]
+                about = [pa.array([_bytes(x), *none], pa.binary()) for x in (ids[i:j].astype(np.int64), marks[i:j].astype(np.int64), firsts.astype(np.int64), again)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to) + 1, name)), pa.array(np.concatenate([[-1], to]).astype(np.int32)), pa.array(blobs, pa.binary()), *about], names=["slice", "bucket", "data", "docs", "marks", "firsts", "again"])
 
     return run
 
 
-def _token_rows(width: int, least: int):
-    def run(batches):
-        for batch in batches:
-            for i, tokens, firsts in _rows(batch.column(1), width, least):
-                f, short = firsts.tolist(), tokens.astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(f) - 1), pa.array([short[a:b].tobytes() for a, b in zip(f[:-1], f[1:])], pa.binary())], names=["doc", "tokens"])
+def _count(table: pa.Table) -> pa.Table:
+    """How many texts sent each value of a bucket, to MOST at most, in the order in which the slices sent them."""
+    blobs = table.column("data").to_pylist()
+    values = np.frombuffer(b"".join(blobs), np.uint32)
+    order = np.argsort(values)
+    start = np.flatnonzero(np.diff(values[order], prepend=~values[order[:1]]))
+    times = np.diff(np.append(start, len(values)))
+    counts = np.empty(len(values), np.uint8)
+    counts[order] = np.repeat(np.minimum(times, MOST), times)
+    ends = np.cumsum([len(b) // 4 for b in blobs])
+    return pa.table({"slice": table.column("slice"), "bucket": table.column("bucket"), "data": pa.array([_bytes(x) for x in np.split(counts, ends[:-1])], pa.binary())})
 
-    return run
 
+def held(flags: np.ndarray, firsts: np.ndarray, least: int, need: int) -> np.ndarray:
+    """Starts of the windows of `least` places inside one text of which `need` are flagged."""
+    if len(flags) < least:
+        return np.empty(0, np.int64)
+    upto = np.concatenate([[0], np.cumsum(flags)])
+    starts = np.flatnonzero(upto[least:] - upto[:-least] >= need)
+    return starts[np.searchsorted(firsts, starts, "right") == np.searchsorted(firsts, starts + least - 1, "right")]
 
-def repeated_passages(df: DataFrame, width: int = 5, words: int = 50, threshold: float = 0.8, functions: int = FUNCTIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans of at least `words` words (begin and end, counted from 0) of doc_id and of partner_id that are alike; the partner stands for all documents that share the passage."""
-    ship(df.sparkSession)
-    least = words - width + 1
-    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    classes = exact_dedup.exact_classes(docs, "doc", "text")
-    copies = saved(classes.where("not kept").select("doc", F.col("keep_id").alias("kept_doc")), "passage-copies")
-    lines = _copies(docs, copies, words)
-    gone = copies.where("doc <> kept_doc").select("doc").distinct()
-    docs = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc", "left_anti")
-
-    made = saved(docs.mapInArrow(_windows(width, least, functions), "sig long, fn byte, doc long, l int, c int, r int"), "passage-windows")
-    shared = saved(made.groupBy("sig").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("sig"), "passage-signatures")
-    kept = saved(made.join(shared, "sig").select("doc", "sig", "fn", "l", "c", "r"), "passage-shared")
-    done_with(made, shared)
-    tokens = saved(_only(docs, kept.select("doc")).mapInArrow(_token_rows(width, least), "doc long, tokens binary"), "passage-shingles")
-
-    every = [(f, g) for g in range(functions) for f in range(g)]
-    pair = kept.where(F.col("fn") < 2).withColumn("open", F.lit(True)).repartition("doc").sortWithinPartitions("doc")
-    first = saved(pair.mapInArrow(_places(least, every[:1]), PLACE), "passage-places")
-    found = _met_by_hubs(first, tokens, width, least, threshold)
-    seen = saved(kept.join(_spans(found, width), _inside(kept, width), "left_outer").select("doc", "sig", "fn", "l", "c", "r", F.col("s").isNull().alias("open")), "passage-seen")
-    wanted = seen.where("open").select("sig").distinct()
-    again = seen.join(wanted, "sig", "left_semi").select("doc", "sig", "fn", "l", "c", "r", "open").repartition("doc").sortWithinPartitions("doc")
-    second = saved(again.mapInArrow(_places(least, every[1:]), PLACE), "passage-places")
-    done_with(kept, seen)
-    found = found.unionByName(_met_by_hubs(second, tokens, width, least, threshold))
-    both = first.unionByName(second)
-    found = found.unionByName(_met_by_all(both, _spans(found, width), docs, tokens, width, least, threshold))
-    return found.unionByName(lines)
 
+def _able(least: int, need: int):
+    """Of a slice, the ranges of places that windows with `need` shingles that other texts have hold, by document, with the counts there."""
 
-def _only(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows of the given documents; where these are few enough, without an exchange of the others."""
-    ids = saved(docs.distinct(), "passage-ids")
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc", "left_semi")
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")
+        blobs = table.column("data").to_pylist()
+        docs, marks, firsts = (np.frombuffer(table.column(c)[0].as_py(), np.int64) for c in ("docs", "marks", "firsts"))
+        size = int(firsts[-1])
+        code = np.frombuffer(blobs[0], np.dtype(f"u{max(1, len(blobs[0]) // max(1, size))}"))
+        counts = np.full(size, MOST, np.uint8)
+        places = np.argsort(code, kind="stable")
+        counts[places[int((code == 0).sum()) :]] = np.frombuffer(b"".join(blobs[1:]), np.uint8)
+        again, source = np.frombuffer(table.column("again")[0].as_py(), np.int32).reshape(2, -1)
+        counts[again] = counts[source]
+        starts = held(counts > 1, firsts, least, need)
+        new = np.flatnonzero(np.diff(starts, prepend=-least - 1) > least)
+        text = np.searchsorted(firsts, starts, "right") - 1
+        new = np.union1d(new, np.flatnonzero(np.diff(text, prepend=-1)))
+        a, b = starts[new], starts[np.append(new[1:], len(starts)) - 1] + least if len(starts) else starts
+        of = text[new]
+        rows = []
+        for k in np.unique(of):
+            mine = of == k
+            ranges = np.stack([a[mine], b[mine]], 1)
+            rows.append((docs[k], marks[k], _bytes(ranges - firsts[k]), b"".join(_bytes(counts[x:y]) for x, y in ranges)))
+        doc, mark, ranges, held_counts = zip(*rows) if rows else ((),) * 4
+        return pa.table([pa.array(doc, pa.int64()), pa.array(mark, pa.int64()), pa.array(ranges, pa.binary()), pa.array(held_counts, pa.binary())], names=["doc", "mark", "ranges", "counts"])
 
+    return run
 
-def _spans(found: DataFrame, width: int) -> DataFrame:
-    """The spans of documents and partners; such that share width - 1 words or more are one, so that a shingle lies in one at most."""
-    spans = found.select("doc_id", "start_word", "end_word").unionByName(found.select(F.col("partner_id").alias("doc_id"), F.col("partner_start").alias("start_word"), F.col("partner_end").alias("end_word"))).distinct()
-    by = W.partitionBy("doc_id").orderBy("start_word", "end_word")
-    before = F.max("end_word").over(by.rowsBetween(W.unboundedPreceding, -1))
-    spans = spans.withColumn("new", F.when(F.col("start_word") > before - (width - 1), 1).otherwise(0))
-    spans = spans.withColumn("n", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    return spans.groupBy(F.col("doc_id").alias("of"), "n").agg(F.min("start_word").alias("s"), F.max("end_word").alias("e")).select("of", "s", "e")
 
+def _reached(width: int):
+    """REACH of rows (doc, text, ranges, counts)."""
 
-def _inside(rows: DataFrame, width: int) -> Column:
-    """Whether a row's shingle at c lies in a span: at most one, since spans are merged."""
-    return (rows["doc"] == F.col("of")) & (rows["c"] >= F.col("s")) & (rows["c"] + width <= F.col("e"))
+    def run(batches):
+        for batch in batches:
+            data, offsets = columns.buffers(batch.column(1))
+            for i, j in columns.slices(offsets):
+                tokens, firsts = columns.shingles(*columns.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), width)
+                ranges = batch.column(2).slice(i, j - i)
+                kept = [np.concatenate([tokens[firsts[k] + a : firsts[k] + b] for a, b in np.frombuffer(r.as_py(), np.int64).reshape(-1, 2)]) for k, r in enumerate(ranges)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(t) for t in kept], pa.int64()), ranges, pa.array([_bytes(t) for t in kept], pa.binary()), batch.column(3).slice(i, j - i)], names=["doc", "n", "ranges", "tokens", "counts"])
 
+    return run
 
-def _met_by_hubs(both: DataFrame, tokens: DataFrame, width: int, least: int, threshold: float) -> DataFrame:
-    """Verified spans of open places with the first places of the least and the greatest document of their keys."""
-    place = F.struct("doc", "c")
-    hubs = both.groupBy("key").agg(F.min(place).alias("x"), F.max(F.struct("doc", -F.col("c"), place.alias("at"))).getField("at").alias("y"), F.max("open").alias("any"))
-    hubs = saved(hubs.where("x.doc < y.doc and any").drop("any"), "passage-hubs")
-    met = both.where("open").join(hubs.select("key", F.explode(F.array("x", "y")).alias("hub")), "key")
-    found = saved(_alike_spans(tokens, _met(met), width, least, threshold), "passage-spans")
-    done_with(hubs)
-    return found
 
+def compact(rank: np.ndarray, starts: np.ndarray, least: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places that are among the `count` least of a window that begins in starts (ascending), with the first and the last start of such a window."""
+    first, last = np.full(len(rank), -1), np.full(len(rank), -1)
+    views = np.lib.stride_tricks.sliding_window_view(rank, least) if len(rank) >= least else None
+    for k in range(0, len(starts), 16_384):
+        w = starts[k : k + 16_384]
+        of = views[w]
+        row, col = np.nonzero(of <= np.partition(of, count - 1, 1)[:, count - 1 : count])
+        at = w[row] + col
+        last[at] = w[row]  # of equal places the last one written stays
+        once = np.full(len(rank), -1) if k else first
+        once[at[::-1]] = w[row][::-1]
+        if k:
+            first = np.where(first >= 0, first, once)
+    c = np.flatnonzero(first >= 0)
+    return c, first[c], last[c]
 
-def _met(met: DataFrame) -> DataFrame:
-    return met.where("doc <> hub.doc").select("doc", "c", F.col("hub.doc").alias("hub"), F.col("hub.c").alias("hub_c"))
 
+def _keys(least: int, need: int):
+    """(key, doc, l, r) of the compact windows of every document: its shingle, and the words from l to r that its windows hold."""
 
-def _need(least: int, threshold: float) -> int:
-    """Shingles that alike windows share at least."""
-    return math.ceil(2 * least * threshold / (1 + threshold) - 1e-9)
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc, ranges, tokens, counts in zip(*(batch.column(c).to_pylist() for c in ("doc", "ranges", "tokens", "counts"))):
+                ranges, tokens, counts = np.frombuffer(ranges, np.int64).reshape(-1, 2), np.frombuffer(tokens, U64), np.frombuffer(counts, np.uint8)
+                firsts = np.concatenate([[0], np.cumsum(ranges[:, 1] - ranges[:, 0])])
+                rank = (counts.astype(U64) << U64(56)) | (columns.mix64(tokens) >> U64(8))
+                c, lo, hi = compact(rank, held(counts > 1, firsts, least, need), least, least - need + 1)
+                again = counts[c] > 1
+                c, lo, hi = c[again], lo[again], hi[again]
+                shift = (ranges[:, 0] - firsts[:-1])[np.searchsorted(firsts, c, "right") - 1]
+                out.append((tokens[c].view(np.int64), np.full(len(c), doc), (lo + shift).astype(np.int32), (hi + shift).astype(np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "doc", "l", "r"])
 
+    return run
 
-def _met_by_all(both: DataFrame, spans: DataFrame, docs: DataFrame, tokens: DataFrame, width: int, least: int, threshold: float) -> DataFrame:
-    """Verified spans of documents with open places that no span holds, against all documents that share the places' keys, after what cannot be alike has left.
 
-    A window alike to another document's shares need of its shingles with it, all of them within the reach of the two places. So
-    a place stays if a window in its reach has need shingles that two documents hold in the reach of such places. Documents
-    that keys of such places connect are compared in blocks of a bounded number of them, each pair of blocks in one task.
-    """
-    need = _need(least, threshold)
-    left = saved(both.where("open").join(spans, _inside(both, width), "left_anti").select("key", "doc", "c", "lo", "hi"), "passage-left")
-    near = both.select("key", "doc", "c", "lo", "hi").join(left.select("key").distinct(), "key", "left_semi")
-    near = saved(near.distinct(), "passage-near")
-    reach = near.select("doc", F.struct("c", "lo", "hi").alias("at")).groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("at"))
-    reach = saved(reach, "passage-reach")
-    held = saved(reach.join(_only(docs, reach.select("doc")), "doc").mapInArrow(_reached(width, least), "shingle long, doc long, place int"), "passage-held")
-    common = held.groupBy("shingle").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("shingle")
-    common = held.join(common, "shingle", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_set("place")).alias("common"))
-    able = saved(reach.select("doc", "at").join(common, "doc").mapInArrow(_able(least, need), "doc long, c int, lo int, hi int"), "passage-able")
-    keys = near.join(able, ["doc", "c", "lo", "hi"], "left_semi").select("key", "doc").distinct()
-    asks = left.join(able, ["doc", "c", "lo", "hi"], "left_semi").select("doc").distinct()
-    keys = saved(keys, "passage-keys")
-    roots = components(keys.join(keys.groupBy("key").agg(F.min("doc").alias("hub")), "key").select("doc", "hub").distinct(), "doc", "hub")
-    roots = saved(roots.select(F.col("node").alias("doc"), "root").join(asks.withColumn("asks", F.lit(True)), "doc", "left"), "passage-groups")
-    parts = roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("parts"))
-    placed = _only(tokens, roots.select("doc")).join(roots, "doc").join(parts, "root")
-    part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
-    placed = placed.withColumn("part", part).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.select("root", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "doc", F.coalesce("asks", F.lit(False)).alias("asks"), "tokens")
-    met = placed.groupBy("root", "i", "j").applyInArrow(_verified_block(width, least, need, threshold), SPAN)
-    return saved(met, "passage-spans")
-
-
-def _verified_block(width: int, least: int, need: int, threshold: float):
-    """Spans of the documents of a block that ask, with others of it; between two parts, with the other part's. A span that others cover is not named again."""
+class Line:
+    """A document's reach on one line, its ranges `least` places apart so that no window and no stretch of one window's length holds two of them."""
+
+    def __init__(self, ranges: bytes, tokens: bytes, least: int):
+        self.ranges, self.tokens = np.frombuffer(ranges, np.int64).reshape(-1, 2), np.frombuffer(tokens, U64)
+        size = self.ranges[:, 1] - self.ranges[:, 0]
+        self.base = np.cumsum(size + least) - size - least
+        inside = np.repeat(np.cumsum(size) - size, size)
+        self.at = np.repeat(self.base, size) + np.arange(len(self.tokens)) - inside
+        self.size = int((size + least).sum())
+        self.whole = np.zeros(self.size, bool)  # where a window begins
+        for b, n in zip(self.base, size):
+            self.whole[b : b + n - least + 1] = True
+        self.order = np.argsort(self.tokens, kind="stable")
+        self.sorted = self.tokens[self.order]
+        same = np.flatnonzero(self.sorted[1:] == self.sorted[:-1])
+        near = self.at[self.order[same + 1]] - self.at[self.order[same]] < least
+        x, y = self.at[self.order[same[near]]], self.at[self.order[same[near] + 1]]
+        step = np.bincount(np.maximum(y - least + 1, 0), minlength=self.size + 1) - np.bincount(x + 1, minlength=self.size + 1)
+        self.twice = np.cumsum(step)[: self.size] > 0  # windows that hold a shingle twice
+
+    def place(self, at: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.base, at, "right") - 1
+        return at - self.base[k] + self.ranges[k, 0]
+
+
+def _pairs(a: Line, b: Line) -> tuple[np.ndarray, np.ndarray]:
+    """Every place of a and of b with the same shingle."""
+    lo, hi = np.searchsorted(b.sorted, a.tokens, "left"), np.searchsorted(b.sorted, a.tokens, "right")
+    size = hi - lo
+    at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return np.repeat(a.at, size), b.at[b.order[at]]
+
+
+def alike(a: Line, b: Line, least: int, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every window of a that has `need` shingles or more, as a multiset, in common with a window of b; the start of such a window of b, and how many."""
+    nothing = (np.empty(0, np.int64),) * 3
+    p, q = _pairs(a, b)
+    if len(p) < need:
+        return nothing
+
+    def inside(at):
+        """How many of the places the window from each place holds."""
+        flags = np.zeros(a.size + least, np.int64)
+        flags[at] = 1
+        upto = np.concatenate([[0], np.cumsum(flags)])
+        return upto[least:][: a.size] - upto[: a.size]
+
+    maybe = a.whole & (inside(p) >= need)
+    if not maybe.any():
+        return nothing
+    best, start = np.zeros(a.size, np.int64), np.zeros(a.size, np.int64)
+    shift, times = np.unique(q - p, return_counts=True)
+    for k in np.argsort(-times, kind="stable")[:16]:
+        if times[k] < need or not (maybe & (best == 0)).any():
+            break
+        both = inside(p[q - p == shift[k]])  # places side by side: as many in common at least
+        ok = maybe & (both >= need) & (both > best)
+        best[ok], start[ok] = both[ok], np.flatnonzero(ok) + shift[k]
+    far = np.iinfo(np.int64).max // 2
+    many = np.flatnonzero(p[1:] == p[:-1])
+    unsure = a.twice | (inside(p[many]) > 0)
+    left = np.flatnonzero(maybe & (best == 0) & ~unsure)
+    if len(left):  # each shingle once in the window and once in b: any `need` of the places in b within one window's length
+        of = np.full(a.size + least, far)
+        of[p] = q
+        rows = np.sort(np.lib.stride_tricks.sliding_window_view(of, least)[left], 1)
+        for common in range(need, least + 1):
+            for k in range(least - common + 1):
+                fits = (rows[:, k + common - 1] < far) & (rows[:, k + common - 1] - rows[:, k] < least)
+                best[left[fits]], start[left[fits]] = common, rows[fits, k]
+    left = maybe & (best == 0) & unsure
+    if left.any():  # what a window of b holds lies in two of its blocks of `least` places
+        near = np.zeros(a.size, bool)
+        block = q // least
+        order = np.argsort(block, kind="stable")
+        edge = np.searchsorted(block[order], np.arange(b.size // least + 3))
+        for k in np.flatnonzero(edge[2:] - edge[:-2] >= need):
+            near |= inside(p[order[edge[k] : edge[k + 2]]]) >= need
+        left &= near
+    left = np.flatnonzero(left)
+    if len(left):  # of windows that hold the same shingles, as in text that repeats a line on and on, one is compared
+        upto = np.zeros(a.size + least + 1, U64)
+        upto[a.at + 1] = columns.mix64(a.tokens)
+        upto = np.cumsum(upto)
+        _, one, of = np.unique(upto[left + least] - upto[left], return_index=True, return_inverse=True)
+        most, where, todo = np.zeros(a.size, np.int64), np.zeros(a.size, np.int64), np.sort(left[one])
+        while len(todo):
+            w = todo[todo < todo[0] + 256]
+            most[w], where[w] = _most_common(a, b, w, least)
+            todo = todo[len(w) :]
+        best[left], start[left] = most[left[one]][of], where[left[one]][of]
+    good = np.flatnonzero(best >= need)
+    last = b.base + b.ranges[:, 1] - b.ranges[:, 0] - least  # the last window of each range
+    begin = start[good]
+    k = np.maximum(np.searchsorted(b.base, begin + least - 1, "right") - 1, 0)
+    return good, np.clip(begin, b.base[k], last[k]), best[good]
+
+
+def _stretches(token: np.ndarray, at: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle, first and last start of the windows that hold it k times or more, disjoint; of places in order of shingle and place."""
+    n = len(at) - k + 1
+    if n <= 0:
+        return (np.empty(0, np.int64),) * 3
+    before = np.full(n, -least)
+    same = token[1:n] == token[: n - 1]
+    before[1:][same] = at[: n - 1][same]
+    begin = np.maximum(at[k - 1 :] - least, before) + 1
+    ok = (token[k - 1 :] == token[:n]) & (begin <= at[:n])
+    return token[:n][ok], begin[ok], at[:n][ok]
+
+
+def _most_common(a: Line, b: Line, w: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most that each of the windows of a from w (close together) has in common with any window of b, and where: rectangles of starts in a and in b at which both hold a shingle k times, summed up."""
+    first, rows, wide = int(w[0]), int(w[-1] - w[0]) + 1, b.size + least
+    near = np.flatnonzero((a.at[a.order] >= first) & (a.at[a.order] < first + rows + least - 1) & np.isin(a.sorted, b.sorted))
+    ours, ours_at = a.sorted[near], a.at[a.order[near]]
+    theirs = np.flatnonzero(np.isin(b.sorted, ours))
+    theirs, theirs_at = b.sorted[theirs], b.at[b.order[theirs]]
+    sums = np.zeros((rows + 1) * (wide + 1), np.int64)
+    for k in range(1, least + 1):
+        x, x0, x1 = _stretches(ours, ours_at, k, least)
+        y, y0, y1 = _stretches(theirs, theirs_at, k, least)
+        if not len(x) or not len(y):
+            break
+        lo, hi = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
+        size = hi - lo
+        i, j = np.repeat(np.arange(len(x)), size), np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        top, end = np.clip(x0[i] - first, 0, rows), np.clip(x1[i] - first + 1, 0, rows)
+        left, right = y0[j] + least - 1, y1[j] + least
+        for at, sign in ((top * (wide + 1) + left, 1), (end * (wide + 1) + right, 1), (top * (wide + 1) + right, -1), (end * (wide + 1) + left, -1)):
+            sums += sign * np.bincount(at, minlength=len(sums))
+    common = sums.reshape(rows + 1, wide + 1).cumsum(0).cumsum(1)[w - first]
+    return common.max(1), common.argmax(1) - least + 1
+
+
+def _verified(width: int, least: int, need: int):
+    """SPAN of the hub of a group with each of its documents, and of these with it. A span is words that overlapping alike windows hold."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("doc")
-        doc, part, asks = (table.column(c).to_numpy() for c in ("doc", "part", "asks"))
-        texts = [np.frombuffer(t, np.uint32) for t in table.column("tokens").to_pylist()]
-        common, places = meetings(texts)
-        both = common >= need
-        both &= (part[:, None] != part[None, :]) if (part != part[0]).any() else True
-        np.fill_diagonal(both, False)
         rows = []
-        for x in np.flatnonzero(asks):
-            seen = np.zeros(len(texts[x]) + 1, bool)
-            for y in np.flatnonzero(both[x]):
-                for shift, p, q in shifts(places[x], places[y], least, need):
-                    a0, b0 = max(0, p - least), max(0, p - shift - 2 * least)
-                    for s, e, j in alike(texts[x][a0 : q + least + 1], texts[y][b0 : max(0, q - shift + 2 * least + 1)], a0 - shift - b0, least, threshold):
-                        s, e = s + a0, e + a0
-                        if not seen[s:e].all():
-                            seen[s:e] = True
-                            rows.append((doc[x], doc[y], s, e + width - 1, s - shift, e - shift + width - 1, j))
+        lines = [(d, Line(r, t, least)) for d, r, t in zip(*(table.column(c).to_pylist() for c in ("doc", "ranges", "tokens")))]
+        hub = table.column("hub")[0].as_py()
+        for y in (x for d, x in lines if d == hub):
+            for d, x in lines:
+                if d != hub:
+                    for m, a, o, b in ((d, x, hub, y), (hub, y, d, x)):
+                        w, j, common = alike(a, b, least, need)
+                        if not len(w):
+                            break  # none of a's is alike to b's, so none of b's to a's
+                        w, j = a.place(w), b.place(j)
+                        wide = least + width - 1
+                        for g in np.split(np.arange(len(w)), np.flatnonzero(np.diff(w) > wide) + 1):
+                            most = int(common[g].max())
+                            rows.append((m, o, int(w[g[0]]), int(w[g[-1]]) + wide, int(j[g].min()), int(j[g].max()) + wide, most / (2 * least - most)))
         cols = list(zip(*rows)) or [()] * 7
         return pa.table([pa.array(c, pa.float64() if k == 6 else pa.int64()) for k, c in enumerate(cols)], names=["doc_id", "partner_id", "start_word", "end_word", "partner_start", "partner_end", "jaccard"])
 
     return run
 
 
-def meetings(texts: list[np.ndarray]) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
-    """How many distinct shingles each two texts have in common; and of each text the places whose shingle another text has, with a code of the shingle: (place, code) by place, then both by code."""
-    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    _, code = np.unique(np.concatenate(texts), return_inverse=True)
-    held = np.unique(code.astype(np.int64) * len(texts) + doc)
-    shared = np.bincount(held // len(texts)) > 1
-    held = held[shared[held // len(texts)]]
-    places, first = [], 0
-    for t in texts:
-        own = code[first : first + len(t)]
-        first += len(t)
-        at = np.flatnonzero(shared[own])
-        own = own[at]
-        order = np.argsort(own, kind="stable")
-        places.append((at, own, at[order], own[order]))
-    return incidence(held % len(texts), held // len(texts), len(texts)), places
-
-
-def shifts(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], least: int, need: int) -> list[tuple[int, int, int]]:
-    """Places in a less those in b at which need shingles or more agree within `least` of one another's shift, the most frequent first; and the first and last such place of a. a and b as meetings() gives them."""
-    place, code, of, of_code = *a[:2], *b[2:]
-    lo, hi = np.searchsorted(of_code, code, "left"), np.searchsorted(of_code, code, "right")
-    size = hi - lo
-    at = np.repeat(place, size)
-    apart = at - of[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-    out = []
-    while len(apart) >= need:
-        value, times = np.unique(apart, return_counts=True)
-        upto = np.concatenate([[0], np.cumsum(times)])
-        if (upto[np.searchsorted(value, value + least)] - upto[np.searchsorted(value, value - least, "right")]).max() < need:
-            break  # no shift that is left has enough
-        best = int(value[times.argmax()])
-        near = np.abs(apart - best) < least
-        if near.sum() >= need:
-            out.append((best, int(at[near].min()), int(at[near].max())))
-        at, apart = at[~near], apart[~near]
-    return out
-
-
-def _bounds(at: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray]:
-    c, lo, hi = (x.to_numpy().astype(np.int64) for x in at.flatten())
-    return np.maximum(lo, c - least + 1), np.minimum(hi, c + least - 1)
-
-
-def _reached(width: int, least: int):
-    """(shingle, doc, place) of every shingle in the reach of a place."""
-
-    def run(batches):
-        for batch in batches:
-            docs, at = batch.column(0).to_numpy(), batch.column(1)
-            for i, tokens, firsts in _rows(batch.column(2), width, least):
-                for k in range(len(firsts) - 1):
-                    values = tokens[firsts[k] : firsts[k + 1]].view(np.int64)
-                    a, b = _bounds(at.slice(i + k, 1).flatten(), least)
-                    step = np.bincount(a, minlength=len(values) + 1) - np.bincount(b + 1, minlength=len(values) + 1)
-                    place = np.flatnonzero(np.cumsum(step)[: len(values)] > 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(values[place]), pa.array(np.full(len(place), docs[i + k])), pa.array(place.astype(np.int32))], names=["shingle", "doc", "place"])
-
-    return run
-
-
-def _able(least: int, need: int):
-    """(doc, c, lo, hi) of the places in whose reach a window of `least` shingles has `need` common ones."""
+def repeated_passages(df: DataFrame, width: int = 5, words: int = 50, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stretches of doc_id (words counted from 0) that windows of `words` words alike to other documents' cover, each with the partner of the most alike one met, and component_id."""
+    ship(df.sparkSession)
+    least = words - width + 1
+    need = _need(least, threshold)
+    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    classes = saved(exact_dedup.exact_classes(docs, "doc", "text").select("doc", F.col("keep_id").alias("kept_doc")), "passage-classes")
+    copies = saved(classes.where("doc <> kept_doc").distinct(), "passage-copies")
+    lines = _copies(docs, copies, words)
+    own = _only(classes, copies.select("doc")).where("doc = kept_doc").select("doc")  # ids with a text of their own besides
+    gone = saved(copies.select("doc").distinct().join(own, "doc", "left_anti"), "passage-gone")
+    docs = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc", "left_anti").where("text is not null").withColumn("mark", F.xxhash64("text"))
+
+    reach = _reach(docs, width, least, need)
+    keys = saved(reach.mapInArrow(_keys(least, need), "key long, doc long, l int, r int"), "passage-keys")
+    order = [F.col("doc"), *(F.struct(F.xxhash64(F.lit(k), "doc"), "doc") for k in range(1, ROUNDS))]
+    hubs = keys.groupBy("key").agg(F.max("doc").alias("y"), *(F.min(o).alias(f"hub{k}") for k, o in enumerate(order))).where("hub0 < y")
+    met = saved(keys.join(hubs.select("key", "hub0", *(F.col(f"hub{k}.doc").alias(f"hub{k}") for k in range(1, ROUNDS))), "key"), "passage-met")
+    pairs = found = None
+    for k in range(ROUNDS):
+        left = met if found is None else _uncovered(met, found, words)
+        pairs, found = _compared(left.select("doc", F.col(f"hub{k}").alias("hub")), pairs, found, reach, width, least, need)
+    left = _uncovered(met, found, words).select("key", "doc").distinct().withColumn("open", F.lit(True))
+    roots = components(found.select("doc_id", "partner_id"), "doc_id", "partner_id").select(F.col("node").alias("doc"), "root")
+    pairs, found = _compared(_rest(met, left, roots), pairs, found, reach, width, least, need)
+    roots = components(found.select("doc_id", "partner_id"), "doc_id", "partner_id")
+    roots = roots.withColumn("component_id", F.min("node").over(W.partitionBy("root"))).select(F.col("node").alias("doc_id"), "component_id")
+    roots = saved(roots, "passage-components")
+    out = _merged(found).join(roots, "doc_id")
+    lines = lines.join(roots.withColumnRenamed("doc_id", "partner_id"), "partner_id", "left").withColumn("component_id", F.coalesce("component_id", "partner_id"))
+    return out.unionByName(lines.select(*out.columns))
+
+
+def _reach(docs: DataFrame, width: int, least: int, need: int) -> DataFrame:
+    """REACH of the documents that have a window of which other texts have `need` shingles."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sent = saved(docs.select("doc", "mark", "text").mapInArrow(_deal(width, max(32, -(-size // BUCKET_BYTES))), DEALT), "passage-dealt")
+    counts = sent.where("bucket >= 0").select("slice", "bucket", "data").groupBy("bucket").applyInArrow(_count, "slice long, bucket int, data binary")
+    none = F.lit(None).cast("binary")
+    both = sent.where("bucket < 0").unionByName(counts.select("*", none.alias("docs"), none.alias("marks"), none.alias("firsts"), none.alias("again")))
+    able = saved(both.groupBy("slice").applyInArrow(_able(least, need), "doc long, mark long, ranges binary, counts binary"), "passage-able")
+    done_with(sent)
+    texts = _only(docs, able.select("doc")).join(able.dropDuplicates(["doc", "mark"]), ["doc", "mark"])
+    return saved(texts.select("doc", "text", "ranges", "counts").mapInArrow(_reached(width), REACH), "passage-reach")
 
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                rows, common = batch.column(1).slice(k, 1).flatten(), batch.column(2).slice(k, 1).flatten().to_numpy()
-                a, b = _bounds(rows, least)
-                have = np.zeros(int(max(b.max(initial=0), common.max(initial=0))) + least + 2, np.int64)
-                have[common] = 1
-                upto = np.concatenate([[0], np.cumsum(have)])
-                full = upto[least:] - upto[:-least] >= need  # of the window that begins at a place
-                starts = np.concatenate([[0], np.cumsum(full)])
-                last = b - least + 1
-                ok = np.flatnonzero((last >= a) & (starts[np.maximum(last, a - 1) + 1] - starts[a] > 0))
-                if len(ok):
-                    kept = rows.take(pa.array(ok))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ok), batch.column(0)[k].as_py(), np.int64)), *kept.flatten()], names=["doc", "c", "lo", "hi"])
 
-    return run
+def _only(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows of the given documents; where these are few enough, without an exchange of the others."""
+    ids = saved(docs.distinct(), "passage-ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc", "left_semi")
 
 
-def _alike_spans(tokens: DataFrame, met: DataFrame, width: int, least: int, threshold: float) -> DataFrame:
-    """Verified spans of documents and partners that meet at the places c and hub_c. Along the alignment, what lies within two windows' length of a place is compared; what is further has places of its own."""
-    shift = F.col("c") - F.col("hub_c")
-    near = met.groupBy("doc", "hub", shift.alias("shift")).agg(F.greatest(F.min("c") - 2 * least, F.lit(0)).alias("a"), (F.max("c") + 2 * least).alias("b"))
-    near = saved(near, "passage-candidates")
-    cut = lambda a, b: F.substring("tokens", F.greatest(a, F.lit(0)) * 4 + 1, (b - F.greatest(a, F.lit(0)) + 1) * 4)
-    theirs = near.join(_only(tokens, near.select(F.col("hub").alias("doc"))).withColumnRenamed("doc", "hub"), "hub")
-    theirs = theirs.select("doc", "hub", "shift", "a", "b", F.greatest(F.col("a") - F.col("shift") - least, F.lit(0)).alias("b0"), cut(F.col("a") - F.col("shift") - least, F.col("b") - F.col("shift") + least).alias("y"))
-    ours = theirs.join(_only(tokens, near.select("doc")), "doc")
-    ours = ours.select("doc", "hub", "a", "b0", "shift", cut(F.col("a"), F.col("b")).alias("x"), "y")
-    return ours.mapInArrow(_verified(width, least, threshold), SPAN)
+def _compared(pairs: DataFrame, before: DataFrame | None, found: DataFrame | None, reach: DataFrame, width: int, least: int, need: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (doc, hub) compared so far, in either order, and the spans found, with those of the new ones among pairs."""
+    new = pairs.where("doc <> hub").distinct()
+    if before is not None:
+        new = new.join(before.unionByName(before.select(F.col("hub").alias("doc"), F.col("doc").alias("hub"))), ["doc", "hub"], "left_anti")
+    new = saved(new, "passage-pairs")
+    sizes = reach.groupBy("doc").agg(F.sum("n").alias("n"))
+    parts = saved(new.join(sizes, "doc").groupBy("hub").agg(F.ceil(F.sum("n") / TOGETHER).cast("int").alias("parts")), "passage-parts")
+    ours = new.join(parts, "hub").select("hub", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), "doc")
+    hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("doc"))
+    rows = ours.unionByName(hubs).join(reach.select("doc", "ranges", "tokens"), "doc")
+    tasks = min(TASKS, 1 + new.count() // TASK_PAIRS)  # comparing is much work on few bytes
+    spans = saved(rows.repartition(tasks, "hub", "part").groupBy("hub", "part").applyInArrow(_verified(width, least, need), SPAN), "passage-spans")
+    return (new, spans) if before is None else (before.unionByName(new), found.unionByName(spans))
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """Spans of a document that overlap or touch are one; the partner is that of its most alike span, then of the longest, then the least."""
+    by = W.partitionBy("doc_id").orderBy("start_word", "end_word")
+    before = F.max("end_word").over(by.rowsBetween(W.unboundedPreceding, -1))
+    spans = found.withColumn("new", F.when(F.col("start_word") <= before, 0).otherwise(1))
+    spans = spans.withColumn("n", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    partner = F.struct("jaccard", (F.col("end_word") - F.col("start_word")).alias("wide"), (-F.col("partner_id")).alias("id"), "partner_start", "partner_end")
+    spans = spans.groupBy("doc_id", "n").agg(F.max(partner).alias("p"), F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"))
+    return spans.select("doc_id", (-F.col("p.id")).alias("partner_id"), "start_word", "end_word", "p.partner_start", "p.partner_end", "p.jaccard")
+
+
+def _uncovered(met: DataFrame, found: DataFrame, words: int) -> DataFrame:
+    """Compact windows some of whose words no verified span holds."""
+    spans = _merged(found).select(F.col("doc_id").alias("of"), "start_word", "end_word")
+    inside = (F.col("doc") == F.col("of")) & (F.col("l") >= F.col("start_word")) & (F.col("r") + words <= F.col("end_word"))
+    return met.join(spans, inside, "left_anti")
+
+
+def _rest(met: DataFrame, left: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of documents of a key of which one has an open compact window there, or which lie in different components. A key's rows meet in blocks."""
+    rows = met.select("key", "doc").distinct().join(left, ["key", "doc"], "left").join(roots, "doc", "left")
+    rows = saved(rows.select("key", "doc", F.coalesce("open", F.lit(False)).alias("open"), F.coalesce("root", "doc").alias("root")), "passage-rest")
+    keys = rows.groupBy("key").agg(F.max("open").alias("any"), F.min("root").alias("x"), F.max("root").alias("y"), F.mode("root").alias("most"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    keys = saved(keys.where("any or x < y").select("key", "most", "parts"), "passage-rest-keys")
+    rows = rows.join(keys, "key").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    x = rows.where("open or root <> most")  # of two components one is not the most frequent
+    x = x.select("key", F.col("doc").alias("x"), F.col("open").alias("x_open"), F.col("root").alias("x_root"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = x.join(rows.select("key", "part", "doc", "root"), ["key", "part"]).where("x <> doc and (x_open or x_root <> root)")
+    return both.select(F.greatest("x", "doc").alias("doc"), F.least("x", "doc").alias("hub"))
 
 
 def _copies(docs: DataFrame, copies: DataFrame, words: int) -> DataFrame:

@@ -493,6 +493,47 @@ def test_passages_against_brute_force(spark):
     assert {d for d, s in spans.items() if s} <= {*want, 300, 301} and spans[300] and spans[301]
 
 
+def test_passages_are_all_found_in_families(spark):
+    """Every word of every alike window and every component, as by brute force: in a family whose members have two changes each, and of pairs at the threshold."""
+    rng = random.Random(8)
+    base, texts = words(80, 800, 50_000), []
+    for k in range(60):
+        own = list(base)
+        for at in rng.sample(range(80), 2):
+            own[at] = f"edit{rng.randrange(25)}"
+        texts.append(" ".join(words(30, 40_000 + k, 50_000) + own + words(30, 41_000 + k, 50_000)))
+    for k in range(40):
+        passage = words(52, 42_000 + k, 50_000)
+        other = list(passage)
+        other[25] = "edit"
+        texts += [" ".join(words(40, 43_000 + 2 * k + m, 50_000) + p + words(40, 44_000 + 2 * k + m, 50_000)) for m, p in enumerate((passage, other))]
+    want = {d: {w for i in ok for w in range(i, i + 50)} for d, ok in alike_windows(texts).items()}
+    got = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    held = defaultdict(set)
+    for r in got:
+        held[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    assert held == want and len(want) > 130
+    assert all(r["component_id"] == (0 if r["doc_id"] < 60 else r["doc_id"] // 2 * 2) for r in got if r["doc_id"] >= 60 or r["partner_id"] == 0)
+
+
+def test_alike_windows_of_two_rows_against_plain_counts():
+    """All windows, and how many shingles they share as multisets, in rows that repeat themselves."""
+    rng = np.random.default_rng(5)
+    for k in range(100):
+        least = int(rng.integers(3, 9))
+        need = max(2, least - int(rng.integers(0, 3)))
+        values = int(rng.integers(2, 30))
+        x, y = (rng.integers(0, values, rng.integers(least, 60)) for _ in range(2))
+        y = np.concatenate([y, x[3:40], y[:5]]) if k % 2 else y
+        a, b = (passages.Line(np.array([[7, 7 + len(t)]]).tobytes(), t.astype(np.uint64).tobytes(), least) for t in (x, y))
+        w, j, _ = passages.alike(a, b, least, need)
+        counts = lambda t, i: Counter(t[i : i + least].tolist())  # noqa: E731, B023
+        others = [counts(y, i) for i in range(len(y) - least + 1)]
+        want = [i for i in range(len(x) - least + 1) if any((counts(x, i) & c).total() >= need for c in others)]
+        assert (a.place(w) - 7).tolist() == want
+        assert all((counts(x, i) & others[o]).total() >= need for i, o in zip(a.place(w) - 7, b.place(j) - 7))
+
+
 # 9 language ID
 
 
