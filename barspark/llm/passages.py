@@ -52,7 +52,9 @@ ROUNDS = 4
 #: Shingles of the documents that meet one hub in a task.
 TOGETHER = 1 << 17
 #: Pairs for which a task is made, and most tasks.
-TASK_PAIRS, TASKS = 64, 2048
+TASK_PAIRS, TASKS = 256, 2048
+#: Starts of windows of one text and of another that are counted at once.
+GRID = 1 << 18
 #: Rows of a key in a part; two parts meet in a task.
 BLOCK_ROWS = 512
 #: Low bits of a sort key that hold the place in a slice; more where one text is longer.
@@ -305,44 +307,66 @@ def _pairs(a: Line, b: Line) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(a.at, size), b.at[b.order[at]]
 
 
-def alike(a: Line, b: Line, least: int, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every window of a that has `need` shingles or more, as a multiset, in common with a window of b; the start of such a window of b, and how many."""
+def alike(a: Line, b: Line, least: int, need: int, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every window of a that has `need` shingles or more, as a multiset, in common with a window of b; the start of such a window of b, and how many.
+
+    pairs are _pairs(a, b) where these are known.
+    """
     nothing = (np.empty(0, np.int64),) * 3
-    p, q = _pairs(a, b)
+    p, q = pairs or _pairs(a, b)
     if len(p) < need:
         return nothing
 
     def inside(at):
         """How many of the places the window from each place holds."""
-        flags = np.zeros(a.size + least, np.int64)
-        flags[at] = 1
-        upto = np.concatenate([[0], np.cumsum(flags)])
-        return upto[least:][: a.size] - upto[: a.size]
+        flags = np.zeros(a.size + least + 1, np.int32)
+        flags[at + 1] = 1
+        upto = flags.cumsum()
+        return upto[least:-1] - upto[: a.size]
 
     maybe = a.whole & (inside(p) >= need)
     if not maybe.any():
         return nothing
     best, start = np.zeros(a.size, np.int64), np.zeros(a.size, np.int64)
-    shift, times = np.unique(q - p, return_counts=True)
-    for k in np.argsort(-times, kind="stable")[:16]:
+    shift = q - p
+    order = shift.argsort(kind="stable")
+    shift = shift[order]
+    edge = np.flatnonzero(np.diff(shift, prepend=shift[0] - 1, append=shift[-1] + 1))
+    times = np.diff(edge)
+    for k in np.argsort(-times, kind="stable")[:16].tolist():
         if times[k] < need or not (maybe & (best == 0)).any():
             break
-        both = inside(p[q - p == shift[k]])  # places side by side: as many in common at least
-        ok = maybe & (both >= need) & (both > best)
-        best[ok], start[ok] = both[ok], np.flatnonzero(ok) + shift[k]
+        both = inside(p[order[edge[k] : edge[k + 1]]])  # places side by side: as many in common at least
+        ok = np.flatnonzero(maybe & (both >= need) & (both > best))
+        best[ok], start[ok] = both[ok], ok + shift[edge[k]]
+    left = maybe & (best == 0)
+    if left.any():
+        best, start = _moved(a, b, least, need, p, q, inside, best, start, left)
+    good = np.flatnonzero(best >= need)
+    last = b.base + b.ranges[:, 1] - b.ranges[:, 0] - least  # the last window of each range
+    begin = start[good]
+    k = np.maximum(np.searchsorted(b.base, begin + least - 1, "right") - 1, 0)
+    return good, np.clip(begin, b.base[k], last[k]), best[good]
+
+
+def _moved(a, b, least, need, p, q, inside, best, start, open_):
+    """best and start with those of the open windows, of which no `need` shingles stand side by side in b."""
     far = np.iinfo(np.int64).max // 2
     many = np.flatnonzero(p[1:] == p[:-1])
-    unsure = a.twice | (inside(p[many]) > 0)
-    left = np.flatnonzero(maybe & (best == 0) & ~unsure)
+    unsure = a.twice | (inside(p[many]) > 0) if len(many) else a.twice
+    left = np.flatnonzero(open_ & ~unsure)
     if len(left):  # each shingle once in the window and once in b: any `need` of the places in b within one window's length
         of = np.full(a.size + least, far)
         of[p] = q
         rows = np.sort(np.lib.stride_tricks.sliding_window_view(of, least)[left], 1)
+        fits = ((rows[:, need - 1 :] < far) & (rows[:, need - 1 :] - rows[:, : least - need + 1] < least)).any(1)
+        left, rows = left[fits], rows[fits]
+    if len(left):
         for common in range(need, least + 1):
             for k in range(least - common + 1):
                 fits = (rows[:, k + common - 1] < far) & (rows[:, k + common - 1] - rows[:, k] < least)
                 best[left[fits]], start[left[fits]] = common, rows[fits, k]
-    left = maybe & (best == 0) & unsure
+    left = open_ & unsure
     if left.any():  # what a window of b holds lies in two of its blocks of `least` places
         near = np.zeros(a.size, bool)
         block = q // least
@@ -358,52 +382,31 @@ def alike(a: Line, b: Line, least: int, need: int) -> tuple[np.ndarray, np.ndarr
         upto = np.cumsum(upto)
         _, one, of = np.unique(upto[left + least] - upto[left], return_index=True, return_inverse=True)
         most, where, todo = np.zeros(a.size, np.int64), np.zeros(a.size, np.int64), np.sort(left[one])
-        while len(todo):
-            w = todo[todo < todo[0] + 256]
+        step = max(1, GRID // (b.size + least))
+        for k in range(0, len(todo), step):
+            w = todo[k : k + step]
             most[w], where[w] = _most_common(a, b, w, least)
-            todo = todo[len(w) :]
         best[left], start[left] = most[left[one]][of], where[left[one]][of]
-    good = np.flatnonzero(best >= need)
-    last = b.base + b.ranges[:, 1] - b.ranges[:, 0] - least  # the last window of each range
-    begin = start[good]
-    k = np.maximum(np.searchsorted(b.base, begin + least - 1, "right") - 1, 0)
-    return good, np.clip(begin, b.base[k], last[k]), best[good]
-
-
-def _stretches(token: np.ndarray, at: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle, first and last start of the windows that hold it k times or more, disjoint; of places in order of shingle and place."""
-    n = len(at) - k + 1
-    if n <= 0:
-        return (np.empty(0, np.int64),) * 3
-    before = np.full(n, -least)
-    same = token[1:n] == token[: n - 1]
-    before[1:][same] = at[: n - 1][same]
-    begin = np.maximum(at[k - 1 :] - least, before) + 1
-    ok = (token[k - 1 :] == token[:n]) & (begin <= at[:n])
-    return token[:n][ok], begin[ok], at[:n][ok]
+    return best, start
 
 
 def _most_common(a: Line, b: Line, w: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most that each of the windows of a from w (close together) has in common with any window of b, and where: rectangles of starts in a and in b at which both hold a shingle k times, summed up."""
-    first, rows, wide = int(w[0]), int(w[-1] - w[0]) + 1, b.size + least
-    near = np.flatnonzero((a.at[a.order] >= first) & (a.at[a.order] < first + rows + least - 1) & np.isin(a.sorted, b.sorted))
-    ours, ours_at = a.sorted[near], a.at[a.order[near]]
-    theirs = np.flatnonzero(np.isin(b.sorted, ours))
-    theirs, theirs_at = b.sorted[theirs], b.at[b.order[theirs]]
-    sums = np.zeros((rows + 1) * (wide + 1), np.int64)
-    for k in range(1, least + 1):
-        x, x0, x1 = _stretches(ours, ours_at, k, least)
-        y, y0, y1 = _stretches(theirs, theirs_at, k, least)
-        if not len(x) or not len(y):
-            break
-        lo, hi = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
-        size = hi - lo
-        i, j = np.repeat(np.arange(len(x)), size), np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        top, end = np.clip(x0[i] - first, 0, rows), np.clip(x1[i] - first + 1, 0, rows)
-        left, right = y0[j] + least - 1, y1[j] + least
-        for at, sign in ((top * (wide + 1) + left, 1), (end * (wide + 1) + right, 1), (top * (wide + 1) + right, -1), (end * (wide + 1) + left, -1)):
-            sums += sign * np.bincount(at, minlength=len(sums))
-    common = sums.reshape(rows + 1, wide + 1).cumsum(0).cumsum(1)[w - first]
+    """The most that each of the windows of a from w has in common with any window of b, and where.
+
+    Where a window of a holds a shingle k times, a place of it in b counts in those windows of b that hold the place but not
+    the k-th place of the shingle before it.
+    """
+    rows = np.lib.stride_tricks.sliding_window_view(a.tokens, least)[np.searchsorted(a.at, w)]
+    known, of = np.unique(rows, return_inverse=True)
+    times = np.bincount((np.arange(len(w))[:, None] * len(known) + of.reshape(rows.shape)).ravel(), minlength=len(w) * len(known)).reshape(len(w), -1)
+    lo, hi = np.searchsorted(b.sorted, known, "left"), np.searchsorted(b.sorted, known, "right")
+    size, head = hi - lo, np.cumsum(hi - lo) - (hi - lo)
+    at = b.at[b.order[np.repeat(lo - head, size) + np.arange(int(size.sum()))]] + least  # b's places of these shingles, by shingle and place
+    before = np.arange(len(at)) - np.repeat(times, size, axis=1)
+    wide = b.size + least + 1
+    begin = np.maximum(at - least, np.where(before >= np.repeat(head, size), at[np.maximum(before, 0)], 0))  # starts, `least` - 1 added
+    plus = np.bincount((np.arange(len(w))[:, None] * wide + begin).ravel(), minlength=len(w) * wide).reshape(len(w), wide)
+    common = (plus - np.bincount(at, minlength=wide)).cumsum(1)
     return common.max(1), common.argmax(1) - least + 1
 
 
@@ -417,8 +420,10 @@ def _verified(width: int, least: int, need: int):
         for y in (x for d, x in lines if d == hub):
             for d, x in lines:
                 if d != hub:
-                    for m, a, o, b in ((d, x, hub, y), (hub, y, d, x)):
-                        w, j, common = alike(a, b, least, need)
+                    p, q = _pairs(x, y)
+                    back = np.argsort(q, kind="stable")
+                    for m, a, o, b, both in ((d, x, hub, y, (p, q)), (hub, y, d, x, (q[back], p[back]))):
+                        w, j, common = alike(a, b, least, need, both)
                         if not len(w):
                             break  # none of a's is alike to b's, so none of b's to a's
                         w, j = a.place(w), b.place(j)
@@ -447,14 +452,14 @@ def repeated_passages(df: DataFrame, width: int = 5, words: int = 50, threshold:
 
     reach = _reach(docs, width, least, need)
     keys = saved(reach.mapInArrow(_keys(least, need), "key long, doc long, l int, r int"), "passage-keys")
-    order = [F.col("doc"), *(F.struct(F.xxhash64(F.lit(k), "doc"), "doc") for k in range(1, ROUNDS))]
-    hubs = keys.groupBy("key").agg(F.max("doc").alias("y"), *(F.min(o).alias(f"hub{k}") for k, o in enumerate(order))).where("hub0 < y")
-    met = saved(keys.join(hubs.select("key", "hub0", *(F.col(f"hub{k}.doc").alias(f"hub{k}") for k in range(1, ROUNDS))), "key"), "passage-met")
-    pairs = found = None
+    order = (F.min_by("doc", F.xxhash64(F.lit(k), "doc")).alias(f"hub{k}") for k in range(1, ROUNDS))  # a number's hashes with one seed are all different
+    hubs = keys.groupBy("key").agg(F.max("doc").alias("y"), F.min("doc").alias("hub0"), *order).where("hub0 < y").drop("y")
+    met = saved(keys.join(hubs, "key"), "passage-met")
+    left, pairs, found = met, None, None
     for k in range(ROUNDS):
-        left = met if found is None else _uncovered(met, found, words)
         pairs, found = _compared(left.select("doc", F.col(f"hub{k}").alias("hub")), pairs, found, reach, width, least, need)
-    left = _uncovered(met, found, words).select("key", "doc").distinct().withColumn("open", F.lit(True))
+        left = saved(_uncovered(left, found, words), "passage-left")  # what is covered stays so
+    left = left.select("key", "doc").distinct().withColumn("open", F.lit(True))
     roots = components(found.select("doc_id", "partner_id"), "doc_id", "partner_id").select(F.col("node").alias("doc"), "root")
     pairs, found = _compared(_rest(met, left, roots), pairs, found, reach, width, least, need)
     roots = components(found.select("doc_id", "partner_id"), "doc_id", "partner_id")
@@ -522,9 +527,10 @@ def _rest(met: DataFrame, left: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of documents of a key of which one has an open compact window there, or which lie in different components. A key's rows meet in blocks."""
     rows = met.select("key", "doc").distinct().join(left, ["key", "doc"], "left").join(roots, "doc", "left")
     rows = saved(rows.select("key", "doc", F.coalesce("open", F.lit(False)).alias("open"), F.coalesce("root", "doc").alias("root")), "passage-rest")
-    keys = rows.groupBy("key").agg(F.max("open").alias("any"), F.min("root").alias("x"), F.max("root").alias("y"), F.mode("root").alias("most"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
-    keys = saved(keys.where("any or x < y").select("key", "most", "parts"), "passage-rest-keys")
-    rows = rows.join(keys, "key").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    keys = rows.groupBy("key").agg(F.max("open").alias("any"), F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    keys = saved(keys.where("any or x < y").select("key", "parts"), "passage-rest-keys")  # of most keys nothing is left to compare
+    rows = saved(rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "key"), "passage-rest-rows")
+    rows = rows.join(rows.groupBy("key").agg(F.mode("root").alias("most")), "key").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     x = rows.where("open or root <> most")  # of two components one is not the most frequent
     x = x.select("key", F.col("doc").alias("x"), F.col("open").alias("x_open"), F.col("root").alias("x_root"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     both = x.join(rows.select("key", "part", "doc", "root"), ["key", "part"]).where("x <> doc and (x_open or x_root <> root)")

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -534,6 +535,23 @@ def test_alike_windows_of_two_rows_against_plain_counts():
         assert all((counts(x, i) & others[o]).total() >= need for i, o in zip(a.place(w) - 7, b.place(j) - 7))
 
 
+def test_windows_that_repeat_themselves_meet_a_long_row_in_little_memory():
+    """The work of windows that hold shingles many times does not grow with how often, nor its memory with the row they meet."""
+    rng, least, need = np.random.default_rng(6), 46, 41
+    x, y = rng.integers(0, 40, 300), rng.integers(0, 40, 20_000)
+    y[12_000:12_100] = x[100:200]
+    a, b = (passages.Line(np.array([[0, len(t)]]).tobytes(), t.astype(np.uint64).tobytes(), least) for t in (x, y))
+    tracemalloc.start()
+    w, j, _ = passages.alike(a, b, least, need)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    assert set(range(100, 155)) <= set(w.tolist()) and all((Counter(x[i : i + least].tolist()) & Counter(y[o : o + least].tolist())).total() >= need for i, o in zip(w, j))
+    p, q = passages._pairs(a, b)
+    back = np.argsort(q, kind="stable")
+    assert all(np.array_equal(u, v) for u, v in zip(passages.alike(b, a, least, need, (q[back], p[back])), passages.alike(b, a, least, need)))
+
+
 # 9 language ID
 
 
