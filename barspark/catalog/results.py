@@ -56,12 +56,12 @@ def _fills(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     tasks = tasks_for(e.count())
     f = e.select(F.col("event_id").alias("order_id"), F.concat(F.lit("U"), F.col("user_id")).alias("symbol"), "ts", F.col("value").alias("price"))
-    n = F.row_number().over(W.partitionBy("symbol").orderBy("ts", "order_id"))  # the order that trades are matched in, so one sort serves both
+    n = F.row_number().over(W.partitionBy("symbol").orderBy(*rs.fill_order()))  # the order that trades are matched in, so one sort serves both
     return spread(f, ["symbol"], tasks).withColumn("size", F.when(n % 2 == 1, F.lit(10.0)).otherwise(F.lit(-10.0)))
 
 
 def _trades(spark, sf_dir):
-    return rs.fifo_trades(_fills(spark, sf_dir))
+    return rs.fifo_trades(_fills(spark, sf_dir)).where("exit_time is not null")
 
 
 @query("trades_fifo", f"SELECT symbol, entry_time, exit_time, {R('entry_price')} AS entry_price, {R('exit_price')} AS exit_price, size, {R('pnl')} AS pnl, {R('pnl_pct')} AS pnl_pct, {R('duration')} AS duration, 'long' AS direction FROM {_TRADES}")

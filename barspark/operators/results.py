@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from ..functions.expr import quotient
 from ..session import saved
@@ -85,15 +86,20 @@ def rolling_calendar(equity: DataFrame, days: int, run: str | None = None, rf: f
     ).drop("_us")
 
 
+def fill_order() -> list[Column]:
+    """The order of a symbol's fills."""
+    return [F.col("ts").asc_nulls_last(), F.col("order_id").asc_nulls_last()]
+
+
 def fifo_trades(fills: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Round trips by first-in-first-out lots, long and short: symbol, entry_time, exit_time, entry_price, exit_price, size, pnl, pnl_pct, duration, direction.
 
     Fills are intervals on the line of traded quantity. An entry extends the position's absolute quantity and an exit takes
     from the queue's head, so lots are the overlaps of the entries' and the exits' intervals of one side; a fill that
-    turns the position round is both. The cost is two sorts of each symbol's fills.
+    turns the position round is both. The cost is two sorts of each symbol's fills. Unknown times come last, as in SQL.
     """
     key = [*(by or []), "symbol"]
-    upto = W.partitionBy(*key).orderBy("ts", "order_id").rowsBetween(W.unboundedPreceding, 0)
+    upto = W.partitionBy(*key).orderBy(*fill_order()).rowsBetween(W.unboundedPreceding, 0)
     f = fills.where("size <> 0").select(*key, "ts", "order_id", "price", "size")
     f = f.withColumn("_after", F.sum("size").over(upto)).withColumn("_before", F.col("_after") - F.col("size"))
     moves = {}
@@ -114,14 +120,18 @@ def fifo_trades(fills: DataFrame, by: list[str] | None = None) -> DataFrame:
     sign = F.when(F.col("_long"), F.lit(1.0)).otherwise(F.lit(-1.0))
     pnl = (F.col("exit_price") - F.col("entry_price")) * F.col("size") * sign
     growth = (quotient(F.col("exit_price"), F.col("entry_price")) - 1) * sign
-    days = (F.unix_micros(F.col("exit_time").cast("timestamp")) - F.unix_micros(F.col("entry_time").cast("timestamp"))) / 86_400_000_000
+    if isinstance(f.schema["ts"].dataType, TimestampNTZType):  # an hour that the session's time zone skips or repeats does not count
+        micros = (F.expr("CAST(CAST(exit_time - entry_time AS INTERVAL SECOND) AS DECIMAL(18, 6))") * 1_000_000).cast("long")
+    else:
+        micros = F.unix_micros(F.col("exit_time").cast("timestamp")) - F.unix_micros(F.col("entry_time").cast("timestamp"))
+    days = micros / 86_400_000_000
     side = F.when(F.col("_long"), F.lit("long")).otherwise(F.lit("short"))
     return lots.select(*key, "entry_time", "exit_time", "entry_price", "exit_price", "size", pnl.alias("pnl"), days.alias("duration"), side.alias("direction"), growth.alias("pnl_pct"))
 
 
 def alternating_trades(fills: DataFrame) -> DataFrame:
     """Round trips of fills that alternate between opening and closing: each closes at the next one."""
-    w = W.partitionBy("symbol").orderBy("ts", "order_id")
+    w = W.partitionBy("symbol").orderBy(*fill_order())
     f = fills.withColumns({"_n": F.row_number().over(w), "exit_time": F.lead("ts").over(w), "exit_price": F.lead("price").over(w)})
     return f.where("_n % 2 = 1 and exit_time is not null").select("symbol", F.col("ts").alias("entry_time"), "exit_time", F.col("price").alias("entry_price"), "exit_price", F.abs("size").alias("size"), ((F.col("exit_price") - F.col("price")) * F.col("size")).alias("pnl"))
 
