@@ -15,8 +15,10 @@ signature decides what is compared:
    so many least; the shingle at c is its key. windows() is the case of the one least, by Cartesian trees.
 4. Documents of a key meet the least of them, then up to ROUNDS others in seeded order, each time for those compact windows that no
    verified stretch holds; so a passage that thousands share makes a pair for each.
-5. What still is in no verified stretch meets every document of its keys; and so do documents of a key that lie in
-   different components. This is quadratic only in what has shared keys and is alike to none of the documents met.
+5. A window that still is in no verified stretch asks every document of its keys for what that holds there, and so do
+   documents of a key for those of other components: how many of the window's shingles stand in the other's compact window. Where
+   `need` do, the two meet. Documents whose compact windows hold the same answer as one. Only the asking is quadratic, in
+   what has shared keys and is alike to none of the documents met: some hundred byte operations in numpy, no row.
 6. A pair is compared in full, window by window, with no cut at an alignment.
 
 Texts that are equal but for white space are one text; each copy gets a line that names the whole of it.
@@ -55,13 +57,17 @@ TOGETHER = 1 << 17
 TASK_PAIRS, TASKS = 256, 2048
 #: Starts of windows of one text and of another that are counted at once.
 GRID = 1 << 18
-#: Rows of a key in a part; two parts meet in a task.
-BLOCK_ROWS = 512
+#: Rows of a key in a part, and rows of small keys that a group holds, about.
+BLOCK_ROWS = 4096
+#: Bytes of a table of which shingles which rows hold.
+TABLE = 1 << 26
 #: Low bits of a sort key that hold the place in a slice; more where one text is longer.
 PLACE_BITS = 21
 SPAN = "doc_id long, partner_id long, start_word long, end_word long, partner_start long, partner_end long, jaccard double"
 DEALT = "slice long, bucket int, data binary, docs binary, marks binary, firsts binary, again binary"
 REACH = "doc long, n long, ranges binary, tokens binary, counts binary"
+KEYS = "key long, doc long, l int, r int, same long"
+ASKED = "key long, doc long, root long, ask boolean, shingles binary, open binary"
 
 
 def windows(values: np.ndarray, firsts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -252,8 +258,18 @@ def compact(rank: np.ndarray, starts: np.ndarray, least: int, count: int) -> tup
     return c, first[c], last[c]
 
 
+def joined(tokens: np.ndarray, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Compact windows (places ascending) of which those of one shingle that overlap or touch are one, as in text that repeats a line on and on."""
+    order = np.argsort(tokens[c], kind="stable")
+    c, lo, hi = c[order], lo[order], hi[order]
+    new = np.ones(len(c), bool)
+    new[1:] = (tokens[c[1:]] != tokens[c[:-1]]) | (lo[1:] > hi[:-1] + 1)
+    new = np.flatnonzero(new)
+    return c[new], lo[new], hi[np.append(new[1:], len(c)) - 1] if len(c) else hi
+
+
 def _keys(least: int, need: int):
-    """(key, doc, l, r) of the compact windows of every document: its shingle, and the words from l to r that its windows hold."""
+    """KEYS of the compact windows of every document: its shingle, the first and the last start of its windows, and a hash of all shingles that these hold."""
 
     def run(batches):
         for batch in batches:
@@ -264,11 +280,12 @@ def _keys(least: int, need: int):
                 rank = (counts.astype(U64) << U64(56)) | (columns.mix64(tokens) >> U64(8))
                 c, lo, hi = compact(rank, held(counts > 1, firsts, least, need), least, least - need + 1)
                 again = counts[c] > 1
-                c, lo, hi = c[again], lo[again], hi[again]
+                c, lo, hi = joined(tokens, c[again], lo[again], hi[again])
                 shift = (ranges[:, 0] - firsts[:-1])[np.searchsorted(firsts, c, "right") - 1]
-                out.append((tokens[c].view(np.int64), np.full(len(c), doc), (lo + shift).astype(np.int32), (hi + shift).astype(np.int32)))
+                same = columns.segment_hashes(tokens, lo, hi - lo + least)
+                out.append((tokens[c].view(np.int64), np.full(len(c), doc), (lo + shift).astype(np.int32), (hi + shift).astype(np.int32), same.view(np.int64)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "doc", "l", "r"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "doc", "l", "r", "same"])
 
     return run
 
@@ -451,7 +468,7 @@ def repeated_passages(df: DataFrame, width: int = 5, words: int = 50, threshold:
     docs = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc", "left_anti").where("text is not null").withColumn("mark", F.xxhash64("text"))
 
     reach = _reach(docs, width, least, need)
-    keys = saved(reach.mapInArrow(_keys(least, need), "key long, doc long, l int, r int"), "passage-keys")
+    keys = saved(reach.mapInArrow(_keys(least, need), KEYS), "passage-keys")
     order = (F.min_by("doc", F.xxhash64(F.lit(k), "doc")).alias(f"hub{k}") for k in range(1, ROUNDS))  # a number's hashes with one seed are all different
     hubs = keys.groupBy("key").agg(F.max("doc").alias("y"), F.min("doc").alias("hub0"), *order).where("hub0 < y").drop("y")
     met = saved(keys.join(hubs, "key"), "passage-met")
@@ -459,9 +476,8 @@ def repeated_passages(df: DataFrame, width: int = 5, words: int = 50, threshold:
     for k in range(ROUNDS):
         pairs, found = _compared(left.select("doc", F.col(f"hub{k}").alias("hub")), pairs, found, reach, width, least, need)
         left = saved(_uncovered(left, found, words), "passage-left")  # what is covered stays so
-    left = left.select("key", "doc").distinct().withColumn("open", F.lit(True))
     roots = components(found.select("doc_id", "partner_id"), "doc_id", "partner_id").select(F.col("node").alias("doc"), "root")
-    pairs, found = _compared(_rest(met, left, roots), pairs, found, reach, width, least, need)
+    pairs, found = _compared(_rest(met, left, roots, found, reach, words, least, need), pairs, found, reach, width, least, need)
     roots = components(found.select("doc_id", "partner_id"), "doc_id", "partner_id")
     roots = roots.withColumn("component_id", F.min("node").over(W.partitionBy("root"))).select(F.col("node").alias("doc_id"), "component_id")
     roots = saved(roots, "passage-components")
@@ -523,18 +539,121 @@ def _uncovered(met: DataFrame, found: DataFrame, words: int) -> DataFrame:
     return met.join(spans, inside, "left_anti")
 
 
-def _rest(met: DataFrame, left: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of documents of a key of which one has an open compact window there, or which lie in different components. A key's rows meet in blocks."""
-    rows = met.select("key", "doc").distinct().join(left, ["key", "doc"], "left").join(roots, "doc", "left")
-    rows = saved(rows.select("key", "doc", F.coalesce("open", F.lit(False)).alias("open"), F.coalesce("root", "doc").alias("root")), "passage-rest")
-    keys = rows.groupBy("key").agg(F.max("open").alias("any"), F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
-    keys = saved(keys.where("any or x < y").select("key", "parts"), "passage-rest-keys")  # of most keys nothing is left to compare
+def _cut(words: int, least: int):
+    """ASKED of rows (doc, ranges, tokens, spans, asked): of each compact window asked for its shingles, 32 bits of each, and which of its windows are in no span."""
+
+    def run(batches):
+        for batch in batches:
+            key, doc, root, ask, held, opens = ([] for _ in range(6))
+            lists, spans = batch.column("asked"), batch.column("spans")
+            asked = [lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("key", "l", "r", "root", "ask")]
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            for d, name in enumerate(batch.column("doc").to_pylist()):
+                ranges, tokens = np.frombuffer(batch.column("ranges")[d].as_py(), np.int64).reshape(-1, 2), np.frombuffer(batch.column("tokens")[d].as_py(), U64).astype(np.uint32)
+                of, l, r, roots, asks = (x[ends[d] : ends[d + 1]] for x in asked)
+                size = ranges[:, 1] - ranges[:, 0]
+                k = np.searchsorted(ranges[:, 0], l, "right") - 1
+                here = np.flatnonzero((k >= 0) & (r + least <= ranges[k, 1]))  # an id may have several texts
+                at = l - ranges[k, 0] + (np.cumsum(size) - size)[k]
+                span = np.array([(x["start_word"], x["end_word"]) for x in spans[d].as_py() or ()], np.int64).reshape(-1, 2)
+                span = np.concatenate([[[-1, -1]], span[np.argsort(span[:, 0])]])
+                seen = {}
+                for i in here.tolist():
+                    row, begin = tokens[at[i] : at[i] + r[i] - l[i] + least], np.arange(l[i], r[i] + 1 if asks[i] else l[i])
+                    row = _bytes(row if asks[i] else np.unique(row))
+                    free = begin + words > span[np.searchsorted(span[:, 0], begin, "right") - 1, 1]
+                    known = seen.setdefault((of[i], roots[i], asks[i], row), [i, free])
+                    known[1] = known[1] | free
+                here = [i for i, _ in seen.values()]
+                held += [row for *_, row in seen]
+                opens += [_bytes(free) for _, free in seen.values()]
+                for out, x in ((key, of[here]), (doc, np.full(len(here), name)), (root, roots[here]), (ask, asks[here])):
+                    out.append(x)
+            if held:
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in (key, doc, root)), pa.array(np.concatenate(ask).astype(bool)), pa.array(held, pa.binary()), pa.array(opens, pa.binary())], names=["key", "doc", "root", "ask", "shingles", "open"])
+
+    return run
+
+
+def enough(has: np.ndarray, least: int, need: int) -> np.ndarray:
+    """For each window of a row of shingles and for each other row, whether this holds `need` of the window's shingles; has says which of the shingles it holds."""
+    upto = np.zeros((len(has) + 1, has.shape[1]), np.int16 if len(has) < 1 << 15 else np.int32)
+    np.cumsum(has, 0, upto.dtype, upto[1:])
+    return upto[least:] - upto[:-least] >= need
+
+
+def _answers(asks: list[np.ndarray], held: list[np.ndarray], least: int, need: int):
+    """(number of one of asks, numbers of rows of held, enough() of them), in pieces of bounded size."""
+    step = max(1, TABLE // (8 * max(map(len, asks))))
+    upto = np.cumsum([len(a) for a in asks])
+    for i in range(0, len(held), step):
+        some = held[i : i + step]
+        row, every, k = np.repeat(np.arange(len(some)), [len(h) for h in some]), np.concatenate(some), 0
+        while k < len(asks):
+            end = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + TABLE // len(some), "right")))
+            known = np.unique(np.concatenate(asks[k:end]))
+            at = np.minimum(np.searchsorted(known, every), len(known) - 1)
+            there = known[at] == every
+            has = np.zeros((len(known), len(some)), bool)
+            has[at[there], row[there]] = True
+            for n in range(k, end):
+                yield n, np.arange(i, i + len(some)), enough(has[np.searchsorted(known, asks[n])], least, need)
+            k = end
+
+
+def _asked(least: int, need: int):
+    """Pairs (doc, hub) of rows of a key that ask and others of which one may hold an alike window: an open one, or any if their components differ."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, doc, root, ask = (table.column(c).to_numpy() for c in ("key", "doc", "root", "ask"))
+        held, opens = ([np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("shingles", np.uint32), ("open", bool)))
+        order = np.lexsort((ask, key))
+        pairs = [np.empty((2, 0), np.int64)]
+        for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            asks, others = rows[ask[rows]], rows[~ask[rows]]
+            if not len(asks) or not len(others):
+                continue
+            equal = {}
+            for a in asks:
+                equal.setdefault(held[a].tobytes(), []).append(a)
+            equal = list(equal.values())
+            for n, at, fits in _answers([held[x[0]] for x in equal], [held[b] for b in others], least, need):
+                some = fits.any(0)
+                if some.any():
+                    for a in equal[n]:
+                        b = others[at]
+                        b = doc[b[fits[opens[a]].any(0) | (some & (root[b] != root[a]))]]
+                        b = b[b != doc[a]]
+                        pairs.append(np.stack([np.maximum(b, doc[a]), np.minimum(b, doc[a])]))
+        pairs = np.unique(np.concatenate(pairs, 1), axis=1)
+        return pa.table({"doc": pairs[0], "hub": pairs[1]})
+
+    return run
+
+
+def _rest(met: DataFrame, left: DataFrame, roots: DataFrame, found: DataFrame, reach: DataFrame, words: int, least: int, need: int) -> DataFrame:
+    """Pairs of documents of a key of which one has an open window there of which the other has `need` shingles, or any such window if they lie in different components. A key's rows answer in blocks."""
+    place = ["key", "doc", "l", "r"]
+    rows = met.select(*place, "same").join(left.select(*place).distinct().withColumn("open", F.lit(True)), place, "left").join(roots, "doc", "left")
+    rows = saved(rows.select(*place, "same", F.coalesce("open", F.lit(False)).alias("open"), F.coalesce("root", "doc").alias("root")), "passage-rest")
+    keys = rows.groupBy("key").agg(F.max("open").alias("any"), F.min("root").alias("x"), F.max("root").alias("y"))
+    keys = saved(keys.where("any or x < y").select("key"), "passage-rest-keys")  # of most keys nothing is left to compare
     rows = saved(rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, "key"), "passage-rest-rows")
-    rows = rows.join(rows.groupBy("key").agg(F.mode("root").alias("most")), "key").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
-    x = rows.where("open or root <> most")  # of two components one is not the most frequent
-    x = x.select("key", F.col("doc").alias("x"), F.col("open").alias("x_open"), F.col("root").alias("x_root"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    both = x.join(rows.select("key", "part", "doc", "root"), ["key", "part"]).where("x <> doc and (x_open or x_root <> root)")
-    return both.select(F.greatest("x", "doc").alias("doc"), F.least("x", "doc").alias("hub"))
+    asks = rows.join(rows.groupBy("key").agg(F.mode("root").alias("most")), "key").where("open or root <> most")  # of two components one is not the most frequent
+    at = F.struct("doc", "l", "r")
+    held = rows.groupBy("key", "root", "same").agg(F.array_distinct(F.array(F.min(at), F.max(at))).alias("at"))  # two documents, so that one is another than who asks
+    held = held.select("key", "root", F.inline("at"), F.lit(False).alias("ask"))
+    asked = asks.select("key", "root", "doc", "l", "r", F.lit(True).alias("ask")).distinct().unionByName(held)
+    asked = asked.groupBy("doc").agg(F.collect_list(F.struct("key", "l", "r", "root", "ask")).alias("asked"))
+    spans = _merged(found).groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    cut = asked.join(reach.select("doc", "ranges", "tokens"), "doc").join(spans, "doc", "left").select("doc", "ranges", "tokens", "spans", "asked")
+    cut = saved(cut.mapInArrow(_cut(words, least), ASKED), "passage-asked")
+    groups = 1 + cut.count() // BLOCK_ROWS
+    parts = saved(cut.groupBy("key").agg(F.ceil(F.count_if(~F.col("ask")) / BLOCK_ROWS).cast("int").alias("parts")), "passage-asked-parts")
+    rows = cut.join(parts, "key").withColumn("all", F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("ask"), F.col("all")).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")))))
+    rows = rows.withColumn("group", F.when(F.col("parts") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(groups))))
+    return rows.drop("parts", "all").groupBy("group", "part").applyInArrow(_asked(least, need), "doc long, hub long")
 
 
 def _copies(docs: DataFrame, copies: DataFrame, words: int) -> DataFrame:
