@@ -478,7 +478,7 @@ def repeated_passages(df: DataFrame, width: int = 5, words: int = 50, threshold:
         left = saved(_uncovered(left, found, words), "passage-left")  # what is covered stays so
     roots = components(found.select("doc_id", "partner_id"), "doc_id", "partner_id").select(F.col("node").alias("doc"), "root")
     pairs, found = _compared(_rest(met, left, roots, found, reach, words, least, need), pairs, found, reach, width, least, need)
-    roots = components(found.select("doc_id", "partner_id"), "doc_id", "partner_id")
+    roots = _grown(roots, found)
     roots = roots.withColumn("component_id", F.min("node").over(W.partitionBy("root"))).select(F.col("node").alias("doc_id"), "component_id")
     roots = saved(roots, "passage-components")
     out = _merged(found).join(roots, "doc_id")
@@ -656,6 +656,17 @@ def _rest(met: DataFrame, left: DataFrame, roots: DataFrame, found: DataFrame, r
     return rows.drop("parts", "all").groupBy("group", "part").applyInArrow(_asked(least, need), "doc long, hub long")
 
 
+def _grown(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """node and root of all documents with a span: only links between the components of roots are contracted further."""
+    links = found.select(F.col("doc_id").alias("x"), F.col("partner_id").alias("y")).distinct()
+    for c in ("x", "y"):
+        links = links.join(roots.select(F.col("doc").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    links = saved(links, "passage-links")
+    more = components(links.select("x_root", "y_root"), "x_root", "y_root").select(F.col("node").alias("mid"), "root")
+    nodes = links.select(F.col("x").alias("node"), F.col("x_root").alias("mid")).unionByName(links.select(F.col("y").alias("node"), F.col("y_root").alias("mid"))).distinct()
+    return nodes.join(more, "mid", "left").select("node", F.coalesce("root", "mid").alias("root"))
+
+
 def _copies(docs: DataFrame, copies: DataFrame, words: int) -> DataFrame:
     """A line for each copy of at least `words` words, as long as the text that stands for it."""
     copies = copies.where("doc <> kept_doc").distinct()
